@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evalmill.llm import pii
+from evalmill.llm import near_dup, pii
 
 QUERIES = {
     "op8_pii": pii.op8_pii,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 
 ORACLES = {
