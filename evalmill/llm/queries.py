@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalmill.llm import near_dup, pii
+from evalmill.llm import near_dup, pii, ppm
 
 QUERIES = {
+    "op1_lm_ppm": ppm.op1_lm_ppm,
     "op8_pii": pii.op8_pii,
     "op10_near_dup": near_dup.op10_near_dup,
 }
