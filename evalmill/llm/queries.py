@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from evalmill.llm import near_dup, pii, ppm
+from evalmill.llm import near_dup, pieces, pii, ppm, token_counts
 
 QUERIES = {
     "op1_lm_ppm": ppm.op1_lm_ppm,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_pieces": pieces.op5_pieces,
     "op8_pii": pii.op8_pii,
     "op10_near_dup": near_dup.op10_near_dup,
 }
