@@ -36,13 +36,15 @@ from evalmill.llm._text import U64, mix, shingle_sets, slices, utf8
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-SAMPLES, BITS = 256, 512
-#: XOR population count up to which a pair is confirmed: similarity of about 0.57.
-SCREEN = 147
+SAMPLES, BITS = 1024, 2048
+#: XOR population count up to which a pair is confirmed: similarity of about 0.68.
+SCREEN = 485
 
 _A = (mix(np.arange(1, SAMPLES + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, SAMPLES + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)
 _TURN = 1 << 16
+#: Shingles of texts that a task remembers while it confirms pairs.
+_KNOWN = 1 << 21
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -112,17 +114,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _confirm(batches):
+    known: dict[tuple, np.ndarray] = {}
     for batch in batches:
         a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
         sides = [utf8(batch.column(c)) for c in ("text_a", "text_b")]
-        known: dict[tuple, np.ndarray] = {}
 
-        def of(side: int, key: int, i: int, sides=sides, known=known) -> np.ndarray:
+        def of(side: int, key: int, i: int, sides=sides) -> np.ndarray:
             data, at = sides[side]
             part = data[at[i] : at[i + 1]]
             name = (key, len(part))
             if name not in known:
-                if len(known) > 256:
+                if len(known) % 64 == 63 and sum(map(len, known.values())) > _KNOWN:
                     known.clear()
                 known[name] = shingle_sets(part, np.array([0, len(part)]), SHINGLE)[0]
             return known[name]
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     members = store.keep(spread.join(stars, "key"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = store.keep(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    sketches = store.keep(classes.select(F.col("doc_id").alias("id"), "sketch").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
+    sketches = store.keep(classes.select(F.col("doc_id").alias("id"), "sketch", "bands").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
 
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
@@ -201,9 +203,11 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = store.keep(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("m")).where("parts > 1").select("key", F.col("m.component").alias("largest")), "mixed")
     inside = store.keep(placed.join(mixed, "key").join(sketches, "id"), "inside")
-    few = inside.where("component <> largest").select("key", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"))
-    every = inside.select("key", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"))
-    met = few.join(every, (few.key == every.key) & (F.col("cp") != F.col("cq")) & (_distance("x", "y") <= SCREEN))
+    few = inside.where("component <> largest").select("key", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("bands").alias("bx"))
+    every = inside.select("key", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("bands").alias("by"), "largest")
+    # two that differ in component meet in each bucket they share; the smallest key counts, and one of the two orders
+    once = ((F.col("cq") == F.col("largest")) | (F.col("p") < F.col("q"))) & (few.key == F.array_min(F.array_intersect("bx", "by")))
+    met = few.join(every, (few.key == every.key) & (F.col("cp") != F.col("cq")) & (_distance("x", "y") <= SCREEN) & once)
     rest = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     seen = tried.union(between.select("a", "b"))
     seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from evalmill.llm import near_dup, pieces, pii, ppm, token_counts
+from evalmill.llm import media, near_dup, pieces, pii, ppm, secrets, token_counts
 
 QUERIES = {
     "op1_lm_ppm": ppm.op1_lm_ppm,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_pieces": pieces.op5_pieces,
+    "op6_secrets": secrets.op6_secrets,
     "op8_pii": pii.op8_pii,
+    "op9_media": media.op9_media,
     "op10_near_dup": near_dup.op10_near_dup,
 }
 
