@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evalmill.llm import media, near_dup, pieces, pii, ppm, secrets, token_counts
+from evalmill.llm import media, near_dup, pieces, pii, ppm, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_ppm": ppm.op1_lm_ppm,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_pieces": pieces.op5_pieces,
     "op6_secrets": secrets.op6_secrets,

@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word (letters only, A-Z lower-cased) is the sum of two embeddings, from two hashes of it, so that words meet in both
-only by rare chance. Filters of each width in ``WIDTHS`` slide over all words of the whole text; a filter's feature is its
+A word (letters only, A-Z lower-cased) is the sum of hashed embeddings: of the word by two hashes, so that words meet in
+both only by rare chance, and of its first ``PREFIXES`` bytes, so that the forms of one stem share what is learned. Filters of each width in ``WIDTHS`` slide over all words of the whole text; a filter's feature is its
 largest value, cut off at zero; one dense layer makes the probability. Gradients flow to the words of the largest
 values. Embeddings start at zero but for one dimension, which holds the bucket's log odds of standing in a toxic
 text; words not met in training so stay near neutral.
@@ -27,18 +27,21 @@ from evalmill.llm._training import Adam, batches_of, labelled_sample, remainder,
 
 TRAIN_ROWS = 3000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
-EPOCHS, BATCH, RATE = 12, 32, 0.02
+PREFIXES = (4, 5, 6)
+TABLES = 2 + len(PREFIXES)
+EPOCHS, BATCH, RATE, EMBED_RATE = 5, 32, 0.02, 0.3
 THRESHOLD = 0.7
 
 _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def buckets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both buckets of each word, and len + 1 offsets by text."""
+def buckets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TABLES x words buckets, and len + 1 offsets by text."""
     starts, ends, by = word_bounds(data, at, _NOT_LETTER)
     h = word_hashes(data, starts, ends)
-    return (h & U64(BUCKETS - 1)).astype(np.int64), (mix(h + U64(1)) & U64(BUCKETS - 1)).astype(np.int64), by
+    hashes = [h, mix(h + U64(1)), *(word_hashes(data, starts, np.minimum(ends, starts + k)) for k in PREFIXES)]
+    return np.stack([(x & U64(BUCKETS - 1)).astype(np.int32) for x in hashes]), by
 
 
 class Net:
@@ -47,12 +50,12 @@ class Net:
         self._ready = None
 
     @staticmethod
-    def fresh(odds1: np.ndarray, odds2: np.ndarray, seed: int = 7) -> Net:
+    def fresh(odds: list[np.ndarray], seed: int = 7) -> Net:
         rng = np.random.default_rng(seed)
         p: dict[str, np.ndarray] = {}
-        for k, odds in (("e1", odds1), ("e2", odds2)):
-            p[k] = np.zeros((BUCKETS, DIM))
-            p[k][:, 0] = odds
+        for k, own in enumerate(odds):
+            p[f"e{k}"] = np.zeros((BUCKETS, DIM), dtype=np.float32)
+            p[f"e{k}"][:, 0] = own / 2
         for w in WIDTHS:
             p[f"w{w}"] = rng.normal(0, 0.3, (w, DIM, FILTERS))
             p[f"w{w}"][:, 0, :] = np.abs(p[f"w{w}"][:, 0, :]) / w
@@ -63,17 +66,22 @@ class Net:
     def prepare(self):
         """Each bucket's share of each filter, so that scoring only adds."""
         taps = np.concatenate([self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)], axis=1)
-        self._ready = (self.p["e1"] @ taps).astype(np.float32), (self.p["e2"] @ taps).astype(np.float32)
+        self._ready = [self.p[f"e{k}"] @ taps.astype(np.float32) for k in range(TABLES)]
 
-    def maxima(self, b1: np.ndarray, b2: np.ndarray, by: np.ndarray, where: bool = False):
+    def added(self, b: np.ndarray) -> np.ndarray:
+        e = self._ready[0][b[0]]
+        for k in range(1, TABLES):
+            e += self._ready[k][b[k]]
+        return e
+
+    def maxima(self, e: np.ndarray, by: np.ndarray, where: bool = False):
         """Each filter's largest value in each text, -inf where the text is shorter; and the places, for training."""
         n_docs = len(by) - 1
         values = np.full((n_docs, FILTERS * len(WIDTHS)), -np.inf)
         places = np.zeros((n_docs, FILTERS * len(WIDTHS)), dtype=np.int64)
-        e = self._ready[0][b1] + self._ready[1][b2]
         tap = 0
         for i, w in enumerate(WIDTHS):
-            n = len(b1) - w + 1
+            n = len(e) - w + 1
             parts = [e[j : j + max(n, 0), (tap + j) * FILTERS : (tap + j + 1) * FILTERS] for j in range(w)]
             tap += w
             long = np.flatnonzero(np.diff(by) >= w)
@@ -98,25 +106,30 @@ class Net:
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self._ready is None:
             self.prepare()
-        b1, b2, by = buckets_of(data, at)
-        if not len(b1):
+        b, by = buckets_of(data, at)
+        if not b.shape[1]:
             return np.full(len(at) - 1, float(sigmoid(self.p["c"])[0]))
-        return sigmoid(self.logits(self.maxima(b1, b2, by)[0])[0])
+        return sigmoid(self.logits(self.maxima(self.added(b), by)[0])[0])
+
+    def of_words(self, b: np.ndarray) -> float:
+        return float(sigmoid(self.logits(self.maxima(self.added(b), np.array([0, b.shape[1]]))[0])[0])[0])
 
-    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray):
+    def fit(self, texts: list[np.ndarray], y: np.ndarray):
+        """Embeddings take plain steps, at the buckets met only; all else takes Adam's."""
         adam = Adam({k: v for k, v in self.p.items() if k[0] != "e"}, RATE)
-        rows = {k: Adam({k: self.p[k]}, RATE) for k in ("e1", "e2")}
         for epoch in range(EPOCHS):
             for batch in batches_of(len(texts), BATCH, epoch):
-                self.prepare()
-                b1, b2 = (np.concatenate([texts[i][k] for i in batch]) for k in (0, 1))
-                by = np.cumsum([0, *(len(texts[i][0]) for i in batch)])
-                values, places = self.maxima(b1, b2, by, where=True)
+                taps = np.concatenate([self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)], axis=1).astype(np.float32)
+                b = np.concatenate([texts[i] for i in batch], axis=1)
+                by = np.cumsum([0, *(texts[i].shape[1] for i in batch)])
+                if not b.shape[1]:
+                    continue
+                values, places = self.maxima(sum(self.p[f"e{k}"][b[k]] for k in range(TABLES)) @ taps, by, where=True)
                 z, feature = self.logits(values)
                 g = (sigmoid(z) - y[batch]) / len(batch)
                 grads = {"u": feature.T @ g + 1e-4 * self.p["u"], "c": np.array([g.sum()])}
                 back = g[:, None] * self.p["u"] * (feature > 0)
-                ge = {"e1": np.zeros_like(self.p["e1"]), "e2": np.zeros_like(self.p["e2"])}
+                steps = []
                 for i, w in enumerate(WIDTHS):
                     cols = slice(i * FILTERS, (i + 1) * FILTERS)
                     d, f = np.nonzero(back[:, cols])
@@ -124,29 +137,28 @@ class Net:
                     gw = np.zeros_like(self.p[f"w{w}"])
                     grads[f"b{w}"] = back[:, cols].sum(axis=0)
                     for j in range(w):
-                        one, two = b1[at + j], b2[at + j]
-                        emb = self.p["e1"][one] + self.p["e2"][two]
+                        met = b[:, at + j]
+                        emb = sum(self.p[f"e{k}"][met[k]] for k in range(TABLES))
                         np.add.at(gw[j].T, f, gv[:, None] * emb)
-                        down = gv[:, None] * self.p[f"w{w}"][j].T[f]
-                        np.add.at(ge["e1"], one, down)
-                        np.add.at(ge["e2"], two, down)
+                        steps.append((met, gv[:, None] * self.p[f"w{w}"][j].T[f]))
                     grads[f"w{w}"] = gw
                 adam.step(grads)
-                for k in ("e1", "e2"):
-                    rows[k].step({k: ge[k]})
+                for met, down in steps:
+                    for k in range(TABLES):
+                        np.subtract.at(self.p[f"e{k}"], met[k], (EMBED_RATE * down).astype(np.float32))
         self.prepare()
 
 
-def _encode(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for t in texts:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        b1, b2, _ = buckets_of(raw, np.array([0, len(raw)]))
-        out.append((b1, b2))
-    return out
+def _encode(texts: list[str]) -> list[np.ndarray]:
+    raw = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    return [buckets_of(r, np.array([0, len(r)]))[0] for r in raw]
+
+
+def _odds(texts, y: np.ndarray) -> list[np.ndarray]:
+    return [_odds_of(texts, y, k) for k in range(TABLES)]
 
 
-def _odds(texts, y: np.ndarray, side: int) -> np.ndarray:
+def _odds_of(texts, y: np.ndarray, side: int) -> np.ndarray:
     counts = np.zeros((2, BUCKETS))
     for t, label in zip(texts, y, strict=True):
         counts[int(label), np.unique(t[side])] += 1
@@ -178,17 +190,16 @@ def fit(rows: list) -> Classifier:
     by_lang: dict[str, float] = {}
     if len(set(y[learn])) == 2:
         part = [texts[i] for i in learn]
-        net = Net.fresh(_odds(part, y[learn], 0), _odds(part, y[learn], 1))
+        net = Net.fresh(_odds(part, y[learn]))
         net.fit(part, y[learn])
         grid = np.round(np.arange(0.3, 0.91, 0.05), 2)
         for lang in sorted({r.lang for r, a in zip(rows, aside, strict=True) if a and r.lang is not None}):
             own = [i for i in np.flatnonzero(aside) if rows[i].lang == lang]
-            values = np.array([sigmoid(net.logits(net.maxima(*texts[i], np.array([0, len(texts[i][0])]))[0])[0])[0] for i in own])
+            values = np.array([net.of_words(texts[i]) for i in own])
             wrong = [(int(((values >= t) != (y[own] == 1)).sum()), abs(t - THRESHOLD), t) for t in grid]
             by_lang[lang] = float(min(wrong)[2])
-    net = Net.fresh(_odds(texts, y, 0), _odds(texts, y, 1))
+    net = Net.fresh(_odds(texts, y))
     net.fit(texts, y)
-    net.p = {k: v for k, v in net.p.items()}
     return Classifier(net, by_lang)
 
 
