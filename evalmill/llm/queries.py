@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from evalmill.llm import media, near_dup, pieces, pii, ppm, secrets, token_counts, toxicity
+from evalmill.llm import decontam, media, near_dup, pieces, pii, ppm, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_ppm": ppm.op1_lm_ppm,
+    "op2_decontam": decontam.op2_decontam,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_pieces": pieces.op5_pieces,
     "op6_secrets": secrets.op6_secrets,
+    "op7_quality": quality.op7_quality,
     "op8_pii": pii.op8_pii,
     "op9_media": media.op9_media,
     "op10_near_dup": near_dup.op10_near_dup,
