@@ -5,8 +5,8 @@ character map, white-space rules and the metaspace marker), then a unigram model
 model, merges ranked by them, with byte fallback; and the decoder. If no piece holds the marker behind another character,
 no merge or piece can cross from one word to the next, so words are encoded apart and remembered.
 
-Batches are encoded on ``THREADS`` threads. Every text is also encoded by the sentencepiece library itself: ``parity`` says
-whether the two agree, and where they don't, the library's ids are the ones returned. ``round_trip`` says whether decoding
+Batches are encoded on ``THREADS`` threads. All that is encoded is also encoded by the sentencepiece library itself: ``parity`` says
+whether the two agree for a text, and where they don't, the library's ids are the ones returned. ``round_trip`` says whether decoding
 the ids gives the text back (models that normalise or drop white space may rightly say no).
 
 Each row is worked on by itself: no shuffle; models are loaded once in each Python worker.
@@ -16,9 +16,12 @@ Edge cases: a null or empty text has no ids, parity and round_trip are true; its
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,6 +30,8 @@ from evalmill.llm._text import slices
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
 MARK = "▁"
+REMEMBERED = 48 << 20
+_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 _loaded: dict = {}
@@ -90,7 +95,7 @@ def splits_at_marks(model: dict) -> bool:
     return all(MARK not in p.lstrip(MARK) for p, _, kind in model["pieces"] if kind in (NORMAL, USER))
 
 
-def rebuild(model: dict):
+def rebuild(model: dict, normalise: bool = True):
     """The model as a tokenizers.Tokenizer."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -109,7 +114,7 @@ def rebuild(model: dict):
     mark = MARK if model["escape"] else " "
     steps += [normalizers.Prepend(mark)] if model["prefix"] else []
     steps += [normalizers.Replace(" ", MARK)] if model["escape"] else []
-    if steps:
+    if steps and normalise:
         out.normalizer = normalizers.Sequence(steps)
     if splits_at_marks(model):
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
@@ -121,39 +126,86 @@ def rebuild(model: dict):
     return out
 
 
-def load(name: str, threads: int = THREADS):
-    """(tokenizers pipeline, sentencepiece processor) of a public model or a path, kept in this process."""
+def load(name: str, threads: int = THREADS) -> Backend:
+    """Both libraries' forms of a public model or a path, kept in this process."""
     if name not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import public_tokenizers
-        import sentencepiece
 
         with open(name if os.path.isabs(name) else public_tokenizers.path(name), "rb") as f:
-            raw = f.read()
-        _loaded[name] = rebuild(read_model(raw)), sentencepiece.SentencePieceProcessor(model_proto=raw)
+            _loaded[name] = Backend(f.read())
     return _loaded[name]
 
 
+class Backend:
+    """Encodes and verifies with both libraries.
+
+    Where no piece crosses from word to word and the normaliser only marks spaces, a text's ids are its words' ids end to end, in
+    both libraries. So each distinct word is encoded, decoded and compared once while it is remembered (up to ``REMEMBERED`` bytes of
+    words), and a text has parity if all of its words have. Other models encode and compare whole texts.
+    """
+
+    def __init__(self, raw: bytes):
+        import sentencepiece
+
+        model = read_model(raw)
+        self.ours, self.theirs = rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.by_word = model["prefix"] and model["escape"] and not model["squeeze"] and not model["charsmap"] and splits_at_marks(model) and all(p[2] != USER for p in model["pieces"])
+        self.bare = rebuild(model, normalise=False) if self.by_word else None
+        self.words: dict[str, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.good: list[int] = []
+        self.held = 0
+
+    def learn(self, fresh: list[str]):
+        if self.held > REMEMBERED:
+            self.words, self.ids, self.good, self.held = {}, [], [], 0
+        ids = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
+        theirs = self.theirs.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1)
+        alone = [self.theirs.piece_to_id(MARK)]
+        theirs = [alone if w == MARK else t for w, t in zip(fresh, theirs, strict=True)]
+        back = self.bare.decode_batch(theirs, skip_special_tokens=False)
+        for word, a, b, text in zip(fresh, ids, theirs, back, strict=True):
+            self.words[word] = len(self.ids)
+            self.ids.append(np.array(b, dtype=np.int32))
+            self.good.append((a == b) + 2 * (text == word[1:].replace(MARK, " ")))
+            self.held += 4 * len(word) + 200
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
+        """(ids end to end, numbers of ids, parity, round trip) of the texts."""
+        if not self.by_word:
+            ours = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
+            known = self.theirs.encode(texts, num_threads=1)
+            back = self.ours.decode_batch(known, skip_special_tokens=False)
+            return np.concatenate([np.zeros(0, np.int32), *(np.array(k, np.int32) for k in known)]), np.array([len(k) for k in known]), [a == b for a, b in zip(ours, known, strict=True)], [a == b for a, b in zip(texts, back, strict=True)]
+        split = [_WORDS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
+        if self.held > REMEMBERED:
+            self.learn([])
+        fresh = [w for w in set().union(*split) if w not in self.words]
+        if fresh:
+            self.learn(fresh)
+        at = [list(map(self.words.__getitem__, ws)) for ws in split]
+        parts = [self.ids[i] for ws in at for i in ws]
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, at)])]
+        marks = [min(map(self.good.__getitem__, set(ws)), default=3) if ws else 3 for ws in at]
+        each = [3 if m == 3 else functools.reduce(int.__and__, map(self.good.__getitem__, ws)) for m, ws in zip(marks, at, strict=True)]
+        plain = [MARK not in t for t in texts]
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.diff(ends), [bool(g & 1) for g in each], [bool(g & 2) and p for g, p in zip(each, plain, strict=True)]
+
+
 _ENCODED = "doc_id long, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean"
 
 
 def _encoding(name: str):
     def encode(batches):
-        ours, theirs = load(name)
+        backend = load(name)
         for batch in batches:
             for rows, *_ in slices(batch, "text", 1 << 20):
-                texts = [t or "" for t in rows.column("text").to_pylist()]
-                ids = [e.ids for e in ours.encode_batch_fast(texts, add_special_tokens=False)]
-                known = theirs.encode(texts, num_threads=1)
-                back = ours.decode_batch(known, skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"), pa.array(known, pa.list_(pa.int32())), pa.array([len(k) for k in known], pa.int64()),
-                        pa.array([a == b for a, b in zip(ids, known, strict=True)], pa.bool_()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
-                    ],
-                    ["doc_id", "token_ids", "n_tokens", "parity", "round_trip"],
-                )
+                ids, n, parity, back = backend.encode([t or "" for t in rows.column("text").to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(n.astype(np.int64)), pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "parity", "round_trip"])
 
     return encode
 
@@ -167,7 +219,7 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
     """(doc_id, text) of each row of encoded (doc_id, token_ids); null ids give an empty text."""
 
     def run(batches):
-        ours, _ = load(name)
+        ours = load(name).ours
         for batch in batches:
             ids = [x or [] for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ours.decode_batch(ids, skip_special_tokens=False), pa.string())], ["doc_id", "text"])
