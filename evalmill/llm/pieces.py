@@ -16,10 +16,11 @@ Edge cases: a null or empty text has no ids, parity and round_trip are true; its
 
 from __future__ import annotations
 
-import functools
+import itertools
 import os
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from evalmill.llm._text import slices
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
 MARK = "▁"
-REMEMBERED = 48 << 20
+REMEMBERED = 96 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -153,24 +154,26 @@ class Backend:
         self.ours, self.theirs = rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.by_word = model["prefix"] and model["escape"] and not model["squeeze"] and not model["charsmap"] and splits_at_marks(model) and all(p[2] != USER for p in model["pieces"])
         self.bare = rebuild(model, normalise=False) if self.by_word else None
+        self.forget()
+
+    def forget(self):
         self.words: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.good: list[int] = []
-        self.held = 0
+        self.flat, self.first, self.good, self.held = array("i"), array("q", [0]), array("b"), 0
 
     def learn(self, fresh: list[str]):
-        if self.held > REMEMBERED:
-            self.words, self.ids, self.good, self.held = {}, [], [], 0
+        """Encodes, decodes and compares words; each begins with the marker."""
         ids = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
-        theirs = self.theirs.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1)
+        bare = [w[1:].replace(MARK, " ") for w in fresh]
+        theirs = self.theirs.encode(bare, num_threads=1)
         alone = [self.theirs.piece_to_id(MARK)]
         theirs = [alone if w == MARK else t for w, t in zip(fresh, theirs, strict=True)]
-        back = self.bare.decode_batch(theirs, skip_special_tokens=False)
-        for word, a, b, text in zip(fresh, ids, theirs, back, strict=True):
-            self.words[word] = len(self.ids)
-            self.ids.append(np.array(b, dtype=np.int32))
-            self.good.append((a == b) + 2 * (text == word[1:].replace(MARK, " ")))
-            self.held += 4 * len(word) + 200
+        back = self.ours.decode_batch(theirs, skip_special_tokens=False)
+        for word, a, b, was, text in zip(fresh, ids, theirs, bare, back, strict=True):
+            self.words[word] = len(self.good)
+            self.flat.extend(b)
+            self.first.append(len(self.flat))
+            self.good.append((a == b) + 2 * (was == text))
+        self.held += sum(map(len, fresh)) * 2 + 160 * len(fresh)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """(ids end to end, numbers of ids, parity, round trip) of the texts."""
@@ -181,18 +184,19 @@ class Backend:
             return np.concatenate([np.zeros(0, np.int32), *(np.array(k, np.int32) for k in known)]), np.array([len(k) for k in known]), [a == b for a, b in zip(ours, known, strict=True)], [a == b for a, b in zip(texts, back, strict=True)]
         split = [_WORDS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
         if self.held > REMEMBERED:
-            self.learn([])
+            self.forget()
         fresh = [w for w in set().union(*split) if w not in self.words]
         if fresh:
             self.learn(fresh)
-        at = [list(map(self.words.__getitem__, ws)) for ws in split]
-        parts = [self.ids[i] for ws in at for i in ws]
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, at)])]
-        marks = [min(map(self.good.__getitem__, set(ws)), default=3) if ws else 3 for ws in at]
-        each = [3 if m == 3 else functools.reduce(int.__and__, map(self.good.__getitem__, ws)) for m, ws in zip(marks, at, strict=True)]
-        plain = [MARK not in t for t in texts]
-        return np.concatenate([np.zeros(0, np.int32), *parts]), np.diff(ends), [bool(g & 1) for g in each], [bool(g & 2) and p for g, p in zip(each, plain, strict=True)]
+        words = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
+        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, words[-1])
+        first, flat, good = np.array(self.first), np.array(self.flat, dtype=np.int32), np.array(self.good)
+        n = first[at + 1] - first[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bad = [np.concatenate([[0], np.cumsum(good[at] & bit == 0)])[words] for bit in (1, 2)]
+        parity, back = (np.diff(x) == 0 for x in bad)
+        return ids, np.diff(ends[words]), parity.tolist(), [bool(b) and MARK not in t for b, t in zip(back, texts, strict=True)]
 
 
 _ENCODED = "doc_id long, token_ids array<int>, n_tokens long, parity boolean, round_trip boolean"
