@@ -44,7 +44,9 @@ def output_leaks(train: DataFrame, train_id: str, payload: str, responses: DataF
 def word_ngrams(text: Column, n: int) -> Column:
     """Distinct runs of n lower-cased words, joined by a space; none for shorter texts."""
     words = F.filter(F.split(F.lower(text), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.when(F.size(words) >= n, F.array_join(F.slice(words, i + 1, n), " "))))
+    # the outer transform binds the words to a variable: as an expression they would be split again for every run
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.when(F.size(w) >= n, F.array_join(F.slice(w, i + 1, n), " ")))
+    return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
 
 
 def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, n: int = 8, least: float = 0.5, text: str = "text") -> DataFrame:

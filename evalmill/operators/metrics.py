@@ -26,12 +26,12 @@ def failure_summary(scored: DataFrame, by: list[str], position: str, name: str,
 
     There are nine reasons at most, so rows are ranked within slices of the positions first and only each slice's first rows meet.
     """
-    spread = scored.select(*by, position, name, F.explode("failure_reasons").alias("reason"))
+    spread = scored.select(*by, F.col(position).alias("__p"), F.col(name).alias("__id"), F.explode("failure_reasons").alias("reason"))
     counts = spread.groupBy(*by, "reason").agg(F.count("*").alias("n"))
-    part = spread.withColumn("__slice", F.pmod(F.xxhash64(position), F.lit(256)))
-    few = top_ranked(part, [*by, "reason", "__slice"], [F.col(position)], listed)
-    first = top_ranked(few, [*by, "reason"], [F.col(position)], listed)
-    ids = first.groupBy(*by, "reason").agg(F.transform(F.array_sort(F.collect_list(F.struct(position, name))), lambda x: x[name]).alias("ids"))
+    part = spread.withColumn("__slice", F.pmod(F.xxhash64("__p"), F.lit(256)))
+    few = top_ranked(part, [*by, "reason", "__slice"], [F.col("__p")], listed)
+    first = top_ranked(few, [*by, "reason"], [F.col("__p")], listed)
+    ids = first.groupBy(*by, "reason").agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__id"))), lambda x: x["__id"]).alias("ids"))
     return counts.join(ids, [*by, "reason"]).orderBy(*by, F.desc("n"), "reason")
 
 

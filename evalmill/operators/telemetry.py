@@ -11,6 +11,10 @@ from evalmill.functions.jsonx import HIDDEN, SECRET_KEYS
 PRICES = [("gpt-4o-mini", 0.15, 0.60), ("gpt-4o", 2.50, 10.00)]
 
 
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def redact(fields: Column) -> Column:
     """Values of a map hidden where the key holds a secret's name, in either case."""
     return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_KEYS)), F.lit(HIDDEN)).otherwise(v))
@@ -29,7 +33,7 @@ def trace_rollup(events: DataFrame, trace: list[str]) -> DataFrame:
         F.min("ts").alias("started"), F.max("ts").alias("completed"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count_if("is_tool_call").alias("tool_call_count"), F.count("*").alias("event_count"),
     )
-    millis = (F.unix_micros("completed") - F.unix_micros("started")) / 1000
+    millis = (_micros("completed") - _micros("started")) / 1000
     return out.withColumn("duration_ms", F.floor(millis).cast("long"))
 
 
@@ -42,7 +46,7 @@ def attach_summaries(results: DataFrame, summaries: DataFrame, task: str = "task
 def step_pairs(events: DataFrame, step: list[str], started: Column, completed: Column) -> DataFrame:
     """Start, end, duration and outcome of each step in one aggregation, without a self-join."""
     out = events.groupBy(*step).agg(F.min(F.when(started, F.col("ts"))).alias("started"), F.max(F.when(completed, F.col("ts"))).alias("completed"))
-    return out.withColumn("duration_us", F.unix_micros("completed") - F.unix_micros("started"))
+    return out.withColumn("duration_us", _micros("completed") - _micros("started"))
 
 
 def retry_rollup(attempts: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from evalmill.plans import corpora, runs, traces
+
+QUERIES = {**corpora.QUERIES, **runs.QUERIES, **traces.QUERIES}
+ORACLES = {**corpora.ORACLES, **runs.ORACLES, **traces.ORACLES}
