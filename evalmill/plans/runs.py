@@ -90,7 +90,7 @@ def review_gate(spark, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("review_label", F.when(F.col("quality").isNotNull(), label)).withColumn("part", F.col("doc_id") % 50)
     rows = rows.where("part >= 25 OR quality IS NOT NULL")
     out = metrics.review_summary(rows, ["correct", "wrong_tool", "wrong_args", "malformed"], by=["part"])
-    return out.withColumn("error_rate", F.round("error_rate", 6))
+    return out.withColumn("error_rate", F.round("error_rate", 6)).withColumn("reject", F.coalesce(F.col("reject").cast("string"), F.lit("-")))
 
 
 def apply_changes(spark, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ ORACLES = {
       SELECT part, split_part(tools[1], '.', 1) AS tool_family, count(*) FILTER (len(tools) = 1) AS single_tool, count(*) FILTER (len(tools) > 1) AS multi_tool, round(avg(a), 6) AS mean_arguments, count(*) FILTER (list_contains(tools, 'request_clarification')) AS clarify_like, count(*) FILTER (list_contains(tools, 'refuse_request')) AS refuse_like FROM g GROUP BY 1, 2""",
     "review_gate": """WITH r AS (SELECT d.doc_id % 50 AS part, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 0 AND toxic = 0 THEN 'wrong_args' WHEN quality = 1 THEN 'wrong_tool' ELSE 'malformed' END AS l FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 50 >= 25 OR quality IS NOT NULL),
       c AS (SELECT part, count(*) AS n, count(l) AS n_reviewed, count(*) FILTER (l = 'correct') AS n_correct, count(*) FILTER (l = 'wrong_tool') AS n_wrong_tool, count(*) FILTER (l = 'wrong_args') AS n_wrong_args, count(*) FILTER (l = 'malformed') AS n_malformed FROM r GROUP BY 1)
-      SELECT *, n - n_reviewed AS n_unreviewed, round((n_reviewed - n_correct) / nullif(n_reviewed, 0)::DOUBLE, 6) AS error_rate, n > 0 AND n = n_reviewed AS ready, CASE WHEN n > 0 AND n = n_reviewed THEN (n_reviewed - n_correct) / n_reviewed::DOUBLE > 0.25 END AS reject FROM c""",
+      SELECT *, n - n_reviewed AS n_unreviewed, round((n_reviewed - n_correct) / nullif(n_reviewed, 0)::DOUBLE, 6) AS error_rate, n > 0 AND n = n_reviewed AS ready, coalesce(CAST(CASE WHEN n > 0 AND n = n_reviewed THEN (n_reviewed - n_correct) / n_reviewed::DOUBLE > 0.25 END AS VARCHAR), '-') AS reject FROM c""",
     "apply_changes": f"""WITH c AS (SELECT user_id, {sql_bucket('event_id', 20)} AS entity, ts, event_id, event_type IN ('signup', 'purchase') AS made, CASE WHEN event_type <> 'view' THEN value END AS price, CASE WHEN event_type <> 'click' THEN CAST(props->>'$.k' AS BIGINT) END AS k FROM events),
       w AS (SELECT *, max(made::INT) OVER (PARTITION BY user_id, entity ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM c),
       s AS (SELECT user_id, entity, last(price ORDER BY ts, event_id) FILTER (price IS NOT NULL) AS price, last(k ORDER BY ts, event_id) FILTER (k IS NOT NULL) AS k, count(*) AS n FROM w WHERE m = 1 GROUP BY ALL),

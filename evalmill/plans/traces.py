@@ -14,7 +14,7 @@ _MODELS = {"click": "gpt-4o-mini", "view": "gpt-4o-mini", "purchase": "gpt-4o",
 def _events(spark, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     model = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in _MODELS.items() for x in p)), F.col("event_type")), F.lit("local"))
-    e = table(spark, sf_dir, "events").withColumns({"input_tokens": k * 10, "output_tokens": k, "model": model, "day": F.date_format("ts", "yyyy-MM-dd"), "is_tool_call": F.col("event_type") == "click"})
+    e = table(spark, sf_dir, "events").withColumns({"input_tokens": k * 1000, "output_tokens": k * 100, "model": model, "day": F.date_format("ts", "yyyy-MM-dd"), "is_tool_call": F.col("event_type") == "click"})
     return telemetry.with_cost(e)
 
 
@@ -36,7 +36,7 @@ def last_summary(spark, sf_dir: str) -> DataFrame:
 def step_pairs(spark, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("step_index", F.floor(F.col("event_id") / 100))
     out = telemetry.step_pairs(e, ["user_id", "step_index"], F.col("event_type") == "view", F.col("event_type") == "click")
-    return out.select("user_id", "step_index", "duration_us")
+    return out.where("duration_us IS NOT NULL").select("user_id", "step_index", "duration_us")
 
 
 def retry_rollup(spark, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def trace_latency(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (cost_by_model, trace_rollup, last_summary, step_pairs, retry_rollup, redacted_props, trace_latency)}
 
-_E = """e AS (SELECT *, CAST(props->>'$.k' AS BIGINT) * 10 AS input_tokens, CAST(props->>'$.k' AS BIGINT) AS output_tokens, strftime(ts, '%Y-%m-%d') AS day,
+_E = """e AS (SELECT *, CAST(props->>'$.k' AS BIGINT) * 1000 AS input_tokens, CAST(props->>'$.k' AS BIGINT) * 100 AS output_tokens, strftime(ts, '%Y-%m-%d') AS day,
  CASE WHEN event_type IN ('click', 'view') THEN 'gpt-4o-mini' WHEN event_type IN ('purchase', 'signup') THEN 'gpt-4o' ELSE 'local' END AS model FROM events),
 c AS (SELECT *, input_tokens / 1e6::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.15 WHEN 'gpt-4o' THEN 2.5 ELSE 0 END + output_tokens / 1e6::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.6 WHEN 'gpt-4o' THEN 10 ELSE 0 END AS cost FROM e),
 t AS (SELECT user_id, day, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(round(sum(cost), 6), 5) AS cost_usd, count(*) FILTER (event_type = 'click') AS tool_call_count, count(*) AS event_count,
@@ -67,7 +67,7 @@ ORACLES = {
     "cost_by_model": f"WITH {_E} SELECT model, round(sum(cost), 6) AS cost_usd, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM c GROUP BY 1",
     "trace_rollup": f"WITH {_E} SELECT * EXCLUDE (completed) FROM t",
     "last_summary": f"WITH {_E}, l AS (SELECT user_id, arg_max(day, completed) AS trace_id, arg_max(cost_usd, completed) AS cost_usd FROM t GROUP BY 1) SELECT c_custkey AS task_id, c_nationkey, trace_id, coalesce(cost_usd, 0) AS cost_usd FROM customer LEFT JOIN l ON user_id = c_custkey",
-    "step_pairs": "SELECT user_id, event_id // 100 AS step_index, epoch_us(max(ts) FILTER (event_type = 'click')) - epoch_us(min(ts) FILTER (event_type = 'view')) AS duration_us FROM events GROUP BY 1, 2",
+    "step_pairs": "SELECT user_id, event_id // 100 AS step_index, epoch_us(max(ts) FILTER (event_type = 'click')) - epoch_us(min(ts) FILTER (event_type = 'view')) AS duration_us FROM events GROUP BY 1, 2 HAVING duration_us IS NOT NULL",
     "retry_rollup": f"WITH {_E}, a AS (SELECT user_id, day, model, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS final_status FROM e GROUP BY ALL) SELECT model, final_status, count(*) AS requests, round(avg(attempts), 6) AS mean_attempts, max(attempts) AS max_attempts FROM a GROUP BY ALL",
     "redacted_props": "SELECT event_id, CAST(user_id AS VARCHAR) AS user, '***REDACTED***' AS api_key, CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE props->>'$.k' END AS k FROM events",
     "trace_latency": f"WITH {_E} SELECT day, round(quantile_cont(duration_ms, 0.5), 3) AS p50, round(quantile_cont(duration_ms, 0.99), 3) AS p99 FROM t GROUP BY 1",
