@@ -26,7 +26,7 @@ from evalmill.llm._training import Adam, batches_of, labelled_sample, remainder,
 
 TRAIN_ROWS = 4800
 WIDTH, FILTERS, CHUNK, HOP, HIDDEN = 8, 16, 256, 224, 16
-EPOCHS, BATCH, RATE = 6, 16, 0.01
+EPOCHS, STEPS, BATCH, RATE = 6, 1000, 16, 0.01
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +111,9 @@ class Net:
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray):
         adam = Adam(self.p, RATE)
-        for epoch in range(EPOCHS):
-            adam.rate = RATE / (1 + epoch)
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))  # few texts are seen more often
+        for epoch in range(epochs):
+            adam.rate = RATE / (1 + EPOCHS * epoch / epochs)
             for batch in batches_of(len(texts), BATCH, epoch):
                 at = np.cumsum([0, *(len(texts[i]) for i in batch)])
                 x, ends = padded(np.concatenate([texts[i] for i in batch]), at)

@@ -29,7 +29,7 @@ TRAIN_ROWS = 3000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 TABLES = 2 + len(PREFIXES)
-EPOCHS, BATCH, RATE, EMBED_RATE = 5, 32, 0.02, 0.3
+EPOCHS, STEPS, BATCH, RATE, EMBED_RATE = 5, 200, 32, 0.02, 0.3
 THRESHOLD = 0.7
 
 _NOT_LETTER = np.ones(256, dtype=bool)
@@ -117,7 +117,7 @@ class Net:
     def fit(self, texts: list[np.ndarray], y: np.ndarray):
         """Embeddings take plain steps, at the buckets met only; all else takes Adam's."""
         adam = Adam({k: v for k, v in self.p.items() if k[0] != "e"}, RATE)
-        for epoch in range(EPOCHS):
+        for epoch in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # few texts are seen more often
             for batch in batches_of(len(texts), BATCH, epoch):
                 taps = np.concatenate([self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)], axis=1).astype(np.float32)
                 b = np.concatenate([texts[i] for i in batch], axis=1)
