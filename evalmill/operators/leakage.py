@@ -72,7 +72,7 @@ def embedding_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id:
     schema = f"{train_id} long, {eval_id} long, cosine double"
     for s in range(shards):
         rows = keyed.where(F.col("__s") == s).where(F.col(vector).isNotNull()).select(eval_id, vector).collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)))
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)))
 
         def block(batches, sent=sent):
             ids, matrix = sent.value
