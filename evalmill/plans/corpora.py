@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.operators import leakage, metrics, prepare, ranks, validate
+from evalmill.functions.jsonx import redact_json
+from evalmill.operators import changes, leakage, metrics, prepare, ranks, scoring, validate
 from evalmill.plans.tables import table
 
 
@@ -179,8 +180,59 @@ def content_revision(spark, sf_dir: str) -> DataFrame:
     return metrics.content_revision(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang"])
 
 
+def review_rows(spark, sf_dir: str) -> DataFrame:
+    """What a reviewer sees of rows whose answers and tools may be missing or broken."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_id").alias("source_index"), F.col("event_id").cast("string").alias("source_row_id_json"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, "[1, 2,").when(F.col("event_id") % 5 == 2, F.col("props")).otherwise(F.concat(F.lit("[ "), F.col("props"), F.lit(" ]"))).alias("answers"),
+        F.when(F.col("event_id") % 3 == 0, "7").otherwise("[ ]").alias("tools"),
+    )
+    return prepare.review_rows(rows).select("source_index", F.coalesce("answers", F.lit("-")).alias("answers"), F.coalesce("tools", F.lit("-")).alias("tools"), F.array_join("parse_errors", ";").alias("parse_errors"))
+
+
+def parsed_outputs(spark, sf_dir: str) -> DataFrame:
+    """Raw outputs in several of the known shapes to calls and messages."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    call = lambda name, args: F.concat(F.lit(f'{{"{name}": "notion.create_task", "{args}": {{"k": '), k, F.lit("}}"))
+    raw = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("Sure: ["), call("name", "arguments"), F.lit("] done"))).when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), call("function_name", "params"), F.lit("\n```")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit('[{"name": "request_clarification", "arguments": {"question": "Which '), k, F.lit('?"}}]'))).when(F.col("event_type") == "purchase", F.concat(F.lit('["notion.create_task", {"k": '), k, F.lit("}]"))).otherwise(F.concat(F.lit("no [json "), k))
+    )
+    out = scoring.parse_outputs(e.select("event_id", raw.alias("raw_text")))
+    return out.select("event_id", F.array_join(F.transform("tool_calls", lambda c: F.concat(c["tool"], F.lit("#"), c["arguments"]["k"])), ",").alias("calls"), F.coalesce("message", F.lit("-")).alias("message"))
+
+
+def scenario_rules(spark, sf_dir: str) -> DataFrame:
+    """Orders as scenario rows, and the rules they break."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select(
+        F.concat(F.when(k % 3 == 0, "Order_").otherwise("order_"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("id"), F.when(k % 5 == 0, "music").otherwise("gmail").alias("category"), F.lit("explicit").alias("difficulty"), F.lit("d").alias("description"),
+        F.when(k % 7 == 0, "").otherwise("u").alias("user_input"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 11 == 0, "").otherwise("+02:00")).alias("current_time"), F.array(F.lit("gmail.send_email"), F.when(k % 13 == 0, "gmail.send_email").otherwise("clipboard.read")).alias("available_tools"),
+        F.when(k % 2 == 0, "refusal").otherwise("tool_calls").alias("expected_type"), F.when(k % 2 == 1, F.array_repeat(F.struct(F.lit("gmail.send_email").alias("tool")), (k % 4).cast("int"))).alias("expected_calls"), F.when(k % 2 == 0, F.array(F.lit("cannot"))).alias("expected_keywords"),
+        F.array(F.lit("x")).alias("success_criteria"), F.array().cast("array<string>").alias("tags"),
+    )
+    return validate.scenario_rules(rows).groupBy(F.array_join("broken", ",").alias("broken")).agg(F.count("*").alias("n"))
+
+
+def tasks_from_pages(spark, sf_dir: str) -> DataFrame:
+    """Orders as nested page JSON, flattened to tasks."""
+    o = table(spark, sf_dir, "orders")
+    due = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    name, date, status = (F.struct(x.alias(n)) for x, n in ((F.array(F.struct(F.col("o_orderpriority").alias("plain_text"))), "title"), (F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.concat(due, F.lit("Z"))).otherwise(due).alias("start")), "date"), (F.struct(F.col("o_orderstatus").alias("name")), "status")))
+    page = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.when(F.col("o_orderkey") % 3 > 0, name).alias("Name"), F.when(F.col("o_orderkey") % 5 > 0, date).alias("Due"), status.alias("Status")).alias("properties")))
+    out = changes.task_from_page(o.select(page.alias("page")))
+    return out.select("id", "title", F.coalesce(F.date_format("due", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("due"), "status", changes.is_done(F.col("status")).alias("done"))
+
+
+def redacted_nested(spark, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"a": [{"Access_Token": '), F.col("props"), F.lit('}, '), F.col("props"), F.lit('], "user": '), F.col("user_id").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", redact_json(text).alias("fields"))
+
+
 QUERIES = {f.__name__: f for f in (
-    split_exact, split_counts, review_sample, split_preview, sft_rows, role_check, mix_repeat, running_index, templated_rows, coverage_crossed, manifest_overlap, manifest_report, line_codes, repeated_texts, shared_sources,
+    review_rows, parsed_outputs, scenario_rules, tasks_from_pages, redacted_nested, split_exact, split_counts, review_sample, split_preview, sft_rows, role_check, mix_repeat, running_index, templated_rows, coverage_crossed, manifest_overlap, manifest_report, line_codes, repeated_texts, shared_sources,
     missing_numbers, text_stats, problem_rows, contrast_groups, leak_exact, leak_folded, leak_ids, leak_outputs, leak_ngram, embed_similarity, shared_structure, unseen_combinations, metadata_leaks, content_revision,
 )}
 
@@ -193,6 +245,13 @@ _T = f"""w AS (SELECT doc_id, doc_id % 17 <> 0 AS ok, {_W} AS f FROM documents),
 t AS (SELECT *, CASE WHEN ok THEN least(f, 512) ELSE 0 END AS used, CASE WHEN ok THEN least(f, 512) - least(q, 512, least(f, 512)) ELSE 0 END AS l, ok AND f > 512 AS tr, ok AND q >= 512 AS fills FROM p)"""
 _L = """l AS (SELECT CASE WHEN conv_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, CASE WHEN turn = 5 THEN 'blank_line' WHEN turn = 4 THEN 'invalid_json' WHEN role = 'assistant' THEN 'invalid_shape' WHEN role <> 'user' THEN 'invalid_roles' WHEN turn = 2 THEN 'invalid_assistant_json' END AS code FROM conversations)"""
 ORACLES = {
+    "review_rows": """WITH c AS (SELECT event_id AS i, '[{"k":' || (props->>'$.k') || '}]' AS good FROM events) SELECT i AS source_index, CASE WHEN i % 5 > 2 THEN good ELSE '-' END AS answers, CASE WHEN i % 3 = 0 THEN '-' ELSE '[]' END AS tools,
+      array_to_string(list_filter([CASE i % 5 WHEN 0 THEN 'answers: missing' WHEN 1 THEN 'answers: invalid JSON at char 6: Expecting value' WHEN 2 THEN 'answers: expected list, got dict' END, CASE WHEN i % 3 = 0 THEN 'tools: expected list, got int' END], lambda x: x IS NOT NULL), ';') AS parse_errors FROM c""",
+    "parsed_outputs": "SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'notion.create_task#' || (props->>'$.k') ELSE '' END AS calls, CASE event_type WHEN 'signup' THEN 'Which ' || (props->>'$.k') || '?' WHEN 'error' THEN 'no [json ' || (props->>'$.k') ELSE '-' END AS message FROM events",
+    "scenario_rules": """WITH o AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'id' END, CASE WHEN k % 5 = 0 THEN 'category' END, CASE WHEN k % 7 = 0 THEN 'user_input' END, CASE WHEN k % 11 = 0 THEN 'current_time' END,
+      CASE WHEN k % 13 = 0 THEN 'available_tools_unique' END, CASE WHEN k % 4 = 1 THEN 'two_calls' END], lambda x: x IS NOT NULL), ',') AS broken FROM o) SELECT broken, count(*) AS n FROM b GROUP BY 1""",
+    "tasks_from_pages": "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'Untitled' END AS title, CASE WHEN o_orderkey % 5 > 0 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') ELSE '-' END AS due, o_orderstatus AS status, false AS done FROM orders",
+    "redacted_nested": """SELECT event_id, '{"a":[{"Access_Token":"***REDACTED***"},{"k":' || (props->>'$.k') || '}],"user":' || user_id || '}' AS fields FROM events""",
     "split_exact": f"WITH {_H} SELECT doc_id, row_hash, split, pos FROM s",
     "split_counts": f"WITH {_H} SELECT split, count(*) AS n FROM s GROUP BY 1",
     "review_sample": "SELECT doc_id, lang, (SELECT count(*) FROM documents) AS seen FROM (SELECT doc_id, lang FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 100)",
