@@ -107,19 +107,44 @@ def find_pii(docs: DataFrame, text_col: str = "text", result_col: str = "pii_spa
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replaces each span by its kind in brackets; spans that overlap become one mask, named by the first."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Replaces each span by its kind in brackets; spans that overlap become one mask, named by the first.
+
+    The text is cut into pieces of ``_PIECE`` code points once, so no span is looked for from the text's start, and masks are put
+    together in groups of ``_GROUP`` spans: the work stays in proportion to the text.
+    """
     keep = docs.columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    masked = let(F.struct(pieces.alias("pieces"), F.col("__pii_spans").alias("spans"), F.length(text).cast("bigint").alias("n")), _masked)
+    out = F.when(F.size("__pii_spans") > 0, masked).otherwise(F.col(text_col))
+    return find_pii(docs, text_col, "__pii_spans").withColumn(text_col, out).select(*(f"`{c}`" for c in keep))
+
+
+_PIECE, _GROUP = 4096, 256
+
+
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """The text's code points from a up to b."""
+    i, j = (F.floor(x / _PIECE).cast("int") for x in (a, b))
+    skip, rest = (a % _PIECE + 1).cast("int"), (b % _PIECE).cast("int")
+    across = F.concat(F.substr(F.get(pieces, i), skip), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(F.coalesce(F.get(pieces, j), F.lit("")), F.lit(1), rest))
+    return F.when(b <= a, "").when(i == j, F.substr(F.get(pieces, i), skip, (b - a).cast("int"))).otherwise(across)
+
+
+def _masked(s: Column) -> Column:
+    def one(acc: Column, x: Column) -> Column:
+        piece = F.concat(_between(s["pieces"], acc["pos"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        fresh = F.struct(F.concat(acc["parts"], F.array(piece)).alias("parts"), x["end"].alias("pos"))
+        return F.when(x["start"] >= acc["pos"], fresh).otherwise(F.struct(acc["parts"].alias("parts"), F.greatest(acc["pos"], x["end"]).alias("pos")))
 
-    def fold(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.expr("''"), F.substr(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = F.struct(F.concat(acc["parts"], F.array(piece)).alias("parts"), s["end"].alias("pos"))
-        return F.when(s["start"] >= acc["pos"], fresh).otherwise(F.struct(acc["parts"].alias("parts"), F.greatest(acc["pos"], s["end"]).alias("pos")))
+    def group(acc: Column, g: Column) -> Column:
+        begin = F.struct(F.array().cast("array<string>").alias("parts"), acc["pos"].alias("pos"))
+        inner = F.aggregate(F.slice(s["spans"], g * _GROUP + 1, _GROUP), begin, one)
+        return let(inner, lambda x: F.struct(F.concat(acc["parts"], F.array(F.array_join(x["parts"], ""))).alias("parts"), x["pos"].alias("pos")))
 
+    groups = F.sequence(F.lit(0), F.floor((F.size(s["spans"]) - 1) / _GROUP).cast("int"))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("pos"))
-    done = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, (acc["pos"] + 1).cast("int")))
-    masked = F.when(F.size("__pii_spans") > 0, F.aggregate("__pii_spans", start, fold, done)).otherwise(F.col(text_col))
-    return find_pii(docs, text_col, "__pii_spans").withColumn(text_col, masked).select(*(f"`{c}`" for c in keep))
+    return F.aggregate(groups, start, group, lambda acc: F.concat(F.array_join(acc["parts"], ""), _between(s["pieces"], acc["pos"], s["n"])))
 
 
 def joined(spans: Column) -> Column:

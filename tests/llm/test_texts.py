@@ -223,6 +223,21 @@ def test_context_raises_scores_and_masks_hide(spark):
     assert text == {0: "card [CARD] or [EMAIL]", 1: "[CARD]", 2: None, 3: "IBAN [IBAN]", 4: "GB82WEST12345698765431"}
 
 
+def test_masks_of_long_and_crowded_texts(spark):
+    rng = random.Random(4)
+    bits = ["x@y.zz", " ", "é𝄞 words ", "a" * 5000, "1.2.3.4", "+49 30 1234567", "5" * 4100, "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 700))) for _ in range(8)]
+    df = documents(spark, texts)
+    spans = {r.doc_id: r.pii_spans for r in pii.find_pii(df).collect()}
+    for r in pii.mask_pii(df).collect():
+        out, pos = [], 0
+        for s in spans[r.doc_id]:
+            if s.start >= pos:
+                out += [texts[r.doc_id][pos : s.start], f"[{s.kind.upper()}]"]
+            pos = max(pos, s.end)
+        assert r.text == "".join(out) + texts[r.doc_id][pos:]
+
+
 def test_media_round_trip(spark, tmp_path):
     rng = random.Random(3)
     long = "".join(rng.choices("abcdefgh ", k=150000))
