@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +34,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _R = 0xD1342543DE82EF95
 _R_INV = pow(_R, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
+    """Powers of the base and of its inverse, n of them at least; only the longest are kept."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             up, down = np.full(size, _R, dtype=U64), np.full(size, _R_INV, dtype=U64)
             up[0] = down[0] = 1
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+            _powers[:] = [(np.cumprod(up), np.cumprod(down))]
+    return _powers[0]
+
+
+def released(work):
+    """A task's function that gives memory back at the end, as Python workers live on between tasks."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm._text import U64, slices, word_bounds, word_hashes
+from evalmill.llm._text import U64, released, slices, word_bounds, word_hashes
 from evalmill.llm.ppm import Lookup
 
 K1, B = 1.2, 0.75
@@ -249,7 +249,7 @@ def with_matches(docs: DataFrame, shards: list[list[Index]], result_col: str = "
                     columns = [pa.array(found, pa.list_(_MATCH)) if n == result_col else rows.column(n) for n in rows.schema.names]
                     yield pa.RecordBatch.from_arrays(columns, rows.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(released(run), out.schema)
     return out
 
 

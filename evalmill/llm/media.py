@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm._tables import Store
-from evalmill.llm._text import BYTE_VALUE, U64, slices
+from evalmill.llm._text import BYTE_VALUE, U64, released, slices
 
 BLOCK, RATE = 64, 8000
 SMALLEST, LARGEST, CUT_BITS = 1 << 13, 1 << 16, 13
@@ -155,8 +155,8 @@ def _read_back(batches):
 def store_media(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """The list of each document (doc_id, n_bytes, media_sha, media_bytes, digests) and the chunks (digest, data), each once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lists = store.keep(rows.mapInArrow(_lists, _LISTS), "lists")
-    chunks = rows.mapInArrow(_chunks, _CHUNKS).groupBy("digest").agg(F.first("data").alias("data"))
+    lists = store.keep(rows.mapInArrow(released(_lists), _LISTS), "lists")
+    chunks = rows.mapInArrow(released(_chunks), _CHUNKS).groupBy("digest").agg(F.first("data").alias("data"))
     return lists, chunks
 
 
@@ -166,7 +166,7 @@ def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     wanted = media.select("media_sha", F.size("digests").alias("n"), F.posexplode("digests").alias("place", "digest"))
     one = wanted.where("n = 1").join(chunks, "digest").select("media_sha", F.array(F.struct("place", "data")).alias("parts"))
     more = wanted.where("n > 1").join(chunks, "digest").groupBy("media_sha").agg(F.collect_list(F.struct("place", "data")).alias("parts"))
-    return one.mapInArrow(_read_back, _READ).union(more.mapInArrow(_read_back, _READ))
+    return one.mapInArrow(released(_read_back), _READ).union(more.mapInArrow(released(_read_back), _READ))
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm._tables import Store
-from evalmill.llm._text import U64, mix, shingle_sets, slices, utf8
+from evalmill.llm._text import U64, mix, released, shingle_sets, slices, utf8
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -110,7 +110,7 @@ def _signatures(batches):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(released(_signatures), _SIGNATURE)
 
 
 def _confirm(batches):
@@ -142,7 +142,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return both.mapInArrow(released(_confirm), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def components(edges: DataFrame, store: Store, name: str) -> DataFrame:

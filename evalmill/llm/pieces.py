@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evalmill.llm._text import slices
+from evalmill.llm._text import released, slices
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
 MARK = "▁"
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
+_JOINED, _KEPT = 256, 1 << 16
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -154,25 +155,49 @@ class Backend:
         self.ours, self.theirs = rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.by_word = model["prefix"] and model["escape"] and not model["squeeze"] and not model["charsmap"] and splits_at_marks(model) and all(p[2] != USER for p in model["pieces"])
         self.bare = rebuild(model, normalise=False) if self.by_word else None
-        self.forget()
-
-    def forget(self):
+        self.bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.encode() for p, _, kind in model["pieces"]]
+        self.sizes = np.array([len(x) for x in self.bytes])
         self.words: dict[str, int] = {}
         self.flat, self.first, self.good, self.held = array("i"), array("q", [0]), array("b"), 0
 
+    def forget(self):
+        """Keeps the ``_KEPT`` words met first, among which are nearly all frequent ones."""
+        n = min(_KEPT, len(self.good))
+        self.words = dict(itertools.islice(self.words.items(), n))
+        self.flat, self.first, self.good = self.flat[: self.first[n]], self.first[: n + 1], self.good[:n]
+        self.held = sum(map(len, self.words)) * 2 + 160 * n
+
     def learn(self, fresh: list[str]):
-        """Encodes, decodes and compares words; each begins with the marker."""
-        ids = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
-        bare = [w[1:].replace(MARK, " ") for w in fresh]
-        theirs = self.theirs.encode(bare, num_threads=1)
-        alone = [self.theirs.piece_to_id(MARK)]
-        theirs = [alone if w == MARK else t for w, t in zip(fresh, theirs, strict=True)]
-        back = self.ours.decode_batch(theirs, skip_special_tokens=False)
-        for word, a, b, was, text in zip(fresh, ids, theirs, bare, back, strict=True):
+        """Encodes, decodes and compares words, each beginning with the marker.
+
+        Words go through both libraries end to end, ``_JOINED`` of them in a text, and are told apart by their bytes; where the two
+        libraries or the bytes differ, and for words of markers only, each word goes by itself.
+        """
+        alone = [w for w in fresh if not w.strip(MARK)]
+        rest = [w for w in fresh if w.strip(MARK)]
+        joined = ["".join(rest[i : i + _JOINED]) for i in range(0, len(rest), _JOINED)]
+        ours = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
+        theirs = self.theirs.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
+        for i, (text, a, b) in enumerate(zip(joined, ours, theirs, strict=True)):
+            words = rest[i * _JOINED : (i + 1) * _JOINED]
+            ends = np.cumsum([len(w.encode()) for w in words])
+            places = np.cumsum(self.sizes[b]) if b else np.zeros(0, np.int64)
+            cut = np.searchsorted(places, ends)
+            if a == b and b"".join(map(self.bytes.__getitem__, b)) == text.encode() and (places[cut] == ends).all():
+                self.words.update(zip(words, range(len(self.good), len(self.good) + len(words)), strict=True))
+                self.first.extend((len(self.flat) + cut + 1).tolist())
+                self.flat.extend(b)
+                self.good.extend([3] * len(words))
+            else:
+                alone += words
+        for word in alone:
+            bare = word[1:].replace(MARK, " ")
+            a = self.bare.encode(word, add_special_tokens=False).ids
+            b = [self.theirs.piece_to_id(MARK)] if word == MARK else self.theirs.encode(bare)
             self.words[word] = len(self.good)
             self.flat.extend(b)
             self.first.append(len(self.flat))
-            self.good.append((a == b) + 2 * (was == text))
+            self.good.append((a == b) + 2 * (self.ours.decode(b, skip_special_tokens=False) == bare))
         self.held += sum(map(len, fresh)) * 2 + 160 * len(fresh)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
@@ -186,8 +211,8 @@ class Backend:
         if self.held > REMEMBERED:
             self.forget()
         fresh = [w for w in set().union(*split) if w not in self.words]
-        if fresh:
-            self.learn(fresh)
+        for i in range(0, len(fresh), 4096):
+            self.learn(fresh[i : i + 4096])
         words = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
         at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, words[-1])
         first, flat, good = np.array(self.first), np.array(self.flat, dtype=np.int32), np.array(self.good)
@@ -216,7 +241,7 @@ def _encoding(name: str):
 
 def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
     """(doc_id, token_ids, n_tokens, parity, round_trip) of each row of docs (doc_id, text)."""
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(_encoding(name), _ENCODED)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(released(_encoding(name)), _ENCODED)
 
 
 def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm._text import slices
+from evalmill.llm._text import released, slices
 from evalmill.llm._training import Adam, batches_of, labelled_sample, remainder, sigmoid
 
 TRAIN_ROWS = 4800
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
             for rows, data, at in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sent.value.score(data, at).astype(np.float64))], ["doc_id", "quality"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, quality double")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

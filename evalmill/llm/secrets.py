@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm._tables import Store
-from evalmill.llm._text import slices, word_bounds
+from evalmill.llm._text import released, slices, word_bounds
 
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -166,9 +166,9 @@ def thresholds(counts: dict[int, dict[int, int]], share: float = FALSE_SHARE) ->
 def find_secrets(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, spans array<struct<start, rank, end>>, base) of each row of docs (doc_id, text); rank: place in ``KINDS``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = {r.byte: r.n for r in rows.select("text").mapInArrow(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
+    counted = {r.byte: r.n for r in rows.select("text").mapInArrow(released(_count_bytes), "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
     shares = np.array([counted.get(b, 0) for b in range(256)], dtype=float)
-    found = store.keep(rows.select("doc_id", "text").mapInArrow(_searching(shares / max(1.0, shares.sum())), _FOUND), "found")
+    found = store.keep(rows.select("doc_id", "text").mapInArrow(released(_searching(shares / max(1.0, shares.sum()))), _FOUND), "found")
     length = lambda n: F.floor(F.log2(n)).cast("int")
     by: dict[int, dict[int, int]] = {}
     for r in found.select(F.explode("runs").alias("r")).groupBy(length("r.length").alias("length"), F.col("r.step").alias("step")).count().collect():

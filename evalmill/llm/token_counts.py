@@ -19,7 +19,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evalmill.llm._text import slices
+from evalmill.llm._text import released, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -117,7 +117,7 @@ def _counting(name: str, limit: int):
 
 def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs (doc_id, text). ``name``: a public tokenizer or a path on all machines."""
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(_counting(name, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(released(_counting(name, limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

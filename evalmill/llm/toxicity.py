@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm._text import U64, mix, slices, word_bounds, word_hashes
+from evalmill.llm._text import U64, mix, released, slices, word_bounds, word_hashes
 from evalmill.llm._training import Adam, batches_of, labelled_sample, remainder, sigmoid
 
 TRAIN_ROWS = 3000
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
             for rows, data, at in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sent.value.score(data, at))], [*names, "toxicity"])
 
-    out = docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)
+    out = docs.select(*(f"`{c}`" for c in names)).mapInArrow(released(run), schema)
     by = [x for lang, t in model.by_lang.items() for x in (F.lit(lang), F.lit(t))]
     bar = F.coalesce(F.try_element_at(F.create_map(*by), F.col("lang")), F.lit(THRESHOLD)) if by else F.lit(THRESHOLD)
     return out.withColumn("toxicity_threshold", bar).withColumn("is_toxic", F.col("toxicity") >= F.col("toxicity_threshold"))
