@@ -6,11 +6,14 @@ count / (n + d), where n is the context's total and d its number of distinct sym
 escapes with d / (n + d) to the context one byte shorter, where symbols already offered are excluded from the totals;
 below the empty context all symbols left are equally likely. So the probabilities of all symbols sum to one.
 
-Scale: counts of (context, symbol) codes are made per partition by sorting, then added by key. The trie itself is one
-row per distinct code: ``order`` falls by one until there are at most ``MAX_NODES`` codes (order 1 has at most 257^2 by
-its nature), so what is sent to all tasks has a proven bound while every training text counts. Word counts are a
-distributed table of any size, keyed by 64-bit word hashes; only the most frequent ``HEAD`` words are sent to the
-tasks, all other words of a text meet the table in a join.
+Scale: counts of (context, symbol) codes are made per partition by sorting, then added by key. The trie is a distributed
+table of any size, one row per distinct code, and the order is the same at every size. Sent to all tasks are the contexts of
+up to ``LOW`` bytes and, of the longer ones, the most frequent with all their symbols: those met at least as often as the least power of
+two that leaves at most ``MAX_NODES`` codes. A suffix of a context is met as often at least, so a symbol whose longest
+context was sent has all it can escape to there too. All other codes leave the tasks counted by row and meet the whole table by
+the last bytes of their contexts; the probabilities are the same either way. Word counts are a distributed table too,
+keyed by 64-bit word hashes; only the most frequent ``HEAD`` words are sent to the tasks, all other words of a text meet the
+table in a join.
 
 Edge cases: a null text counts as empty and has one token, its end. A null id counts as a training row. Repeated
 rows each get a result. With no training rows all symbols are equally likely, no token is known.
@@ -30,6 +33,8 @@ from evalmill.llm._text import U64, released, slices, word_bounds, word_hashes
 ORDER = 5
 MAX_NODES = 1 << 22
 HEAD = 1 << 17
+LOW = 2
+GROUP_NODES = 1 << 18
 END, SYMBOLS, SHIFT = 256, 257, 9
 _BUFFER = 1 << 21
 
@@ -149,13 +154,13 @@ class Lookup:
 
 
 class Model:
-    """The trie of (codes, counts) as arrays by order."""
+    """The trie of (codes, counts) as arrays by order; ``given`` are the codes and counts of some orders, where they don't follow from the longest."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, given: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
         self.order, self.levels = order, []
         below = None
         for k in range(order + 1):
-            code, n = add_up(codes & mask(k + 1), counts)
+            code, n = given[k] if given and k in given else add_up(codes & mask(k + 1), counts)
             context = code >> U64(SHIFT)
             ctx, first = np.unique(context, return_index=True)
             total = np.add.reduceat(n, first) if len(n) else n
@@ -172,6 +177,10 @@ class Model:
             below = level
         self.unseen = -np.log10(max(1.0, SYMBOLS - (len(self.levels[0]["c"]))))
 
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each code's longest context is here, with all its symbols."""
+        return self.levels[self.order]["ctx"].find(codes >> U64(SHIFT)) >= 0
+
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each code's symbol after its context."""
         top = self.levels[self.order]
@@ -217,13 +226,16 @@ def _scoring(sent):
         if sent.value["id"] not in _models:
             _models.clear()
             v = sent.value
-            _models[v["id"]] = Model(v["codes"], v["counts"], v["order"]), Lookup(v["head"]), np.log10(v["head_n"] + 1.0)
+            _models[v["id"]] = Model(v["codes"], v["counts"], v["order"], v["given"]), Lookup(v["head"]), np.log10(v["head_n"] + 1.0)
         model, head, head_log = _models[sent.value["id"]]
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows, data, at in slices(batch, "text"):
                 codes, by = codes_of(data, at, model.order)
+                away = np.zeros(0, np.int64) if sent.value["given"] is None else np.flatnonzero(~model.holds(codes))
                 value = np.concatenate([model.log10(codes[i : i + (1 << 18)]) for i in range(0, len(codes), 1 << 18)])
+                value[away] = 0.0
+                asked, times, asked_by = _by_row(codes[away], np.searchsorted(by, away, side="right") - 1, rows.num_rows)
                 starts, ends, words = word_bounds(data, at)
                 h = word_hashes(data, starts, ends)
                 pos = head.find(h)
@@ -237,15 +249,25 @@ def _scoring(sent):
                     [
                         pa.array(np.arange(key, key + rows.num_rows)), rows.column("doc_id").cast(pa.int64()), rows.column("held_out"), pa.array(np.diff(words) + 1),
                         pa.array(np.diff(n_known[words])), pa.array(np.diff(sums[words])), pa.array(np.add.reduceat(value, by[:-1])), pa.ListArray.from_arrays(pa.array(tail), pa.array(rest)),
+                        pa.ListArray.from_arrays(asked_by, asked), pa.ListArray.from_arrays(asked_by, times),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "score", "tail"],
+                    ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "score", "tail", "asked", "times"],
                 )
                 key += rows.num_rows
 
     return score
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, tail array<long>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, tail array<long>, asked array<long>, times array<long>"
+
+
+def _by_row(codes: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The distinct codes of each row and how often each stands there, and n_rows + 1 offsets."""
+    order = np.lexsort((codes, row))
+    codes, row = codes[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])) if len(codes) else np.zeros(0, np.int64)
+    offsets = np.searchsorted(row[first], np.arange(n_rows + 1)).astype(np.int32)
+    return pa.array(codes[first].view(np.int64)), pa.array(np.diff(np.append(first, len(codes))).astype(np.int64)), pa.array(offsets)
 
 
 def _pack(batches):
@@ -261,14 +283,62 @@ def _gather(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order].view(U64), np.frombuffer(b"".join(bytes(r.n) for r in got), "<i8")[order]
 
 
-def train(docs: DataFrame, store: Store, order: int = ORDER) -> tuple[dict, DataFrame]:
-    """The trie's codes and counts with the head of the words, to be sent to tasks; and the table of all word counts (key, n)."""
+def _folded(trie: DataFrame, k: int) -> DataFrame:
+    """The codes of order k and their counts."""
+    return trie.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(k + 1)))).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def _frequent(trie: DataFrame, order: int, store: Store) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts by order: all up to ``LOW``, above it those of the contexts met often enough to be sent."""
+    given = {k: _gather(_folded(trie, k)) for k in range(LOW + 1)}
+    size = F.floor(F.log2("total"))
+    contexts, codes = {}, {}
+    for k in range(LOW + 1, order + 1):
+        nodes = F.collect_list(F.struct("key", "n")).alias("nodes")  # at most SYMBOLS of them
+        contexts[k] = store.keep(_folded(trie, k).groupBy(F.shiftrightunsigned("key", SHIFT).alias("ctx")).agg(F.sum("n").alias("total"), nodes), f"contexts{k}")
+        for r in contexts[k].groupBy(size.alias("size")).agg(F.sum(F.size("nodes")).alias("codes")).collect():
+            codes[r["size"]] = codes.get(r["size"], 0) + r["codes"]
+    least, taken = max(codes, default=0) + 1, 0
+    for s in sorted(codes, reverse=True):
+        taken += codes[s]
+        if taken > MAX_NODES:
+            break
+        least = s
+    for k, own in contexts.items():
+        given[k] = _gather(own.where(size >= least).select(F.explode("nodes").alias("x")).select("x.*"))
+    return given
+
+
+def _answering(sent, order: int):
+    """Log probabilities of the asked codes of one group, which holds all codes of the trie that end in the same contexts."""
+
+    def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        key, n = (nodes.column(c).to_numpy() for c in ("key", "n"))
+        model = Model(key.astype(np.int64).view(U64), n.astype(np.int64), order, sent.value)
+        codes = asked.column("key").to_numpy().astype(np.int64)
+        values = [model.log10(codes[i : i + (1 << 18)].view(U64)) for i in range(0, len(codes), 1 << 18)]
+        return pa.table({"key": pa.array(codes), "value": pa.array(np.concatenate([np.zeros(0), *values]))})
+
+    return answer
+
+
+def _asked(rows: DataFrame, model: dict, trie: DataFrame, store: Store) -> DataFrame:
+    """For each row the log probabilities of the codes that what was sent can't tell: (row, asked_log)."""
+    groups = max(1, -(-trie.count() // GROUP_NODES))
+    own = F.pmod(F.xxhash64(F.shiftrightunsigned("key", SHIFT).bitwiseAND(F.lit(int(mask(LOW + 1))))), F.lit(groups)).alias("own")
+    sent = rows.sparkSession.sparkContext.broadcast({k: model["given"][k] for k in range(LOW + 1)})
+    asked = rows.select("row", F.explode(F.arrays_zip("asked", "times")).alias("x")).select("row", F.col("x.asked").alias("key"), F.col("x.times").alias("times"))
+    once = asked.select("key").distinct().select("key", own)
+    values = trie.select("key", "n", own).groupBy("own").cogroup(once.groupBy("own")).applyInArrow(_answering(sent, model["order"]), "key long, value double")
+    return asked.join(store.keep(values, "asked"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("asked_log"))
+
+
+def train(docs: DataFrame, store: Store, order: int = ORDER) -> tuple[dict, DataFrame, DataFrame]:
+    """The codes and counts to be sent to tasks, with the head of the words; the tables of all word counts and of all codes of the trie (key, n)."""
     partial = docs.select("text").mapInArrow(released(_counting(order)), "kind int, key long, n long")
     counts = store.keep(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     trie = counts.where("kind = 0").select("key", "n")
-    while order > 1 and trie.count() > MAX_NODES:
-        order -= 1
-        trie = trie.groupBy(F.col("key").bitwiseAND(F.lit(int(mask(order + 1)))).alias("key")).agg(F.sum("n").alias("n"))
+    given = _frequent(trie, order, store) if order > LOW and trie.count() > MAX_NODES else None
     words = counts.where("kind = 1").select("key", "n")
     size = F.floor(F.log2("n") * 16)
     by_size = sorted(((r.size, r.words, r.n) for r in words.groupBy(size.alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()), reverse=True)
@@ -278,20 +348,24 @@ def train(docs: DataFrame, store: Store, order: int = ORDER) -> tuple[dict, Data
             break
         least, taken = s, taken + w
     n_docs = sum(r.n for r in counts.where("kind = 2").collect())
-    codes, code_n = _gather(trie)
+    codes, code_n = _gather(trie) if given is None else given[order]
     head, head_n = _gather(words.where(size >= least) if least is not None else words.limit(0))
     return {
-        "order": order, "codes": codes, "counts": code_n, "head": head, "head_n": head_n,
+        "order": order, "codes": codes, "counts": code_n, "given": given, "head": head, "head_n": head_n,
         "tokens": sum(n for *_, n in by_size) + n_docs, "distinct": sum(w for _, w, _ in by_size) + (n_docs > 0), "docs": n_docs,
-    }, words
+    }, words, trie
 
 
-def score(docs: DataFrame, model: dict, words: DataFrame, store: Store) -> DataFrame:
+def score(docs: DataFrame, model: dict, words: DataFrame, trie: DataFrame, store: Store) -> DataFrame:
     """Scores of each row of docs (doc_id, text, held_out)."""
     sent = docs.sparkSession.sparkContext.broadcast(model | {"id": store.folder})
     rows = store.keep(docs.select("doc_id", "text", "held_out").mapInArrow(released(_scoring(sent)), _SCORED), "scored")
     tail = rows.select("row", F.explode("tail").alias("key")).join(words.withColumnRenamed("n", "c"), "key", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_log"), F.count("c").alias("tail_known"))
+    if model["given"] is not None:
+        tail = tail.join(_asked(rows, model, trie, store), "row", "full")
+    else:
+        tail = tail.withColumn("asked_log", F.lit(0.0))
     end = float(np.log10(model["docs"] + 1.0))
     floor = float(np.log10(model["tokens"] + model["distinct"] + 1.0))
     return rows.join(tail, "row", "left").select(
@@ -301,7 +375,7 @@ def score(docs: DataFrame, model: dict, words: DataFrame, store: Store) -> DataF
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(model["docs"] > 0))).alias("n_known"),
         F.lit(int(model["tokens"])).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("asked_log", F.lit(0.0))).alias("score"),
     )
 
 
@@ -309,5 +383,5 @@ def op1_lm_ppm(spark, sf_dir: str) -> DataFrame:
     store = Store(spark, "ppm")
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held.alias("held_out"))
-    model, words = train(docs.where("not held_out"), store)
-    return score(docs, model, words, store)
+    model, words, trie = train(docs.where("not held_out"), store)
+    return score(docs, model, words, trie, store)
