@@ -132,9 +132,8 @@ def leak_exact(spark, sf_dir: str) -> DataFrame:
 
 
 def leak_folded(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 40))
-    b = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("eval_id"), F.concat(F.lit(" "), F.upper("head"), F.lit("\n")).alias("head"))
-    return leakage.exact_leaks(d.where("doc_id % 50 <> 0"), "doc_id", b, "eval_id", "head")
+    d = table(spark, sf_dir, "documents")
+    return leakage.exact_leaks(d.where("doc_id % 50 <> 0"), "doc_id", d.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "eval_id"), "eval_id")
 
 
 def leak_ids(spark, sf_dir: str) -> DataFrame:

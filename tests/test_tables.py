@@ -122,6 +122,15 @@ def test_leaks(spark):
     assert [r.id for r in leakage.id_leaks(ids, "id", spark.createDataFrame([("mail_draft_001",)], "e string"), "e").collect()] == ["src/mail_draft_001/v2"]
 
 
+def test_folded_leaks_compare_whole_texts(spark, tmp_path):
+    from evalmill.plans import corpora
+
+    head = "the same forty characters begin every text "
+    rows = [(0, head + "Straße one", "de"), (1, head + "two", "en"), (2, " " + head.upper() + "STRASSE ONE\n", "de"), (3, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in corpora.leak_folded(spark, str(tmp_path)).collect()] == [(2, 0)]
+
+
 def test_redaction_at_any_depth(spark):
     text = '{"user":"a","api_key":"b","nested":{"Authorization":"c"},"list":[{"token":"d"}],"input_tokens":5}'
     got = json.loads(spark.createDataFrame([(text,)], "t string").select(redact_json("t")).first()[0])
