@@ -12,9 +12,14 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def one_label(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the labelled documents; an id that repeats counts once."""
+    return labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, columns: list[str]) -> list:
     """Up to ``rows`` labelled documents, half of either class where there are enough: those with the smallest hashes."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = one_label(labels, label)
     picked = []
     for y in (1, 0):
         own = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)

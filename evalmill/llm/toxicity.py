@@ -7,12 +7,14 @@ values. Embeddings start at zero but for one dimension, which holds the bucket's
 text; words not met in training so stay near neutral.
 
 It is fitted on at most ``TRAIN_ROWS`` labelled documents (half toxic where there are enough), a fixed bound; scoring
-covers every word of every text, one row at a time, with no shuffle. A fifth of the sample sets thresholds by language: for
-each language the value with the fewest errors there, the nearest to ``THRESHOLD`` among equals. The language decides only the
-threshold, never the score.
+covers every word of every text, one row at a time, with no shuffle. A fifth of the labels is never fitted on. All labelled documents
+outside the fitted sample, however many, set the thresholds by language, with the scores of the same net: for each language the value of ``GRID`` with the
+fewest errors, the nearest to ``THRESHOLD`` among equals. As the sample takes more of one class than of the other, errors of a class
+count so many times as it has labelled documents for each one outside. The language decides only the threshold, never the score.
 
 Edge cases: null and empty texts, and texts without words, get the score of no evidence. Without labels of both
-classes all scores are 0. A language without labelled texts, or null, has the threshold ``THRESHOLD``.
+classes all scores are 0. A language without labelled texts outside the sample, or with all of a class in it, or null, has
+the threshold ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.llm._text import U64, mix, released, slices, word_bounds, word_hashes
-from evalmill.llm._training import Adam, batches_of, labelled_sample, remainder, sigmoid
+from evalmill.llm._training import Adam, batches_of, labelled_sample, one_label, remainder, sigmoid
 
 TRAIN_ROWS = 3000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -31,6 +33,7 @@ PREFIXES = (4, 5, 6)
 TABLES = 2 + len(PREFIXES)
 EPOCHS, STEPS, BATCH, RATE, EMBED_RATE = 5, 200, 32, 0.02, 0.3
 THRESHOLD = 0.7
+GRID = [float(t) for t in np.round(np.arange(0.3, 0.91, 0.05), 2)]
 
 _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -111,9 +114,6 @@ class Net:
             return np.full(len(at) - 1, float(sigmoid(self.p["c"])[0]))
         return sigmoid(self.logits(self.maxima(self.added(b), by)[0])[0])
 
-    def of_words(self, b: np.ndarray) -> float:
-        return float(sigmoid(self.logits(self.maxima(self.added(b), np.array([0, b.shape[1]]))[0])[0])[0])
-
     def fit(self, texts: list[np.ndarray], y: np.ndarray):
         """Embeddings take plain steps, at the buckets met only; all else takes Adam's."""
         adam = Adam({k: v for k, v in self.p.items() if k[0] != "e"}, RATE)
@@ -180,45 +180,65 @@ class Classifier:
 
 
 def fit(rows: list) -> Classifier:
-    """Fits rows of (text, lang, label); every fifth sets the thresholds and is then learned as well."""
+    """Fits rows of (text, label); thresholds are not set."""
     y = np.array([r.label for r in rows], dtype=float)
     if len(set(y)) < 2:
         return Classifier(None, {})
     texts = _encode([r.text for r in rows])
-    aside = np.arange(len(rows)) % 5 == 4
-    learn = np.flatnonzero(~aside)
-    by_lang: dict[str, float] = {}
-    if len(set(y[learn])) == 2:
-        part = [texts[i] for i in learn]
-        net = Net.fresh(_odds(part, y[learn]))
-        net.fit(part, y[learn])
-        grid = np.round(np.arange(0.3, 0.91, 0.05), 2)
-        for lang in sorted({r.lang for r, a in zip(rows, aside, strict=True) if a and r.lang is not None}):
-            own = [i for i in np.flatnonzero(aside) if rows[i].lang == lang]
-            values = np.array([net.of_words(texts[i]) for i in own])
-            wrong = [(int(((values >= t) != (y[own] == 1)).sum()), abs(t - THRESHOLD), t) for t in grid]
-            by_lang[lang] = float(min(wrong)[2])
     net = Net.fresh(_odds(texts, y))
     net.fit(texts, y)
-    return Classifier(net, by_lang)
+    return Classifier(net, {})
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
+    """The labelled documents to fit on; a fifth of the labels is left out."""
+    return labelled_sample(docs, labels.where(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(5)) < 4), "toxic", rows, ["text", "lang"])
+
+
+def thresholds(docs: DataFrame, labels: DataFrame, model: Classifier, fitted: list) -> dict[str, float]:
+    """The value of ``GRID`` with the fewest errors for each language, over all labelled documents that are not among the fitted."""
+    steps = sum((F.col("toxicity") >= t).cast("int") for t in GRID)
+    values = _scores(docs.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).select("doc_id", "lang", steps.alias("steps"))
+    own = one_label(labels, "toxic").where(~F.col("doc_id").isin([r.doc_id for r in fitted]))
+    once = values.join(own, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("lang", "steps")).alias("x"))
+    counts: dict[str, np.ndarray] = {}
+    for r in once.where("x.lang is not null").groupBy("x.lang", "label", "x.steps").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.lang, np.zeros((2, len(GRID) + 1)))[r.label, r.steps] += r.n
+    out = {}
+    for lang, n in sorted(counts.items()):
+        inside = np.bincount([r.label for r in fitted if r.lang == lang], minlength=2)
+        outside = n.sum(axis=1)
+        if (inside[outside == 0] > 0).any():
+            continue
+        n *= ((outside + inside) / np.maximum(outside, 1))[:, None]
+        wrong = [(round(float(n[1, : i + 1].sum() + n[0, i + 1 :].sum()), 6), abs(t - THRESHOLD), t) for i, t in enumerate(GRID)]
+        out[lang] = min(wrong)[2]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    return fit(labelled_sample(docs, labels, "toxic", rows, ["text", "lang"]))
+    fitted = sample(docs, labels, rows)
+    model = fit(fitted)
+    return Classifier(model.net, thresholds(docs, labels, model, fitted)) if model.net else model
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs (doc_id, text, lang and whatever more) with toxicity (score), toxicity_threshold (by lang) and is_toxic."""
+def _scores(docs: DataFrame, model: Classifier, names: list[str]) -> DataFrame:
+    """The columns named, with toxicity."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("toxicity", "toxicity_threshold", "is_toxic")]
     schema = docs.select(*(f"`{c}`" for c in names)).withColumn("toxicity", F.lit(0.0)).schema
 
     def run(batches):
         for batch in batches:
             for rows, data, at in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sent.value.score(data, at))], [*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(sent.value.score(data, at))], [*names, "toxicity"])
+
+    return docs.mapInArrow(released(run), schema)
 
-    out = docs.select(*(f"`{c}`" for c in names)).mapInArrow(released(run), schema)
+
+def scored(docs: DataFrame, model: Classifier) -> DataFrame:
+    """docs (doc_id, text, lang and whatever more) with toxicity (score), toxicity_threshold (by lang) and is_toxic."""
+    names = [c for c in docs.columns if c not in ("toxicity", "toxicity_threshold", "is_toxic")]
+    out = _scores(docs.select(*(f"`{c}`" for c in names)), model, names)
     by = [x for lang, t in model.by_lang.items() for x in (F.lit(lang), F.lit(t))]
     bar = F.coalesce(F.try_element_at(F.create_map(*by), F.col("lang")), F.lit(THRESHOLD)) if by else F.lit(THRESHOLD)
     return out.withColumn("toxicity_threshold", bar).withColumn("is_toxic", F.col("toxicity") >= F.col("toxicity_threshold"))

@@ -66,6 +66,20 @@ def test_scores_do_not_depend_on_language(spark):
     assert a == b
 
 
+def test_thresholds_come_from_all_labels_outside_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    texts, labels = corpus(4, 300)
+    docs, known = documents(spark, texts), spark.createDataFrame(labels, LABELS)
+    ids = [r.doc_id for r in toxicity.sample(docs, known, 40)]
+    docs = docs.withColumn("lang", F.when(F.col("doc_id").isin(ids), "en").otherwise("de"))
+    model = toxicity.train(docs, known, 40)
+    toxic = {i: t for i, _, t in labels}
+    rows = [(r.toxicity, toxic[r.doc_id]) for r in toxicity.scored(docs, model).collect() if r.doc_id in toxic and r.doc_id not in ids]
+    wrong = {t: sum((s >= t) != (y == 1) for s, y in rows) for t in toxicity.GRID}
+    assert len(rows) == 300 - len(ids) and wrong[model.by_lang["de"]] == min(wrong.values()) and "en" not in model.by_lang
+
+
 def test_pipeline_drops_what_it_should_and_keeps_the_rest(spark, tmp_path):
     import corpus_pipeline
 
