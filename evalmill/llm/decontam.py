@@ -8,7 +8,8 @@ postings of the window's words and skips items, and whole blocks of ``BLOCK`` it
 bounds are added up for all windows of a batch at once, over all items and then by block, so that few windows are walked.
 
 What is retrieved is verified on word order: of the three-word shingles of the item's question (all but its last sentence)
-and of its answer (the last sentence) at least ``QUESTION`` and ``ANSWER`` must stand in the window.
+and of its answer (the last sentence, or that with words before it up to ``ANSWER_WORDS`` where it is shorter) at least ``QUESTION`` and ``ANSWER``
+must stand in the window, or ``WHOLE`` of those of the whole item.
 
 The index is made by Spark from the items: postings with document frequencies over all items. Up to ``SHARD_BYTES`` of item
 text it is sent to all tasks whole; above, items are dealt to that many shards and the texts pass one after the other. Training
@@ -32,7 +33,8 @@ from evalmill.llm._text import U64, released, slices, word_bounds, word_hashes
 from evalmill.llm.ppm import Lookup
 
 K1, B = 1.2, 0.75
-SHARE, QUESTION, ANSWER = 0.6, 0.5, 0.5
+SHARE, QUESTION, ANSWER, WHOLE = 0.6, 0.5, 0.5, 0.6
+ANSWER_WORDS = 8
 BLOCK, SHINGLE = 4, 3
 _CELLS = 1 << 22
 SHARD_BYTES = 32 << 20
@@ -64,9 +66,8 @@ def shingles(words: np.ndarray) -> set:
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def overlap(part: str, window: np.ndarray) -> float:
-    """Share of the part's shingles that stand in the window; 1 for a part without words."""
-    own = words_of_text(part)
+def overlap(own: np.ndarray, window: np.ndarray) -> float:
+    """Share of the shingles of a part's words that stand in the window; 1 for a part without words."""
     want = shingles(own)
     if not want:
         return 1.0
@@ -192,9 +193,10 @@ def find(indexes: list[Index], data: np.ndarray, at: np.ndarray) -> list[dict]:
     for index in indexes:
         for t, begin, end, terms in index.windows(words, by):
             for item, score in index.search(terms):
-                question, answer = question_and_answer(index.texts[item])
-                q, a = overlap(question, words[begin:end]), overlap(answer, words[begin:end])
-                if q >= QUESTION and a >= ANSWER:
+                question, answer = (words_of_text(part) for part in question_and_answer(index.texts[item]))
+                whole = words_of_text(index.texts[item])
+                q, a = overlap(question, words[begin:end]), max(overlap(part, words[begin:end]) for part in (answer, whole[-max(len(answer), ANSWER_WORDS) :]))
+                if (q >= QUESTION and a >= ANSWER) or overlap(whole, words[begin:end]) >= WHOLE:
                     match = (round(score, 6), round(q, 6), round(a, 6), begin - int(by[t]))
                     out[t][index.ids[item]] = max(out[t].get(index.ids[item], match), match)
     return out

@@ -96,6 +96,18 @@ def test_every_leak_is_found_and_clean_texts_are_not(spark):
     assert {(r.doc_id, m.item_id) for r in found for m in r.matches} == want
 
 
+def test_items_edited_or_cut_in_the_last_sentence_are_found(spark):
+    rng = random.Random(6)
+    ask = [" ".join(f"q{i}x{k}" for k in range(24)) + "?" for i in range(6)]
+    last = ["Ñ.", "yes it is.", "so say we all.", "no.", "one two three four five six seven eight nine ten.", "yes it is."]
+    items = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(ask, last, strict=True))]
+    edited = [f"{ask[0]} N.", f"{ask[1]} yes it was.", f"{ask[2]} so say all.", ask[3], ask[4], ask[5]]
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    texts = [f"{filler(50)} {t} {filler(50)}" for t in edited] + [f"{filler(20)} {x} {filler(30)}" for x in last] + [" ".join(sorted(ask[0].split(), key=lambda w: w[::-1])) + " Ñ."]
+    found = decontam.with_matches(documents(spark, texts), decontam.build(spark.createDataFrame(items, ITEMS))).collect()
+    assert {(r.doc_id, m.item_id) for r in found for m in r.matches} == {(i, i) for i in range(6)}
+
+
 def test_search_is_brute_force_above_the_threshold():
     rng = np.random.default_rng(8)
     items = []
