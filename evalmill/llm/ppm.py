@@ -153,58 +153,63 @@ class Lookup:
         return out
 
 
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of keys in a sorted table, -1 where there is none; quick for sorted keys."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    at[table[at] != keys] = -1
+    return at
+
+
 class Model:
-    """The trie of (codes, counts) as arrays by order; ``given`` are the codes and counts of some orders, where they don't follow from the longest."""
+    """The trie of sorted (codes, counts) as sorted arrays by order; ``given`` are the codes and counts of some orders, where they don't follow from the longest.
+
+    An order has 16 bytes for each code (the longest keeps the arrays it was given) and 28 for each context, so 2^22 codes stay below 300 MB.
+    """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, given: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
-        self.order, self.levels = order, []
-        below = None
+        self.order = order
+        nodes = {order: (codes, counts)}
+        for k in range(order - 1, -1, -1):
+            nodes[k] = given[k] if given and k in given else add_up(nodes[k + 1][0] & mask(k + 1), nodes[k + 1][1])
+        self.levels: list[dict] = []
         for k in range(order + 1):
-            code, n = given[k] if given and k in given else add_up(codes & mask(k + 1), counts)
-            context = code >> U64(SHIFT)
-            ctx, first = np.unique(context, return_index=True)
-            total = np.add.reduceat(n, first) if len(n) else n
-            distinct = np.diff(np.append(first, len(code)))
-            level = {"node": Lookup(code), "c": n.astype(np.float64), "ctx": Lookup(ctx), "n": total.astype(np.float64), "d": distinct.astype(np.float64)}
-            if below is not None and len(ctx):
-                offered = below["c"][below["node"].find(code & mask(k))]
-                up = below["ctx"].find(ctx & mask(k - 1) if k > 1 else np.zeros(len(ctx), U64))
+            code, n = nodes.pop(k)
+            ctx = code >> U64(SHIFT)
+            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
+            ctx = ctx[first]
+            level = {"code": code, "c": n, "ctx": ctx, "n": np.add.reduceat(n, first) if len(n) else n, "d": np.diff(np.append(first, len(code))).astype(np.int16)}
+            if k and len(ctx):
+                below = self.levels[-1]
+                offered = below["c"][find(below["code"], code & mask(k))]
+                up = find(below["ctx"], ctx & mask(k - 1) if k > 1 else np.zeros(len(ctx), U64))
                 level["n_left"] = below["n"][up] - np.add.reduceat(offered, first)
                 level["d_left"] = below["d"][up] - level["d"]
-            with np.errstate(divide="ignore"):
-                level["log"] = np.log10(level["c"] / np.repeat(level["n"] + level["d"], distinct)) if len(n) else level["c"]
             self.levels.append(level)
-            below = level
         self.unseen = -np.log10(max(1.0, SYMBOLS - (len(self.levels[0]["c"]))))
 
     def holds(self, codes: np.ndarray) -> np.ndarray:
         """Whether each code's longest context is here, with all its symbols."""
-        return self.levels[self.order]["ctx"].find(codes >> U64(SHIFT)) >= 0
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's symbol after its context."""
-        top = self.levels[self.order]
-        at = top["node"].find(codes)
-        out = np.zeros(len(codes))
-        known = at >= 0
-        out[known] = top["log"][at[known]]
-        left = np.flatnonzero(~known)
-        if not len(left):
-            return out
-        code, value = codes[left], np.zeros(len(left))
-        child = np.full(len(left), -1)
-        todo = np.arange(len(left))
+        return find(self.levels[self.order]["ctx"], codes >> U64(SHIFT)) >= 0
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code's symbol after its context; quickest for sorted codes."""
+        value = np.zeros(len(code))
+        child = np.full(len(code), -1)
+        todo = np.arange(len(code))
         for k in range(self.order, -1, -1):
             level = self.levels[k]
-            ctx = level["ctx"].find((code[todo] & mask(k + 1)) >> U64(SHIFT))
+            ctx = find(level["ctx"], (code[todo] & mask(k + 1)) >> U64(SHIFT))
             seen = ctx >= 0
             t, c = todo[seen], ctx[seen]
             if len(t):
-                n, d, ch = level["n"][c], level["d"][c], child[t]
+                n, d, ch = level["n"][c].astype(float), level["d"][c].astype(float), child[t]
                 after = ch >= 0
                 if after.any():
                     n[after], d[after] = self.levels[k + 1]["n_left"][ch[after]], self.levels[k + 1]["d_left"][ch[after]]
-                node = level["node"].find(code[t] & mask(k + 1))
+                node = find(level["code"], code[t] & mask(k + 1))
                 hit = node >= 0
                 value[t[hit]] += np.log10(level["c"][node[hit]] / (n[hit] + d[hit]))
                 esc = ~hit & (d > 0)
@@ -214,11 +219,10 @@ class Model:
                 gone[np.flatnonzero(seen)[hit]] = True
                 todo = todo[~gone]
         value[todo] += self.unseen
-        out[left] = value
-        return out
+        return value
 
 
-_models: dict[int, tuple] = {}
+_models: dict[str, tuple] = {}
 
 
 def _scoring(sent):
@@ -232,9 +236,15 @@ def _scoring(sent):
         for batch in batches:
             for rows, data, at in slices(batch, "text"):
                 codes, by = codes_of(data, at, model.order)
-                away = np.zeros(0, np.int64) if sent.value["given"] is None else np.flatnonzero(~model.holds(codes))
-                value = np.concatenate([model.log10(codes[i : i + (1 << 18)]) for i in range(0, len(codes), 1 << 18)])
-                value[away] = 0.0
+                once, of = np.unique(codes, return_inverse=True)  # each code of a slice is looked up once
+                value = model.log10(once)
+                if sent.value["given"] is None:
+                    away = np.zeros(0, np.int64)
+                else:
+                    here = model.holds(once)
+                    value[~here] = 0.0
+                    away = np.flatnonzero(~here[of])
+                value = value[of]
                 asked, times, asked_by = _by_row(codes[away], np.searchsorted(by, away, side="right") - 1, rows.num_rows)
                 starts, ends, words = word_bounds(data, at)
                 h = word_hashes(data, starts, ends)
@@ -314,8 +324,8 @@ def _answering(sent, order: int):
 
     def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
         key, n = (nodes.column(c).to_numpy() for c in ("key", "n"))
-        model = Model(key.astype(np.int64).view(U64), n.astype(np.int64), order, sent.value)
-        codes = asked.column("key").to_numpy().astype(np.int64)
+        model = Model(*add_up(key.astype(np.int64).view(U64), n.astype(np.int64)), order, sent.value)
+        codes = np.sort(asked.column("key").to_numpy().astype(np.int64).view(U64)).view(np.int64)
         values = [model.log10(codes[i : i + (1 << 18)].view(U64)) for i in range(0, len(codes), 1 << 18)]
         return pa.table({"key": pa.array(codes), "value": pa.array(np.concatenate([np.zeros(0), *values]))})
 
