@@ -9,17 +9,21 @@ threshold) drops a true link with probability 3e-5.
 
 Work that grows with the square of a group is avoided without a cap:
 
-1. documents of one set become one class (a third of all rows may be copies of one text);
+1. documents of one set become one class (a third of all rows may be copies of one text); classes, not ids, are compared, so
+   an id that stands for several texts has a class for each;
 2. in each band bucket all members are paired with one centre only, another for each band; the best pair of each
    class is confirmed, then the best pair between each two components;
-3. what may still join two components is found exhaustively: in buckets that hold several components, members
-   outside the largest one meet all members, with the sketch screen inside the join.
+3. what may still join two components lies in buckets that hold several. Of the classes there, each takes the shingles that are rarest
+   among them all, as many as ``PERCENT`` asks for: two sets that are similar enough have one of those in common whatever the order
+   (prefix filtering), so this loses no pair of a bucket. Texts that are alike in frequent passages only share none, and never meet. Rarity is read
+   from counts in ``2 ** CELL_BITS`` cells of the hash space, a table of fixed size. Pairs of different components and fitting sizes
+   that share a rarest shingle pass the sketch screen, and what passes is confirmed.
 
 Documents travel as signatures (about 0.3 KB); texts move only for classes that share a bucket.
 
 Edge cases: null or empty texts and texts without words have an empty set, are linked with nothing and are kept.
-Rows with a null id take part in no link and are kept. Rows that repeat an id and a text fall in one class. Columns
-of the input other than the two named are not looked at.
+Rows with a null id take part in no link and are kept. Rows that repeat an id and a text fall in one class; rows with one id and several texts
+are each linked by their own text. An empty table gives an empty one. Columns of the input other than the two named are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ _B = (mix(np.arange(1001, SAMPLES + 1001, dtype=U64)) >> U64(32)).astype(np.uint
 _TURN = 1 << 16
 #: Shingles of texts that a task remembers while it confirms pairs.
 _KNOWN = 1 << 21
+CELL_BITS = 20
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -86,7 +91,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
 
 
 def _signatures(batches):
@@ -101,33 +106,36 @@ def _signatures(batches):
                     bands[i], sketch[i] = b, s
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    rows.column("doc_id"), rows.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
+                ["doc_id", "text_hash", "n_shingles", "set_hash", "bands", "sketch"],
             )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(released(_signatures), _SIGNATURE)
+    return _rows(docs).mapInArrow(released(_signatures), _SIGNATURE)
 
 
 def _confirm(batches):
-    known: dict[tuple, np.ndarray] = {}
+    known: dict[int, np.ndarray] = {}
     for batch in batches:
         a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
         sides = [utf8(batch.column(c)) for c in ("text_a", "text_b")]
 
         def of(side: int, key: int, i: int, sides=sides) -> np.ndarray:
-            data, at = sides[side]
-            part = data[at[i] : at[i + 1]]
-            name = (key, len(part))
-            if name not in known:
+            if key not in known:
                 if len(known) % 64 == 63 and sum(map(len, known.values())) > _KNOWN:
                     known.clear()
-                known[name] = shingle_sets(part, np.array([0, len(part)]), SHINGLE)[0]
-            return known[name]
+                data, at = sides[side]
+                part = data[at[i] : at[i + 1]]
+                known[key] = shingle_sets(part, np.array([0, len(part)]), SHINGLE)[0]
+            return known[key]
 
         linked = np.zeros(len(a), dtype=bool)
         for i in range(len(a)):
@@ -138,13 +146,68 @@ def _confirm(batches):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """Those of the pairs (a, b) of texts (id, text), an id for each text, whose full sets are similar enough."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(released(_confirm), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def _count_cells(batches):
+    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    for batch in batches:
+        for _, data, at in slices(batch, "text"):
+            for s in shingle_sets(data, at, SHINGLE):
+                np.add.at(total, (s >> U64(64 - CELL_BITS)).astype(np.int64), 1)
+    met = np.flatnonzero(total)
+    for i in range(0, len(met), 1 << 16):
+        part = met[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+
+
+def _pack_cells(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()) for c, kind in (("cell", "<i4"), ("level", "u1"))], ["cell", "level"])
+
+
+def prefix_size(n: int) -> int:
+    """How many of n shingles must be looked at so that a set similar enough has one of them."""
+    return n + (-PERCENT * n) // 100 + 1
+
+
+def _rarest(sent):
+    def rarest(batches):
+        for batch in batches:
+            for rows, data, at in slices(batch, "text"):
+                picked = []
+                for s in shingle_sets(data, at, SHINGLE):
+                    # sets are sorted, so a stable sort by level orders by (level, shingle): the same order for all sets
+                    picked.append(s[np.argsort(sent.value[(s >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[: prefix_size(len(s))]] if len(s) else s)
+                n = np.array([len(p) for p in picked])
+                ids, homes = (np.repeat(rows.column(c).to_numpy(), n) for c in ("id", "component"))
+                sizes = np.repeat(rows.column("n_shingles").to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(ids), pa.array(homes), pa.array(sizes)], ["shingle", "id", "component", "n_shingles"])
+
+    return rarest
+
+
+def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
+    """Pairs (a, b) of texts (id, component, n_shingles, text) of different components that share one of the shingles each must have in common with what is similar enough."""
+    level = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int").alias("level")
+    cells = texts.select("text").mapInArrow(released(_count_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).select("cell", level)
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    for r in cells.mapInArrow(_pack_cells, "cell binary, level binary").collect():  # at most 2 ** CELL_BITS cells of 5 bytes
+        levels[np.frombuffer(bytes(r.cell), "<i4")] = np.frombuffer(bytes(r.level), "u1")
+    sent = texts.sparkSession.sparkContext.broadcast(levels)
+    rare = store.keep(texts.mapInArrow(released(_rarest(sent)), "shingle long, id long, component long, n_shingles long"), "rare")
+    several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    shared = store.keep(rare.join(several, "shingle"), "shared")
+    p, q = (shared.select("shingle", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}")) for i in "ab")
+    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    met = p.join(q, (p.shingle == q.shingle) & fits).select("a", "b").distinct()
+    return store.keep(met, "met")
+
+
 def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
     """(id, component): the smallest id each node of the edges reaches. Labels spread and jump until none changes."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a"))
@@ -176,19 +239,24 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     store = store or Store(docs.sparkSession, "near-dup")
     marks = store.keep(signatures(docs), "signatures")
-    one = marks.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
-    classes = store.keep(one.select("set_hash", "m.*"), "classes")
-    spread = classes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    one = marks.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch")).alias("m"))
+    classes = store.keep(one.select(F.monotonically_increasing_id().alias("id"), "set_hash", "m.*"), "classes")  # the numbers are fixed by being written
+    spread = classes.select("id", F.explode("bands").alias("key"))
     centre = F.min_by("id", F.xxhash64("id", "key"))
     stars = store.keep(spread.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).where("n > 1").select("key", "centre"), "stars")
     members = store.keep(spread.join(stars, "key"), "members")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = store.keep(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    sketches = store.keep(classes.select(F.col("doc_id").alias("id"), "sketch", "bands").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
+    ids = members.select("id").distinct()
+    shown = classes.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi")
+    texts = _rows(docs).join(shown, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text"))  # repeated rows count once
+    texts = store.keep(texts.select("id", "text"), "texts")
+    sketches = store.keep(classes.select("id", "sketch", "n_shingles").join(ids, "id", "left_semi"), "sketches")
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+        return both.withColumn("d", _distance("x", "y")).where(F.col("d") <= SCREEN).select("a", "b", "d")
 
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = store.keep(pairs.withColumn("d", _distance("x", "y")).where(F.col("d") <= SCREEN).select("a", "b", "d"), "pairs")
+    pairs = store.keep(screened(pairs), "pairs")
     tried = store.keep(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b"), "best")
     links = store.keep(confirm(tried, texts), "links-1")
     labels = components(links, store, "components-1")
@@ -200,24 +268,21 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     labels = components(links, store, "components-2")
 
     placed = store.keep(_with_component(members.select("id", "key"), labels, "id", "component"), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = store.keep(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("m")).where("parts > 1").select("key", F.col("m.component").alias("largest")), "mixed")
-    inside = store.keep(placed.join(mixed, "key").join(sketches, "id"), "inside")
-    few = inside.where("component <> largest").select("key", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("bands").alias("bx"))
-    every = inside.select("key", F.col("id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"), F.col("bands").alias("by"), "largest")
-    # two that differ in component meet in each bucket they share; the smallest key counts, and one of the two orders
-    once = ((F.col("cq") == F.col("largest")) | (F.col("p") < F.col("q"))) & (few.key == F.array_min(F.array_intersect("bx", "by")))
-    met = few.join(every, (few.key == every.key) & (F.col("cp") != F.col("cq")) & (_distance("x", "y") <= SCREEN) & once)
-    rest = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    inside = store.keep(placed.join(mixed, "key").groupBy("id").agg(F.min("component").alias("component")), "inside")
+    met = rare_pairs(store.keep(inside.join(sketches.select("id", "n_shingles"), "id").join(texts, "id"), "apart"), store)
     seen = tried.union(between.select("a", "b"))
     seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = screened(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = store.keep(rest.join(seen, ["a", "b"], "left_anti"), "rest")
     links = links.union(store.keep(confirm(rest, texts), "links-3"))
     labels = components(links, store, "components-3")
 
-    home = _with_component(classes.select("set_hash", F.col("doc_id").alias("id")), labels, "id", "component").select("set_hash", "component")
-    out = marks.select("doc_id", "n_shingles", "set_hash").join(store.keep(home, "home"), "set_hash", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    home = store.keep(_with_component(classes.select("id", "set_hash", "doc_id"), labels, "id", "component"), "placed-all")
+    first = home.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    home = store.keep(home.join(first, "component").select("set_hash", "component_id"), "home")
+    out = marks.select("doc_id", "n_shingles", "set_hash").join(home, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 

@@ -9,6 +9,7 @@ import pytest
 from helpers import ODD, documents
 
 from evalmill.llm import decontam, near_dup
+from evalmill.llm._tables import Store
 
 
 def sets_of(text):
@@ -62,6 +63,60 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert sorted(rows, key=str) == sorted([(0, 0, True), (0, 0, True), (1, 0, False), (2, 2, True), (None, None, True)], key=str)
 
 
+def test_an_id_with_several_texts_of_one_length_loses_no_link(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    assert len(long) == len(other)
+    near = long.replace("w30", "x30")
+    rows = [(1, other), (1, near), (2, long), (2, None), (3, "one"), (3, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {(1, 56, 1, True), (2, 56, 1, False), (2, 0, 2, True), (3, 1, 3, True), (3, 56, 1, False)}
+
+
+def test_rarest_shingles_are_shared_by_all_that_are_similar_enough():
+    rng = random.Random(2)
+    for _ in range(2000):
+        n = rng.randint(1, 60)
+        x = set(rng.sample(range(200), n))
+        y = set(rng.sample(sorted(x), rng.randint(max(1, n // 2), n))) | set(rng.sample(range(200), rng.randint(0, n // 3)))
+        level = {s: rng.randint(0, 5) for s in range(200)}
+        head = lambda s: set(sorted(s, key=lambda v: (level[v], v))[: near_dup.prefix_size(len(s))])
+        if 100 * len(x & y) >= near_dup.PERCENT * len(x | y):
+            assert head(x) & head(y)
+
+
+def test_half_similar_documents_in_shared_buckets_do_not_all_meet(spark):
+    """Every two of 1500 documents share 2 of 3 shingles of either: nearly all share a bucket, and none may be linked."""
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(72))
+    texts = [f"{common} " + " ".join(f"u{d}x{rng.randrange(10**6)}" for _ in range(36)) for d in range(1500)]
+    texts += [t + " more" for t in texts[:20]]
+    store = Store(spark, "half")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), store).collect()}
+    assert got == {i: i if i < 1500 else i - 1500 for i in range(1520)}
+    assert spark.read.parquet(f"{store.folder}/apart").count() > 1000
+    assert spark.read.parquet(f"{store.folder}/met").count() < 1520  # of more than a million pairs
+
+
+def test_recall_near_the_threshold(spark):
+    """700 pairs of similarity 0.75 to 0.80, counted one by one."""
+    rng = random.Random(13)
+    texts, want = [], 0
+    while want < 700:
+        n = rng.randint(40, 120)
+        words = [f"p{want}w{i}" for i in range(n)]
+        other = list(words)
+        for k in range(rng.randint(1, 4)):
+            other[rng.randrange(n)] = f"z{k}"
+        x, y = (sets_of(" ".join(w)) for w in (words, other))
+        if 75 * len(x | y) <= 100 * len(x & y) <= 80 * len(x | y):
+            texts += [" ".join(words), " ".join(other)]
+            want += 1
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(want)) >= 0.999 * want
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for j in (0.6, 0.75, 0.9):
