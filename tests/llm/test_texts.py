@@ -279,13 +279,98 @@ def test_cuts_are_found_again_behind_other_bytes(spark):
         assert i < 31 or h[i] == want  # beyond 32 bytes shifts fall out
 
 
+def chunk_store(spark, texts):
+    store = Store(spark, "t")
+    return store, media.store_media(documents(spark, texts), store)
+
+
 def test_a_changed_chunk_is_an_error(spark):
     from pyspark.sql import functions as F
 
-    docs = documents(spark, ["one text", "another"])
-    lists, chunks = media.store_media(docs, Store(spark, "t"))
+    _, (_, packs, chunks) = chunk_store(spark, ["one text", "another", "one text"])
     import zstandard
 
+    assert media.read_media(packs, chunks).count() == 2
     bad = chunks.withColumn("data", F.lit(zstandard.ZstdCompressor().compress(b"other")))
     with pytest.raises(Exception, match="not read back"):
-        media.read_media(lists, bad).collect()
+        media.read_media(packs, bad).collect()
+
+
+def test_media_are_read_from_the_written_chunks(spark):
+    import glob
+    import os
+
+    rng = random.Random(7)
+    body = ["".join(rng.choices("abcdefgh ", k=20000)) for _ in range(3)]
+    store, (_, packs, chunks) = chunk_store(spark, [*body, "x" + body[0], body[1]])
+    assert media.read_media(packs, chunks).count() == 4
+    path = store.folder.removeprefix("file:")
+    for name in ("chunks", "packs"):
+        files = glob.glob(f"{path}/{name}/*.parquet")
+        hidden = [(f, f + ".away") for f in files]
+        for f, away in hidden:
+            os.rename(f, away)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+            media.read_media(packs, chunks).collect()
+        for f, away in hidden:
+            os.rename(away, f)
+    assert media.read_media(packs, chunks).count() == 4
+
+
+def test_near_copies_share_most_bytes_and_each_chunk_is_stored_once(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    base = [rng.choices(words, k=2500) for _ in range(4)]
+    texts = []
+    for b in base:
+        copy = list(b)
+        copy[700] = copy[1800] = "changed"
+        texts += [" ".join(b), " ".join(copy), "a line before\n" + " ".join(b)]
+    import zstandard
+
+    _, (lists, packs, chunks) = chunk_store(spark, texts)
+    kept = sum(sum(r.sizes) for r in packs.collect()) + sum(len(zstandard.ZstdDecompressor().decompress(r.data)) for r in chunks.collect())
+    assert kept < 0.5 * sum(r.media_bytes for r in lists.collect())  # a third of them differs from all before
+    cut = [media.chunks_of(media.wav(media.payload_of(t.encode()))) for t in texts]
+    for i in range(0, len(texts), 3):
+        known = set(cut[i])
+        assert all(sum(len(c) for c in copy if c in known) > 0.5 * sum(map(len, copy)) for copy in cut[i + 1 : i + 3])
+    digests = [d for r in lists.collect() for d in map(bytes, r.digests)]
+    stored = [bytes(r.digest) for r in chunks.collect()]
+    assert len(stored) == len(set(stored)) == len({d for d in digests if digests.count(d) > 1})
+    assert len(stored) + sum(len(r.places) for r in packs.collect()) == len(set(digests))
+
+
+def test_a_full_filter_loses_nothing(spark, tmp_path, monkeypatch):
+    texts = [f"text {i} " * (i % 50) for i in range(120)]
+    folder = save(spark, tmp_path, documents=documents(spark, texts))
+    want = sorted(media.op9_media(spark, folder).collect())
+    monkeypatch.setattr(media, "filter_of", lambda lists: np.full(1 << (media.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    assert sorted(media.op9_media(spark, folder).collect()) == want
+    assert media.op9_media(spark, save(spark, tmp_path / "none", documents=documents(spark, ["a"]).limit(0))).count() == 0
+
+
+def plain_feature(payload):
+    x = [b - 128 for b in payload]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"n={len(x)};sum={sum(x)};squares={sum(v * v for v in x)};crossings={turns}"
+
+
+def plain_cuts(data):
+    """Ends of the chunks, byte by byte."""
+    out, start, h = [], 0, 0
+    for i, c in enumerate(data):
+        h = ((h << 1) + int(media.GEAR[c])) & 0xFFFFFFFF
+        size = i + 1 - start
+        if (size >= media.SMALLEST and h >> (32 - media.CUT_BITS) == 0 and len(data) - start > media.SMALLEST) or size == media.LARGEST or i + 1 == len(data):
+            out.append(i + 1)
+            start = i + 1
+    return out
+
+
+def test_cuts_and_features_are_those_of_plain_loops():
+    rng = random.Random(9)
+    for n in (1, 255, 256, 257, 5000, 60000):
+        data = bytes(rng.choices(b"abcdefghijklmnop \n", k=n))
+        assert media.cuts(data) == plain_cuts(data) and media.feature_of(data) == plain_feature(data)
+    assert media.cuts(b"a" * 50000) == plain_cuts(b"a" * 50000)
