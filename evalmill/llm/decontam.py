@@ -11,16 +11,18 @@ What is retrieved is verified on word order: of the three-word shingles of the i
 and of its answer (the last sentence, or that with words before it up to ``ANSWER_WORDS`` where it is shorter) at least ``QUESTION`` and ``ANSWER``
 must stand in the window, or ``WHOLE`` of those of the whole item.
 
-The index is made by Spark from the items: postings with document frequencies over all items. Up to ``SHARD_BYTES`` of item
-text it is sent to all tasks whole; above, items are dealt to that many shards and the texts pass one after the other. Training
-texts are never shuffled.
+The index is made by Spark from the items: postings once, document frequencies over all items, then the arrays of each shard of about ``SHARD_BYTES`` of item
+text in a task of its own, written as a row of a table. The driver holds one shard at a time, to broadcast it: with one shard texts are
+searched in the query itself; with more, the texts pass once for each shard, the matches of a pass are written before the
+next begins and its broadcast is dropped, and at the end they are joined to the rows. Training texts are shuffled in that last join only.
 
-Edge cases: null, empty and wordless items match nothing; null or empty texts hold nothing. Repeated rows each get their
-matches, repeated items count once, and an item_id with several texts has each of them looked for. No items: no matches.
+Edge cases: null, empty and wordless items match nothing; null or empty texts hold nothing. Repeated rows and rows with a null id each get their
+matches, repeated items count once, and an item_id with several texts has each of them looked for. No items: no matches. No documents: no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.llm._tables import Store
 from evalmill.llm._text import U64, released, slices, word_bounds, word_hashes
 from evalmill.llm.ppm import Lookup
 
@@ -37,7 +40,8 @@ SHARE, QUESTION, ANSWER, WHOLE = 0.6, 0.5, 0.5, 0.6
 ANSWER_WORDS = 8
 BLOCK, SHINGLE = 4, 3
 _CELLS = 1 << 22
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+_NEAR = 1e-9
 
 _NOT_WORD = np.ones(256, dtype=bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -100,6 +104,14 @@ class Index:
         begin = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
         self.block_spot, self.block_most = spot[begin], np.maximum.reduceat(self.weight, begin)
         self.block_first = np.searchsorted(self.block_spot // self.blocks, np.arange(len(self.terms) + 1))
+        self._parts: dict[int, tuple] = {}
+
+    def parts(self, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of an item's question, answer and whole text."""
+        if item not in self._parts:
+            question, answer = (words_of_text(part) for part in question_and_answer(self.texts[item]))
+            self._parts[item] = question, answer, words_of_text(self.texts[item])
+        return self._parts[item]
 
     def block_bound(self, term: int, block: int) -> float:
         i = np.searchsorted(self.block_spot, term * self.blocks + block)
@@ -107,7 +119,7 @@ class Index:
 
     def search(self, terms: np.ndarray, share: float = SHARE) -> list[tuple[int, float]]:
         """Block-max WAND: all (item, score) with a score of at least ``share`` for the distinct terms."""
-        share -= 1e-9
+        share -= _NEAR
         lists = [self.item[self.first[t] : self.first[t + 1]].tolist() for t in terms]
         at = [0] * len(lists)
         live = list(range(len(lists)))
@@ -160,13 +172,13 @@ class Index:
         window = np.concatenate([own, before[before >= 0]])
         term = np.concatenate([pos[known], pos[known][before >= 0]]).astype(np.int64)
         rough = np.bincount(window, weights=self.most[term], minlength=base[-1])
-        keep = rough[window] >= SHARE
+        keep = rough[window] >= SHARE - _NEAR
         pair = np.unique(window[keep] * len(self.terms) + term[keep])
         window, term = pair // len(self.terms), pair % len(self.terms)
         if not len(window):
             return
         exact = np.bincount(window, weights=self.most[term], minlength=base[-1])
-        keep = exact[window] >= SHARE
+        keep = exact[window] >= SHARE - _NEAR
         window, term = window[keep], term[keep]
         if not len(window):
             return
@@ -180,7 +192,7 @@ class Index:
             spot = np.repeat(self.block_first[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             cell = np.repeat(w_of[cut[lo] : cut[hi]] - lo, n) * self.blocks + self.block_spot[spot] % self.blocks
             sums = np.bincount(cell, weights=self.block_most[spot], minlength=(hi - lo) * self.blocks)
-            for k in lo + np.flatnonzero((sums.reshape(hi - lo, self.blocks) >= SHARE - 1e-9).any(axis=1)):
+            for k in lo + np.flatnonzero((sums.reshape(hi - lo, self.blocks) >= SHARE - _NEAR).any(axis=1)):
                 t = int(np.searchsorted(base, local[k], side="right")) - 1
                 begin = int(by[t]) + (int(local[k]) - int(base[t])) * self.size
                 yield t, begin, min(begin + 2 * self.size, int(by[t + 1])), term[cut[k] : cut[k + 1]]
@@ -193,8 +205,7 @@ def find(indexes: list[Index], data: np.ndarray, at: np.ndarray) -> list[dict]:
     for index in indexes:
         for t, begin, end, terms in index.windows(words, by):
             for item, score in index.search(terms):
-                question, answer = (words_of_text(part) for part in question_and_answer(index.texts[item]))
-                whole = words_of_text(index.texts[item])
+                question, answer, whole = index.parts(item)
                 q, a = overlap(question, words[begin:end]), max(overlap(part, words[begin:end]) for part in (answer, whole[-max(len(answer), ANSWER_WORDS) :]))
                 if (q >= QUESTION and a >= ANSWER) or overlap(whole, words[begin:end]) >= WHOLE:
                     match = (round(score, 6), round(q, 6), round(a, 6), begin - int(by[t]))
@@ -205,54 +216,98 @@ def find(indexes: list[Index], data: np.ndarray, at: np.ndarray) -> list[dict]:
 def _postings(batches):
     for batch in batches:
         rows = []
-        for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            terms, tf = np.unique(words_of_text(text or ""), return_counts=True)
-            rows += [(item_id, text, int(t), int(n)) for t, n in zip(terms.view(np.int64), tf, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["item_id", "text", "term", "tf"])
+        for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            terms, tf = np.unique(words_of_text(text), return_counts=True)
+            rows += [(number, int(t), int(n)) for t, n in zip(terms.view(np.int64), tf, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["number", "term", "tf"])
+
+
+def _indexing(n_items: int, mean_len: float):
+    """The indexes by length class of one shard, pickled, from its items and their postings."""
+
+    def index(items: pa.Table, posts: pa.Table) -> pa.Table:
+        number, term, tf, df = (posts.column(c).to_numpy() for c in ("number", "term", "tf", "df"))
+        order = np.lexsort((term.view(U64), number))
+        number, term, tf = number[order], term[order].view(U64), tf[order].astype(float)
+        freq = dict(zip(term.tolist(), df[order].tolist(), strict=True))
+        by_size: dict[int, list] = {}
+        for n, item_id, text in sorted(zip(*(items.column(c).to_pylist() for c in ("number", "item_id", "text")), strict=True), key=lambda r: (r[1], r[2])):
+            lo, hi = np.searchsorted(number, (n, n + 1))
+            if hi > lo:
+                by_size.setdefault(1 << max(3, int(tf[lo:hi].sum() - 1).bit_length()), []).append((item_id, text, term[lo:hi], tf[lo:hi]))
+        made = [Index(s, members, freq, n_items, mean_len) for s, members in sorted(by_size.items())]
+        return pa.table({"shard": pa.array([items.column("shard")[0].as_py() if items.num_rows else 0], pa.int64()), "payload": pa.array([pickle.dumps(made)], pa.binary())})
+
+    return index
+
+
+class Shards:
+    """The written indexes, a row for each shard."""
+
+    def __init__(self, table: DataFrame, n: int, store: Store):
+        self.table, self.n, self.store = table, n, store
 
+    def __len__(self) -> int:
+        return self.n
 
-def build(items: DataFrame) -> list[list[Index]]:
-    """The indexes by length class of each shard of the items (item_id, text)."""
+    def load(self, shard: int) -> list[Index]:
+        rows = self.table.where(F.col("shard") == shard).select("payload").collect()  # one row, of bounded size
+        return pickle.loads(bytes(rows[0].payload)) if rows else []
+
+
+def build(items: DataFrame, store: Store | None = None) -> Shards:
+    """The indexes of the items (item_id, text)."""
+    store = store or Store(items.sparkSession, "decontam")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
+    items = store.keep(items.select(F.monotonically_increasing_id().alias("number"), "*"), "items")  # the numbers are fixed by being written
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    posts = items.mapInArrow(_postings, "item_id long, text string, term long, tf long")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    stats = posts.groupBy("item_id", "text").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
-    out = []
-    for shard in range(shards):
-        own = posts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        rows = own.groupBy("item_id", "text").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")).collect()
-        known = {r.term: r.df for r in own.select("term").distinct().join(df, "term").collect()}
-        by_size: dict[int, list] = {}
-        for r in sorted(rows, key=lambda r: (r.item_id, r.text)):
-            terms, tf = np.array([x.term for x in r.terms], np.int64).view(U64), np.array([x.tf for x in r.terms], float)
-            by_size.setdefault(1 << max(3, int(tf.sum() - 1).bit_length()), []).append((r.item_id, r.text, terms, tf))
-        freq = {t & 0xFFFFFFFFFFFFFFFF: n for t, n in known.items()}
-        out.append([Index(s, members, freq, stats["items"], stats["mean"]) for s, members in sorted(by_size.items())])
-    return out
+    n = max(1, -(-size // SHARD_BYTES))
+    posts = store.keep(items.select("number", "text").mapInArrow(_postings, "number long, term long, tf long"), "postings")
+    stats = posts.groupBy("number").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("items"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).first()
+    posts = posts.join(posts.groupBy("term").agg(F.count("*").alias("df")), "term")
+    shard = F.pmod(F.xxhash64("number"), F.lit(n)).alias("shard")
+    both = items.select("*", shard).groupBy("shard").cogroup(posts.select("*", shard).groupBy("shard"))  # about SHARD_BYTES of text in a group
+    return Shards(store.keep(both.applyInArrow(_indexing(stats["items"], stats["mean"]), "shard long, payload binary"), "indexes"), n, store)
 
 
 _MATCH = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
+_MATCHES = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,first_word:long>>"
 
 
-def with_matches(docs: DataFrame, shards: list[list[Index]], result_col: str = "matches") -> DataFrame:
+def _searching(sent, names: list[str], result_col: str, all_rows: bool):
+    def search(batches):
+        for batch in batches:
+            for rows, data, at in slices(batch, "text"):
+                found = [[{"item_id": i, "score": m[0], "question_overlap": m[1], "answer_overlap": m[2], "first_word": m[3]} for i, m in sorted(new.items())] for new in find(sent.value, data, at)]
+                out = pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(found, pa.list_(_MATCH))], [*names, result_col])
+                yield out if all_rows else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return search
+
+
+def with_matches(docs: DataFrame, shards: Shards, result_col: str = "matches") -> DataFrame:
     """docs with the items each text holds, an array of (item_id, score, question_overlap, answer_overlap, first_word)."""
-    kind = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,first_word:long>>"
-    out = docs.drop(result_col).withColumn(result_col, F.array().cast(kind))
-    for indexes in shards:
-        sent = docs.sparkSession.sparkContext.broadcast(indexes)
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                for rows, data, at in slices(batch, "text"):
-                    found = [[*(old or []), *({"item_id": i, "score": m[0], "question_overlap": m[1], "answer_overlap": m[2], "first_word": m[3]} for i, m in sorted(new.items()))]
-                             for old, new in zip(rows.column(result_col).to_pylist(), find(sent.value, data, at), strict=True)]
-                    columns = [pa.array(found, pa.list_(_MATCH)) if n == result_col else rows.column(n) for n in rows.schema.names]
-                    yield pa.RecordBatch.from_arrays(columns, rows.schema.names)
-
-        out = out.mapInArrow(released(run), out.schema)
-    return out
+    context = docs.sparkSession.sparkContext
+    docs = docs.drop(result_col)
+    if shards.n == 1:
+        out = docs.withColumn(result_col, F.array().cast(_MATCHES)).schema
+        return docs.mapInArrow(released(_searching(context.broadcast(shards.load(0)), docs.columns, result_col, True)), out)
+    key = lambda c, name: docs[c].alias(name) if c == "doc_id" else F.xxhash64(docs[c]).alias(name)
+    keyed = docs.select(key("doc_id", "__id"), key("text", "__text"), "text")
+    names, schema = ["__id", "__text"], keyed.drop("text").withColumn("__m", F.array().cast(_MATCHES)).schema
+    store = Store(docs.sparkSession, "matches")
+    parts = []
+    for shard in range(shards.n):
+        sent = context.broadcast(shards.load(shard))
+        parts.append(store.keep(keyed.mapInArrow(released(_searching(sent, names, "__m", False)), schema).dropDuplicates(names), f"shard-{shard}"))
+        sent.unpersist()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    found = found.groupBy(*names).agg(F.array_sort(F.flatten(F.collect_list("__m"))).alias("__m"))  # at most one row for each shard in a group
+    here = F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__text") == F.xxhash64(docs["text"]))
+    out = docs.join(found, here, "left")
+    return out.select(*(docs[c] for c in docs.columns), F.coalesce("__m", F.array().cast(_MATCHES)).alias(result_col))
 
 
 def op2_decontam(spark, sf_dir: str) -> DataFrame:

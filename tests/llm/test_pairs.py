@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from helpers import ODD, documents
+from pyspark.sql import functions as F
 
 from evalmill.llm import decontam, near_dup
 from evalmill.llm._tables import Store
@@ -186,13 +187,29 @@ def test_no_items_and_no_documents(spark):
     assert decontam.with_matches(documents(spark, ["a"]).limit(0), decontam.build(spark.createDataFrame([(1, "a b c d.")], ITEMS))).count() == 0
 
 
-def test_shards_find_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20)) + ".") for i in range(30)], ITEMS)
-    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(0, 30, 3)]
-    one = decontam.with_matches(documents(spark, texts), decontam.build(items)).collect()
-    monkeypatch.setattr(decontam, "SHARD_BYTES", 1000)
+def test_shards_find_the_same_and_the_driver_holds_one(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20)) + ".") for i in range(60)] + [(7, "another text of item seven with words enough to be found.")] * 2, ITEMS)
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(0, 60, 3)]
+    texts += [f"{texts[0]} and {texts[1]}", None, "", "see another text of item seven with words enough to be found."]
+    docs = documents(spark, texts, extra=True)
+    docs = docs.union(docs.where("doc_id < 3")).union(docs.where("doc_id in (5, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    key = lambda rows: sorted(((r.doc_id, r.text, tuple((m.item_id, m.score) for m in r.matches)) for r in rows), key=str)
+    one = key(decontam.with_matches(docs, decontam.build(items)).collect())
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 800)
     shards = decontam.build(items)
-    assert len(shards) > 1
-    more = decontam.with_matches(documents(spark, texts), shards).collect()
-    key = lambda rows: {(r.doc_id, m.item_id, m.score) for r in rows for m in r.matches}
-    assert key(one) == key(more) and len(key(one)) == 10
+    assert len(shards) >= 10
+    loaded = []
+    load = decontam.Shards.load
+    monkeypatch.setattr(decontam.Shards, "load", lambda self, k: loaded.append(load(self, k)) or loaded[-1])
+    assert key(decontam.with_matches(docs, shards).collect()) == one
+    sizes = [sum(len(t) for index in indexes for t in index.texts) for indexes in loaded]
+    assert len(sizes) == len(shards) and max(sizes) < 2 * 800 and sum(sizes) > 7000 and sum(len(m) for _, _, m in one) >= 25
+
+
+def test_windows_keep_what_the_search_would_find_at_the_bound(monkeypatch):
+    """An item of five equal parts, three of which a text holds: a share of 0.6 up to rounding."""
+    terms = np.sort(np.random.default_rng(3).integers(0, 2**63, 5, dtype=np.uint64))
+    index = decontam.Index(8, [(1, "", terms, np.ones(5))], {int(t): 1 for t in terms}, 1, 5.0)
+    for picked in ([0, 1, 2], [1, 3, 4], [0, 2, 4]):
+        seen = [w for w in index.windows(terms[picked], np.array([0, 3]))]
+        assert len(seen) == 1 and [i for i, _ in index.search(seen[0][3])] == [0]
