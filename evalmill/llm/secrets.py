@@ -13,13 +13,16 @@ quarter powers of ten, so the rule needs a small table of counts only, whatever
 
 Each text is looked at twice (once for the character counts); no text is shuffled.
 
-Edge cases: a null or empty text has no spans. Repeated rows count as often as they occur. Offsets are in code points.
+Edge cases: a null or empty text has no spans, an empty table no rows. Repeated rows and null ids each give a row and count as often as they
+occur. Offsets are in code points. Columns other than the two named are not looked at.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -57,40 +60,86 @@ for _name, _letters in ALPHABETS.items():
     _CODES[_name][list(_letters)] = np.arange(len(_letters))
 
 
-def upper_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def encoding_of(run: np.ndarray) -> str:
-    body = run[run != 61] if (run == 61).sum() <= 2 and len(run) > 2 else run  # padding
-    return next(name for name in ALPHABETS if (_CODES[name][body] >= 0).all())
+_NAMES = list(ALPHABETS)
+#: For each byte a bit for each encoding that has it.
+_HAVE = sum((_CODES[name] >= 0).astype(np.uint32) << i for i, name in enumerate(_NAMES))
+_ALL = np.uint32((1 << len(_NAMES)) - 1)
+_CELLS = 1 << 20
+
+
+def upper_tail(z: np.ndarray) -> np.ndarray:
+    """Of the normal distribution."""
+    return np.array([0.5 * math.erfc(v) for v in (np.asarray(z, float) / math.sqrt(2)).tolist()])
+
+
+def encodings_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place in ``ALPHABETS`` of each run's encoding, and whether up to two marks of equality in it are padding."""
+    equal = data == 61
+    padded = (np.add.reduceat(equal, at[:-1]) <= 2) & (np.diff(at) > 2)
+    have = np.where(equal & np.repeat(padded, np.diff(at)), _ALL, _HAVE[data])
+    common = np.bitwise_and.reduceat(have, at[:-1])
+    return np.log2((common & -common.astype(np.int64)).astype(float)).astype(np.int64), padded
+
+
+def batteries(runs: list[np.ndarray], shares: np.ndarray) -> list[tuple[str, float, float]]:
+    """Encoding, p_uniform and p_text of runs of bytes; shares: the corpus' bytes' relative counts. Runs of one encoding and length are tested together."""
+    if not runs:
+        return []
+    data, at = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    kind, padded = encodings_of(data, at)
+    groups: dict[tuple[int, int], list[int]] = {}
+    bodies = []
+    for i, (run, k) in enumerate(zip(runs, kind.tolist(), strict=True)):
+        x = _CODES[_NAMES[k]][run]
+        bodies.append(x[x >= 0])
+        groups.setdefault((k, len(bodies[i])), []).append(i)
+    out: list = [None] * len(runs)
+    for (k, n), members in groups.items():
+        step = max(1, _CELLS // max(n, 1))
+        for lo in range(0, len(members), step):
+            part = members[lo : lo + step]
+            for i, u, t in zip(part, *tested(np.stack([bodies[i] for i in part]), _NAMES[k], shares), strict=True):
+                out[i] = (_NAMES[k], float(u), float(t))
+    return out
 
 
-def battery(run: np.ndarray, shares: np.ndarray) -> tuple[str, float, float]:
-    """Encoding, p_uniform and p_text of a run of bytes; shares: the corpus' bytes' relative counts."""
-    name = encoding_of(run)
-    x = _CODES[name][run]
-    x = x[x >= 0]
-    n, k = len(x), len(ALPHABETS[name])
-    chi = float((np.bincount(x, minlength=k) ** 2).sum()) * k / n - n
+def tested(x: np.ndarray, name: str, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p_uniform and p_text of runs of one encoding and length: a row of letters' numbers for each."""
+    m, n = x.shape
+    k = len(ALPHABETS[name])
+    if n < 2:
+        return np.ones(m), np.ones(m)
+    counts = np.bincount((np.arange(m)[:, None] * k + x).ravel(), minlength=m * k).reshape(m, k).astype(float)
+    chi = (counts**2).sum(axis=1) * k / n - n
     p_chi = upper_tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
     above = x >= k // 2
-    m = int(above.sum())
-    p_runs = 0.0
-    if 0 < m < n:
-        runs, mean = 1 + int((above[1:] != above[:-1]).sum()), 1 + 2 * m * (n - m) / n
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        p_runs = 2 * upper_tail(max(0.0, abs(runs - mean) - 0.5) / spread)
-    c = x - x.mean()
-    p_serial = 2 * upper_tail(abs(float((c[1:] * c[:-1]).sum()) / max(1e-9, float((c * c).sum())) + 1 / n) * math.sqrt(n))
+    high = above.sum(axis=1)
+    some = (high > 0) & (high < n)
+    number, mean = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1), 1 + 2 * high * (n - high) / n
+    spread = np.sqrt(np.maximum(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    p_runs = np.where(some, 2 * upper_tail(np.maximum(0.0, np.abs(number - mean) - 0.5) / spread), 0.0)
+    c = x - x.mean(axis=1, keepdims=True)
+    serial = (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.maximum(1e-9, (c * c).sum(axis=1)) + 1 / n
+    p_serial = 2 * upper_tail(np.abs(serial) * math.sqrt(n))
+    mean_text, var_text = text_moments(n, name, shares)
+    p_text = upper_tail(-(chi - mean_text) / math.sqrt(max(var_text, 1e-9)))
+    return np.minimum(1.0, 3 * np.minimum(np.minimum(p_chi, p_runs), p_serial)), p_text
+
+
+def text_moments(n: int, name: str, shares: np.ndarray) -> tuple[float, float]:
+    """Mean and variance of k / n * (sum of the squared counts) - n of n letters drawn as in the corpus."""
+    k = len(ALPHABETS[name])
     q = shares[list(ALPHABETS[name])] + 1e-6
     q = q / q.sum()
     s2, s3 = float((q**2).sum()), float((q**3).sum())
-    # moments of k / n * sum of squares - n, where the counts are drawn by q
-    mean = k * (1 + (n - 1) * s2) - n
-    var = (k / n) ** 2 * 2 * n * (n - 1) * (s2 - s2**2 + 2 * (n - 2) * (s3 - s2**2))
-    p_text = upper_tail(-(chi - mean) / math.sqrt(max(var, 1e-9)))
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), p_text
+    return k * (1 + (n - 1) * s2) - n, (k / n) ** 2 * 2 * n * (n - 1) * (s2 - s2**2 + 2 * (n - 2) * (s3 - s2**2))
+
+
+def apart(runs: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs that overlap none of the spans (start, rank, end), which are sorted by start."""
+    starts = [s for s, *_ in spans]
+    reach = list(itertools.accumulate((e for *_, e in spans), max, initial=-1))  # the furthest end of the first i spans
+    return [(a, b) for a, b in runs if reach[bisect_left(starts, b)] <= a]
 
 
 _FOUND = "doc_id long, base array<struct<start:long,rank:int,end:long>>, runs array<struct<start:long,end:long,encoding:string,length:int,p_uniform:double,step:int>>"
@@ -117,28 +166,33 @@ def _long_runs(data: np.ndarray, at: np.ndarray, outside: np.ndarray, least: int
     return out
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])
+_RUN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("p_uniform", pa.float64()), ("step", pa.int32())])
+
+
 def _searching(shares: np.ndarray):
     def search(batches):
         for batch in batches:
             for rows, data, at in slices(batch, "text"):
                 hexes, runs = _long_runs(data, at, _NOT_HEX, LEAST_HEX), _long_runs(data, at, _NOT_ANY, LEAST_RANDOM)
-                base, found = [], []
+                base, of, free = [], [], []
                 for i in range(rows.num_rows):
                     part = data[at[i] : at[i + 1]]
-                    spans, tested = base_spans(part.tobytes(), hexes.get(i, [])), []
-                    for a, b in runs.get(i, []):
-                        if all(b <= s or a >= e for s, _, e in spans):
-                            name, p_uniform, p_text = battery(part[a:b], shares)
-                            tested.append((a, b, name, b - a, p_uniform, max(0, math.floor(-4 * math.log10(max(p_text, 1e-300))))))
-                    if spans or tested:
-                        place = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                        spans = [(int(place[a]), r, int(place[b])) for a, r, b in spans]
-                        tested = [(int(place[a]), int(place[b]), *rest) for a, b, *rest in tested]
-                    base.append([dict(zip(("start", "rank", "end"), s, strict=True)) for s in spans])
-                    found.append([dict(zip(("start", "end", "encoding", "length", "p_uniform", "step"), t, strict=True)) for t in tested])
-                span = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])
-                run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("p_uniform", pa.float64()), ("step", pa.int32())])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(run))], ["doc_id", "base", "runs"])
+                    base.append(base_spans(part.tobytes(), hexes.get(i, [])))
+                    own = apart(runs.get(i, []), base[i])
+                    free += [(i, a, b) for a, b in own]
+                    of.append([])
+                results = batteries([data[at[i] + a : at[i] + b] for i, a, b in free], shares)
+                for (i, a, b), (name, p_uniform, p_text) in zip(free, results, strict=True):
+                    of[i].append((a, b, name, b - a, p_uniform, max(0, math.floor(-4 * math.log10(max(p_text, 1e-300))))))
+                for i in range(rows.num_rows):
+                    if base[i] or of[i]:
+                        place = np.concatenate([[0], np.cumsum((data[at[i] : at[i + 1]] & 0xC0) != 0x80)])
+                        base[i] = [(int(place[a]), r, int(place[b])) for a, r, b in base[i]]
+                        of[i] = [(int(place[a]), int(place[b]), *rest) for a, b, *rest in of[i]]
+                spans = [[dict(zip(("start", "rank", "end"), s, strict=True)) for s in found] for found in base]
+                tests = [[dict(zip(("start", "end", "encoding", "length", "p_uniform", "step"), t, strict=True)) for t in found] for found in of]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(spans, pa.list_(_SPAN)), pa.array(tests, pa.list_(_RUN))], ["doc_id", "base", "runs"])
 
     return search
 
@@ -165,7 +219,7 @@ def thresholds(counts: dict[int, dict[int, int]], share: float = FALSE_SHARE) ->
 
 def find_secrets(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, spans array<struct<start, rank, end>>, base) of each row of docs (doc_id, text); rank: place in ``KINDS``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     counted = {r.byte: r.n for r in rows.select("text").mapInArrow(released(_count_bytes), "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
     shares = np.array([counted.get(b, 0) for b in range(256)], dtype=float)
     found = store.keep(rows.select("doc_id", "text").mapInArrow(released(_searching(shares / max(1.0, shares.sum()))), _FOUND), "found")
