@@ -11,7 +11,8 @@ the ids gives the text back (models that normalise or drop white space may right
 
 Each row is worked on by itself: no shuffle; models are loaded once in each Python worker.
 
-Edge cases: a null or empty text has no ids, parity and round_trip are true; its ids are an empty array.
+Edge cases: a null or empty text has no ids, parity and round_trip are true; its ids are an empty array. Repeated rows and null ids each give a
+row, an empty table none; columns other than the two named are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from evalmill.llm._text import released, slices
@@ -32,6 +34,8 @@ MODEL = "piece_bpe_32k.model"
 THREADS = 2
 MARK = "▁"
 REMEMBERED = 64 << 20
+#: Ids decoded together; the list of one row is never cut.
+DECODED = 1 << 18
 _JOINED, _KEPT = 256, 1 << 16
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -155,8 +159,7 @@ class Backend:
         self.ours, self.theirs = rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.by_word = model["prefix"] and model["escape"] and not model["squeeze"] and not model["charsmap"] and splits_at_marks(model) and all(p[2] != USER for p in model["pieces"])
         self.bare = rebuild(model, normalise=False) if self.by_word else None
-        self.bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.encode() for p, _, kind in model["pieces"]]
-        self.sizes = np.array([len(x) for x in self.bytes])
+        self.sizes = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in model["pieces"]])
         self.words: dict[str, int] = {}
         self.flat, self.first, self.good, self.held = array("i"), array("q", [0]), array("b"), 0
 
@@ -170,20 +173,21 @@ class Backend:
     def learn(self, fresh: list[str]):
         """Encodes, decodes and compares words, each beginning with the marker.
 
-        Words go through both libraries end to end, ``_JOINED`` of them in a text, and are told apart by their bytes; where the two
-        libraries or the bytes differ, and for words of markers only, each word goes by itself.
+        Words go through both libraries and the decoder end to end, ``_JOINED`` of them in a text, and are told apart by their lengths; where the two
+        libraries differ or the text does not come back, and for words of markers only, each word goes by itself.
         """
         alone = [w for w in fresh if not w.strip(MARK)]
         rest = [w for w in fresh if w.strip(MARK)]
         joined = ["".join(rest[i : i + _JOINED]) for i in range(0, len(rest), _JOINED)]
         ours = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
         theirs = self.theirs.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
+        back = self.ours.decode_batch(theirs, skip_special_tokens=False)
         for i, (text, a, b) in enumerate(zip(joined, ours, theirs, strict=True)):
             words = rest[i * _JOINED : (i + 1) * _JOINED]
             ends = np.cumsum([len(w.encode()) for w in words])
             places = np.cumsum(self.sizes[b]) if b else np.zeros(0, np.int64)
             cut = np.searchsorted(places, ends)
-            if a == b and b"".join(map(self.bytes.__getitem__, b)) == text.encode() and (places[cut] == ends).all():
+            if a == b and back[i] == text[1:].replace(MARK, " ") and len(places) and places[-1] == ends[-1] and (places[cut] == ends).all():
                 self.words.update(zip(words, range(len(self.good), len(self.good) + len(words)), strict=True))
                 self.first.extend((len(self.flat) + cut + 1).tolist())
                 self.flat.extend(b)
@@ -250,10 +254,16 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
     def run(batches):
         ours = load(name).ours
         for batch in batches:
-            ids = [x or [] for x in batch.column("token_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ours.decode_batch(ids, skip_special_tokens=False), pa.string())], ["doc_id", "text"])
-
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+            lists = pc.fill_null(batch.column("token_ids"), [])
+            at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + DECODED, side="right")) - 1)
+                texts = ours.decode_batch(lists.slice(lo, hi - lo).to_pylist(), skip_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(texts, pa.string())], ["doc_id", "text"])
+                lo = hi
+
+    return encoded.select("doc_id", "token_ids").mapInArrow(released(run), "doc_id long, text string")
 
 
 def op5_pieces(spark, sf_dir: str) -> DataFrame:
