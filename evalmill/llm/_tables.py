@@ -12,10 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, as in tests, a new local folder is set."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a session on this machine alone, as in tests, gets a new folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-")
         _own[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 

@@ -140,6 +140,35 @@ def test_pieces_are_the_library_s_and_decode(spark, tmp_path):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
 
 
+def test_parity_over_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    encoded = pieces.encode(docs)
+    assert encoded.where("not parity").count() == 0
+    back = pieces.decode(encoded).withColumnRenamed("text", "back").join(docs, "doc_id").join(encoded, "doc_id")
+    assert back.where("round_trip and back <> text").count() == 0 and back.where("round_trip").count() > 0.9 * docs.count()
+
+
+def test_decoding_of_nulls_and_long_lists(spark, monkeypatch):
+    docs = documents(spark, ["word " * 3000, "", "é a", "x" * 3000])
+    ids = pieces.encode(docs).select("doc_id", "token_ids")
+    ids = ids.union(ids.sparkSession.createDataFrame([(9, None)], ids.schema))
+    want = {0: "word " * 3000, 1: "", 2: "é a", 3: "x" * 3000, 9: ""}
+    monkeypatch.setattr(pieces, "DECODED", 100)
+    assert {r.doc_id: r.text for r in pieces.decode(ids).collect()} == want
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from evalmill.llm._tables import shared_folder
+
+    session = lambda master, conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=master))
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(session("spark://host:7077", {}))
+    assert shared_folder(session("local[2]", {})) == shared_folder(session("local[2]", {}))
+    assert shared_folder(session("spark://host:7077", {"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+
+
 def message(number, value):
     def varint(n):
         out = b""
@@ -194,11 +223,102 @@ def test_secrets(spark, tmp_path):
         assert (f"random:{t.index(planted)}:{t.index(planted) + 64}" in r.spans.split(",")) if planted else r.n_random == 0
 
 
+@pytest.mark.parametrize("query", [ppm.op1_lm_ppm, token_counts.op4_token_counts, pieces.op5_pieces, secrets.op6_secrets, pii.op8_pii, media.op9_media])
+def test_odd_tables(spark, tmp_path, query):
+    """No rows; null ids, repeated rows and further columns, which change nothing."""
+    texts = [*ODD, "write to a@b.cc, token=abcdef1 and 4111 1111 1111 1111", "AKIA" + "Q7" * 9]
+    docs = documents(spark, texts)
+    plain = {r.doc_id: r for r in query(spark, save(spark, tmp_path / "a", documents=docs)).collect()}
+    more = documents(spark, texts, extra=True)
+    more = more.union(more.where("doc_id in (4, 8)")).union(more.where("doc_id = 8").withColumn("doc_id", __import__("pyspark").sql.functions.lit(None).cast("long")))
+    rows = query(spark, save(spark, tmp_path / "b", documents=more)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted([(False, i) for i in [*range(len(texts)), 4, 8]] + [(True, 0)])
+    for r in rows:
+        want = plain[8 if r.doc_id is None else r.doc_id]
+        if query is not ppm.op1_lm_ppm:  # there repeated rows are learned from as often as they occur
+            assert [v for k, v in r.asDict().items() if k != "doc_id"] == [v for k, v in want.asDict().items() if k != "doc_id"]
+    assert query(spark, save(spark, tmp_path / "c", documents=docs.limit(0))).count() == 0
+
+
 def test_false_discovery_rule():
     assert secrets.thresholds({5: {0: 90, 40: 10}}, 0.01) == {5: 40}
     assert secrets.thresholds({5: {0: 100}, 6: {4: 1}}, 0.01) == {}
 
 
+def plain_battery(run, shares):
+    """The three tests and the corpus' one, letter by letter."""
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    bare = run.replace(b"=", b"") if run.count(b"=") <= 2 else run
+    name = next(n for n, letters in secrets.ALPHABETS.items() if all(c in letters for c in bare))
+    letters = secrets.ALPHABETS[name]
+    x = [letters.index(c) for c in run if c in letters]
+    n, k = len(x), len(letters)
+    chi = sum(x.count(v) ** 2 for v in range(k)) * k / n - n
+    p = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    high = sum(v >= k // 2 for v in x)
+    if 0 < high < n:
+        runs = 1 + sum((a >= k // 2) != (b >= k // 2) for a, b in zip(x, x[1:]))
+        mean = 1 + 2 * high * (n - high) / n
+        p.append(2 * tail(max(0, abs(runs - mean) - 0.5) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))))
+    else:
+        p.append(0)
+    mid = sum(x) / n
+    r = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / max(1e-9, sum((a - mid) ** 2 for a in x))
+    p.append(2 * tail(abs(r + 1 / n) * math.sqrt(n)))
+    mean, var = secrets.text_moments(n, name, shares)
+    return name, min(1, 3 * min(p)), tail(-(chi - mean) / math.sqrt(max(var, 1e-9)))
+
+
+def test_batteries_are_those_of_plain_loops():
+    rng = random.Random(5)
+    shares = np.array([rng.random() for _ in range(256)])
+    pools = [*secrets.ALPHABETS.values(), b"ab", b"0", b"q"]
+    runs = [bytes(rng.choices(rng.choice(pools), k=rng.choice([20, 21, 40, 90]))) + rng.choice([b"", b"", b"=", b"==", b"==="]) for _ in range(400)]
+    for run, (name, u, t) in zip(runs, secrets.batteries([np.frombuffer(r, np.uint8) for r in runs], shares), strict=True):
+        want = plain_battery(run, shares)
+        assert name == want[0] and math.isclose(u, want[1], rel_tol=1e-6, abs_tol=1e-12) and math.isclose(t, want[2], rel_tol=1e-6, abs_tol=1e-12), run
+
+
+def test_moments_are_those_of_drawn_texts():
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(secrets.ALPHABETS["lower"], np.uint8)
+    shares = np.zeros(256)
+    shares[letters] = rng.dirichlet(np.ones(26) * 2)
+    x = rng.choice(26, (20000, 40), p=(shares[letters] + 1e-6) / (shares[letters] + 1e-6).sum())
+    chi = np.array([(np.bincount(r, minlength=26) ** 2).sum() for r in x]) * 26 / 40 - 40
+    mean, var = secrets.text_moments(40, "lower", shares)
+    assert abs(chi.mean() - mean) < 0.02 * mean and abs(chi.var() - var) < 0.1 * var
+
+
+def test_discovery_rule_against_the_rule_on_single_values():
+    rng = random.Random(6)
+    for _ in range(50):
+        steps = [min(200, int(rng.expovariate(0.05 if rng.random() < 0.2 else 0.8))) for _ in range(rng.randint(1, 300))]
+        p = sorted(10 ** (-s / 4) for s in steps)
+        passed = [v for i, v in enumerate(p) if v <= 0.01 * (i + 1) / len(p)]
+        least = secrets.thresholds({5: Counter(steps)}, 0.01).get(5)
+        assert sum(least is not None and s >= least for s in steps) == (sum(v <= max(passed) for v in p) if passed else 0)
+
+
+def test_runs_apart_from_spans():
+    rng = random.Random(7)
+    for _ in range(200):
+        spans = sorted((a, 0, a + rng.randint(1, 30)) for a in rng.sample(range(300), rng.randint(0, 12)))
+        cuts = sorted(rng.sample(range(320), 20))
+        runs = list(zip(cuts[::2], cuts[1::2]))
+        assert secrets.apart(runs, spans) == [(a, b) for a, b in runs if all(b <= s or a >= e for s, _, e in spans)]
+
+
+def test_a_long_text_with_many_spans_and_runs_takes_seconds():
+    import time
+
+    text = b" ".join(b"token=abcdef%05d %s" % (i, bytes(random.Random(i).choices(b"abcdefghijkmnpqrstuvwxyz", k=25))) for i in range(30000))
+    batch = __import__("pyarrow").record_batch({"doc_id": [1], "text": [text.decode()]})
+    began = time.time()
+    (out,) = secrets._searching(np.ones(256) / 256)(iter([batch]))
+    assert time.time() - began < 30 and len(out.column("base")[0]) == 30000 and len(out.column("runs")[0]) == 30000
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
