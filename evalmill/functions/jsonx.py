@@ -149,21 +149,74 @@ NAME_KEYS = ("name", "tool", "tool_name", "function_name", "functionName", "func
 ARGUMENT_KEYS = ("arguments", "parameters", "params")
 TOOL_NAME = re.compile(r"[a-z][a-z0-9_]*\.[a-z][a-z0-9_]*\Z")
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+_SPECIAL = re.compile(r'[\[\]{}"\\]')
+_CLOSES = {"]": "[", "}": "{"}
+
+
+class _Waiting:
+    """Brackets that wait for their ends and see the text in one state of the scanner.
+
+    A bracket counts those of its own kind only. Its depth is its kind's ``count`` less the base it is kept under; of those with one base, which
+    end together, the first counts.
+    """
+
+    def __init__(self):
+        self.count, self.first = {"[": 0, "{": 0}, {"[": {}, "{": {}}
+
+    def open(self, kind: str, at: int):
+        self.first[kind].setdefault(self.count[kind], at)
+        self.count[kind] += 1
+
+    def close(self, kind: str) -> int | None:
+        self.count[kind] -= 1
+        return self.first[kind].pop(self.count[kind], None)
+
+    def joined(self, other: _Waiting) -> _Waiting:
+        """Both together; the smaller one's bases are moved."""
+        for kind in "[{":
+            few, many = sorted((self.first[kind], other.first[kind]), key=len)
+            here, there = (self, other) if many is self.first[kind] else (other, self)
+            for base, at in few.items():
+                base += here.count[kind] - there.count[kind]
+                many[base] = min(many.get(base, at), at)
+            self.first[kind], self.count[kind] = many, here.count[kind]
+        return self
+
+    def __bool__(self) -> bool:
+        return any(self.first.values())
 
 
 def first_json(text: str) -> str | None:
-    """The first balanced list or object of a text, looked for inside a fence if there is one."""
+    """The first balanced list or object of a text, looked for inside a fence if there is one.
+
+    Every bracket is a possible beginning, from which the text is read anew, outside of quotes. As readings differ in nothing but whether they
+    are inside quotes, those in the same state go on together: one pass for all beginnings.
+    """
     body = text.strip()
     if fenced := _FENCE.search(body):
         body = fenced[1].strip()
-    for begin in (m.start() for m in re.finditer(r"[\[{]", body)):
-        close, depth = {"[": "]", "{": "}"}[body[begin]], 0
-        for m in _TOKEN.finditer(body, begin):
-            depth += (m[0] == body[begin]) - (m[0] == close)
-            if depth == 0:
-                return body[begin : m.end()]
-    return None
+    plain, quoted, escaped, escape, top, best = _Waiting(), _Waiting(), _Waiting(), -1, None, None
+    for m in _SPECIAL.finditer(body):
+        at, c = m.start(), m[0]
+        skipped = escaped if at == escape + 1 else None  # what stands behind a backslash in quotes counts for nothing
+        if escaped and skipped is None:
+            quoted = quoted.joined(escaped)
+        if skipped is not None or escaped:
+            escaped = _Waiting()
+        if c == '"':
+            plain, quoted = quoted, plain
+        elif c == "\\":
+            escaped, quoted, escape = quoted, _Waiting(), at
+        elif c in "[{":
+            top = at if top is None else top
+            plain.open(c, at)
+        elif (begin := plain.close(_CLOSES[c])) is not None and (best is None or begin < best[0]):
+            best = begin, at + 1
+            if begin == top:
+                break
+        if skipped:
+            quoted = quoted.joined(skipped)
+    return body[best[0] : best[1]] if best else None
 
 
 def call_of(value) -> tuple[str, dict] | None:

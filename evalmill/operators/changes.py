@@ -34,16 +34,15 @@ def due_tasks(tasks: DataFrame, fired: DataFrame, now: Column) -> DataFrame:
 
 
 def task_from_page(pages: DataFrame, page: str = "page") -> DataFrame:
-    """Nested page JSON to flat tasks; missing parts take defaults, a due time without a zone is UTC."""
+    """Nested page JSON to flat tasks. The title is its first part's text; missing texts are empty, a missing due time and priority null, and a due time without a zone is UTC."""
     schema = (
-        "id string, properties struct<Name:struct<title:array<struct<plain_text:string>>>,Due:struct<date:struct<start:string>>,Status:struct<status:struct<name:string>>,"
+        "id string, properties struct<Name:struct<title:array<struct<plain_text:string>>>,Due:struct<date:struct<start:string>>,Status:struct<select:struct<name:string>>,"
         "Priority:struct<select:struct<name:string>>,Tags:struct<multi_select:array<struct<name:string>>>>"
     )
     p = pages.withColumn("p", F.from_json(page, schema))
     start = F.col("p.properties.Due.date.start")
     due = F.when(start.rlike(r"([Zz]|[+-]\d{2}:?\d{2})\z"), F.try_to_timestamp(start)).otherwise(F.try_to_timestamp(F.concat(start, F.when(start.contains("T"), "Z").otherwise("T00:00:00Z"))))
-    title = F.array_join(F.transform(F.col("p.properties.Name.title"), lambda t: t["plain_text"]), "")
     return p.select(
-        F.col("p.id").alias("id"), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled")).alias("title"), due.alias("due"), F.coalesce("p.properties.Status.status.name", F.lit("")).alias("status"),
+        F.col("p.id").alias("id"), F.coalesce(F.get("p.properties.Name.title", F.lit(0))["plain_text"], F.lit("")).alias("title"), due.alias("due"), F.coalesce("p.properties.Status.select.name", F.lit("")).alias("status"),
         F.col("p.properties.Priority.select.name").alias("priority"), F.coalesce(F.transform(F.col("p.properties.Tags.multi_select"), lambda t: t["name"]), F.array().cast("array<string>")).alias("tags"),
     )

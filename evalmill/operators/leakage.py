@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,79 +21,136 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(fold(text), r"^\s+|\s+\z", "")
 
 
+def key_classes(rows: DataFrame, row_id: str, key: Column) -> DataFrame:
+    """Membership: (row_id, class), where the class of a key is its smallest id; for looking up what a class holds."""
+    own = rows.select(row_id, F.sha2(key, 256).alias("h")).where("h IS NOT NULL")
+    return own.join(_classes(own, row_id), "h").select(row_id, "class")
+
+
+def _classes(hashed: DataFrame, row_id: str) -> DataFrame:
+    return hashed.where("h IS NOT NULL").groupBy("h").agg(F.min(row_id).alias("class"), F.count("*").alias("members"))
+
+
 def exact_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, text: str = "text", key=normalised) -> DataFrame:
-    """(train_id, eval_id) pairs with the same normalised text, joined by its hash."""
+    """(train_id, class, members): training rows with the normalised text of evaluation rows, joined by its hash.
+
+    Evaluation rows of one text are a class, named by its smallest id, with the number of its members, so copies on both sides don't multiply;
+    ``key_classes`` of the evaluation rows has the members.
+    """
     a = train.select(F.col(train_id), F.sha2(key(F.col(text)), 256).alias("h"))
     b = evals.select(F.col(eval_id), F.sha2(key(F.col(text)), 256).alias("h"))
-    return a.join(b, "h").select(train_id, eval_id)
+    return a.join(_classes(b, eval_id), "h").select(train_id, "class", "members")
 
 
 def id_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str) -> DataFrame:
-    """Training ids that hold an evaluation id as one of their parts (or runs of parts of up to four)."""
+    """Training ids that hold an evaluation id, of any number of parts, as a run of their parts."""
     parts = F.split(F.col(train_id).cast("string"), r"[^A-Za-z0-9]+")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n), "_"))))
-    a = train.select(train_id, F.explode(F.array_distinct(runs)).alias("key"))
-    b = evals.select(eval_id, F.array_join(F.split(F.col(eval_id).cast("string"), r"[^A-Za-z0-9]+"), "_").alias("key"))
+    # the outer transform binds the parts to a variable: as an expression they would be split again for every run
+    runs = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.array_join(F.slice(p, i, n), "_"))))
+    a = train.select(train_id).distinct().select(train_id, F.explode(F.array_distinct(F.get(F.transform(F.array(parts), runs), F.lit(0)))).alias("key"))
+    b = evals.select(eval_id, F.array_join(F.split(F.col(eval_id).cast("string"), r"[^A-Za-z0-9]+"), "_").alias("key")).distinct()
     return a.join(b, "key").select(train_id, eval_id).distinct()
 
 
 def output_leaks(train: DataFrame, train_id: str, payload: str, responses: DataFrame, response_id: str, response_payload: str) -> DataFrame:
-    """Training targets equal to an evaluation response; payloads are canonical JSON."""
+    """(train_id, class, members): training targets equal to evaluation responses, by classes as ``exact_leaks`` has them; payloads are canonical JSON."""
     a = train.select(train_id, F.sha2(payload, 256).alias("h"))
-    return a.join(responses.select(response_id, F.sha2(response_payload, 256).alias("h")), "h").select(train_id, response_id)
+    return a.join(_classes(responses.select(response_id, F.sha2(response_payload, 256).alias("h")), response_id), "h").select(train_id, "class", "members")
+
+
+def _runs_of_words(text: Column, n: int, of) -> Column:
+    """Distinct values of ``of`` over the runs of n lower-cased words; none for shorter texts."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.when(F.size(w) >= n, of(F.slice(w, i + 1, n))))
+    return F.array_compact(F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0))))
 
 
 def word_ngrams(text: Column, n: int) -> Column:
     """Distinct runs of n lower-cased words, joined by a space; none for shorter texts."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != "")
-    # the outer transform binds the words to a variable: as an expression they would be split again for every run
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.when(F.size(w) >= n, F.array_join(F.slice(w, i + 1, n), " ")))
-    return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
+    return _runs_of_words(text, n, lambda run: F.array_join(run, " "))
+
+
+def _common(grams: DataFrame, train_id: str, marked: DataFrame, eval_id: str, gram: str, least: float) -> DataFrame:
+    met = grams.join(marked, gram).groupBy(train_id, eval_id).agg(F.count("*").alias("common"), F.first("total").alias("total"))
+    return met.withColumn("share", F.col("common") / F.col("total")).where(F.col("share") >= least)
 
 
 def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, n: int = 8, least: float = 0.5, text: str = "text") -> DataFrame:
     """Pairs of which at least ``least`` of the evaluation text's n-grams stand in the training text: (train_id, eval_id, common, share).
 
-    Grams of the evaluation side are few; a training gram that is not among them leaves in the join before anything is counted.
+    All texts are compared by 64-bit hashes of their grams; a training gram that no evaluation text has leaves in the join before anything is counted.
+    As equal grams have equal hashes, the pairs so found hold all that count; their texts are compared again by the grams themselves.
     """
-    marked = evals.select(eval_id, word_ngrams(F.col(text), n).alias("g")).select(eval_id, F.size(F.array_compact("g")).alias("total"), F.explode(F.array_compact("g")).alias("gram"))
-    grams = train.select(train_id, F.explode(F.array_compact(word_ngrams(F.col(text), n))).alias("gram"))
-    met = grams.join(marked, "gram").groupBy(train_id, eval_id).agg(F.count("*").alias("common"), F.first("total").alias("total"))
-    return met.withColumn("share", F.col("common") / F.col("total")).where(F.col("share") >= least).select(train_id, eval_id, "common", "share")
+    hashed = lambda c: _runs_of_words(F.col(c), n, lambda run: F.xxhash64(run))
+    marked = evals.select(eval_id, hashed(text).alias("g")).select(eval_id, F.size("g").alias("total"), F.explode("g").alias("h"))
+    met = _common(train.select(train_id, F.explode(hashed(text)).alias("h")), train_id, marked, eval_id, "h", least).select(train_id, eval_id)
+    a, b = train.join(met.select(train_id).distinct(), train_id, "left_semi"), evals.join(met.select(eval_id).distinct(), eval_id, "left_semi")
+    pairs = met.join(a.select(train_id, word_ngrams(F.col(text), n).alias("__a")), train_id).join(b.select(eval_id, word_ngrams(F.col(text), n).alias("__b")), eval_id)
+    out = pairs.withColumn("common", F.size(F.array_intersect("__a", "__b")).cast("long")).withColumn("share", F.col("common") / F.size("__b"))
+    return out.where(F.col("share") >= least).select(train_id, eval_id, "common", "share")
+
+
+BLOCK_ROWS = 2048
+
+
+def _packed(row_id: str, vector: str):
+    """Vectors to blocks of ``BLOCK_ROWS``: (ids, values, width), numbers as bytes. Zero vectors and nulls are left out."""
+
+    def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([x.shape[1]], pa.int32())], ["ids", "data", "width"])
+
+    def pack(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch.column(row_id).is_valid(), batch.column(vector).is_valid()))
+            widths = pc.list_value_length(batch.column(vector)).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths[widths > 0]).tolist():
+                part = batch.filter(pa.array(widths == width))
+                ids, x = part.column(row_id).to_numpy(), part.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                ids, x = ids[good], x[good]
+                if width in held:
+                    ids, x = np.concatenate([held[width][0], ids]), np.concatenate([held[width][1], x])
+                while len(ids) >= BLOCK_ROWS:
+                    yield block(ids[:BLOCK_ROWS], x[:BLOCK_ROWS])
+                    ids, x = ids[BLOCK_ROWS:], x[BLOCK_ROWS:]
+                held[width] = ids, x
+        for ids, x in held.values():
+            if len(ids):
+                yield block(ids, x)
+
+    return pack
+
+
+def _compared(train_id: str, eval_id: str, least: float):
+    """Pairs of two blocks: those near the bound by float32 products, then exactly."""
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def compare(batches):
+        for b in batches:
+            for r in b.itertuples():
+                if r.width != r.eval_width:
+                    continue
+                x, y = (unit(np.frombuffer(d, "<f8").reshape(-1, r.width)) for d in (r.data, r.eval_data))
+                i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= least - 1e-4)
+                cos = np.einsum("ij,ij->i", x[i], y[j])
+                keep = cos >= least
+                yield pd.DataFrame({train_id: np.frombuffer(r.ids, "<i8")[i[keep]], eval_id: np.frombuffer(r.eval_ids, "<i8")[j[keep]], "cosine": cos[keep]})
+
+    return compare
 
 
-def embedding_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, vector: str = "embedding", least: float = 0.9, shard_rows: int = 4096) -> DataFrame:
-    """All pairs with a cosine of at least ``least``: the evaluation vectors pass in shards of bounded size, each multiplied with blocks of training vectors.
+def embedding_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, vector: str = "embedding", least: float = 0.9) -> DataFrame:
+    """All pairs with a cosine of at least ``least``. Both sides are packed into blocks of bounded size in one scan each; every block of queries meets every block of training vectors, a matrix product for a pair.
 
-    Zero vectors and nulls match nothing.
+    Zero vectors, vectors with a value that is no number, and nulls match nothing; vectors of different widths don't match.
     """
-    total = evals.count()
-    shards = max(1, -(-total // shard_rows))
-    keyed = evals.withColumn("__s", F.pmod(F.xxhash64(eval_id), F.lit(shards)))
-    spark, out = train.sparkSession, None
-    schema = f"{train_id} long, {eval_id} long, cosine double"
-    for s in range(shards):
-        rows = keyed.where(F.col("__s") == s).where(F.col(vector).isNotNull()).select(eval_id, vector).collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)))
-
-        def block(batches, sent=sent):
-            ids, matrix = sent.value
-            ids = np.array(ids, dtype=np.int64)
-            size = np.linalg.norm(matrix, axis=1) if len(ids) else np.zeros(0)
-            for b in batches:
-                b = b[b[vector].notna()]
-                if not len(b) or not len(ids):
-                    continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in b[vector]])
-                n = np.linalg.norm(x, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cos = (x @ matrix.T) / (n[:, None] * size[None, :])
-                i, j = np.nonzero(np.nan_to_num(cos, nan=-2.0) >= least)
-                yield pd.DataFrame({train_id: b[train_id].to_numpy()[i], eval_id: ids[j], "cosine": cos[i, j]})
-
-        found = train.select(train_id, vector).mapInPandas(block, schema)
-        out = found if out is None else out.union(found)
-    return out
+    kind = "ids binary, data binary, width int"
+    a = train.select(F.col(train_id).cast("long").alias(train_id), vector).mapInArrow(_packed(train_id, vector), kind)
+    b = evals.select(F.col(eval_id).cast("long").alias(eval_id), vector).mapInArrow(_packed(eval_id, vector), kind).toDF("eval_ids", "eval_data", "eval_width")
+    return a.crossJoin(b).mapInPandas(_compared(train_id, eval_id, least), f"{train_id} long, {eval_id} long, cosine double")  # a query set against all rows, in blocks
 
 
 def shared_structure(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

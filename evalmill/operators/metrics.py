@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join by keys of which null is a value like others."""
+    named = right.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same).drop(*(f"__r{i}" for i in range(len(keys))))
+
+
 def run_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
     """One row for each key (for no key, one row also for no rows): means over the non-null values, summed cost."""
     mean = lambda c: F.avg(F.col(c).cast("double")).alias(f"average_{c}")
@@ -21,18 +32,19 @@ def metrics_by_slices(scored: DataFrame, run: str, slices: list[str], value: Col
     return scored.select(run, value.alias("__v"), pairs.alias("p")).groupBy(run, "p.slice", "p.slice_value").agg(F.avg("__v").alias(name), F.count("*").alias("n"))
 
 
-def failure_summary(scored: DataFrame, by: list[str], position: str, name: str, listed: int = 20) -> DataFrame:
-    """Each reason's full count and its first ``listed`` rows by position.
+def failure_summary(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Each reason's count, the most frequent first, equal ones by name."""
+    spread = scored.select(*by, F.explode("failure_reasons").alias("reason"))
+    return spread.groupBy(*by, "reason").agg(F.count("*").alias("n")).orderBy(*by, F.desc("n"), "reason")
+
+
+def failure_ids(scored: DataFrame, by: list[str], position: str, name: str) -> DataFrame:
+    """All rows that failed for each reason, a row for each (reason, n, position, name): in order of n down, reason and position they are the summary with its ids.
 
-    There are nine reasons at most, so rows are ranked within slices of the positions first and only each slice's first rows meet.
+    There are nine reasons at most, so ids are not gathered into lists: a list of one reason would have no bound.
     """
-    spread = scored.select(*by, F.col(position).alias("__p"), F.col(name).alias("__id"), F.explode("failure_reasons").alias("reason"))
-    counts = spread.groupBy(*by, "reason").agg(F.count("*").alias("n"))
-    part = spread.withColumn("__slice", F.pmod(F.xxhash64("__p"), F.lit(256)))
-    few = top_ranked(part, [*by, "reason", "__slice"], [F.col("__p")], listed)
-    first = top_ranked(few, [*by, "reason"], [F.col("__p")], listed)
-    ids = first.groupBy(*by, "reason").agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__id"))), lambda x: x["__id"]).alias("ids"))
-    return counts.join(ids, [*by, "reason"]).orderBy(*by, F.desc("n"), "reason")
+    spread = scored.select(*by, F.explode("failure_reasons").alias("reason"), F.col(position).alias("position"), F.col(name))
+    return with_keys(spread, spread.groupBy(*by, "reason").agg(F.count("*").alias("n")), [*by, "reason"]).select(*by, "reason", "n", "position", name)
 
 
 def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,9 +70,34 @@ def paired_wins(scored: DataFrame, run: str, item: str, value: str, a, b) -> Dat
     return both.agg(F.count_if(F.expr("b > a")).alias("wins"), F.count_if(F.expr("b < a")).alias("losses"), F.count_if(F.expr("b = a")).alias("ties"), F.count("*").alias("pairs"))
 
 
-def latency_percentiles(rows: DataFrame, by: list[str], value: str, exact: bool = True) -> DataFrame:
-    pct = (lambda p: F.percentile(value, p)) if exact else (lambda p: F.percentile_approx(value, p))
-    return rows.groupBy(*by).agg(pct(0.5).alias("p50"), pct(0.99).alias("p99"))
+def _place(value: Column) -> Column:
+    """A whole number that grows with the value: 256 for each doubling."""
+    step = F.floor(F.log2(F.abs(value)) * 256) + 1075 * 256 + 1
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, step).otherwise(-step)
+
+
+def latency_percentiles(rows: DataFrame, by: list[str], value: str, points: dict[str, float] | None = None) -> DataFrame:
+    """Exact percentiles (between two values by their distance) for each key, of its values that are not null; a key without any has no row.
+
+    Values are counted, counts added up by narrow ranges of values, and only the ranges that hold a wanted rank are put in order: few keys with many rows
+    don't meet in a task each.
+    """
+    points = points or {"p50": 0.5, "p99": 0.99}
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n")).withColumn("__b", _place(F.col("__v")))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__s").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__s")).select(*by, "__b", "__s", before.alias("__before"), F.sum("__s").over(group).alias("__total"))
+    at = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in points.items()}
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), side(x).cast("long").alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items() for side in (F.floor, F.ceil)))
+    wanted = F.filter(F.array_distinct(ranks), lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__s")))
+    held = ranges.select(*by, "__b", "__before", wanted.alias("__w")).where(F.size("__w") > 0)
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v"))
+    inside = with_keys(counts, held, [*by, "__b"]).withColumn("__end", F.col("__before") + upto)
+    own = inside.select(*by, "__v", F.explode(F.filter("__w", lambda r: (r["rank"] < F.col("__end")) & (r["rank"] >= F.col("__end") - F.col("__n")))).alias("__w"))
+    low, high = (lambda name: F.min(F.when(F.col("__w.name") == name, F.col("__v")))), (lambda name: F.max(F.when(F.col("__w.name") == name, F.col("__v"))))
+    part = lambda name: F.max(F.when(F.col("__w.name") == name, F.col("__w.part")))
+    return own.groupBy(*by).agg(*((low(n) + part(n) * (high(n) - low(n))).alias(n) for n in points))
 
 
 def precision_recall(rows: DataFrame, predicted: Column, actual: Column, by: list[str]) -> DataFrame:
@@ -77,25 +114,63 @@ def status_rates(rows: DataFrame, run: str, status: str, values: list[str]) -> D
     return rows.groupBy(run).agg(*(F.avg((F.col(status) == v).cast("double")).alias(f"{v}_rate") for v in values))
 
 
+def _resampled(resamples: int, by: list[str], value: str):
+    """For each key and resample the sums of weights and of weighted values of a partition's rows; weights are Poisson(1) draws that hash (resample, item)."""
+    at = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(8)])
+    odd = np.uint64(0x9E3779B97F4A7C15)
+
+    def draw(items: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = items[:, None] + odd * (np.arange(resamples, dtype=np.uint64) + np.uint64(1))[None, :]
+            for shift, by_number in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(by_number)
+            return np.searchsorted(at, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+    def frame(sums: dict) -> pd.DataFrame:
+        keys = pd.DataFrame(list(sums), columns=by).loc[lambda k: k.index.repeat(resamples)].reset_index(drop=True) if by else pd.DataFrame(index=range(len(sums) * resamples))
+        both = np.stack(list(sums.values()))
+        return keys.assign(b=np.tile(np.arange(resamples), len(sums)), w=both[:, 0].ravel(), wv=both[:, 1].ravel())
+
+    def work(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            batch = batch[batch[value].notna()]
+            for key, rows in batch.groupby(by, dropna=False) if by else [((), batch)]:
+                total = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, resamples)))
+                for lo in range(0, len(rows), 4096):
+                    part = rows.iloc[lo : lo + 4096]
+                    w = draw(part["__item"].to_numpy().view(np.uint64))
+                    total += np.stack([w.sum(axis=0), part[value].to_numpy(dtype=float) @ w])
+            if len(sums) * resamples > 1 << 20:
+                yield frame(sums)
+                sums = {}
+        if sums:
+            yield frame(sums)
+
+    return work
+
+
 def bootstrap(rows: DataFrame, item: str, value: str, resamples: int = 200, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
-    """Interval of a mean from Poisson(1) weights that are hashes of (resample, item): each row is weighted in place, partial sums are shuffled."""
+    """Interval of a mean: each row has a weight in each resample, a hash of the two, so samples are the same however rows are spread; each partition sends its sums only."""
     by = by or []
-    draw = (F.pmod(F.xxhash64(F.col("b"), F.col(item)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    spread = rows.select(*by, item, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("*", draw)
-    weight, total, mass = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        total += mass
-        weight = weight + F.when(F.col("u") >= total, 1).otherwise(0)
-        mass /= k
-    means = spread.withColumn("w", weight).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("mean"))
+    narrow = rows.select(*by, F.xxhash64(item).alias("__item"), F.col(value).cast("double").alias(value))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name in by)
+    sums = narrow.mapInPandas(_resampled(resamples, by, value), f"{kinds}b int, w double, wv double")
+    means = sums.groupBy(*by, "b").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("mean"))
     tail = (1 - level) / 2
     return means.groupBy(*by).agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
 
 
 def diversity(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in each bucket of the columns' values."""
     return rows.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def diversity_summary(buckets: DataFrame) -> DataFrame:
+    """One row: how many buckets have rows, how many rows there are, and the largest bucket's share of them."""
+    return buckets.agg(F.count("*").alias("buckets"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("largest_share"))
+
+
 def coverage_profile(examples: DataFrame, by: list[str]) -> DataFrame:
     """Shares of what training examples show: examples with calls, an array of (tool, n_arguments)."""
     family = F.split(F.get(F.col("calls"), F.lit(0))["tool"], r"\.")[0]
@@ -122,13 +197,25 @@ def _cell(place: int, column: str, form: str) -> Column:
     return F.struct(F.lit(place).alias("place"), F.lit(column).alias("metric"), text.alias("cell"))
 
 
+#: Rows, and later hashes, that are hashed together: about so many at first, 256 at most on each level above.
+REVISION_ROWS = 1024
+
+
 def content_revision(rows: DataFrame, key: str, content: list[str]) -> DataFrame:
-    """One hash of all rows, whatever their partitions: row hashes by key within each of 4096 buckets, then the buckets' hashes in order."""
+    """One hash of all rows, whatever their partitions: rows by key in buckets of a key's hash, then buckets' hashes in order, level by level.
+
+    There are as many levels as keep the buckets small, so no task has a list that grows with the table.
+    """
     text = F.sha2(F.to_json(F.struct(key, *content), {"ignoreNullFields": "false"}), 256)
-    marked = rows.select(F.col(key).alias("k"), text.alias("h"))
-    each = marked.withColumn("bucket", F.substring(F.sha2(F.col("k").cast("string"), 256), 1, 3))
-    buckets = each.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ","), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ","), 256).alias("revision"))
+    marked = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), text.alias("h"))
+    digits = max(0, math.ceil(math.log(max(1, rows.count() / REVISION_ROWS), 16)))
+    level = marked.withColumn("bucket", F.substring(F.sha2("k", 256), 1, digits))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ","), 256).alias("h")
+    level = level.groupBy("bucket").agg(joined)
+    while digits > 0:
+        digits = max(0, digits - 2)
+        level = level.select(F.col("bucket").alias("k"), "h", F.substring("bucket", 1, digits).alias("bucket")).groupBy("bucket").agg(joined)
+    return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("revision"))  # one row
 
 
 def token_diagnostics(rows: DataFrame, prompt: Column, full: Column, n_messages: Column, max_length: int) -> DataFrame:
@@ -165,10 +252,18 @@ def trainable_only(diagnosed: DataFrame) -> DataFrame:
     return left
 
 
-def contrast_groups(examples: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """Groups whose roles are not exactly those of one of ``wanted`` (name -> sorted roles)."""
-    roles = F.array_join(F.array_sort(F.collect_list("contrast_role")), ",")
-    return examples.where("contrast_group IS NOT NULL").groupBy("contrast_group").agg(F.count("*").alias("members"), roles.alias("roles")).where(~F.col("roles").isin([",".join(r) for r in wanted.values()]))
+def contrast_groups(examples: DataFrame, wanted: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Groups that are not what their family asks for: ``wanted`` has for the beginning of a family's group names its roles and its behaviors, a member for each.
+
+    (contrast_group, members, roles, behaviors, code): unknown_family, wrong_size, wrong_roles or wrong_behaviors, the first that holds.
+    """
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    groups = examples.where("contrast_group IS NOT NULL").groupBy("contrast_group").agg(F.count("*").alias("members"), listed("contrast_role").alias("roles"), listed("behavior_type").alias("behaviors"))
+    of = lambda pick: F.coalesce(*(F.when(F.col("contrast_group").startswith(name), F.lit(pick(*w))) for name, w in wanted.items()))
+    text = lambda values: ",".join(sorted(values))
+    size, roles, behaviors = of(lambda r, b: len(r)), of(lambda r, b: text(r)), of(lambda r, b: text(b))
+    code = F.when(size.isNull(), "unknown_family").when(F.col("members") != size, "wrong_size").when(F.col("roles") != roles, "wrong_roles").when(F.col("behaviors") != behaviors, "wrong_behaviors")
+    return groups.withColumn("code", code).where("code IS NOT NULL")
 
 
 def top_ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -27,10 +27,10 @@ CURRENT_TIME = "2026-05-11T09:00:00-07:00"
 
 
 def parse_list(value: Column) -> Column:
-    """Tolerant: struct(value, error) of JSON text that should be a list; error is null, missing, a kind or a parser's words."""
+    """Tolerant: struct(value, error) of JSON text that should be a list. Null, in SQL or JSON, is missing; a value of another kind is kept beside the error; what is no JSON has the parser's words."""
     parsed = strict_json(value)
-    error = F.when(parsed["kind"] == "missing", "missing").when(parsed["error"].isNotNull(), parsed["error"]).when(parsed["kind"] != "list", F.concat(F.lit("expected list, got "), parsed["kind"]))
-    return F.struct(F.when(parsed["kind"] == "list", parsed["value"]).alias("value"), error.alias("error"))
+    error = F.when(parsed["error"].isNotNull(), parsed["error"]).when(parsed["kind"].isin("missing", "null"), "missing").when(parsed["kind"] != "list", F.concat(F.lit("expected list, got "), parsed["kind"]))
+    return F.struct(F.when(~parsed["kind"].isin("missing", "null"), parsed["value"]).alias("value"), error.alias("error"))
 
 
 def with_reasons(rows: DataFrame) -> DataFrame:
@@ -113,6 +113,25 @@ def templated(spark, count: int, templates: list[tuple[str, str]], words: dict[s
     return out.select("id", F.col("p.kind").alias("behavior_type"), F.col("local").alias("local_index"), text.alias("user_input"))
 
 
+def families(spark, counts: dict[str, int], templates: list[tuple[str, str, str, str]], words: dict[str, list[str]]) -> DataFrame:
+    """Groups of contrasting rows: of each family (pairs, triplets) as many groups as ``counts`` says, with a row for each of its templates (family, role, behavior, template).
+
+    {name} takes the words of that list in turn, by the group's number, so the rows of a group differ in nothing but their template. Groups are named family_001 on.
+    """
+    plan = spark.createDataFrame([(f, r, b, t, i) for i, (f, r, b, t) in enumerate(templates)], "family string, contrast_role string, behavior_type string, template string, place int")
+    groups = [spark.range(n).select(F.lit(f).alias("family"), F.col("id").alias("local_index")) for f, n in counts.items()]
+    every = groups[0]
+    for g in groups[1:]:
+        every = every.union(g)
+    out = every.join(F.broadcast(plan), "family")  # a few templates
+    text = F.col("template")
+    for name, options in words.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.get(F.array(*map(F.lit, options)), (F.col("local_index") % len(options)).cast("int")))
+    number = F.col("local_index") + 1
+    group = F.concat_ws("_", "family", F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
+    return out.select(group.alias("contrast_group"), "contrast_role", "behavior_type", "local_index", text.alias("user_input"), "place")
+
+
 def crossed(topics: DataFrame, templates: DataFrame) -> DataFrame:
     """Scenario rows of every topic and template (both small tables); the criteria follow from the behaviour."""
     criteria = F.when(F.col("expected_type") == "clarification", F.array(F.lit("asks_for_clarification"))).when(F.col("expected_type") == "refusal", F.array(F.lit("refuses_request")))

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import comparable, fold, fold_all, parse_response
+from evalmill.operators.validate import TOOL_PARAMETERS, call_contract_issues
 
 #: The failure reasons.
 REASONS = ("hallucinated_tool_call", "missing_tool_call", "extra_tool_call", "wrong_tool_order", "wrong_tool_call", "premature_tool_call", "missing_clarification", "missing_refusal", "wrong_argument")
 TOOL_TYPES = ("tool_call", "tool_calls")
+#: How a call can fail.
+OUTCOMES = ("unknown_tool", "invalid_arguments", "validation", "not_found")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -140,6 +143,99 @@ def apply_changes(calls: DataFrame, keys: list[str], order: str, fields: list[st
     return good.agg(*latest, F.count("*").cast("long").alias("n_changes")), bad.withColumn("error", F.lit("not_found"))
 
 
+#: For each tool that makes or changes something, the kind of thing, what the tool does, its id's parameter and how ids made for it begin.
+EFFECTS = [
+    ("calendar.create_event", "event", "create", None, "evt_fake_calendar_"),
+    ("calendar.update_event", "event", "update", "event_id", "evt_fake_calendar_"),
+    ("notion.create_task", "task", "create", None, "task_fake_notion_"),
+    ("notion.update_task", "task", "update", "task_id", "task_fake_notion_"),
+    ("gmail.create_draft", "draft", "create", None, "draft_fake_gmail_"),
+    ("gmail.send_email", "email", "create", None, "email_fake_gmail_"),
+    ("clipboard.write", "clipboard", "write", None, None),
+    ("clipboard.read", "clipboard", "read", None, None),
+]
+#: What a field has where a call that makes something leaves it out, and the form of addresses.
+DEFAULTS = [("notion.create_task", "status", '"open"')]
+ADDRESS = r'^"[^@\s]+@[^@\s]+\.[^@\s]+"\z'
+NOT_EMPTY = ("notion.create_task:title", "notion.update_task:title", "gmail.create_draft:body", "gmail.send_email:body")
+_MAP = "map<string,string>"
+
+
+def _entries(arguments: Column, defaults: Column | None = None) -> Column:
+    """Entries of a map but those whose JSON value is null."""
+    own = F.map_filter(F.coalesce(arguments, F.create_map().cast(_MAP)), lambda k, v: v.isNotNull() & (v != "null"))
+    return own if defaults is None else F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def free_number(taken: Column, had: Column, place: Column) -> Column:
+    """The number of the ``place``-th (from 1) thing that is made where ``had`` things are: had + place, and one more for each of the ``taken`` numbers on the way."""
+    return F.aggregate(F.array_sort(F.filter(taken, lambda t: t > had)), (had + place).cast("long"), lambda g, t: F.when(t <= g, g + 1).otherwise(g))
+
+
+def call_outcomes(calls: DataFrame, parameters: list[tuple] = TOOL_PARAMETERS) -> DataFrame:
+    """Adds ``outcome`` to calls (call_id, tool, arguments): unknown_tool, invalid_arguments (a key too many or missing), validation (a value of the wrong kind) or ok.
+
+    A null for a parameter that may be left out counts as left out.
+    """
+    required = F.array(*(F.lit(f"{t}:{p}") for t, p, _, needed, _ in parameters if needed))
+    given = F.map_filter("arguments", lambda k, v: (v != "null") | F.array_contains(required, F.concat_ws(":", F.col("tool"), k)))
+    known = calls.select("call_id", "tool", given.alias("arguments"))
+    issues = call_contract_issues(known, parameters).groupBy("call_id").agg(F.collect_set("code").alias("codes"))  # six codes at most
+    value = lambda name: F.try_element_at(F.col("arguments"), F.lit(name))
+    address = F.coalesce(F.col("tool").startswith("gmail.") & ~value("recipient").rlike(ADDRESS), F.lit(False))
+    empty = F.lit(False)
+    for name in NOT_EMPTY:
+        tool, key = name.split(":")
+        empty = empty | ((F.col("tool") == tool) & F.coalesce(value(key) == '""', F.lit(False)))
+    has = lambda *codes: F.coalesce(F.arrays_overlap("codes", F.array(*map(F.lit, codes))), F.lit(False))
+    outcome = (
+        F.when(has("unknown_tool"), "unknown_tool").when(has("unknown_argument", "missing_argument"), "invalid_arguments")
+        .when(has("wrong_type", "below_minimum", "not_allowed") | address | empty, "validation").otherwise("ok")
+    )
+    return calls.join(issues, "call_id", "left").withColumn("outcome", outcome).drop("codes")
+
+
+def apply_calls(calls: DataFrame, initial: DataFrame, scenario: str = "scenario_id") -> tuple[DataFrame, DataFrame]:
+    """Tool calls applied in order to what a scenario begins with: (results, state).
+
+    calls: (call_id, scenario, pos, tool, arguments map of canonical JSON); initial: (scenario, kind, id, fields map of canonical JSON).
+    results: one row for each call, also behind a failed one: success, outcome (``call_outcomes`` or not_found) and the id of what was made, changed or read.
+    state: (scenario, kind, id, fields): what was made has the next free number as its id; an update's values that are not null replace what was there;
+    the clipboard holds what was last written, at first an empty text.
+    """
+    spark = calls.sparkSession
+    effects = F.broadcast(spark.createDataFrame(EFFECTS, "tool string, kind string, action string, id_key string, prefix string"))  # a fixed small table
+    told = call_outcomes(calls).join(effects, "tool", "left")
+    number = F.regexp_extract("id", r"^(?:evt_fake_calendar|task_fake_notion|draft_fake_gmail|email_fake_gmail)_(\d{3,})\z", 1)
+    had = initial.where("kind <> 'clipboard'").groupBy(scenario, "kind").agg(F.count("*").alias("had"), F.collect_list(F.when(number != "", number.try_cast("long"))).alias("taken"))  # what one scenario begins with
+    makes = F.col("action").eqNullSafe("create") & (F.col("outcome") == "ok")
+    place = F.count_if(makes).over(Window.partitionBy(scenario, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = told.withColumn("__place", place).join(had, [scenario, "kind"], "left")
+    n = free_number(F.coalesce("taken", F.array().cast("array<bigint>")), F.coalesce("had", F.lit(0)), F.col("__place"))
+    made = F.concat("prefix", F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
+    named = F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("arguments", F.col("id_key")), F.lit("}")), "$.v")
+    own = F.when(makes, made).when(F.col("action") == "update", named).when(F.col("kind") == "clipboard", "clipboard")
+    defaults = F.create_map().cast(_MAP)
+    for tool, key, value in DEFAULTS:
+        defaults = F.when(F.col("tool") == tool, F.create_map(F.lit(key), F.lit(value))).otherwise(defaults)
+    fields = F.map_filter(_entries(F.col("arguments"), defaults), lambda k, v: ~k.eqNullSafe(F.col("id_key")))
+    steps = numbered.select("call_id", scenario, F.col("pos").cast("long").alias("pos"), "tool", "outcome", "kind", "action", own.alias("id"), fields.alias("fields"))
+    first = initial.select(F.lit(None).cast("string").alias("call_id"), scenario, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("tool"), F.lit("ok").alias("outcome"), "kind", F.lit("create").alias("action"), "id", F.col("fields").cast(_MAP).alias("fields"))
+    touched = steps.where("outcome = 'ok' AND id IS NOT NULL").withColumn("call_id", F.col("call_id").cast("string")).unionByName(first)
+    exists = F.max((F.col("action") != "update").cast("int")).over(Window.partitionBy(scenario, "kind", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) == 1
+    placed = touched.withColumn("__there", exists)
+    lost = placed.where("NOT __there").select(scenario, "pos", F.lit("not_found").alias("__lost"))
+    ended = F.coalesce("__lost", F.when((F.col("action") == "update") & F.col("id").isNull() & (F.col("outcome") == "ok"), "not_found"), F.col("outcome"))
+    results = steps.join(lost, [scenario, "pos"], "left").withColumn("outcome", ended)
+    results = results.select("call_id", scenario, "pos", "tool", (F.col("outcome") == "ok").alias("success"), "outcome", F.when((F.col("outcome") == "ok"), F.col("id")).alias("id"))
+    kept = placed.where("__there AND action <> 'read'").select(scenario, "kind", "id", "pos", F.explode_outer("fields").alias("key", "value"))
+    last = kept.groupBy(scenario, "kind", "id", "key").agg(F.max_by("value", "pos").alias("value"))
+    state = last.groupBy(scenario, "kind", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("fields"))  # the fields of one thing
+    return results, state
+
+
 def outcome_summary(results: DataFrame, by: list[str]) -> DataFrame:
-    """Calls, successes and errors by class for each key; results: by, outcome (ok or an error class)."""
-    return results.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.avg((F.col("outcome") == "ok").cast("double")).alias("success_rate"))
+    """For each key calls, successes and their rate, and the errors of each class; results: by, outcome (ok or a class of ``OUTCOMES``)."""
+    errors = [F.count_if(F.col("outcome") == x).alias(x) for x in OUTCOMES]
+    ok = F.col("outcome") == "ok"
+    return results.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if(ok).alias("ok"), *errors, F.avg(ok.cast("double")).alias("success_rate"))

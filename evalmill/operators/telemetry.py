@@ -43,11 +43,31 @@ def attach_summaries(results: DataFrame, summaries: DataFrame, task: str = "task
     return results.join(last, task, "left").select(results["*"], F.col("s.trace_id").alias("trace_id"), F.coalesce("s.cost_usd", F.lit(0.0)).alias("cost_usd"))
 
 
-def step_pairs(events: DataFrame, step: list[str], started: Column, completed: Column) -> DataFrame:
-    """Start, end, duration and outcome of each step in one aggregation, without a self-join."""
-    out = events.groupBy(*step).agg(F.min(F.when(started, F.col("ts"))).alias("started"), F.max(F.when(completed, F.col("ts"))).alias("completed"))
-    return out.withColumn("duration_us", _micros("completed") - _micros("started"))
-
-
-def retry_rollup(attempts: DataFrame, by: list[str]) -> DataFrame:
-    return attempts.groupBy(*by).agg(F.count("*").alias("requests"), F.avg("attempts").alias("mean_attempts"), F.max("attempts").alias("max_attempts"))
+def step_pairs(events: DataFrame, step: list[str], started: Column, completed: Column, outcome: Column | None = None) -> DataFrame:
+    """Start, end, duration and outcome of each try of a step (its key has trace, step and attempt) in one aggregation, without a self-join.
+
+    outcome: of a completing event, true for success; a try that never completed is ``unfinished``, one that was completed but not begun has no duration.
+    """
+    aggregates = [F.min(F.when(started, F.col("ts"))).alias("started"), F.max(F.when(completed, F.col("ts"))).alias("completed")]
+    if outcome is not None:
+        aggregates.append(F.max_by(F.when(completed, outcome), F.when(completed, F.col("ts"))).alias("__ok"))
+    out = events.groupBy(*step).agg(*aggregates).where("started IS NOT NULL OR completed IS NOT NULL").withColumn("duration_us", _micros("completed") - _micros("started"))
+    if outcome is None:
+        return out
+    return out.withColumn("outcome", F.when(F.col("completed").isNull(), "unfinished").when(F.col("__ok"), "success").otherwise("failed")).drop("__ok")
+
+
+def request_outcomes(attempts: DataFrame, request: list[str], attempt: str, error: Column, retriable: Column) -> DataFrame:
+    """Each request's attempts, final_status (success or failed) and failure_kind: retry_exhausted if its last attempt's error could have been tried again, else non_retriable.
+
+    attempts: a row for each, numbered by ``attempt``; error is null where it went well.
+    """
+    last = F.max_by(F.struct(error.isNull().alias("ok"), F.coalesce(retriable, F.lit(False)).alias("again")), attempt)
+    out = attempts.groupBy(*request).agg(F.count("*").alias("attempts"), last.alias("l"))
+    kind = F.when(~F.col("l.ok"), F.when(F.col("l.again"), "retry_exhausted").otherwise("non_retriable"))
+    return out.withColumn("final_status", F.when(F.col("l.ok"), "success").otherwise("failed")).withColumn("failure_kind", kind).drop("l")
+
+
+def retry_rollup(requests: DataFrame, by: list[str]) -> DataFrame:
+    """Requests by key with their mean and largest number of attempts."""
+    return requests.groupBy(*by).agg(F.count("*").alias("requests"), F.avg("attempts").alias("mean_attempts"), F.max("attempts").alias("max_attempts"))

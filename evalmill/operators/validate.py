@@ -35,6 +35,12 @@ def failed(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(bad, name) for name, bad in rules.items())))
 
 
+def _full_time(text: Column) -> Column:
+    """A time as Spark's parser reads it: with seconds, and a colon in the zone."""
+    out = F.regexp_replace(F.upper(text), r"([+-]\d{2})(\d{2})\z", "$1:$2")
+    return F.regexp_replace(out, r"^(.{11}\d{2}:\d{2})([Z+-])", "$1:00$2")
+
+
 def _unique(c: str) -> Column:
     return F.size(F.array_distinct(c)) != F.size(c)
 
@@ -50,7 +56,7 @@ def scenario_rules(rows: DataFrame, allowed_keys: list[str] | None = None) -> Da
     keywords = F.col("expected_type").isin("clarification", "refusal")
     rules = {
         "id": F.col("id").isNull() | ~F.col("id").rlike(SCENARIO_ID), "category": F.col("category").isNull() | ~F.col("category").isin(*CATEGORIES), "difficulty": F.col("difficulty").isNull() | ~F.col("difficulty").isin(*DIFFICULTIES),
-        "description": absent("description"), "user_input": absent("user_input"), "current_time": F.col("current_time").isNull() | ~F.col("current_time").rlike(ZONED_TIME),
+        "description": absent("description"), "user_input": absent("user_input"), "current_time": F.col("current_time").isNull() | ~F.col("current_time").rlike(ZONED_TIME) | F.try_to_timestamp(_full_time(F.col("current_time"))).isNull(),
         "available_tools": none("available_tools") | F.exists("available_tools", lambda t: ~t.rlike(TOOL)), "available_tools_unique": _unique("available_tools"),
         "expected_type": F.col("expected_type").isNull() | ~F.col("expected_type").isin(*BEHAVIORS), "one_call": (F.col("expected_type") == "tool_call") & (F.size("expected_calls") != 1), "two_calls": (F.col("expected_type") == "tool_calls") & (F.size("expected_calls") < 2),
         "call_tools": F.exists("expected_calls", lambda x: ~x["tool"].rlike(TOOL)), "keywords": keywords & (none("expected_keywords") | _blank("expected_keywords") | _unique("expected_keywords")),
@@ -88,18 +94,21 @@ def split_overlaps(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("previous_split", F.lag("split").over(w)).where("previous_split IS NOT NULL").select("source_index", "source_row_id_json", "previous_split", "split", "pos")
 
 
-def manifest_count_issues(manifest: DataFrame, rows: DataFrame) -> DataFrame:
-    """A manifest row (loaded, skipped, converted) against its rows' split counts."""
-    counted = rows.agg(F.count("*").alias("listed"))
-    return manifest.crossJoin(F.broadcast(counted)).select(F.explode(failed({"split_counts": F.col("listed") != F.col("converted"), "converted_count": F.col("loaded") - F.col("skipped") != F.col("converted")})).alias("code"))  # one row
+def manifest_count_issues(manifest: DataFrame, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Manifest rows (loaded, skipped, converted), one for each key of ``by``, against the numbers of their rows: (by, code)."""
+    by = by or []
+    counted = rows.groupBy(*by).agg(F.count("*").alias("__listed"))
+    both = manifest.join(counted, by, "left") if by else manifest.crossJoin(F.broadcast(counted))  # one row
+    wrong = failed({"split_counts": F.coalesce("__listed", F.lit(0)) != F.col("converted"), "converted_count": F.col("loaded") - F.col("skipped") != F.col("converted")})
+    return both.select(*by, F.explode(wrong).alias("code"))
 
 
-def manifest_metadata_issues(manifest: DataFrame) -> DataFrame:
-    """Missing hash or revision are errors, skipped rows a warning."""
+def manifest_metadata_issues(manifest: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Missing hash or revision are errors, skipped rows a warning: (by, severity, code)."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     issue = lambda bad, severity, code: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     issues = F.array_compact(F.array(issue(empty("config_hash"), "error", "missing_config_hash"), issue(empty("dataset_revision"), "error", "missing_revision"), issue(F.col("skipped") > 0, "warning", "skipped_rows")))
-    return manifest.select(F.explode(issues).alias("i")).select("i.*")
+    return manifest.select(*(by or []), F.explode(issues).alias("i")).select(*(by or []), "i.*")
 
 
 def repeated(rows: DataFrame, key: Column, name: str, where: str | None = None) -> DataFrame:

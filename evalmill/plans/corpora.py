@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalmill.functions.jsonx import redact_json
+from evalmill.functions.hashes import settings_hash
+from evalmill.functions.jsonx import dumps, redact_json
 from evalmill.operators import changes, leakage, metrics, prepare, ranks, scoring, validate
-from evalmill.plans.tables import table
+from evalmill.plans.tables import hex_bucket, sql_bucket, table
+from evalmill.sources import io
 
 
 def _hashed(spark, sf_dir: str) -> DataFrame:
@@ -44,6 +46,26 @@ def sft_rows(spark, sf_dir: str) -> DataFrame:
     return done.union(skipped.select("source_index", F.lit(""), "reason", F.lit("")))
 
 
+def _source_rows(spark, sf_dir: str) -> DataFrame:
+    """Conversations as source rows: what the first user turn asks, with one or two tools; some offer a meta-tool themselves."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    rows = c.groupBy(F.col("conv_id").alias("source_index")).agg(F.min_by("text", "turn").alias("query"))
+    tools = F.when(F.col("source_index") % 3 == 0, '[ {"name": "refuse_request"} , {"parameters": {}, "name": "reply"} ]').when(F.col("source_index") % 7 == 0, "[]").otherwise('[{"name":"reply"}]')
+    return rows.withColumns({"answers": F.lit("[ ]"), "tools": tools, "source_row_id_json": F.col("source_index").cast("string")})
+
+
+def user_messages(spark, sf_dir: str) -> DataFrame:
+    """The user message of each row, with its tools and the meta-tools before them."""
+    prepared, _ = prepare.prepare(_source_rows(spark, sf_dir), "Use the tools.", 1)
+    return prepared.select("source_index", F.get("messages", F.lit(1))["content"].alias("content"))
+
+
+def prepared_first(spark, sf_dir: str) -> DataFrame:
+    """Only the first rows by source order are looked at, good or not: the cap is the operator's."""
+    prepared, skipped = prepare.prepare(_source_rows(spark, sf_dir).withColumn("answers", F.when(F.col("source_index") % 4 > 0, "[]")), "Use the tools.", 1, max_rows=50)
+    return prepared.select("source_index", F.lit("").alias("reason")).union(skipped.select("source_index", "reason"))
+
+
 def role_check(spark, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
     ok = F.col("roles") == ",".join(validate.ROLES)
@@ -61,11 +83,31 @@ def running_index(spark, sf_dir: str) -> DataFrame:
     return ranks.running_index(rows.select("doc_id", "source", "lang", "pos"), ["source", "lang"], [F.col("source"), F.col("lang")], "pos").select("doc_id", "output_index")
 
 
+def _words(spark, sf_dir: str) -> tuple[int, dict[str, list[str]]]:
+    """The number of documents, and the names of the nations and regions in order: two tables of fixed size."""
+    names = lambda t, c: [r[0] for r in table(spark, sf_dir, t).select(c).orderBy(c).collect()]
+    return table(spark, sf_dir, "documents").count(), {"place": names("nation", "n_name"), "part": names("region", "r_name")}
+
+
 def templated_rows(spark, sf_dir: str) -> DataFrame:
-    """As many templated rows as documents, with words drawn in turn from the table's languages and sources."""
-    n = table(spark, sf_dir, "documents").count()
-    plan = [("clarification", "Change {topic}."), ("refusal", "Order {thing} now."), ("clarification", "Move {thing} to {topic}."), ("direct", "Add {topic}: {thing}")]
-    return prepare.templated(spark, n, plan, {"topic": ["physics", "biology", "art"], "thing": ["essay", "lab report"]})
+    """As many templated rows as documents, with the nations' and regions' names in turn."""
+    n, words = _words(spark, sf_dir)
+    plan = [("clarification", "Change {place}."), ("refusal", "Order {part} now."), ("clarification", "Move {part} to {place}."), ("direct", "Add {place}: {part}")]
+    return prepare.templated(spark, n, plan, words)
+
+
+_FAMILIES = [
+    ("clarification_pair", "missing_info", "request_clarification", "Change {place}."), ("clarification_pair", "explicit_info", "direct_tool_call", "Change {place} to {part}."),
+    ("refusal_pair", "unsafe_or_unsupported", "refuse_request", "Buy {place}."), ("refusal_pair", "safe_allowed", "direct_tool_call", "Note {place}."),
+    ("act_clarify_refuse_triplet", "act", "direct_tool_call", "Add {place}: {part}"), ("act_clarify_refuse_triplet", "clarify", "request_clarification", "Add {place}."), ("act_clarify_refuse_triplet", "refuse", "refuse_request", "Sell {part}."),
+]
+_WANTED = {f: ([r for g, r, *_ in _FAMILIES if g == f], [b for g, _, b, _ in _FAMILIES if g == f]) for f in dict.fromkeys(x[0] for x in _FAMILIES)}
+
+
+def contrast_families(spark, sf_dir: str) -> DataFrame:
+    """Pairs and triplets of contrasting rows, as many groups in all as there are documents."""
+    n, words = _words(spark, sf_dir)
+    return prepare.families(spark, {"clarification_pair": n // 2, "refusal_pair": n // 4, "act_clarify_refuse_triplet": n - n // 2 - n // 4}, _FAMILIES, words).drop("place")
 
 
 def coverage_crossed(spark, sf_dir: str) -> DataFrame:
@@ -98,7 +140,7 @@ def repeated_texts(spark, sf_dir: str) -> DataFrame:
 
 def shared_sources(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return validate.in_both(d.where("lang = 'de'"), d.where("doc_id % 3 = 0 AND lang = 'fr'"), "source")
+    return validate.in_both(d.where("lang = 'de'"), d.where("lang = 'fr'"), "source")
 
 
 def missing_numbers(spark, sf_dir: str) -> DataFrame:
@@ -119,16 +161,37 @@ def problem_rows(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "input_tokens", "trainable_label_tokens", F.array_join("issues", ",").alias("issues"))
 
 
+def trainable_rows(spark, sf_dir: str) -> DataFrame:
+    """The documents that leave something to learn from, by their tokens."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != ""))
+    rows = table(spark, sf_dir, "documents").withColumn("full", words).withColumn("prompt", F.floor(F.col("full") * 9 / 10).cast("int"))
+    out = metrics.trainable_only(metrics.token_diagnostics(rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512))
+    return out.select("doc_id", "trainable_label_tokens")
+
+
 def contrast_groups(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.floor(F.col("doc_id") / 4)).alias("contrast_group"), F.when(F.col("lang") == "en", "act").when(F.col("lang") == "fr", "clarify").otherwise("refuse").alias("contrast_role"))
-    return metrics.contrast_groups(d, {"pair": ["act", "clarify"], "same": ["act", "act"]})
+    """Documents as examples in groups of two or three by number; what their languages and lengths make of roles and behaviors is rarely what a family asks for."""
+    i, lang = F.col("doc_id"), F.col("lang")
+    pair = F.floor(i / 6) % 3
+    group = F.when(pair == 0, F.concat(F.lit("clarification_pair_"), F.floor(i / 2).cast("string"))).when(pair == 1, F.concat(F.lit("act_clarify_refuse_triplet_"), F.floor(i / 3).cast("string"))).when(i % 5 == 0, F.concat(F.lit("other_"), i.cast("string")))
+    role = F.when(pair == 0, F.when(i % 2 == 0, "missing_info").otherwise("explicit_info")).otherwise(F.when(lang == "en", "act").when(lang == "fr", "clarify").otherwise("refuse"))
+    behavior = F.when(i % 2 == 0, F.when(F.col("n_chars") % 3 > 0, "request_clarification").otherwise("refuse_request")).otherwise("direct_tool_call")
+    return metrics.contrast_groups(table(spark, sf_dir, "documents").select(group.alias("contrast_group"), role.alias("contrast_role"), behavior.alias("behavior_type")), _WANTED)
+
+
+def family_check(spark, sf_dir: str) -> DataFrame:
+    """What ``contrast_families`` makes with every eleventh document's group short of its first row: the groups that are not whole."""
+    made = contrast_families(spark, sf_dir)
+    cut = made.where(~((F.col("local_index") % 11 == 0) & F.col("contrast_role").isin("missing_info", "unsafe_or_unsupported", "act")))
+    return metrics.contrast_groups(cut, _WANTED)
 
 
 def leak_exact(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 40))
-    b = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("eval_id"), F.upper("head").alias("head"))
+    """Documents whose whole text, but for ASCII case and outer spaces, is that of a document of the query set."""
+    d = table(spark, sf_dir, "documents")
     ascii_lower = lambda c: F.translate(F.trim(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return leakage.exact_leaks(d.where("doc_id % 50 <> 0 AND lang = 'en'"), "doc_id", b, "eval_id", "head", ascii_lower)
+    evals = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("eval_id"), "text")
+    return leakage.exact_leaks(d.where("doc_id % 50 <> 0"), "doc_id", evals, "eval_id", "text", ascii_lower)
 
 
 def leak_folded(spark, sf_dir: str) -> DataFrame:
@@ -136,16 +199,25 @@ def leak_folded(spark, sf_dir: str) -> DataFrame:
     return leakage.exact_leaks(d.where("doc_id % 50 <> 0"), "doc_id", d.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "eval_id"), "eval_id")
 
 
+def leak_members(spark, sf_dir: str) -> DataFrame:
+    """The members of the query set's classes, which ``leak_exact`` names."""
+    evals = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("eval_id"), "text")
+    return leakage.key_classes(evals, "eval_id", F.translate(F.trim("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def leak_ids(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.lit("item"), (F.col("doc_id") % 97).cast("string"), "lang").alias("row_name"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("eval_name"))
+    n = (F.col("doc_id") % 97).cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.lit("a/set/of"), F.lit("item"), n, F.lit("and/more"), "lang").alias("row_name"))
+    i = F.col("item_id").cast("string")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("item_"), i)).otherwise(F.concat(F.lit("a_set_of_item_"), i, F.lit("_and_more"))).alias("eval_name"))
     return leakage.id_leaks(d, "row_name", b, "eval_name")
 
 
 def leak_outputs(spark, sf_dir: str) -> DataFrame:
+    """Events whose type and properties are those of an event of the query set."""
     e = table(spark, sf_dir, "events")
-    train = e.where("event_id % 2 = 0").select("event_id", F.concat_ws("|", "event_type", "props").alias("payload"))
-    used = e.where("event_id % 100 = 1").select(F.col("event_id").alias("response_id"), F.concat_ws("|", "event_type", "props").alias("response"))
+    train = e.where("event_id % 50 <> 0").select("event_id", F.concat_ws("|", "event_type", "props").alias("payload"))
+    used = e.where("event_id % 50 = 0").select(F.col("event_id").alias("response_id"), F.concat_ws("|", "event_type", "props").alias("response"))
     return leakage.output_leaks(train, "event_id", "payload", used, "response_id", "response")
 
 
@@ -162,7 +234,7 @@ def embed_similarity(spark, sf_dir: str) -> DataFrame:
 
 def shared_structure(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("month", F.month("o_orderdate"))
-    return leakage.shared_structure(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 7 = 1"), ["o_orderstatus", "o_orderpriority", "month"])
+    return leakage.shared_structure(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_orderstatus", "o_orderpriority", "month"])
 
 
 def unseen_combinations(spark, sf_dir: str) -> DataFrame:
@@ -179,12 +251,45 @@ def content_revision(spark, sf_dir: str) -> DataFrame:
     return metrics.content_revision(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang"])
 
 
+def selected_ids(spark, sf_dir: str) -> DataFrame:
+    """Seven times each test item's number as wanted document ids: those that are there, and those that are unknown."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    chosen, unknown = validate.select_scenarios(d, table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("id")))
+    return chosen.select("id", F.lit(True).alias("known")).union(unknown.select("id", F.lit(False)))
+
+
+def responses_joined(spark, sf_dir: str) -> DataFrame:
+    """Customers as scenarios with events as their responses: how many each has, none where it is missing."""
+    scenarios = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    responses = table(spark, sf_dir, "events").select(F.col("user_id").alias("scenario_id"), "value")
+    both, missing = io.join_responses(scenarios, responses)
+    return both.groupBy(F.col("scenario_id").alias("id"), "c_nationkey").agg(F.count("*").alias("n")).union(missing.select("id", "c_nationkey", F.lit(0).cast("long")))
+
+
+def manifest_checks(spark, sf_dir: str) -> DataFrame:
+    """A manifest of each source's split, some with wrong numbers or no hash: what is wrong with it."""
+    rows = ranks.split_by_hash(_hashed(spark, sf_dir), "row_hash", "doc_id").select("source", "split")
+    n = rows.groupBy("source").agg(F.count("*").alias("listed"))
+    part = hex_bucket(F.col("source"), 4)
+    heads = n.select("source", "listed", (F.col("listed") + 2).alias("loaded"), F.lit(2).cast("long").alias("skipped"), (F.col("listed") + F.when(part == 1, 1).otherwise(0)).alias("converted"), F.when(part == 2, " ").otherwise("h").alias("config_hash"), F.when(part != 3, "r").alias("dataset_revision"))
+    counts = validate.manifest_count_issues(heads, rows, ["source"])
+    about = validate.manifest_metadata_issues(heads, ["source"])
+    return counts.select("source", F.lit("error").alias("severity"), "code").union(about.select("source", "severity", "code"))
+
+
+def config_hashes(spark, sf_dir: str) -> DataFrame:
+    """Each source's and language's settings, as JSON in no special order, hashed without where output goes."""
+    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    settings = F.concat(F.lit('{ "source": "'), "source", F.lit('", "output_dir": "/out/'), "lang", F.lit('", "n": '), F.col("n").cast("string"), F.lit(', "lang": "'), "lang", F.lit('"}'))
+    return d.select("source", "lang", settings_hash(settings).alias("config_hash"))
+
+
 def review_rows(spark, sf_dir: str) -> DataFrame:
     """What a reviewer sees of rows whose answers and tools may be missing or broken."""
     e = table(spark, sf_dir, "events")
     rows = e.select(
-        F.col("event_id").alias("source_index"), F.col("event_id").cast("string").alias("source_row_id_json"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, "[1, 2,").when(F.col("event_id") % 5 == 2, F.col("props")).otherwise(F.concat(F.lit("[ "), F.col("props"), F.lit(" ]"))).alias("answers"),
-        F.when(F.col("event_id") % 3 == 0, "7").otherwise("[ ]").alias("tools"),
+        F.col("event_id").alias("source_index"), F.col("event_id").cast("string").alias("source_row_id_json"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 6 == 0, F.lit(None)).when(F.col("event_id") % 6 == 1, "[1, 2,").when(F.col("event_id") % 6 == 2, F.col("props")).when(F.col("event_id") % 6 == 3, "null").otherwise(F.concat(F.lit("[ "), F.col("props"), F.lit(" ]"))).alias("answers"),
+        F.get(F.array(*map(F.lit, ("7", "[ ]", "1.5", "true", '"text"', '[ {"name": "x"} ]'))), (F.col("event_id") % 7).cast("int")).alias("tools"),
     )
     return prepare.review_rows(rows).select("source_index", F.coalesce("answers", F.lit("-")).alias("answers"), F.coalesce("tools", F.lit("-")).alias("tools"), F.array_join("parse_errors", ";").alias("parse_errors"))
 
@@ -219,10 +324,16 @@ def tasks_from_pages(spark, sf_dir: str) -> DataFrame:
     """Orders as nested page JSON, flattened to tasks."""
     o = table(spark, sf_dir, "orders")
     due = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    name, date, status = (F.struct(x.alias(n)) for x, n in ((F.array(F.struct(F.col("o_orderpriority").alias("plain_text"))), "title"), (F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.concat(due, F.lit("Z"))).otherwise(due).alias("start")), "date"), (F.struct(F.col("o_orderstatus").alias("name")), "status")))
-    page = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.when(F.col("o_orderkey") % 3 > 0, name).alias("Name"), F.when(F.col("o_orderkey") % 5 > 0, date).alias("Due"), status.alias("Status")).alias("properties")))
+    key = F.col("o_orderkey")
+    text = lambda c: F.struct(c.alias("plain_text"))
+    title = F.when(key % 4 == 0, F.array(text(F.col("o_orderpriority")), text(F.lit(" and more")))).when(key % 4 == 1, F.array().cast("array<struct<plain_text:string>>")).otherwise(F.array(text(F.col("o_orderpriority"))))
+    date = F.struct(F.struct(F.when(key % 2 == 0, F.concat(due, F.lit("Z"))).otherwise(due).alias("start")).alias("date"))
+    state = F.struct(F.when(F.col("o_orderstatus") == "F", " Done").otherwise(F.col("o_orderstatus")).alias("name"))
+    status = F.struct(F.when(key % 6 > 0, state).alias("select"), F.struct(F.lit("elsewhere").alias("name")).alias("status"))
+    tags = F.struct(F.transform(F.array_repeat(F.col("o_orderstatus"), (key % 3).cast("int")), lambda t: F.struct(t.alias("name"))).alias("multi_select"))
+    page = F.to_json(F.struct(key.cast("string").alias("id"), F.struct(F.when(key % 3 > 0, F.struct(title.alias("title"))).alias("Name"), F.when(key % 5 > 0, date).alias("Due"), status.alias("Status"), F.struct(F.when(key % 7 > 0, F.struct(F.col("o_orderpriority").alias("name"))).alias("select")).alias("Priority"), tags.alias("Tags")).alias("properties")))
     out = changes.task_from_page(o.select(page.alias("page")))
-    return out.select("id", "title", F.coalesce(F.date_format("due", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("due"), "status", changes.is_done(F.col("status")).alias("done"))
+    return out.select("id", "title", F.coalesce(F.date_format("due", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("due"), "status", changes.is_done(F.col("status")).alias("done"), F.coalesce("priority", F.lit("-")).alias("priority"), F.array_join("tags", ",").alias("tags"))
 
 
 def redacted_nested(spark, sf_dir: str) -> DataFrame:
@@ -231,7 +342,7 @@ def redacted_nested(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    review_rows, parsed_outputs, scenario_rules, tasks_from_pages, redacted_nested, split_exact, split_counts, review_sample, split_preview, sft_rows, role_check, mix_repeat, running_index, templated_rows, coverage_crossed, manifest_overlap, manifest_report, line_codes, repeated_texts, shared_sources,
+    user_messages, prepared_first, contrast_families, family_check, trainable_rows, leak_members, selected_ids, responses_joined, manifest_checks, config_hashes, review_rows, parsed_outputs, scenario_rules, tasks_from_pages, redacted_nested, split_exact, split_counts, review_sample, split_preview, sft_rows, role_check, mix_repeat, running_index, templated_rows, coverage_crossed, manifest_overlap, manifest_report, line_codes, repeated_texts, shared_sources,
     missing_numbers, text_stats, problem_rows, contrast_groups, leak_exact, leak_folded, leak_ids, leak_outputs, leak_ngram, embed_similarity, shared_structure, unseen_combinations, metadata_leaks, content_revision,
 )}
 
@@ -242,15 +353,58 @@ s AS (SELECT doc_id, lang, source, row_hash, CASE WHEN rk < a THEN 'train' WHEN
 _W = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''))"
 _T = f"""w AS (SELECT doc_id, doc_id % 17 <> 0 AS ok, {_W} AS f FROM documents), p AS (SELECT *, CAST(floor(f * 9 / 10) AS BIGINT) AS q FROM w),
 t AS (SELECT *, CASE WHEN ok THEN least(f, 512) ELSE 0 END AS used, CASE WHEN ok THEN least(f, 512) - least(q, 512, least(f, 512)) ELSE 0 END AS l, ok AND f > 512 AS tr, ok AND q >= 512 AS fills FROM p)"""
-_L = """l AS (SELECT CASE WHEN conv_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, CASE WHEN turn = 5 THEN 'blank_line' WHEN turn = 4 THEN 'invalid_json' WHEN role = 'assistant' THEN 'invalid_shape' WHEN role <> 'user' THEN 'invalid_roles' WHEN turn = 2 THEN 'invalid_assistant_json' END AS code FROM conversations)"""
+_L = """n AS (SELECT CASE WHEN conv_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, CASE WHEN turn = 5 THEN '' WHEN turn = 4 THEN '{' WHEN role = 'assistant' THEN '[1]' ELSE '{"messages":[{"role":"system","content":"s"},{"role":"' || role || '","content":"q"},{"role":"assistant","content":"' || CASE WHEN turn = 2 THEN '{}' ELSE '[]' END || '"}]}' END AS line FROM conversations),
+l AS (SELECT split, CASE WHEN trim(line) = '' THEN 'blank_line' WHEN NOT json_valid(line) THEN 'invalid_json' WHEN json_type(line) <> 'OBJECT' OR json_type(line, '$.messages') IS DISTINCT FROM 'ARRAY' THEN 'invalid_shape' WHEN json_extract_string(line, '$.messages[*].role') <> ['system', 'user', 'assistant'] THEN 'invalid_roles'
+  WHEN NOT json_valid(line->>'$.messages[2].content') OR json_type(line->>'$.messages[2].content') <> 'ARRAY' THEN 'invalid_assistant_json' END AS code FROM n)"""
+_V = "v AS (SELECT (SELECT list(n_name ORDER BY n_name) FROM nation) AS places, (SELECT list(r_name ORDER BY r_name) FROM region) AS parts)"
+_F = """g AS (SELECT count(*) AS n FROM documents), f(family, contrast_role, behavior_type, template, first) AS (VALUES ('clarification_pair', 'missing_info', 'request_clarification', 'Change {place}.', true), ('clarification_pair', 'explicit_info', 'direct_tool_call', 'Change {place} to {part}.', false),
+  ('refusal_pair', 'unsafe_or_unsupported', 'refuse_request', 'Buy {place}.', true), ('refusal_pair', 'safe_allowed', 'direct_tool_call', 'Note {place}.', false),
+  ('act_clarify_refuse_triplet', 'act', 'direct_tool_call', 'Add {place}: {part}', true), ('act_clarify_refuse_triplet', 'clarify', 'request_clarification', 'Add {place}.', false), ('act_clarify_refuse_triplet', 'refuse', 'refuse_request', 'Sell {part}.', false)),
+i AS (SELECT family, unnest(range(CASE family WHEN 'clarification_pair' THEN n // 2 WHEN 'refusal_pair' THEN n // 4 ELSE n - n // 2 - n // 4 END)) AS local_index FROM g, (SELECT DISTINCT family FROM f)),
+made AS (SELECT family || '_' || CASE WHEN local_index < 999 THEN lpad(CAST(local_index + 1 AS VARCHAR), 3, '0') ELSE CAST(local_index + 1 AS VARCHAR) END AS contrast_group, contrast_role, behavior_type, local_index, replace(replace(template, '{place}', places[local_index % len(places) + 1]), '{part}', parts[local_index % len(parts) + 1]) AS user_input, first FROM i JOIN f USING (family), v)"""
+_G = """, w AS (SELECT contrast_group, count(*) AS members, string_agg(contrast_role, ',' ORDER BY contrast_role) AS roles, string_agg(behavior_type, ',' ORDER BY behavior_type) AS behaviors FROM d WHERE contrast_group IS NOT NULL GROUP BY 1),
+o AS (SELECT *, CASE WHEN contrast_group LIKE 'clarification_pair%' THEN 1 WHEN contrast_group LIKE 'refusal_pair%' THEN 2 WHEN contrast_group LIKE 'act_clarify_refuse_triplet%' THEN 3 END AS k FROM w),
+p AS (SELECT * EXCLUDE (k), CASE WHEN k IS NULL THEN 'unknown_family' WHEN members <> [2, 2, 3][k] THEN 'wrong_size' WHEN roles <> ['explicit_info,missing_info', 'safe_allowed,unsafe_or_unsupported', 'act,clarify,refuse'][k] THEN 'wrong_roles'
+  WHEN behaviors <> ['direct_tool_call,request_clarification', 'direct_tool_call,refuse_request', 'direct_tool_call,refuse_request,request_clarification'][k] THEN 'wrong_behaviors' END AS code FROM o) SELECT * FROM p WHERE code IS NOT NULL"""
+_Q = """q AS (SELECT conv_id AS source_index, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY 1), ok AS (SELECT * FROM q WHERE trim(regexp_replace(query, '\\s+', '', 'g')) <> '')"""
+_META = {name: dumps(spec).replace("'", "''") for name, spec in prepare.META_TOOLS.items()}
 ORACLES = {
-    "review_rows": """WITH c AS (SELECT event_id AS i, '[{"k":' || (props->>'$.k') || '}]' AS good FROM events) SELECT i AS source_index, CASE WHEN i % 5 > 2 THEN good ELSE '-' END AS answers, CASE WHEN i % 3 = 0 THEN '-' ELSE '[]' END AS tools,
-      array_to_string(list_filter([CASE i % 5 WHEN 0 THEN 'answers: missing' WHEN 1 THEN 'answers: invalid JSON at char 6: Expecting value' WHEN 2 THEN 'answers: expected list, got dict' END, CASE WHEN i % 3 = 0 THEN 'tools: expected list, got int' END], lambda x: x IS NOT NULL), ';') AS parse_errors FROM c""",
-    "parsed_outputs": "SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'notion.create_task#' || (props->>'$.k') ELSE '' END AS calls, CASE event_type WHEN 'signup' THEN 'Which ' || (props->>'$.k') || '?' WHEN 'error' THEN 'no [json ' || (props->>'$.k') ELSE '-' END AS message FROM events",
-    "scenario_rules": """WITH o AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'id' END, CASE WHEN k % 5 = 0 THEN 'category' END, CASE WHEN k % 7 = 0 THEN 'user_input' END, CASE WHEN k % 11 = 0 THEN 'current_time' END,
-      CASE WHEN k % 13 = 0 THEN 'available_tools_unique' END, CASE WHEN k % 4 = 1 THEN 'two_calls' END], lambda x: x IS NOT NULL), ',') AS broken FROM o) SELECT broken, count(*) AS n FROM b GROUP BY 1""",
-    "tasks_from_pages": "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'Untitled' END AS title, CASE WHEN o_orderkey % 5 > 0 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') ELSE '-' END AS due, o_orderstatus AS status, false AS done FROM orders",
-    "redacted_nested": """SELECT event_id, '{"a":[{"Access_Token":"***REDACTED***"},{"k":' || (props->>'$.k') || '}],"user":' || user_id || '}' AS fields FROM events""",
+    "user_messages": f"""WITH {_Q} SELECT source_index, 'Available tools, including internal meta-tools:' || chr(10) || '[{_META["request_clarification"]},' || CASE WHEN source_index % 3 = 0 THEN '{{"name":"refuse_request"}},{{"name":"reply","parameters":{{}}}}' ELSE '{_META["refuse_request"]}' || CASE WHEN source_index % 7 = 0 THEN '' ELSE ',{{"name":"reply"}}' END END || ']'
+      || chr(10) || chr(10) || 'User request:' || chr(10) || '{{"current_time":"{prepare.CURRENT_TIME}","initial_state":{{}},"request":' || CAST(to_json(query) AS VARCHAR) || '}}' AS content FROM ok""",
+    "prepared_first": f"WITH {_Q} SELECT q.source_index, CASE WHEN ok.source_index IS NULL THEN 'query: expected non-empty string' WHEN q.source_index % 4 = 0 THEN 'answers: expected list' ELSE '' END AS reason FROM q LEFT JOIN ok USING (source_index) WHERE q.source_index < 50",
+    "contrast_families": f"WITH {_V}, {_F} SELECT contrast_group, contrast_role, behavior_type, local_index, user_input FROM made",
+    "family_check": f"WITH {_V}, {_F}, d AS (SELECT * FROM made WHERE NOT (local_index % 11 = 0 AND first)) {_G}",
+    "trainable_rows": f"WITH {_T} SELECT doc_id, CAST(l AS INT) AS trainable_label_tokens FROM t WHERE l > 0",
+    "leak_members": "WITH d AS (SELECT doc_id, translate(trim(text, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL) SELECT doc_id AS eval_id, min(doc_id) OVER (PARTITION BY h) AS class FROM d",
+    "selected_ids": "SELECT item_id * 7 AS id, item_id * 7 IN (SELECT doc_id FROM documents) AS known FROM benchmark",
+    "responses_joined": "SELECT c_custkey AS id, c_nationkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1, 2",
+    "manifest_checks": f"""WITH n AS (SELECT source, count(*) AS listed, {sql_bucket('source', 4)} AS part FROM documents GROUP BY 1), m AS (SELECT source, listed, listed + 2 AS loaded, 2 AS skipped, listed + (part = 1)::INT AS converted, CASE WHEN part = 2 THEN ' ' ELSE 'h' END AS hash, CASE WHEN part <> 3 THEN 'r' END AS revision FROM n)
+      SELECT source, 'error' AS severity, 'split_counts' AS code FROM m WHERE listed <> converted UNION ALL SELECT source, 'error', 'converted_count' FROM m WHERE loaded - skipped <> converted UNION ALL SELECT source, 'error', 'missing_config_hash' FROM m WHERE trim(hash) = '' UNION ALL SELECT source, 'error', 'missing_revision' FROM m WHERE revision IS NULL UNION ALL SELECT source, 'warning', 'skipped_rows' FROM m WHERE skipped > 0""",
+    "content_revision": """WITH d AS (SELECT greatest(0, CAST(ceil(ln(greatest(1, count(*) / 1024.0)) / ln(16)) AS INT)) AS d FROM documents), r AS (SELECT CAST(doc_id AS VARCHAR) AS k, sha256('{"doc_id":' || doc_id || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"lang":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || '}') AS h FROM documents),
+      b AS (SELECT substr(sha256(k), 1, d) AS bucket, sha256(string_agg(h, ',' ORDER BY k)) AS h FROM r, d GROUP BY 1), u AS (SELECT sha256(string_agg(h, ',' ORDER BY bucket)) AS h FROM b) SELECT CASE WHEN d = 0 THEN (SELECT max(h) FROM b) ELSE u.h END AS revision FROM u, d""",
+    "config_hashes": """SELECT source, lang, sha256('{"lang":"' || lang || '","n":' || count(*) || ',"source":"' || source || '"}') AS config_hash FROM documents GROUP BY 1, 2""",
+    "review_rows": """WITH t AS (SELECT event_id AS i, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[1, 2,' WHEN 2 THEN CAST(props AS VARCHAR) WHEN 3 THEN 'null' ELSE '[ ' || props || ' ]' END AS a, CASE event_id % 7 WHEN 0 THEN '7' WHEN 1 THEN '[ ]' WHEN 2 THEN '1.5' WHEN 3 THEN 'true' WHEN 4 THEN '"text"' WHEN 5 THEN '[ {"name": "x"} ]' END AS t FROM events),
+      k AS (SELECT *, CASE WHEN a IS NULL THEN 'NULL' WHEN json_valid(a) THEN json_type(a) END AS ka, CASE WHEN t IS NULL THEN 'NULL' WHEN json_valid(t) THEN json_type(t) END AS kt FROM t),
+      n AS (SELECT *, MAP {'OBJECT': 'dict', 'UBIGINT': 'int', 'BIGINT': 'int', 'DOUBLE': 'float', 'BOOLEAN': 'bool', 'VARCHAR': 'str'} AS names FROM k)
+      SELECT i AS source_index, CASE WHEN ka IS NULL OR ka = 'NULL' THEN '-' ELSE CAST(json(a) AS VARCHAR) END AS answers, CASE WHEN kt IS NULL OR kt = 'NULL' THEN '-' ELSE CAST(json(t) AS VARCHAR) END AS tools,
+      array_to_string(list_filter([CASE WHEN ka IS NULL THEN 'answers: invalid JSON at char ' || length(a) || ': Expecting value' WHEN ka = 'NULL' THEN 'answers: missing' WHEN ka <> 'ARRAY' THEN 'answers: expected list, got ' || names[ka] END,
+        CASE WHEN kt = 'NULL' THEN 'tools: missing' WHEN kt <> 'ARRAY' THEN 'tools: expected list, got ' || names[kt] END], lambda x: x IS NOT NULL), ';') AS parse_errors FROM n""",
+    "parsed_outputs": """WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Sure: [{"name": "notion.create_task", "arguments": {"k": ' || (props->>'$.k') || '}}] done' WHEN 'view' THEN '```json' || chr(10) || '{"function_name": "notion.create_task", "params": {"k": ' || (props->>'$.k') || '}}' || chr(10) || '```'
+        WHEN 'signup' THEN '[{"name": "request_clarification", "arguments": {"question": "Which ' || (props->>'$.k') || '?"}}]' WHEN 'purchase' THEN '["notion.create_task", {"k": ' || (props->>'$.k') || '}]' ELSE 'no [json ' || (props->>'$.k') END AS raw FROM events),
+      j AS (SELECT *, regexp_extract(raw, '[\\[{].*[\\]}]', 0, 's') AS t FROM r), v AS (SELECT *, CASE WHEN t <> '' AND json_valid(t) THEN t END AS j FROM j),
+      c AS (SELECT *, coalesce(j->>'$[0].name', j->>'$.function_name', j->>'$[0]') AS name, coalesce(j->'$[0].arguments', j->'$.params', j->'$[1]') AS args FROM v)
+      SELECT event_id, CASE WHEN regexp_full_match(name, '[a-z][a-z0-9_]*\\.[a-z][a-z0-9_]*') THEN name || '#' || (args->>'$.k') ELSE '' END AS calls, CASE WHEN j IS NULL THEN raw WHEN name = 'request_clarification' THEN args->>'$.question' ELSE '-' END AS message FROM c""",
+    "scenario_rules": """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'Order_' ELSE 'order_' END || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'music' ELSE 'gmail' END AS category, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'u' END AS user_input,
+        strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE '+02:00' END AS current_time_text, ['gmail.send_email', CASE WHEN o_orderkey % 13 = 0 THEN 'gmail.send_email' ELSE 'clipboard.read' END] AS tools, CASE WHEN o_orderkey % 2 = 0 THEN 'refusal' ELSE 'tool_calls' END AS kind, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 4 ELSE 0 END AS calls FROM orders),
+      b AS (SELECT array_to_string(list_filter([CASE WHEN NOT regexp_full_match(id, '[a-z][a-z0-9_]*_[0-9]{3}') THEN 'id' END, CASE WHEN category NOT IN ('calendar', 'notion', 'gmail', 'clipboard', 'multi_tool') THEN 'category' END, CASE WHEN user_input = '' THEN 'user_input' END,
+        CASE WHEN NOT regexp_full_match(current_time_text, '.*(Z|[+-][0-9]{2}:[0-9]{2})') OR try_cast(current_time_text AS TIMESTAMPTZ) IS NULL THEN 'current_time' END, CASE WHEN len(list_distinct(tools)) <> len(tools) THEN 'available_tools_unique' END, CASE WHEN kind = 'tool_calls' AND calls < 2 THEN 'two_calls' END], lambda x: x IS NOT NULL), ',') AS broken FROM o) SELECT broken, count(*) AS n FROM b GROUP BY 1""",
+    "tasks_from_pages": """WITH x AS (SELECT *, o_orderkey AS k, '"' || o_orderpriority || '"' AS p, '"' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN 'Z"' ELSE '"' END AS due, '{"name":"' || o_orderstatus || '"}' AS tag FROM orders),
+      t AS (SELECT '{"id":"' || k || '","properties":{' || CASE WHEN k % 3 > 0 THEN '"Name":{"title":[' || CASE k % 4 WHEN 0 THEN '{"plain_text":' || p || '},{"plain_text":" and more"}' WHEN 1 THEN '' ELSE '{"plain_text":' || p || '}' END || ']},' ELSE '' END || CASE WHEN k % 5 > 0 THEN '"Due":{"date":{"start":' || due || '}},' ELSE '' END
+        || '"Status":{' || CASE WHEN k % 6 > 0 THEN '"select":{"name":"' || CASE WHEN o_orderstatus = 'F' THEN ' Done' ELSE o_orderstatus END || '"},' ELSE '' END || '"status":{"name":"elsewhere"}},"Priority":{' || CASE WHEN k % 7 > 0 THEN '"select":{"name":' || p || '}' ELSE '' END || '},"Tags":{"multi_select":[' || array_to_string(list_transform(range(k % 3), lambda i: tag), ',') || ']}}}' AS page FROM x),
+      j AS (SELECT page->>'$.id' AS id, coalesce(page->>'$.properties.Name.title[0].plain_text', '') AS title, page->>'$.properties.Due.date.start' AS due, coalesce(page->>'$.properties.Status.select.name', '') AS status, page->>'$.properties.Priority.select.name' AS priority, json_extract_string(page, '$.properties.Tags.multi_select[*].name') AS tags FROM t)
+      SELECT id, title, coalesce(strftime(CAST(rtrim(due, 'Z') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), '-') AS due, status, lower(trim(status)) IN ('done', 'completed', 'complete', 'finished') AS done, coalesce(priority, '-') AS priority, array_to_string(tags, ',') AS tags FROM j""",
+    "redacted_nested": """WITH t AS (SELECT event_id, '{"a": [{"Access_Token": ' || props || '}, ' || props || '], "user": ' || user_id || '}' AS j FROM events), p AS (SELECT event_id, j, (SELECT list(fullkey ORDER BY fullkey) FROM json_tree(j) WHERE regexp_matches(lower(coalesce(key, '')), 'token|api_key|apikey|password|secret|authorization')) AS hidden FROM t)
+      SELECT event_id, CAST(json('{"a":[{"Access_Token":' || CASE WHEN list_contains(hidden, '$.a[0].Access_Token') THEN '"***REDACTED***"' ELSE CAST(j->'$.a[0].Access_Token' AS VARCHAR) END || '},' || CAST(j->'$.a[1]' AS VARCHAR) || '],"user":' || (j->>'$.user') || '}') AS VARCHAR) AS fields FROM p""",
     "split_exact": f"WITH {_H} SELECT doc_id, row_hash, split, pos FROM s",
     "split_counts": f"WITH {_H} SELECT split, count(*) AS n FROM s GROUP BY 1",
     "review_sample": "SELECT doc_id, lang, (SELECT count(*) FROM documents) AS seen FROM (SELECT doc_id, lang FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 100)",
@@ -263,28 +417,29 @@ ORACLES = {
       y AS (SELECT split, source || ':' || split || ':' || doc_id || ':r' || k AS row_id FROM (SELECT *, unnest(range(0, times)) AS k FROM x))
       SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256(substr(sha256('3:' || split), 1, 8) || ':' || row_id), row_id) - 1 AS pos FROM y""",
     "running_index": "SELECT doc_id, row_number() OVER (ORDER BY source, lang, doc_id) - 1 AS output_index FROM documents",
-    "templated_rows": """WITH i AS (SELECT i AS id, i % 4 AS slot, i // 4 AS b FROM range((SELECT count(*) FROM documents)) t(i)), j AS (SELECT *, CASE WHEN slot IN (0, 2) THEN b * 2 + slot // 2 ELSE b END AS local_index FROM i),
-      k AS (SELECT *, ['physics', 'biology', 'art'][local_index % 3 + 1] AS topic, ['essay', 'lab report'][local_index % 2 + 1] AS thing FROM j)
-      SELECT id, CASE slot WHEN 1 THEN 'refusal' WHEN 3 THEN 'direct' ELSE 'clarification' END AS behavior_type, local_index, CASE slot WHEN 0 THEN 'Change ' || topic || '.' WHEN 1 THEN 'Order ' || thing || ' now.' WHEN 2 THEN 'Move ' || thing || ' to ' || topic || '.' ELSE 'Add ' || topic || ': ' || thing END AS user_input FROM k""",
+    "templated_rows": f"""WITH {_V}, i AS (SELECT i AS id, i % 4 AS slot, i // 4 AS b FROM range((SELECT count(*) FROM documents)) t(i)), j AS (SELECT *, CASE WHEN slot IN (0, 2) THEN b * 2 + slot // 2 ELSE b END AS local_index FROM i),
+      k AS (SELECT *, places[local_index % len(places) + 1] AS place, parts[local_index % len(parts) + 1] AS part FROM j, v)
+      SELECT id, CASE slot WHEN 1 THEN 'refusal' WHEN 3 THEN 'direct' ELSE 'clarification' END AS behavior_type, local_index, CASE slot WHEN 0 THEN 'Change ' || place || '.' WHEN 1 THEN 'Order ' || part || ' now.' WHEN 2 THEN 'Move ' || part || ' to ' || place || '.' ELSE 'Add ' || place || ': ' || part END AS user_input FROM k""",
     "coverage_crossed": "SELECT n_name AS topic, 'Plan ' || n_name || ' in ' || r_name AS user_input, CASE r_regionkey WHEN 0 THEN 'refusal' WHEN 1 THEN 'clarification' ELSE 'tool_call' END AS expected_type, CASE r_regionkey WHEN 0 THEN 'refuses_request' WHEN 1 THEN 'asks_for_clarification' ELSE 'correct_tool,correct_arguments' END AS success_criteria FROM nation, region",
     "manifest_overlap": f"""WITH {_H}, u AS (SELECT split, pos, doc_id FROM s UNION ALL SELECT split, pos + 1000000, doc_id FROM s WHERE doc_id % 9 = 0 UNION ALL SELECT 'test', pos + 2000000, doc_id FROM s WHERE doc_id % 11 = 0),
       v AS (SELECT doc_id AS source_index, lag(split) OVER (PARTITION BY doc_id ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END, pos) AS previous_split, split, pos FROM u) SELECT * FROM v WHERE previous_split IS NOT NULL""",
     "manifest_report": f"WITH {_L} SELECT split, count(*) AS actual, count(*) - count(code) AS valid_lines, count(code) AS invalid_lines, count(code) = 0 AS valid FROM l GROUP BY 1",
     "line_codes": f"WITH {_L} SELECT code, count(*) AS n FROM l WHERE code IS NOT NULL GROUP BY 1",
     "repeated_texts": "SELECT sha256(text) AS h, count(*) AS n, min(source) AS first_source, max(source) AS last_source FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "shared_sources": "SELECT DISTINCT source FROM documents WHERE lang = 'de' AND source IN (SELECT source FROM documents WHERE doc_id % 3 = 0 AND lang = 'fr')",
-    "missing_numbers": "SELECT doc_id FROM documents WHERE lang = 'es'",
+    "shared_sources": "SELECT DISTINCT source FROM documents WHERE lang = 'de' AND source IN (SELECT source FROM documents WHERE lang = 'fr')",
+    "missing_numbers": "SELECT i AS doc_id FROM range((SELECT count(*) FROM documents)) t(i) WHERE i NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es')",
     "text_stats": f"WITH {_T} SELECT count(*) AS n, count(*) FILTER (l > 0) AS with_labels, count(*) FILTER (l <= 0) AS without_labels, count(*) FILTER (tr) AS truncated, count(*) FILTER (fills) AS prompt_fills_context, CAST(sum(l) AS BIGINT) AS label_tokens, CAST(coalesce(min(l) FILTER (l > 0), 0) AS INT) AS min_labels, CAST(coalesce(max(l) FILTER (l > 0), 0) AS INT) AS max_labels FROM t",
     "problem_rows": f"WITH {_T}, i AS (SELECT doc_id, CAST(used AS INT) AS input_tokens, CAST(l AS INT) AS trainable_label_tokens, array_to_string(list_filter([CASE WHEN NOT ok THEN 'invalid_messages' END, CASE WHEN tr THEN 'truncated' END, CASE WHEN fills THEN 'prompt_fills_context' END, CASE WHEN ok AND l = 0 THEN 'no_trainable_labels' END], lambda x: x IS NOT NULL), ',') AS issues FROM t) SELECT * FROM i WHERE issues <> '' ORDER BY doc_id LIMIT 20",
-    "contrast_groups": "WITH d AS (SELECT doc_id // 4 AS contrast_group, CASE lang WHEN 'en' THEN 'act' WHEN 'fr' THEN 'clarify' ELSE 'refuse' END AS r FROM documents WHERE doc_id % 2 = 0), g AS (SELECT contrast_group, count(*) AS members, string_agg(r, ',' ORDER BY r) AS roles FROM d GROUP BY 1) SELECT * FROM g WHERE roles NOT IN ('act,clarify', 'act,act')",
-    "leak_exact": "WITH d AS (SELECT doc_id, lang, substr(text, 1, 40) AS h FROM documents), b AS (SELECT doc_id AS eval_id, translate(trim(upper(h), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h FROM d WHERE doc_id % 50 = 0) SELECT d.doc_id, eval_id FROM d JOIN b ON translate(trim(d.h, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = b.h WHERE d.doc_id % 50 <> 0 AND d.lang = 'en'",
-    "leak_ids": "SELECT DISTINCT source || '/item/' || (doc_id % 97) || '/' || lang AS row_name, 'item_' || item_id AS eval_name FROM documents JOIN benchmark ON doc_id % 97 = item_id",
-    "leak_outputs": "SELECT a.event_id, b.event_id AS response_id FROM events a JOIN events b ON a.event_type = b.event_type AND a.props = b.props WHERE a.event_id % 2 = 0 AND b.event_id % 100 = 1",
+    "contrast_groups": f"""WITH d AS (SELECT CASE (doc_id // 6) % 3 WHEN 0 THEN 'clarification_pair_' || doc_id // 2 WHEN 1 THEN 'act_clarify_refuse_triplet_' || doc_id // 3 ELSE CASE WHEN doc_id % 5 = 0 THEN 'other_' || doc_id END END AS contrast_group,
+      CASE WHEN (doc_id // 6) % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'missing_info' ELSE 'explicit_info' END WHEN lang = 'en' THEN 'act' WHEN lang = 'fr' THEN 'clarify' ELSE 'refuse' END AS contrast_role, CASE WHEN doc_id % 2 = 1 THEN 'direct_tool_call' WHEN n_chars % 3 > 0 THEN 'request_clarification' ELSE 'refuse_request' END AS behavior_type FROM documents) {_G}""",
+    "leak_exact": """WITH d AS (SELECT doc_id, translate(trim(text, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h FROM documents), b AS (SELECT h, min(doc_id) AS class, count(*) AS members FROM d WHERE doc_id % 50 = 0 GROUP BY 1) SELECT doc_id, class, members FROM d JOIN b USING (h) WHERE doc_id % 50 <> 0""",
+    "leak_ids": "SELECT DISTINCT source || '/a/set/of/item/' || (doc_id % 97) || '/and/more/' || lang AS row_name, CASE WHEN item_id % 2 = 0 THEN 'item_' || item_id ELSE 'a_set_of_item_' || item_id || '_and_more' END AS eval_name FROM documents JOIN benchmark ON doc_id % 97 = item_id",
+    "leak_outputs": "WITH b AS (SELECT event_type, props, min(event_id) AS class, count(*) AS members FROM events WHERE event_id % 50 = 0 GROUP BY ALL) SELECT a.event_id, class, members FROM events a JOIN b ON a.event_type = b.event_type AND a.props = b.props WHERE a.event_id % 50 <> 0",
     "leak_ngram": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents), v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM benchmark),
       g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)), h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM v)),
       n AS (SELECT item_id, count(*) AS total FROM h GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS common FROM g JOIN h USING (g) GROUP BY 1, 2) SELECT doc_id, item_id, common, round(common / total::DOUBLE, 6) AS share FROM m JOIN n USING (item_id) WHERE common / total::DOUBLE >= 0.5""",
     "embed_similarity": "WITH p AS (SELECT a.vec_id, b.vec_id AS eval_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0) SELECT vec_id, eval_id, round(c, 5) AS cosine FROM p WHERE c >= 0.3",
-    "shared_structure": "WITH a AS (SELECT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n_a FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), b AS (SELECT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n_b FROM orders WHERE o_orderkey % 7 = 1 GROUP BY ALL) SELECT * FROM a JOIN b USING (o_orderstatus, o_orderpriority, month)",
+    "shared_structure": "WITH a AS (SELECT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n_a FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT o_orderstatus, o_orderpriority, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n_b FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL) SELECT * FROM a JOIN b USING (o_orderstatus, o_orderpriority, month)",
     "unseen_combinations": "WITH e AS (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus || l_linenumber))), '+') AS combo FROM lineitem GROUP BY 1) SELECT l_orderkey, combo FROM e WHERE l_orderkey % 10 = 0 AND combo NOT IN (SELECT combo FROM e WHERE l_orderkey % 10 <> 0)",
-    "metadata_leaks": "SELECT event_id FROM events WHERE event_id % 7 = 0",
+    "metadata_leaks": """WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{"a":[{"success_criteria":' || props || '}]}' ELSE props END AS j FROM events) SELECT event_id FROM t WHERE EXISTS (SELECT 1 FROM json_tree(j) WHERE key IN ('expected_behavior', 'success_criteria'))""",
 }

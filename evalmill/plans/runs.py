@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.operators import changes, metrics, scoring, validate
@@ -17,7 +17,7 @@ def _scored(spark, sf_dir: str) -> DataFrame:
 def score_sequences(spark, sf_dir: str) -> DataFrame:
     r = lambda c: F.round(c, 6).alias(c)
     return _scored(spark, sf_dir).select(
-        "user_id", F.array_join("expected_tools", ",").alias("expected"), F.array_join("actual_tools", ",").alias("actual"), r("tool_call_accuracy"), r("unordered_accuracy"), r("hallucination_rate"), F.array_join("failure_reasons", ",").alias("reasons")
+        "scenario_id", F.array_join("expected_tools", ",").alias("expected"), F.array_join("actual_tools", ",").alias("actual"), r("tool_call_accuracy"), r("unordered_accuracy"), r("hallucination_rate"), F.array_join("failure_reasons", ",").alias("reasons")
     )
 
 
@@ -32,9 +32,22 @@ def metrics_by_slice(spark, sf_dir: str) -> DataFrame:
     return out.select("run_id", "slice", "slice_value", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
+def score_calls(spark, sf_dir: str) -> DataFrame:
+    """Calls with arguments against the expected ones: all of a score, and the comparison's number."""
+    runs = event_runs(spark, sf_dir).withColumn("expected_type", F.when(F.size("expected_calls") == 1, "tool_call").otherwise("tool_calls"))
+    runs = runs.withColumns({"expected_keywords": F.lit(None).cast("array<string>"), "message": F.lit(None).cast("string")})
+    out = scoring.comparison_score(scoring.score(runs))
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("scenario_id", r("tool_call_accuracy"), r("argument_accuracy"), r("unordered_accuracy"), r("hallucination_rate"), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), r("comparison_score"))
+
+
 def failure_summary(spark, sf_dir: str) -> DataFrame:
-    out = metrics.failure_summary(_scored(spark, sf_dir), [], "user_id", "user_id", 10)
-    return out.select("reason", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Every scenario of every reason, with the reason's count."""
+    return metrics.failure_ids(_scored(spark, sf_dir), [], "scenario_id", "user_id")
+
+
+def failure_counts(spark, sf_dir: str) -> DataFrame:
+    return metrics.failure_summary(_scored(spark, sf_dir), [])
 
 
 def paired_wins(spark, sf_dir: str) -> DataFrame:
@@ -70,10 +83,15 @@ def diversity(spark, sf_dir: str) -> DataFrame:
     return metrics.diversity(table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")), ["o_orderstatus", "o_orderpriority", "year"])
 
 
+def diversity_buckets(spark, sf_dir: str) -> DataFrame:
+    out = metrics.diversity_summary(diversity(spark, sf_dir))
+    return out.withColumn("largest_share", F.round("largest_share", 6))
+
+
 def coverage_profile(spark, sf_dir: str) -> DataFrame:
     kinds = {"click": "calendar.create_event", "view": "notion.create_task", "signup": "gmail.send_email", "purchase": "request_clarification", "error": "refuse_request"}
     name = F.try_element_at(F.create_map(*(F.lit(x) for p in kinds.items() for x in p)), F.col("event_type"))
-    e = table(spark, sf_dir, "events").where("event_id % 7 < 6").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("part"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("part"))
     made = e.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", name.alias("tool"), (F.col("event_id") % 4).cast("int").alias("n_arguments")))), lambda x: F.struct(x["tool"].alias("tool"), x["n_arguments"].alias("n_arguments"))).alias("calls"))
     out = metrics.coverage_profile(made.withColumn("part", F.col("part") % 2), ["part"])
     return out.select("part", "tool_family", "single_tool", "multi_tool", F.round("mean_arguments", 6).alias("mean_arguments"), "clarify_like", "refuse_like")
@@ -88,7 +106,6 @@ def review_gate(spark, sf_dir: str) -> DataFrame:
     label = F.when(F.expr("quality = 1 AND toxic = 0"), "correct").when(F.expr("quality = 0 AND toxic = 0"), "wrong_args").when(F.expr("quality = 1"), "wrong_tool").otherwise("malformed")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     rows = rows.withColumn("review_label", F.when(F.col("quality").isNotNull(), label)).withColumn("part", F.col("doc_id") % 50)
-    rows = rows.where("part >= 25 OR quality IS NOT NULL")
     out = metrics.review_summary(rows, ["correct", "wrong_tool", "wrong_args", "malformed"], by=["part"])
     return out.withColumn("error_rate", F.round("error_rate", 6)).withColumn("reject", F.coalesce(F.col("reject").cast("string"), F.lit("-")))
 
@@ -101,10 +118,43 @@ def apply_changes(spark, sf_dir: str) -> DataFrame:
     return state.groupBy("user_id").agg(F.count("*").alias("n_entities"), F.round(F.sum("price"), 6).alias("price"), F.sum("k").alias("k"), F.sum("n_changes").alias("n_changes")).join(bad, "user_id", "left").fillna(0, ["n_errors"])
 
 
+def _applied(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's events as tool calls in order; every second user begins with a task numbered 2, every third with words on the clipboard."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    made = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*(F.lit(n) for n, _ in pairs)), F.array(*(v for _, v in pairs))), lambda n, v: v.isNotNull())
+    words = lambda begin: q(F.concat(F.lit(begin), F.col("event_id").cast("string")))
+    tools = {"click": "notion.create_task", "view": "notion.update_task", "signup": "gmail.create_draft", "purchase": "clipboard.write", "error": "slack.send_message"}
+    tool = F.try_element_at(F.create_map(*(F.lit(x) for p in tools.items() for x in p)), F.col("event_type"))
+    arguments = (
+        F.when(F.col("event_type") == "click", made(("title", words("made ")), ("status", F.when(k % 10 == 1, F.lit('"someday"')))))
+        .when(F.col("event_type") == "view", made(("task_id", q(F.concat(F.lit("task_fake_notion_"), F.lpad((k % 12 + 1).cast("string"), 3, "0")))), ("title", F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(words("now "))), ("status", F.when(F.col("event_id") % 2 == 0, F.lit('"done"')))))
+        .when(F.col("event_type") == "signup", made(("recipient", F.when(k % 10 == 0, F.lit('"not-an-email"')).otherwise(F.lit('"a@b.cc"'))), ("body", F.when(k % 7 != 0, words("body ")))))
+        .when(F.col("event_type") == "purchase", made(("text", words("copied ")))).otherwise(F.create_map().cast("map<string,string>"))
+    )
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    calls = e.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("scenario_id"), F.row_number().over(w).alias("pos"), tool.alias("tool"), arguments.alias("arguments"))
+    users = e.select(F.col("user_id").alias("scenario_id")).distinct()
+    task = users.where("scenario_id % 2 = 0").select("scenario_id", F.lit("task").alias("kind"), F.lit("task_fake_notion_002").alias("id"), F.create_map(F.lit("title"), F.lit('"first"'), F.lit("status"), F.lit('"open"')).alias("fields"))
+    board = users.where("scenario_id % 3 = 0").select("scenario_id", F.lit("clipboard"), F.lit("clipboard"), F.create_map(F.lit("text"), F.lit('"before"')))
+    return scoring.apply_calls(calls, task.union(board))
+
+
+def call_results(spark, sf_dir: str) -> DataFrame:
+    results, _ = _applied(spark, sf_dir)
+    return results.select(F.col("call_id").cast("long").alias("event_id"), "success", "outcome", F.coalesce("id", F.lit("-")).alias("id"))
+
+
+def call_state(spark, sf_dir: str) -> DataFrame:
+    _, state = _applied(spark, sf_dir)
+    field = lambda n: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("fields", F.lit(n)), F.lit("}")), "$.v"), F.lit("-")).alias(n)
+    return state.select(F.col("scenario_id").alias("user_id"), "kind", "id", field("title"), field("status"), field("body"), field("text"))
+
+
 def outcomes(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("outcome", F.when(F.col("value") > 5, "ok").otherwise("invalid_args"))
-    out = scoring.outcome_summary(rows, ["event_type"])
-    return out.select("event_type", "calls", "ok", F.round("success_rate", 6).alias("success_rate"))
+    results, _ = _applied(spark, sf_dir)
+    return scoring.outcome_summary(results, ["tool"]).withColumn("success_rate", F.round("success_rate", 6))
 
 
 def comparison_scores(spark, sf_dir: str) -> DataFrame:
@@ -121,7 +171,7 @@ def comparison_scores(spark, sf_dir: str) -> DataFrame:
 
 
 def plan_issues(spark, sf_dir: str) -> DataFrame:
-    tasks = event_runs(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.col("actual_tools").alias("plan"), "available_tools", F.lit(4).alias("max_plan_steps"))
+    tasks = event_runs(spark, sf_dir).select(F.col("scenario_id").alias("task_id"), F.col("actual_tools").alias("plan"), "available_tools", F.lit(2).alias("max_plan_steps"))
     return validate.plan_issues(tasks).withColumn("step_index", F.coalesce("step_index", F.lit(-1)))
 
 
@@ -173,16 +223,27 @@ def due_once(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    score_sequences, metrics_by_run, metrics_by_slice, failure_summary, paired_wins, comparison, confusion, status_rates, precision_recall, coverage_cube, diversity, coverage_profile, bootstrap, review_gate,
+    score_sequences, score_calls, call_results, call_state, failure_counts, diversity_buckets, metrics_by_run, metrics_by_slice, failure_summary, paired_wins, comparison, confusion, status_rates, precision_recall, coverage_cube, diversity, coverage_profile, bootstrap, review_gate,
     apply_changes, outcomes, comparison_scores, plan_issues, request_types, retriable_attempts, call_contract, latency_pct, snapshot_diff, changed_polls, due_once,
 )}
 
 _M = "round(avg((len(reasons) = 0)::INT::DOUBLE), 6) AS task_success_rate, round(avg(tool_call_accuracy), 6) AS average_tool_call_accuracy, round(avg(hallucination_rate), 6) AS average_hallucination_rate, round(avg(latency_ms), 6) AS average_latency_ms, round(sum(cost_usd), 6) AS total_cost_usd"
+#: Each call by what happens to it: made things take the next free number, task 2 of every second user being taken; updates find what was made before them.
+_CALLS = """users AS (SELECT DISTINCT user_id FROM events), c AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+f AS (SELECT *, CASE event_type WHEN 'error' THEN 'unknown_tool' WHEN 'signup' THEN CASE WHEN k % 7 = 0 THEN 'invalid_arguments' WHEN k % 10 = 0 THEN 'validation' ELSE 'ok' END WHEN 'click' THEN CASE WHEN k % 10 = 1 THEN 'validation' ELSE 'ok' END ELSE 'ok' END AS first FROM c),
+n AS (SELECT *, count(*) FILTER (event_type = 'click' AND first = 'ok') OVER w AS tasks, count(*) FILTER (event_type = 'signup' AND first = 'ok') OVER w AS drafts FROM f WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+done AS (SELECT *, CASE event_type WHEN 'click' THEN 'notion.create_task' WHEN 'view' THEN 'notion.update_task' WHEN 'signup' THEN 'gmail.create_draft' WHEN 'purchase' THEN 'clipboard.write' ELSE 'slack.send_message' END AS tool,
+  CASE WHEN event_type = 'view' AND NOT (CASE WHEN user_id % 2 = 1 THEN k % 12 + 1 <= tasks ELSE k % 12 + 1 = 2 OR (k % 12 + 1 > 2 AND k % 12 - 1 <= tasks) END) THEN 'not_found' ELSE first END AS outcome,
+  CASE event_type WHEN 'click' THEN 'task_fake_notion_' || CASE WHEN tasks + 2 * (user_id % 2 = 0)::INT < 1000 THEN lpad(CAST(tasks + 2 * (user_id % 2 = 0)::INT AS VARCHAR), 3, '0') ELSE CAST(tasks + 2 * (user_id % 2 = 0)::INT AS VARCHAR) END WHEN 'view' THEN 'task_fake_notion_' || lpad(CAST(k % 12 + 1 AS VARCHAR), 3, '0')
+    WHEN 'signup' THEN 'draft_fake_gmail_' || CASE WHEN drafts < 1000 THEN lpad(CAST(drafts AS VARCHAR), 3, '0') ELSE CAST(drafts AS VARCHAR) END WHEN 'purchase' THEN 'clipboard' END AS id FROM n)"""
 ORACLES = {
-    "score_sequences": f"WITH {RUNS_SQL} SELECT user_id, array_to_string(exp, ',') AS expected, array_to_string(act, ',') AS actual, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate, array_to_string(reasons, ',') AS reasons FROM scored",
+    "score_sequences": f"WITH {RUNS_SQL} SELECT scenario_id, array_to_string(exp, ',') AS expected, array_to_string(act, ',') AS actual, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate, array_to_string(reasons, ',') AS reasons FROM scored",
     "metrics_by_run": f"WITH {RUNS_SQL} SELECT user_id % 3 AS run_id, {_M} FROM scored GROUP BY 1",
     "metrics_by_slice": f"WITH {RUNS_SQL}, p AS (SELECT user_id % 3 AS run_id, 'first_tool' AS slice, exp[1] AS slice_value, tool_call_accuracy AS a FROM scored UNION ALL SELECT user_id % 3, 'n_expected', CAST(len(exp) AS VARCHAR), tool_call_accuracy FROM scored) SELECT run_id, slice, slice_value, round(avg(a), 6) AS accuracy, count(*) AS n FROM p GROUP BY ALL",
-    "failure_summary": f"WITH {RUNS_SQL}, x AS (SELECT user_id, unnest(reasons) AS reason FROM scored), y AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY user_id) AS rn, count(*) OVER (PARTITION BY reason) AS n FROM x) SELECT reason, n, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS ids FROM y WHERE rn <= 10 GROUP BY reason, n",
+    "failure_summary": f"WITH {RUNS_SQL}, x AS (SELECT scenario_id, user_id, unnest(reasons) AS reason FROM scored) SELECT reason, count(*) OVER (PARTITION BY reason) AS n, scenario_id AS position, user_id FROM x",
+    "failure_counts": f"WITH {RUNS_SQL}, x AS (SELECT unnest(reasons) AS reason FROM scored) SELECT reason, count(*) AS n FROM x GROUP BY 1",
+    "score_calls": f"""WITH {RUNS_SQL} SELECT scenario_id, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(argument_accuracy, 6) AS argument_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate,
+      len(all_reasons) = 0 AND argument_accuracy = 1 AS task_success, array_to_string(all_reasons, ',') AS reasons, round(0.35 * (len(act) > 0)::INT + 0.25 * tool_call_accuracy + 0.25 * argument_accuracy + 0.15 * (1 - hallucination_rate), 6) AS comparison_score FROM scored""",
     "paired_wins": "WITH v AS (SELECT user_id, event_id % 2 AS run, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.user_id = b.user_id AND a.run = 0 AND b.run = 1) SELECT count(*) FILTER (b > a) AS wins, count(*) FILTER (b < a) AS losses, count(*) FILTER (a = b) AS ties, count(*) AS pairs FROM p",
     "comparison": f"""WITH {RUNS_SQL}, m2 AS (SELECT user_id % 3 AS run_id, avg((len(reasons) = 0)::INT::DOUBLE) AS s, avg(tool_call_accuracy) AS t, avg(hallucination_rate) AS h, avg(latency_ms) AS l, sum(cost_usd) AS c FROM scored GROUP BY 1),
       x AS (SELECT run_id, unnest([{{'metric': 'task_success_rate', 'cell': printf('%.3f', s)}}, {{'metric': 'average_tool_call_accuracy', 'cell': printf('%.3f', t)}}, {{'metric': 'average_hallucination_rate', 'cell': printf('%.3f', h)}}, {{'metric': 'average_latency_ms', 'cell': printf('%.0f', l)}}, {{'metric': 'total_cost_usd', 'cell': printf('$%.4f', c)}}]) AS u FROM m2)
@@ -192,10 +253,10 @@ ORACLES = {
     "precision_recall": "WITH c AS (SELECT user_id, count(*) FILTER (value > 10 AND event_type = 'purchase')::DOUBLE AS h, count(*) FILTER (value > 10) AS p, count(*) FILTER (event_type = 'purchase') AS a FROM events GROUP BY 1) SELECT user_id, round(h / nullif(p, 0), 6) AS precision, round(h / nullif(a, 0), 6) AS recall FROM c",
     "coverage_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "diversity": "SELECT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY ALL",
-    "coverage_profile": """WITH e AS (SELECT user_id, event_id // 500 AS part, event_id, CASE event_type WHEN 'click' THEN 'calendar.create_event' WHEN 'view' THEN 'notion.create_task' WHEN 'signup' THEN 'gmail.send_email' WHEN 'purchase' THEN 'request_clarification' ELSE 'refuse_request' END AS tool, event_id % 4 AS a FROM events WHERE event_id % 7 < 6),
+    "coverage_profile": """WITH e AS (SELECT user_id, event_id // 500 AS part, event_id, CASE event_type WHEN 'click' THEN 'calendar.create_event' WHEN 'view' THEN 'notion.create_task' WHEN 'signup' THEN 'gmail.send_email' WHEN 'purchase' THEN 'request_clarification' ELSE 'refuse_request' END AS tool, event_id % 4 AS a FROM events),
       g AS (SELECT user_id, part % 2 AS part, part AS p0, list(tool ORDER BY event_id) AS tools, sum(a) AS a FROM e GROUP BY user_id, part)
       SELECT part, split_part(tools[1], '.', 1) AS tool_family, count(*) FILTER (len(tools) = 1) AS single_tool, count(*) FILTER (len(tools) > 1) AS multi_tool, round(avg(a), 6) AS mean_arguments, count(*) FILTER (list_contains(tools, 'request_clarification')) AS clarify_like, count(*) FILTER (list_contains(tools, 'refuse_request')) AS refuse_like FROM g GROUP BY 1, 2""",
-    "review_gate": """WITH r AS (SELECT d.doc_id % 50 AS part, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 0 AND toxic = 0 THEN 'wrong_args' WHEN quality = 1 THEN 'wrong_tool' ELSE 'malformed' END AS l FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 50 >= 25 OR quality IS NOT NULL),
+    "review_gate": """WITH r AS (SELECT d.doc_id % 50 AS part, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 0 AND toxic = 0 THEN 'wrong_args' WHEN quality = 1 THEN 'wrong_tool' ELSE 'malformed' END AS l FROM documents d LEFT JOIN labels USING (doc_id)),
       c AS (SELECT part, count(*) AS n, count(l) AS n_reviewed, count(*) FILTER (l = 'correct') AS n_correct, count(*) FILTER (l = 'wrong_tool') AS n_wrong_tool, count(*) FILTER (l = 'wrong_args') AS n_wrong_args, count(*) FILTER (l = 'malformed') AS n_malformed FROM r GROUP BY 1)
       SELECT *, n - n_reviewed AS n_unreviewed, round((n_reviewed - n_correct) / nullif(n_reviewed, 0)::DOUBLE, 6) AS error_rate, n > 0 AND n = n_reviewed AS ready, coalesce(CAST(CASE WHEN n > 0 AND n = n_reviewed THEN (n_reviewed - n_correct) / n_reviewed::DOUBLE > 0.25 END AS VARCHAR), '-') AS reject FROM c""",
     "apply_changes": f"""WITH c AS (SELECT user_id, {sql_bucket('event_id', 20)} AS entity, ts, event_id, event_type IN ('signup', 'purchase') AS made, CASE WHEN event_type <> 'view' THEN value END AS price, CASE WHEN event_type <> 'click' THEN CAST(props->>'$.k' AS BIGINT) END AS k FROM events),
@@ -203,13 +264,21 @@ ORACLES = {
       s AS (SELECT user_id, entity, last(price ORDER BY ts, event_id) FILTER (price IS NOT NULL) AS price, last(k ORDER BY ts, event_id) FILTER (k IS NOT NULL) AS k, count(*) AS n FROM w WHERE m = 1 GROUP BY ALL),
       b AS (SELECT user_id, count(*) AS n_errors FROM w WHERE m = 0 GROUP BY 1)
       SELECT user_id, count(*) AS n_entities, round(sum(price), 6) AS price, CAST(sum(k) AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n_changes, coalesce(max(n_errors), 0) AS n_errors FROM s LEFT JOIN b USING (user_id) GROUP BY 1""",
-    "outcomes": "SELECT event_type, count(*) AS calls, count(*) FILTER (value > 5) AS ok, round(avg((value > 5)::INT::DOUBLE), 6) AS success_rate FROM events GROUP BY 1",
+    "call_results": f"WITH {_CALLS} SELECT event_id, outcome = 'ok' AS success, outcome, CASE WHEN outcome = 'ok' THEN id ELSE '-' END AS id FROM done",
+    "outcomes": f"""WITH {_CALLS} SELECT tool, count(*) AS calls, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'unknown_tool') AS unknown_tool, count(*) FILTER (outcome = 'invalid_arguments') AS invalid_arguments, count(*) FILTER (outcome = 'validation') AS validation,
+      count(*) FILTER (outcome = 'not_found') AS not_found, round(avg((outcome = 'ok')::INT::DOUBLE), 6) AS success_rate FROM done GROUP BY 1""",
+    "call_state": f"""WITH {_CALLS},
+      t AS (SELECT user_id, 0 AS pos, 'task' AS kind, 'task_fake_notion_002' AS id, 'first' AS title, 'open' AS status, NULL AS body, NULL AS text FROM users WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 0, 'clipboard', 'clipboard', NULL, NULL, NULL, 'before' FROM users WHERE user_id % 3 = 0
+        UNION ALL SELECT user_id, pos, CASE event_type WHEN 'click' THEN 'task' WHEN 'view' THEN 'task' WHEN 'signup' THEN 'draft' ELSE 'clipboard' END, id, CASE WHEN event_type = 'click' THEN 'made ' || event_id WHEN event_type = 'view' AND event_id % 3 > 0 THEN 'now ' || event_id END,
+          CASE WHEN event_type = 'click' THEN 'open' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'done' END, CASE WHEN event_type = 'signup' THEN 'body ' || event_id END, CASE WHEN event_type = 'purchase' THEN 'copied ' || event_id END FROM done WHERE outcome = 'ok')
+      SELECT user_id, kind, id, coalesce(arg_max(title, pos) FILTER (title IS NOT NULL), '-') AS title, coalesce(arg_max(status, pos) FILTER (status IS NOT NULL), '-') AS status, coalesce(arg_max(body, pos) FILTER (body IS NOT NULL), '-') AS body, coalesce(arg_max(text, pos) FILTER (text IS NOT NULL), '-') AS text FROM t GROUP BY 1, 2, 3""",
+    "diversity_buckets": "WITH b AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT count(*) AS buckets, CAST(sum(n) AS BIGINT) AS rows, round(max(n) / sum(n)::DOUBLE, 6) AS largest_share FROM b",
     "comparison_scores": """WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS message FROM conversations GROUP BY 1),
       k AS (SELECT conv_id, CASE WHEN len(asked) < 150 THEN 'clarification' ELSE 'refusal' END AS t, message, string_split(asked, ' ')[1:2] AS kw FROM f WHERE asked IS NOT NULL),
       a AS (SELECT *, CASE WHEN message IS NULL THEN 0.0 ELSE len(list_filter(kw, lambda x: contains(lower(replace(message, 'ß', 'ss')), lower(replace(x, 'ß', 'ss'))))) / len(kw)::DOUBLE END AS acc FROM k)
       SELECT conv_id, t AS expected_type, round(acc, 6) AS accuracy, acc = 1 AS task_success, CASE WHEN acc = 1 THEN '' WHEN t = 'clarification' THEN 'missing_clarification' ELSE 'missing_refusal' END AS reasons,
         round(CASE WHEN t = 'clarification' THEN 0.50 * (message IS NOT NULL)::INT + 0.35 * acc + 0.15 ELSE 0.50 * (message IS NOT NULL)::INT + 0.30 * acc + 0.20 END, 6) AS comparison_score FROM a""",
-    "plan_issues": f"WITH {RUNS_SQL}, x AS (SELECT user_id AS task_id, unnest(range(0, len(act))) AS i, act FROM s) SELECT task_id, CAST(i AS INT) AS step_index, 'unknown_tool' AS code FROM x WHERE act[i + 1] NOT IN ('click', 'view', 'signup', 'purchase') UNION ALL SELECT user_id, -1, 'plan_too_long' FROM s WHERE len(act) > 4",
+    "plan_issues": f"WITH {RUNS_SQL}, x AS (SELECT scenario_id AS task_id, unnest(range(0, len(act))) AS i, act FROM s) SELECT task_id, CAST(i AS INT) AS step_index, 'unknown_tool' AS code FROM x WHERE act[i + 1] NOT IN ('click', 'view', 'signup', 'purchase') UNION ALL SELECT scenario_id, -1, 'plan_too_long' FROM s WHERE len(act) > 2",
     "request_types": f"WITH {RUNS_SQL} SELECT CASE act[1] WHEN 'click' THEN 'creation' WHEN 'signup' THEN 'creation' WHEN 'view' THEN 'edit' WHEN 'purchase' THEN 'delete' ELSE 'validation' END AS request_type, count(*) AS n FROM s GROUP BY 1",
     "retriable_attempts": """WITH a AS (SELECT CASE WHEN event_type = 'error' THEN 400 + event_id % 110 END AS st, event_type FROM events WHERE event_type IN ('error', 'view', 'signup')),
       r AS (SELECT CASE WHEN event_type = 'view' THEN true WHEN st IN (408, 429, 500, 502, 503, 504) THEN true ELSE false END AS retriable, CASE WHEN event_type = 'view' THEN 'connection_timeouterror' WHEN st IS NULL THEN 'unknown_APIError' WHEN st IN (408, 429, 500, 502, 503, 504, 400, 401, 403, 404, 422) THEN 'http_' || st ELSE 'http_' || st || '_unclassified' END AS cause FROM a)

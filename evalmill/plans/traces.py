@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.operators import metrics, telemetry
+from evalmill.operators import metrics, telemetry, validate
 from evalmill.plans.tables import table
 
 _MODELS = {"click": "gpt-4o-mini", "view": "gpt-4o-mini", "purchase": "gpt-4o", "signup": "gpt-4o"}
@@ -34,15 +34,20 @@ def last_summary(spark, sf_dir: str) -> DataFrame:
 
 
 def step_pairs(spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("step_index", F.floor(F.col("event_id") / 100))
-    out = telemetry.step_pairs(e, ["user_id", "step_index"], F.col("event_type") == "view", F.col("event_type") == "click")
-    return out.where("duration_us IS NOT NULL").select("user_id", "step_index", "duration_us")
+    """Every hundred events a step of each user, tried in up to three attempts: views begin, clicks complete; what was never completed is there too."""
+    e = table(spark, sf_dir, "events").withColumns({"step_index": F.floor(F.col("event_id") / 100), "attempt": F.col("event_id") % 3 + 1})
+    out = telemetry.step_pairs(e, ["user_id", "step_index", "attempt"], F.col("event_type") == "view", F.col("event_type") == "click", F.col("value") > 5)
+    return out.select("user_id", "step_index", "attempt", F.coalesce("duration_us", F.lit(-1).cast("long")).alias("duration_us"), "outcome")
 
 
 def retry_rollup(spark, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).groupBy("user_id", "day", "model").agg(F.count("*").alias("attempts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("final_status"))
-    out = telemetry.retry_rollup(e, ["model", "final_status"])
-    return out.withColumn("mean_attempts", F.round("mean_attempts", 6))
+    """Each user's day and model a request, its events the attempts: errors carry statuses, some of which may be tried again."""
+    status = (F.lit(400) + F.col("event_id") % 110).cast("int")
+    error = F.when(F.col("event_type") == "error", F.lit("APIError"))
+    e = _events(spark, sf_dir).withColumn("model", F.when(F.col("user_id") % 2 == 0, "gpt-4o").otherwise("local"))
+    requests = telemetry.request_outcomes(e, ["user_id", "day", "model"], "event_id", error, validate.retriable(error, status)["retriable"])
+    out = telemetry.retry_rollup(requests, ["model", "final_status", "failure_kind"])
+    return out.withColumns({"failure_kind": F.coalesce("failure_kind", F.lit("-")), "mean_attempts": F.round("mean_attempts", 6)})
 
 
 def redacted_props(spark, sf_dir: str) -> DataFrame:
@@ -67,8 +72,12 @@ ORACLES = {
     "cost_by_model": f"WITH {_E} SELECT model, round(sum(cost), 6) AS cost_usd, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM c GROUP BY 1",
     "trace_rollup": f"WITH {_E} SELECT * EXCLUDE (completed) FROM t",
     "last_summary": f"WITH {_E}, l AS (SELECT user_id, arg_max(day, completed) AS trace_id, arg_max(cost_usd, completed) AS cost_usd FROM t GROUP BY 1) SELECT c_custkey AS task_id, c_nationkey, trace_id, coalesce(cost_usd, 0) AS cost_usd FROM customer LEFT JOIN l ON user_id = c_custkey",
-    "step_pairs": "SELECT user_id, event_id // 100 AS step_index, epoch_us(max(ts) FILTER (event_type = 'click')) - epoch_us(min(ts) FILTER (event_type = 'view')) AS duration_us FROM events GROUP BY 1, 2 HAVING duration_us IS NOT NULL",
-    "retry_rollup": f"WITH {_E}, a AS (SELECT user_id, day, model, count(*) AS attempts, arg_max(event_type, (ts, event_id)) AS final_status FROM e GROUP BY ALL) SELECT model, final_status, count(*) AS requests, round(avg(attempts), 6) AS mean_attempts, max(attempts) AS max_attempts FROM a GROUP BY ALL",
-    "redacted_props": "SELECT event_id, CAST(user_id AS VARCHAR) AS user, '***REDACTED***' AS api_key, CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE props->>'$.k' END AS k FROM events",
+    "step_pairs": """SELECT user_id, event_id // 100 AS step_index, event_id % 3 + 1 AS attempt, coalesce(epoch_us(max(ts) FILTER (event_type = 'click')) - epoch_us(min(ts) FILTER (event_type = 'view')), -1) AS duration_us,
+      CASE WHEN count(*) FILTER (event_type = 'click') = 0 THEN 'unfinished' WHEN arg_max(value, ts) FILTER (event_type = 'click') > 5 THEN 'success' ELSE 'failed' END AS outcome FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2, 3""",
+    "retry_rollup": f"""WITH {_E}, a AS (SELECT user_id, day, CASE WHEN user_id % 2 = 0 THEN 'gpt-4o' ELSE 'local' END AS model, count(*) AS attempts, arg_max(event_type, event_id) AS last, max(event_id) AS id FROM e GROUP BY ALL),
+      f AS (SELECT *, CASE WHEN last = 'error' THEN 'failed' ELSE 'success' END AS final_status, CASE WHEN last <> 'error' THEN '-' WHEN 400 + id % 110 IN (408, 429, 500, 502, 503, 504) THEN 'retry_exhausted' ELSE 'non_retriable' END AS failure_kind FROM a)
+      SELECT model, final_status, failure_kind, count(*) AS requests, round(avg(attempts), 6) AS mean_attempts, max(attempts) AS max_attempts FROM f GROUP BY ALL""",
+    "redacted_props": """WITH t AS (SELECT event_id, [{'k': 'User', 'v': CAST(user_id AS VARCHAR)}, {'k': 'api_Key', 'v': CAST(props AS VARCHAR)}, {'k': CASE WHEN event_id % 2 = 0 THEN 'input_tokens' ELSE 'k' END, 'v': props->>'$.k'}] AS f FROM events),
+      h AS (SELECT event_id, list_transform(f, lambda x: CASE WHEN regexp_matches(lower(x.k), 'token|api_key|apikey|password|secret|authorization') THEN '***REDACTED***' ELSE x.v END) AS v FROM t) SELECT event_id, v[1] AS user, v[2] AS api_key, v[3] AS k FROM h""",
     "trace_latency": f"WITH {_E} SELECT day, round(quantile_cont(duration_ms, 0.5), 3) AS p50, round(quantile_cont(duration_ms, 0.99), 3) AS p99 FROM t GROUP BY 1",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import keys_at_any_depth, strict_json
+from evalmill.operators.validate import SPLITS
 
 _CALL = "struct<tool:string,arguments:map<string,string>>"
 SCENARIO = (
@@ -47,11 +48,16 @@ def join_responses(scenarios: DataFrame, responses: DataFrame) -> tuple[DataFram
 
 
 def load_jsonl(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """(path, line_number, line, value, error) of each line; numbered in each file by its place there."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__o"))
-    from pyspark.sql import Window
-
-    out = lines.withColumn("line_number", F.row_number().over(Window.partitionBy("path").orderBy("__o"))).withColumn("j", strict_json("value"))
+    """(path, line_number, line, value, error) of each line; numbered in each file by its place there.
+
+    A line's number is its place in its block of the file and the lines of the blocks before: no task sorts more than a block.
+    """
+    block = ["path", "block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__o"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    starts = lines.groupBy(*block).agg(F.count("*").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("__o"))
+    out = lines.withColumn("__i", inside).join(starts, block).withColumn("line_number", F.col("before") + F.col("__i")).withColumn("j", strict_json("value"))
     out = out.select("path", "line_number", F.col("value").alias("line"), F.col("j.value").alias("value"), F.concat_ws(":", "path", F.col("line_number").cast("string"), "j.error").alias("where"), "j.error")
     return out if max_rows is None else out.where(F.col("line_number") <= max_rows)
 
@@ -62,13 +68,24 @@ def write_splits(rows: DataFrame, folder: str) -> None:
 
 
 def split_manifest(rows: DataFrame, loaded: int, skipped: int, config_hash: str, revision: str) -> DataFrame:
-    """One row: counts by split and what made them; the rows' own references stay a table."""
-    counts = rows.groupBy().pivot("split", ["train", "validation", "test"]).count()
+    """One row: counts by split and what made them; ``manifest_rows`` has what the rows come from."""
+    counts = rows.groupBy().pivot("split", list(SPLITS)).count()
     return counts.select(
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("train", "validation", "test")), F.lit(loaded).alias("loaded"), F.lit(skipped).alias("skipped"), F.lit(loaded - skipped).alias("converted"), F.lit(config_hash).alias("config_hash"), F.lit(revision).alias("dataset_revision"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in SPLITS), F.lit(loaded).alias("loaded"), F.lit(skipped).alias("skipped"), F.lit(loaded - skipped).alias("converted"), F.lit(config_hash).alias("config_hash"), F.lit(revision).alias("dataset_revision"),
     )
 
 
+def manifest_rows(rows: DataFrame) -> DataFrame:
+    """The source of each row of each split: a table, as it is as long as the data."""
+    return rows.select("split", "pos", "source_index", "source_row_id_json", "row_hash")
+
+
+def write_manifest(rows: DataFrame, folder: str, loaded: int, skipped: int, config_hash: str, revision: str) -> None:
+    """Next to the splits: the manifest's row and, as a table, its rows' sources and hashes."""
+    split_manifest(rows, loaded, skipped, config_hash, revision).write.mode("errorifexists").json(f"{folder}/split-manifest")
+    manifest_rows(rows).write.mode("errorifexists").parquet(f"{folder}/split-manifest-rows")
+
+
 def write_results(header: DataFrame, results: DataFrame, folder: str) -> None:
     """A run's header and its result rows, apart."""
     header.write.json(f"{folder}/runs")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from evalmill.functions import jsonx
 from evalmill.functions.jsonx import response_of
 from evalmill.operators import scoring
 
@@ -98,3 +99,99 @@ def test_changes_fold_in_order(spark):
     data = [("s", "e1", 1, "create", "t", None), ("s", "e1", 2, "update", None, "done"), ("s", "e2", 1, "update", "x", None), ("s", "e1", 3, "update", "u", None)]
     state, errors = scoring.apply_changes(spark.createDataFrame(data, "scenario string, id string, pos int, action string, title string, status string"), ["scenario", "id"], "pos", ["title", "status"])
     assert [(r.id, r.title, r.status) for r in state.collect()] == [("e1", "u", "done")] and [r.id for r in errors.collect()] == ["e2"]
+
+
+def plain_first_json(text):
+    """Every beginning in turn, character by character."""
+    body = text.strip()
+    if fenced := __import__("re").search(r"```(?:json)?\s*(.*?)\s*```", body, 16):
+        body = fenced[1].strip()
+    for start, kind in enumerate(body):
+        if kind in "[{":
+            depth, inside, escaped = 0, False, False
+            for at in range(start, len(body)):
+                c = body[at]
+                if inside:
+                    inside, escaped = (escaped or c != '"'), (not escaped and c == "\\")
+                elif c == '"':
+                    inside = True
+                else:
+                    depth += (c == kind) - (c == {"[": "]", "{": "}"}[kind])
+                    if depth == 0:
+                        return body[start : at + 1]
+    return None
+
+
+def test_first_json_is_that_of_the_plain_scan():
+    rng = random.Random(4)
+    for _ in range(20000):
+        text = "".join(rng.choices(['[', ']', '{', '}', '"', "\\", "a", " ", "```", "json\n"], weights=[4, 4, 4, 4, 4, 3, 2, 1, 0.1, 0.1], k=rng.randint(0, 24)))
+        assert jsonx.first_json(text) == plain_first_json(text), text
+
+
+def test_first_json_is_linear():
+    import time
+
+    began = time.time()
+    for text in ("[" * 100000, "[{" * 50000, '["' * 50000, '"[' * 50000 + "]", '[\\"' * 40000, "[" + "{}" * 50000):
+        jsonx.first_json(text)
+    assert time.time() - began < 10 and jsonx.first_json("[" * 1000 + '{"a":"]"}') == '{"a":"]"}'
+
+
+CALLS = "call_id int, scenario_id string, pos int, tool string, arguments map<string,string>"
+INITIAL = "scenario_id string, kind string, id string, fields map<string,string>"
+
+
+def test_calls_change_state(spark):
+    calls = [
+        (1, "a", 1, "calendar.create_event", {"title": '"Linear algebra revision"', "start_date": '"2026-05-19"', "start_time": '"16:00"', "duration_minutes": "120"}),
+        (2, "b", 1, "clipboard.read", {}), (3, "b", 2, TASK, {"title": '"Finish"', "due_date": '"2026-05-22"'}),
+        (4, "c", 1, "calendar.update_event", {"event_id": '"evt_missing_001"', "start_time": '"17:00"'}), (5, "c", 2, TASK, {"title": '"Submit"'}),
+        (6, "d", 1, "slack.send_message", {}), (7, "e", 1, DRAFT, {"recipient": '"not-an-email"', "body": '"x"'}), (8, "e", 2, DRAFT, {"recipient": '"a@b.c"'}), (9, "e", 3, DRAFT, {"recipient": '"a@b.c"', "body": '"x"', "subject": "null"}), (10, "e", 4, DRAFT, {"recipient": '"a@b.c"', "body": '""'}),
+        (11, "f", 1, "notion.update_task", {"task_id": '"t1"', "status": '"done"', "title": "null"}), (12, "f", 2, "notion.update_task", {"task_id": '"task_fake_notion_003"', "status": '"done"'}), (13, "f", 3, TASK, {"title": '"n"'}), (14, "f", 4, "notion.update_task", {"task_id": '"task_fake_notion_004"', "status": '"done"'}),
+        (15, "f", 5, TASK, {"title": '"m"', "status": '"nope"'}), (16, "f", 6, TASK, {"title": '"m"'}), (17, "g", 1, "clipboard.write", {"text": '"one"'}), (18, "g", 2, "clipboard.write", {"text": '"two"'}),
+    ]
+    initial = [("b", "clipboard", "clipboard", {"text": '"words"'}), ("f", "task", "t1", {"title": '"old"', "status": '"open"'}), ("f", "task", "task_fake_notion_003", {"title": '"k"', "status": '"open"'})]
+    results, state = scoring.apply_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(initial, INITIAL))
+    got = {r.call_id: (r.success, r.outcome, r.id) for r in results.collect()}
+    bad = lambda why: (False, why, None)
+    assert got == {
+        1: (True, "ok", "evt_fake_calendar_001"), 2: (True, "ok", "clipboard"), 3: (True, "ok", "task_fake_notion_001"), 4: bad("not_found"), 5: (True, "ok", "task_fake_notion_001"), 6: bad("unknown_tool"), 7: bad("validation"), 8: bad("invalid_arguments"), 9: (True, "ok", "draft_fake_gmail_001"), 10: bad("validation"),
+        11: (True, "ok", "t1"), 12: (True, "ok", "task_fake_notion_003"), 13: (True, "ok", "task_fake_notion_004"), 14: (True, "ok", "task_fake_notion_004"), 15: bad("validation"), 16: (True, "ok", "task_fake_notion_005"), 17: (True, "ok", "clipboard"), 18: (True, "ok", "clipboard"),
+    }
+    fields = {(r.scenario_id, r.id): r.fields for r in state.collect()}
+    assert fields == {
+        ("a", "evt_fake_calendar_001"): {"title": '"Linear algebra revision"', "start_date": '"2026-05-19"', "start_time": '"16:00"', "duration_minutes": "120"}, ("b", "clipboard"): {"text": '"words"'}, ("b", "task_fake_notion_001"): {"title": '"Finish"', "due_date": '"2026-05-22"', "status": '"open"'},
+        ("c", "task_fake_notion_001"): {"title": '"Submit"', "status": '"open"'}, ("e", "draft_fake_gmail_001"): {"recipient": '"a@b.c"', "body": '"x"'}, ("f", "t1"): {"title": '"old"', "status": '"done"'}, ("f", "task_fake_notion_003"): {"title": '"k"', "status": '"done"'},
+        ("f", "task_fake_notion_004"): {"title": '"n"', "status": '"done"'}, ("f", "task_fake_notion_005"): {"title": '"m"', "status": '"open"'}, ("g", "clipboard"): {"text": '"two"'},
+    }
+    by = {r.tool: r for r in scoring.outcome_summary(results, ["tool"]).collect()}
+    assert (by[DRAFT].calls, by[DRAFT].ok, by[DRAFT].validation, by[DRAFT].invalid_arguments, by[DRAFT].success_rate) == (4, 1, 2, 1, 0.25)
+    assert by["slack.send_message"].unknown_tool == by["calendar.update_event"].not_found == 1
+
+
+def test_free_numbers_are_those_of_a_loop(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    data, want = [], []
+    for i in range(300):
+        taken = rng.sample(range(1, 15), rng.randint(0, 8))
+        had, ids = len(taken) + rng.randint(0, 3), set(taken)
+        n = had
+        for k in range(1, rng.randint(2, 9)):
+            g = n + 1
+            while g in ids:
+                g += 1
+            ids.add(g)
+            n += 1
+            data.append((taken, had, k))
+            want.append(g)
+    df = spark.createDataFrame(data, "taken array<bigint>, had int, k int")
+    assert [r[0] for r in df.select(scoring.free_number(F.col("taken"), F.col("had"), F.col("k"))).collect()] == want
+
+
+def test_comparison_scores_by_mode(spark):
+    data = [(1, "tool_call", [(TASK, {"title": '"x"'})], None, [TASK], [(TASK, {"title": '"x"'})], None), (2, "tool_call", [(TASK, {"title": '"x"'})], None, [TASK], [(TASK, {}), (EVENT, {})], None), (3, "refusal", [], ["cannot"], [TASK], [], "I cannot."), (4, "clarification", [], ["which"], [TASK], [(TASK, {})], None)]
+    got = {r.id: r.comparison_score for r in scoring.comparison_score(scoring.score(spark.createDataFrame(data, SCHEMA))).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 0.35 + 0.25 + 0.0 + 0.15 * 0.5, 3: 1.0, 4: 0.15})

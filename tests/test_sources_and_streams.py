@@ -42,6 +42,30 @@ def test_jsonl_and_splits(spark, tmp_path):
     assert (m.train, m.validation, m.test, m.converted) == (1, 0, 1, 2)
 
 
+def test_lines_are_numbered_over_the_blocks_of_a_file(spark, tmp_path):
+    for name, n in (("a", 900), ("b", 5), ("c", 0)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"i": {i}, "f": "{name}", "pad": "{"x" * (i % 90)}"}}\n' for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        lines = io.load_jsonl(spark, str(tmp_path / "*.jsonl"))
+        assert spark.read.text(str(tmp_path / "a.jsonl")).rdd.getNumPartitions() > 5
+        got = [(json.loads(r.value)["f"], json.loads(r.value)["i"], r.line_number) for r in lines.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 905 and all(i == n for _, i, n in got)
+
+
+def test_manifests_have_counts_and_sources(spark, tmp_path):
+    schema = "split string, pos long, source_index long, source_row_id_json string, row_hash string"
+    rows = spark.createDataFrame([("train", 0, 3, "3", "h3"), ("train", 1, 1, None, "h1"), ("test", 0, 2, '"x"', "h2")], schema)
+    io.write_manifest(rows, str(tmp_path), 5, 2, "hash", "rev")
+    (head,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "split-manifest")).collect()]
+    assert head == {"train": 2, "validation": 0, "test": 1, "loaded": 5, "skipped": 2, "converted": 3, "config_hash": "hash", "dataset_revision": "rev"}
+    back = spark.read.parquet(str(tmp_path / "split-manifest-rows"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
 def test_results_of_several_runs(spark, tmp_path):
     for label, n in (("a", 1), ("b", 2)):
         (tmp_path / f"{label}.json").write_text(json.dumps({"run_id": label, "scenario_results": [{"scenario_id": f"s{i}", "latency_ms": i} for i in range(n)]}))

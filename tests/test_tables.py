@@ -33,7 +33,7 @@ def test_scenario_rules(spark):
         return tuple(k.get(n, v) for n, v in zip(names, GOOD, strict=True))
 
     cases = [
-        (GOOD, []), (but(id="Mail_1"), ["id"]), (but(id="mail_001\n"), ["id"]), (but(current_time="2026-05-11T09:00:00"), ["current_time"]), (but(expected_type="tool_calls"), ["two_calls"]), (but(available_tools=["gmail.x", "gmail.x"]), ["available_tools_unique"]),
+        (GOOD, []), (but(id="Mail_1"), ["id"]), (but(id="mail_001\n"), ["id"]), (but(current_time="2026-05-11T09:00:00"), ["current_time"]), (but(current_time="2026-99-11T09:00:00Z"), ["current_time"]), (but(current_time="2026-05-11 09:00+0700"), []), (but(expected_type="tool_calls"), ["two_calls"]), (but(available_tools=["gmail.x", "gmail.x"]), ["available_tools_unique"]),
         (but(available_tools=["bad"]), ["available_tools"]), (but(success_criteria=["a", "a"]), ["success_criteria_unique"]), (but(description=""), ["description"]), (but(tags=[""]), ["tags"]), (but(keys=["id", "more"]), ["extra_keys"]),
         (but(expected_type="refusal", expected_calls=[], expected_keywords=[]), ["keywords"]), (but(category=None), ["category"]),
     ]
@@ -90,8 +90,10 @@ def test_token_figures_of_a_short_a_long_and_a_broken_row(spark):
 
 
 def test_failures_are_listed_in_order(spark):
-    df = spark.createDataFrame([(0, "s1", ["premature_tool_call", "missing_refusal"]), (1, "s2", ["premature_tool_call"]), (2, "s3", [])], "pos int, id string, failure_reasons array<string>")
-    assert [(r.reason, r.n, r.ids) for r in metrics.failure_summary(df, [], "pos", "id").collect()] == [("premature_tool_call", 2, ["s1", "s2"]), ("missing_refusal", 1, ["s1"])]
+    df = spark.createDataFrame([(0, "s1", ["premature_tool_call", "missing_refusal"]), (1, "s2", ["premature_tool_call", "missing_clarification"]), (2, "s3", [])], "pos int, id string, failure_reasons array<string>")
+    assert [(r.reason, r.n) for r in metrics.failure_summary(df, []).collect()] == [("premature_tool_call", 2), ("missing_clarification", 1), ("missing_refusal", 1)]
+    every = metrics.failure_ids(df, [], "pos", "id").orderBy(F.desc("n"), "reason", "position").collect()
+    assert [(r.reason, r.n, r.id) for r in every] == [("premature_tool_call", 2, "s1"), ("premature_tool_call", 2, "s2"), ("missing_clarification", 1, "s2"), ("missing_refusal", 1, "s1")]
 
 
 def test_comparison_table_formats(spark):
@@ -99,27 +101,91 @@ def test_comparison_table_formats(spark):
     assert [(r.metric, r.a) for r in metrics.comparison_table(m, "run", m.columns[1:], ["a"]).collect()] == [("task_success_rate", "0.500"), ("refusal", "n/a"), ("average_latency_ms", "2519"), ("total_cost_usd", "$0.0058")]
 
 
-def test_bootstrap_brackets_the_mean_and_revision_ignores_partitions(spark):
-    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("v"))
+def test_bootstrap_brackets_the_mean(spark):
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("k"))
     r = metrics.bootstrap(df, "id", "v", 300).first()
     assert r.low < df.agg(F.avg("v")).first()[0] < r.high and r.high - r.low < 1
-    a, b = (metrics.content_revision(df.repartition(p), "id", ["v"]).first()[0] for p in (1, 6))
-    assert a == b != metrics.content_revision(df.limit(299), "id", ["v"]).first()[0]
+    assert metrics.bootstrap(df.repartition(5), "id", "v", 300).first() == pytest.approx(r)
+    by = {x.k: x for x in metrics.bootstrap(df.repartition(3), "id", "v", 300, by=["k"]).collect()}
+    assert len(by) == 2 and all(x.low < 3 < x.high for x in by.values())
+    assert metrics.bootstrap(df.limit(0), "id", "v").first() == (None, None)
+
+
+def test_bootstrap_weights_are_poisson():
+    import numpy as np
+    import pandas as pd
+
+    (out,) = metrics._resampled(2000, [], "v")(iter([pd.DataFrame({"__item": np.arange(500) * 7919, "v": np.ones(500)})]))
+    assert abs(out.w.mean() - 500) < 3 and abs(out.w.var() - 500) < 60 and (out.w == out.wv).all()
+
+
+@pytest.mark.parametrize("rows", [0, 1, 40, 700])
+def test_revisions_ignore_partitions_at_every_depth(spark, monkeypatch, rows):
+    df = spark.range(rows).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    for size in (1024, 4, 1):
+        monkeypatch.setattr(metrics, "REVISION_ROWS", size)
+        a, b = (metrics.content_revision(df.repartition(p), "id", ["v"]).first()[0] for p in (1, 6))
+        assert a == b and len(a) == 64
+        if rows:
+            changed = df.withColumn("v", F.when(F.col("id") == rows - 1, -1.0).otherwise(F.col("v")))
+            assert a != metrics.content_revision(changed, "id", ["v"]).first()[0] and a != metrics.content_revision(df.where(f"id < {rows - 1}"), "id", ["v"]).first()[0]
+
+
+def test_percentiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    data = [("a", rng.gauss(0, 1000)) for _ in range(500)] + [("b", float(rng.randint(-3, 3))) for _ in range(400)] + [("c", 7.25)] + [("d", 10.0 ** rng.randint(-9, 9)) for _ in range(51)] + [("e", None), ("a", None), (None, 1.0), (None, 2.0)]
+    got = {r.k: r for r in metrics.latency_percentiles(spark.createDataFrame(data, "k string, v double").repartition(5), ["k"], "v", {"p50": 0.5, "p99": 0.99, "least": 0.0, "most": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, r in got.items():
+        values = [v for x, v in data if x == k and v is not None]
+        assert (r.p50, r.p99, r.least, r.most) == pytest.approx(tuple(np.percentile(values, [50, 99, 0, 100])))
+    (one,) = metrics.latency_percentiles(spark.createDataFrame(data, "k string, v double"), [], "v").collect()
+    assert (one.p50, one.p99) == pytest.approx(tuple(np.percentile([v for _, v in data if v is not None], [50, 99])))
 
 
 def test_leaks(spark):
-    train = spark.createDataFrame([(1, " STRASSE 1\n"), (2, "other"), (3, "a b c d e f g h i"), (4, None)], "id long, text string")
-    evals = spark.createDataFrame([(9, "straße 1"), (8, "x a b c d e f g h y")], "e long, text string")
-    assert [tuple(r) for r in leakage.exact_leaks(train, "id", evals, "e").collect()] == [(1, 9)]
+    train = spark.createDataFrame([(1, " STRASSE 1\n"), (2, "other"), (3, "a b c d e f g h i"), (4, None), (5, "strasse 1")], "id long, text string")
+    evals = spark.createDataFrame([(9, "straße 1"), (8, "x a b c d e f g h y"), (7, "Strasse 1 "), (6, None)], "e long, text string")
+    assert sorted(map(tuple, leakage.exact_leaks(train, "id", evals, "e").collect())) == [(1, 7, 2), (5, 7, 2)]
+    assert sorted(map(tuple, leakage.key_classes(evals, "e", leakage.normalised(F.col("text"))).collect())) == [(7, 7), (8, 8), (9, 7)]
     assert [(r.id, r.e, r.common) for r in leakage.ngram_leaks(train, "id", evals, "e", 4, 0.5).collect()] == [(3, 8, 5)]
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])], "id long, embedding array<double>")
-    e = spark.createDataFrame([(9, [2.0, 0.1])], "e long, embedding array<double>")
-    assert [r.id for r in leakage.embedding_leaks(v, "id", e, "e", least=0.9).collect()] == [1]
-    assert leakage.embedding_leaks(v, "id", e.limit(0), "e").count() == 0
     docs = spark.createDataFrame([(1, '{"a":[{"success_criteria":1}]}'), (2, '{"a":"success_criteria"}'), (3, "bad")], "id long, payload string")
     assert [r.id for r in leakage.metadata_leaks(docs, "id", "payload").collect()] == [1]
-    ids = spark.createDataFrame([("src/mail_draft_001/v2",), ("mail_draft_0012",)], "id string")
-    assert [r.id for r in leakage.id_leaks(ids, "id", spark.createDataFrame([("mail_draft_001",)], "e string"), "e").collect()] == ["src/mail_draft_001/v2"]
+    ids = spark.createDataFrame([("src/mail_draft_001/v2",), ("mail_draft_0012",), ("x-a-b-c-d-e-f-001-y",), (None,)], "id string")
+    names = spark.createDataFrame([("mail_draft_001",), ("a_b_c_d_e_f_001",), ("v2",)], "e string")
+    assert sorted(map(tuple, leakage.id_leaks(ids, "id", names, "e").collect())) == [("src/mail_draft_001/v2", "mail_draft_001"), ("src/mail_draft_001/v2", "v2"), ("x-a-b-c-d-e-f-001-y", "a_b_c_d_e_f_001")]
+
+
+def test_ngrams_against_sets(spark):
+    import random
+
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choices("abcdef", k=n))
+    train, evals = [(i, line(rng.randint(0, 40))) for i in range(60)], [(i, line(rng.randint(0, 12))) for i in range(20)]
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    want = {(a, b, len(grams(x) & grams(y))) for a, x in train for b, y in evals if grams(y) and len(grams(x) & grams(y)) >= 0.5 * len(grams(y))}
+    got = leakage.ngram_leaks(spark.createDataFrame(train, "id int, text string"), "id", spark.createDataFrame(evals, "e int, text string"), "e", 3, 0.5).collect()
+    assert {(r.id, r.e, r.common) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_embedding_pairs_in_blocks_are_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (None, [1.0, 0.0]), (7, [3.0, None])], "id long, embedding array<double>")
+    e = spark.createDataFrame([(9, [2.0, 0.1])], "e long, embedding array<double>")
+    assert [r.id for r in leakage.embedding_leaks(v, "id", e, "e", least=0.9).collect()] == [1]
+    assert leakage.embedding_leaks(v, "id", e.limit(0), "e").count() == leakage.embedding_leaks(v.limit(0), "id", e, "e").count() == 0
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(90, 8)), rng.normal(size=(40, 8))
+    monkeypatch.setattr(leakage, "BLOCK_ROWS", 7)
+    frame = lambda m, name: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], f"{name} long, embedding array<double>").repartition(3)
+    got = {(r.id, r.e): r.cosine for r in leakage.embedding_leaks(frame(x, "id"), "id", frame(y, "e"), "e", least=0.5).collect()}
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    assert set(got) == set(map(tuple, np.argwhere(cos >= 0.5).tolist())) and all(abs(c - cos[k]) < 1e-12 for k, c in got.items())
 
 
 def test_folded_leaks_compare_whole_texts(spark, tmp_path):
@@ -128,7 +194,8 @@ def test_folded_leaks_compare_whole_texts(spark, tmp_path):
     head = "the same forty characters begin every text "
     rows = [(0, head + "Straße one", "de"), (1, head + "two", "en"), (2, " " + head.upper() + "STRASSE ONE\n", "de"), (3, None, "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in corpora.leak_folded(spark, str(tmp_path)).collect()] == [(2, 0)]
+    assert [tuple(r) for r in corpora.leak_folded(spark, str(tmp_path)).collect()] == [(2, 0, 1)]
+    assert [tuple(r) for r in corpora.leak_exact(spark, str(tmp_path)).collect()] == []
 
 
 def test_redaction_at_any_depth(spark):
@@ -151,9 +218,37 @@ def test_changes_and_reminders(spark):
     tasks = spark.sql("select * from values (1, timestamp'2024-01-01', 'open'), (2, timestamp'2024-01-01', ' Done'), (3, timestamp'2025-01-01', 'open'), (4, timestamp'2024-01-02', null), (5, timestamp'2024-01-02', 'x') t(id, due, status)")
     fired = spark.sql("select * from values (4, timestamp'2024-01-02'), (5, timestamp'2024-01-01') t(id, last_due)")
     assert sorted(r.id for r in changes.due_tasks(tasks, fired, F.lit("2024-06-01").cast("timestamp")).collect()) == [1, 5]
-    page = '{"id":"p","properties":{"Name":{"title":[{"plain_text":"T"}]},"Due":{"date":{"start":"2024-05-01T10:00:00"}},"Tags":{"multi_select":[{"name":"x"}]}}}'
-    t = changes.task_from_page(spark.createDataFrame([(page,), ('{"id":"q"}',)], "page string")).select("id", "title", F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"), "tags").collect()
-    assert [tuple(r) for r in t] == [("p", "T", "2024-05-01 10:00", ["x"]), ("q", "Untitled", None, [])]
+
+
+def test_tasks_from_pages(spark):
+    pages = [
+        {"id": "p", "properties": {"Name": {"title": [{"plain_text": "A"}, {"plain_text": "B"}]}, "Due": {"date": {"start": "2024-05-01T10:00:00"}}, "Status": {"select": {"name": "Done"}, "status": {"name": "x"}}, "Priority": {"select": {"name": "High"}}, "Tags": {"multi_select": [{"name": "x"}, {"name": "y"}]}}},
+        {"id": "q"}, {"id": "r", "properties": {"Name": {"title": []}, "Due": {"date": None}, "Status": {"select": None}, "Tags": {"multi_select": []}}},
+        {"id": "s", "properties": {"Name": {"title": [{}]}, "Due": {"date": {"start": "2024-05-01T10:00:00+02:00"}}, "Status": {"status": {"name": "x"}}}}, {"id": "t", "properties": {"Due": {"date": {"start": "2024-05-01"}}}},
+    ]
+    t = changes.task_from_page(spark.createDataFrame([(json.dumps(p),) for p in pages], "page string")).withColumn("due", F.date_format("due", "yyyy-MM-dd HH:mm")).collect()
+    assert [(r.id, r.title, r.due, r.status, r.priority, r.tags) for r in t] == [
+        ("p", "A", "2024-05-01 10:00", "Done", "High", ["x", "y"]), ("q", "", None, "", None, []), ("r", "", None, "", None, []), ("s", "", "2024-05-01 08:00", "", None, []), ("t", "", "2024-05-01 00:00", "", None, []),
+    ]
+
+
+def test_steps_and_requests(spark):
+    ts = lambda s: f"2024-01-01 00:00:{s:02d}"
+    events = [("t", 0, 1, ts(0), "started", None), ("t", 0, 1, ts(2), "completed", False), ("t", 0, 2, ts(3), "started", None), ("t", 0, 2, ts(4), "completed", True), ("t", 1, 1, ts(5), "started", None), ("u", 0, 1, ts(6), "completed", True), ("u", 1, 1, ts(6), "other", None)]
+    e = spark.createDataFrame(events, "trace_id string, step_index int, attempt int, ts string, event string, success boolean").withColumn("ts", F.to_timestamp("ts"))
+    got = telemetry.step_pairs(e, ["trace_id", "step_index", "attempt"], F.col("event") == "started", F.col("event") == "completed", F.col("success")).orderBy("trace_id", "step_index", "attempt").collect()
+    assert [(r.trace_id, r.step_index, r.attempt, r.duration_us, r.outcome) for r in got] == [("t", 0, 1, 2000000, "failed"), ("t", 0, 2, 1000000, "success"), ("t", 1, 1, None, "unfinished"), ("u", 0, 1, None, "success")]
+    tries = [("a", 1, "E", 429), ("a", 2, None, None), ("b", 1, "E", 503), ("b", 2, "E", 503), ("c", 1, "E", 401), ("d", 1, None, None)]
+    df = spark.createDataFrame(tries, "r string, n int, e string, s int")
+    out = telemetry.request_outcomes(df, ["r"], "n", F.col("e"), validate.retriable(F.col("e"), F.col("s"))["retriable"])
+    assert {r.r: (r.attempts, r.final_status, r.failure_kind) for r in out.collect()} == {"a": (2, "success", None), "b": (2, "failed", "retry_exhausted"), "c": (1, "failed", "non_retriable"), "d": (1, "success", None)}
+    rolled = {(r.final_status, r.failure_kind): (r.requests, r.mean_attempts, r.max_attempts) for r in telemetry.retry_rollup(out, ["final_status", "failure_kind"]).collect()}
+    assert rolled == {("success", None): (2, 1.5, 2), ("failed", "retry_exhausted"): (1, 2.0, 2), ("failed", "non_retriable"): (1, 1.0, 1)}
+
+
+def test_diversity(spark):
+    b = metrics.diversity(spark.createDataFrame([("x",), ("x",), ("y",)], "k string"), ["k"])
+    assert metrics.diversity_summary(b).first() == (2, 3, pytest.approx(2 / 3)) and metrics.diversity_summary(b.limit(0)).first() == (0, 0, None)
 
 
 def test_config_hashes_ignore_where_output_goes():
