@@ -269,6 +269,7 @@ def read_media(packs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
     lists, packs, chunks = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "media"))
-    return lists.join(read_media(packs, chunks), "media_sha").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_sha").alias("media_sha256"), "feature", F.size("digests").cast("long").alias("n_chunks")
+    own = lists.select("doc_id", "n_bytes", "media_sha", "media_bytes", F.size("digests").cast("long").alias("n_chunks"))  # the digests themselves don't travel
+    return own.join(read_media(packs, chunks), "media_sha").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_sha").alias("media_sha256"), "feature", "n_chunks"
     )
