@@ -3,7 +3,7 @@
 ``FILTERS`` learned filters see ``WIDTH`` bytes at each byte of the text (its end is filled up with zero bytes). The text
 is covered whole by chunks of ``CHUNK`` bytes that overlap by ``CHUNK - HOP``; a filter's value for a chunk is its largest one, cut
 off at zero, so a chunk shows which patterns it holds, and one with few different patterns (repeated lines) shows few. Mean,
-largest and smallest value over the chunks, and the text's length (up to two chunks), go through a hidden layer to one probability. Gradients flow to the bytes of
+largest and smallest value over the chunks, and the logarithm of the text's length (up to 1024 bytes), go through a hidden layer to one probability. Gradients flow to the bytes of
 the largest values.
 
 It is fitted on at most ``TRAIN_ROWS`` labelled documents (half of either class where there are enough), a fixed bound; scoring
@@ -11,7 +11,8 @@ covers every byte of every text. Filters are stored as tables by byte and place;
 row is worked on by itself: no shuffle.
 
 Edge cases: a null or empty text is one chunk of zero bytes and gets its score. Without labels of both classes all scores are
-the share of label 1 (0.5 without labels).
+the share of label 1 (0.5 without labels). Repeated rows and null ids each get a score; an id that repeats is learned from once, and of differing labels of one id
+the higher counts. Columns other than the two named are not looked at.
 """
 
 from __future__ import annotations
@@ -109,29 +110,32 @@ class Net:
         begin, end, by = chunk_bounds(ends)
         return sigmoid(self.forward(self.pooled(x, begin, end)[0], by, ends[1] - ends[0])[3])
 
+    def gradients(self, x: np.ndarray, ends: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss, for texts as ``padded`` gives them."""
+        begin, end, by = chunk_bounds(ends)
+        top, places = self.pooled(x, begin, end, where=True)
+        act, f, h, z = self.forward(top, by, ends[1] - ends[0])
+        g = (sigmoid(z) - y) / len(y)
+        gh = g[:, None] * self.p["u"] * (h > 0)
+        gf = gh @ self.p["h"].T
+        doc = np.repeat(np.arange(len(y)), np.diff(by))
+        high, low = f[:, FILTERS : 2 * FILTERS][doc], f[:, 2 * FILTERS : 3 * FILTERS][doc]
+        ga = gf[doc, :FILTERS] / np.diff(by)[doc][:, None] + gf[doc, FILTERS : 2 * FILTERS] * (act == high) + gf[doc, 2 * FILTERS : 3 * FILTERS] * (act == low)
+        ga *= act > 0
+        gt = np.zeros_like(self.p["t"])
+        c, k = np.nonzero(ga)
+        for j in range(WIDTH):
+            np.add.at(gt[j], (x[places[c, k] + j], k), ga[c, k])
+        return {"t": gt, "b": ga.sum(axis=0), "h": f.T @ gh + 1e-4 * self.p["h"], "hb": gh.sum(axis=0), "u": h.T @ g + 1e-4 * self.p["u"], "c": np.array([g.sum()])}
+
     def fit(self, texts: list[np.ndarray], y: np.ndarray):
         adam = Adam(self.p, RATE)
         epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))  # few texts are seen more often
         for epoch in range(epochs):
             adam.rate = RATE / (1 + EPOCHS * epoch / epochs)
             for batch in batches_of(len(texts), BATCH, epoch):
-                at = np.cumsum([0, *(len(texts[i]) for i in batch)])
-                x, ends = padded(np.concatenate([texts[i] for i in batch]), at)
-                begin, end, by = chunk_bounds(ends)
-                top, places = self.pooled(x, begin, end, where=True)
-                act, f, h, z = self.forward(top, by, ends[1] - ends[0])
-                g = (sigmoid(z) - y[batch]) / len(batch)
-                gh = g[:, None] * self.p["u"] * (h > 0)
-                gf = gh @ self.p["h"].T
-                doc = np.repeat(np.arange(len(batch)), np.diff(by))
-                high, low = f[:, FILTERS : 2 * FILTERS][doc], f[:, 2 * FILTERS : 3 * FILTERS][doc]
-                ga = gf[doc, :FILTERS] / np.diff(by)[doc][:, None] + gf[doc, FILTERS : 2 * FILTERS] * (act == high) + gf[doc, 2 * FILTERS : 3 * FILTERS] * (act == low)
-                ga *= act > 0
-                gt = np.zeros_like(self.p["t"])
-                c, k = np.nonzero(ga)
-                for j in range(WIDTH):
-                    np.add.at(gt[j], (x[places[c, k] + j], k), ga[c, k])
-                adam.step({"t": gt, "b": ga.sum(axis=0), "h": f.T @ gh + 1e-4 * self.p["h"], "hb": gh.sum(axis=0), "u": h.T @ g + 1e-4 * self.p["u"], "c": np.array([g.sum()])})
+                x, ends = padded(np.concatenate([texts[i] for i in batch]), np.cumsum([0, *(len(texts[i]) for i in batch)]))
+                adam.step(self.gradients(x, ends, y[batch]))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
 
