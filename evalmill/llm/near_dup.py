@@ -16,8 +16,8 @@ Work that grows with the square of a group is avoided without a cap:
 3. what may still join two components lies in buckets that hold several. Of the classes there, each takes the shingles that are rarest
    among them all, as many as ``PERCENT`` asks for: two sets that are similar enough have one of those in common whatever the order
    (prefix filtering), so this loses no pair of a bucket. Texts that are alike in frequent passages only share none, and never meet. Rarity is read
-   from counts in ``2 ** CELL_BITS`` cells of the hash space, a table of fixed size. Pairs of different components and fitting sizes
-   that share a rarest shingle pass the sketch screen, and what passes is confirmed.
+   from counts in ``2 ** CELL_BITS`` cells of the hash space, a table of fixed size. A pair of different components that shares one meets if
+   so many shingles are left in both sets from there on, in the order of rarity, as it must have in common; it passes the sketch screen, and what passes is confirmed.
 
 Documents travel as signatures (about 0.3 KB); texts move only for classes that share a bucket.
 
@@ -186,7 +186,8 @@ def _rarest(sent):
                 n = np.array([len(p) for p in picked])
                 ids, homes = (np.repeat(rows.column(c).to_numpy(), n) for c in ("id", "component"))
                 sizes = np.repeat(rows.column("n_shingles").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(ids), pa.array(homes), pa.array(sizes)], ["shingle", "id", "component", "n_shingles"])
+                left = sizes - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))  # what stands here and behind in the order
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64)), pa.array(ids), pa.array(homes), pa.array(sizes), pa.array(left)], ["shingle", "id", "component", "n_shingles", "left"])
 
     return rarest
 
@@ -199,11 +200,12 @@ def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
     for r in cells.mapInArrow(_pack_cells, "cell binary, level binary").collect():  # at most 2 ** CELL_BITS cells of 5 bytes
         levels[np.frombuffer(bytes(r.cell), "<i4")] = np.frombuffer(bytes(r.level), "u1")
     sent = texts.sparkSession.sparkContext.broadcast(levels)
-    rare = store.keep(texts.mapInArrow(released(_rarest(sent)), "shingle long, id long, component long, n_shingles long"), "rare")
+    rare = store.keep(texts.mapInArrow(released(_rarest(sent)), "shingle long, id long, component long, n_shingles long, left long"), "rare")
     several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     shared = store.keep(rare.join(several, "shingle"), "shared")
-    p, q = (shared.select("shingle", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}")) for i in "ab")
-    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    p, q = (shared.select("shingle", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}"), F.col("left").alias(f"left{i}")) for i in "ab")
+    # the first shingle two sets share, in the common order, has all others they share behind it in both
+    fits = (F.col("ca") < F.col("cb")) & (F.least("lefta", "leftb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
     met = p.join(q, (p.shingle == q.shingle) & fits).select("a", "b").distinct()
     return store.keep(met, "met")
 
@@ -212,18 +214,26 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
     """(id, component): the smallest id each node of the edges reaches. Labels spread and jump until none changes."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a"))
     both = store.keep(both.union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), f"{name}-edges")
-    labels = store.keep(both.groupBy("id").agg(F.min("to").alias("component")), f"{name}-0")
+    labels = both.groupBy("id").agg(F.min("to").alias("component"))
     turn = 0
     while True:
         turn += 1
-        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("component"))
-        near = store.keep(near, f"{name}-{turn}-near")
+        own = F.max(F.when(F.col("to") == F.col("id"), F.col("component")))  # each node is its own neighbour
+        near = store.keep(both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("component"), own.alias("was")), f"{name}-{turn}-near")
         onward = near.select(F.col("id").alias("component"), F.col("component").alias("onward"))
-        following = store.keep(near.join(onward, "component").select("id", F.col("onward").alias("component")), f"{name}-{turn}")
-        moved = following.join(labels.withColumnRenamed("component", "was"), "id").where("component <> was").limit(1).count()
-        labels = following
-        if not moved:
-            return labels
+        labels = store.keep(near.join(onward, "component").select("id", F.col("onward").alias("component"), (F.col("onward") != F.col("was")).alias("moved")), f"{name}-{turn}")
+        if labels.where("moved").limit(1).count() == 0:
+            return labels.select("id", "component")
+        labels = labels.select("id", "component")
+
+
+def merged(labels: DataFrame, links: DataFrame, store: Store, name: str) -> DataFrame:
+    """Labels after more links (a, b): only the components that these join are looked at, as nodes."""
+    met = _with_component(_with_component(links, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    over = components(met, store, name)
+    known = labels.select("id", F.col("component").alias("c")).join(over.select(F.col("id").alias("c"), F.col("component").alias("o")), "c", "left").select("id", F.coalesce("o", "c").alias("component"))
+    fresh = over.join(labels.select("id"), "id", "left_anti").select("id", "component")  # nodes that had no link before
+    return store.keep(known.union(fresh), f"{name}-all")
 
 
 def _distance(x: str, y: str) -> Column:
@@ -236,7 +246,11 @@ def _with_component(df: DataFrame, labels: DataFrame, column: str, out: str) ->
 
 
 def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, text_hash, group_id) for each row of ``docs`` (doc_id, text).
+
+    text_hash is ``xxhash64`` of the text. group_id numbers the linked groups in this run, null for rows that are in none by an empty set or a null id; with
+    one id on several texts it tells apart what component_id, an id, cannot.
+    """
     store = store or Store(docs.sparkSession, "near-dup")
     marks = store.keep(signatures(docs), "signatures")
     one = marks.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands", "sketch")).alias("m"))
@@ -258,14 +272,12 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = store.keep(screened(pairs), "pairs")
     tried = store.keep(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b"), "best")
-    links = store.keep(confirm(tried, texts), "links-1")
-    labels = components(links, store, "components-1")
+    labels = components(store.keep(confirm(tried, texts), "links-1"), store, "components-1")
 
     apart = _with_component(_with_component(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
     between = apart.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
     between = store.keep(between.join(tried, ["a", "b"], "left_anti"), "between")
-    links = links.union(store.keep(confirm(between, texts), "links-2"))
-    labels = components(links, store, "components-2")
+    labels = merged(labels, store.keep(confirm(between, texts), "links-2"), store, "components-2")
 
     placed = store.keep(_with_component(members.select("id", "key"), labels, "id", "component"), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -275,17 +287,17 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = screened(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = store.keep(rest.join(seen, ["a", "b"], "left_anti"), "rest")
-    links = links.union(store.keep(confirm(rest, texts), "links-3"))
-    labels = components(links, store, "components-3")
+    labels = merged(labels, store.keep(confirm(rest, texts), "links-3"), store, "components-3")
 
     home = store.keep(_with_component(classes.select("id", "set_hash", "doc_id"), labels, "id", "component"), "placed-all")
     first = home.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    home = store.keep(home.join(first, "component").select("set_hash", "component_id"), "home")
-    out = marks.select("doc_id", "n_shingles", "set_hash").join(home, "set_hash", "left")
+    home = store.keep(home.join(first, "component").select("set_hash", "component_id", F.col("component").alias("group_id")), "home")
+    out = marks.select("doc_id", "n_shingles", "text_hash", "set_hash").join(home, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    group = F.when(F.col("doc_id").isNotNull(), F.col("group_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", group.alias("group_id"))
 
 
 def op10_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
