@@ -3,8 +3,9 @@
 A word (letters only, A-Z lower-cased) is the sum of hashed embeddings: of the word by two hashes, so that words meet in
 both only by rare chance, and of its first ``PREFIXES`` bytes, so that the forms of one stem share what is learned. Filters of each width in ``WIDTHS`` slide over all words of the whole text; a filter's feature is its
 largest value, cut off at zero; one dense layer makes the probability. Gradients flow to the words of the largest
-values. Embeddings start at zero but for one dimension, which holds the bucket's log odds of standing in a toxic
-text; words not met in training so stay near neutral.
+values. One dimension of an embedding starts at the bucket's log odds of standing in a toxic text, and half of the filters of a width
+look at that one only at first; in whole words' embeddings the other dimensions start at random, the closer to zero the rarer the word, and the ``FREE`` filters
+learn from those what words mean side by side. Words not met in training so stay near neutral.
 
 It is fitted on at most ``TRAIN_ROWS`` labelled documents (half toxic where there are enough), a fixed bound; scoring
 covers every word of every text, one row at a time, with no shuffle. A fifth of the labels is never fitted on. All labelled documents
@@ -12,7 +13,8 @@ outside the fitted sample, however many, set the thresholds by language, with th
 fewest errors, the nearest to ``THRESHOLD`` among equals. As the sample takes more of one class than of the other, errors of a class
 count so many times as it has labelled documents for each one outside. The language decides only the threshold, never the score.
 
-Edge cases: null and empty texts, and texts without words, get the score of no evidence. Without labels of both
+Edge cases: null and empty texts, and texts without words, get the score of no evidence. Repeated rows and null ids each get a score; an id that repeats is learned
+from once, and of differing labels of one id the higher counts. Columns of the results' names are replaced. Without labels of both
 classes all scores are 0. A language without labelled texts outside the sample, or with all of a class in it, or null, has
 the threshold ``THRESHOLD``.
 """
@@ -32,6 +34,7 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 TABLES = 2 + len(PREFIXES)
 EPOCHS, STEPS, BATCH, RATE, EMBED_RATE = 5, 200, 32, 0.02, 0.3
+FREE, SPREAD, RARE = 4, 0.3, 20
 THRESHOLD = 0.7
 GRID = [float(t) for t in np.round(np.arange(0.3, 0.91, 0.05), 2)]
 
@@ -53,17 +56,22 @@ class Net:
         self._ready = None
 
     @staticmethod
-    def fresh(odds: list[np.ndarray], seed: int = 7) -> Net:
+    def fresh(odds: list[np.ndarray], met: list[np.ndarray], seed: int = 7) -> Net:
+        """Starts from each table's log odds and numbers of texts by bucket."""
         rng = np.random.default_rng(seed)
         p: dict[str, np.ndarray] = {}
-        for k, own in enumerate(odds):
-            p[f"e{k}"] = np.zeros((BUCKETS, DIM), dtype=np.float32)
+        for k, (own, n) in enumerate(zip(odds, met, strict=True)):
+            known = (n / (n + RARE))[:, None] if k < TABLES - len(PREFIXES) else 0.0
+            p[f"e{k}"] = (rng.normal(0, SPREAD, (BUCKETS, DIM)) * known).astype(np.float32)
             p[f"e{k}"][:, 0] = own / 2
+        free = np.arange(FILTERS) >= FILTERS - FREE
         for w in WIDTHS:
             p[f"w{w}"] = rng.normal(0, 0.3, (w, DIM, FILTERS))
-            p[f"w{w}"][:, 0, :] = np.abs(p[f"w{w}"][:, 0, :]) / w
-            p[f"b{w}"] = np.full(FILTERS, -0.5)
-        p["u"], p["c"] = rng.normal(0.3, 0.1, FILTERS * len(WIDTHS)), np.array([-2.0])
+            p[f"w{w}"][:, 0, ~free] = np.abs(p[f"w{w}"][:, 0, ~free]) / w
+            p[f"w{w}"][:, 1:, ~free] = 0
+            p[f"b{w}"] = np.where(free, 0.0, -0.5)
+        every = np.tile(free, len(WIDTHS))
+        p["u"], p["c"] = np.where(every, rng.normal(0, 0.1, len(every)), rng.normal(0.3, 0.1, len(every))), np.array([-2.0])
         return Net(p)
 
     def prepare(self):
@@ -114,34 +122,38 @@ class Net:
             return np.full(len(at) - 1, float(sigmoid(self.p["c"])[0]))
         return sigmoid(self.logits(self.maxima(self.added(b), by)[0])[0])
 
+    def gradients(self, b: np.ndarray, by: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        """Of the mean loss: of all but the embeddings by name, and for the embeddings (buckets met, gradients) of each tap."""
+        taps = np.concatenate([self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)], axis=1).astype(np.float32)
+        values, places = self.maxima(sum(self.p[f"e{k}"][b[k]] for k in range(TABLES)) @ taps, by, where=True)
+        z, feature = self.logits(values)
+        g = (sigmoid(z) - y) / len(y)
+        grads = {"u": feature.T @ g + 1e-4 * self.p["u"], "c": np.array([g.sum()])}
+        back = g[:, None] * self.p["u"] * (feature > 0)
+        steps = []
+        for i, w in enumerate(WIDTHS):
+            cols = slice(i * FILTERS, (i + 1) * FILTERS)
+            d, f = np.nonzero(back[:, cols])
+            gv, at = back[:, cols][d, f], places[:, cols][d, f]
+            gw = np.zeros_like(self.p[f"w{w}"])
+            grads[f"b{w}"] = back[:, cols].sum(axis=0)
+            for j in range(w):
+                met = b[:, at + j]
+                emb = sum(self.p[f"e{k}"][met[k]] for k in range(TABLES))
+                np.add.at(gw[j].T, f, gv[:, None] * emb)
+                steps.append((met, gv[:, None] * self.p[f"w{w}"][j].T[f]))
+            grads[f"w{w}"] = gw
+        return grads, steps
+
     def fit(self, texts: list[np.ndarray], y: np.ndarray):
         """Embeddings take plain steps, at the buckets met only; all else takes Adam's."""
         adam = Adam({k: v for k, v in self.p.items() if k[0] != "e"}, RATE)
         for epoch in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # few texts are seen more often
             for batch in batches_of(len(texts), BATCH, epoch):
-                taps = np.concatenate([self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)], axis=1).astype(np.float32)
                 b = np.concatenate([texts[i] for i in batch], axis=1)
-                by = np.cumsum([0, *(texts[i].shape[1] for i in batch)])
                 if not b.shape[1]:
                     continue
-                values, places = self.maxima(sum(self.p[f"e{k}"][b[k]] for k in range(TABLES)) @ taps, by, where=True)
-                z, feature = self.logits(values)
-                g = (sigmoid(z) - y[batch]) / len(batch)
-                grads = {"u": feature.T @ g + 1e-4 * self.p["u"], "c": np.array([g.sum()])}
-                back = g[:, None] * self.p["u"] * (feature > 0)
-                steps = []
-                for i, w in enumerate(WIDTHS):
-                    cols = slice(i * FILTERS, (i + 1) * FILTERS)
-                    d, f = np.nonzero(back[:, cols])
-                    gv, at = back[:, cols][d, f], places[:, cols][d, f]
-                    gw = np.zeros_like(self.p[f"w{w}"])
-                    grads[f"b{w}"] = back[:, cols].sum(axis=0)
-                    for j in range(w):
-                        met = b[:, at + j]
-                        emb = sum(self.p[f"e{k}"][met[k]] for k in range(TABLES))
-                        np.add.at(gw[j].T, f, gv[:, None] * emb)
-                        steps.append((met, gv[:, None] * self.p[f"w{w}"][j].T[f]))
-                    grads[f"w{w}"] = gw
+                grads, steps = self.gradients(b, np.cumsum([0, *(texts[i].shape[1] for i in batch)]), y[batch])
                 adam.step(grads)
                 for met, down in steps:
                     for k in range(TABLES):
@@ -154,19 +166,21 @@ def _encode(texts: list[str]) -> list[np.ndarray]:
     return [buckets_of(r, np.array([0, len(r)]))[0] for r in raw]
 
 
-def _odds(texts, y: np.ndarray) -> list[np.ndarray]:
-    return [_odds_of(texts, y, k) for k in range(TABLES)]
+def _odds(texts, y: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each table the log odds of its buckets, and in how many texts they stand."""
+    both = [_odds_of(texts, y, k) for k in range(TABLES)]
+    return [o for o, _ in both], [n for _, n in both]
 
 
-def _odds_of(texts, y: np.ndarray, side: int) -> np.ndarray:
+def _odds_of(texts, y: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros((2, BUCKETS))
     for t, label in zip(texts, y, strict=True):
         counts[int(label), np.unique(t[side])] += 1
     n = np.bincount(y.astype(int), minlength=2)
-    rate = (counts + 0.5) / (n[:, None] + 1)
+    rate, met = (counts + 0.5) / (n[:, None] + 1), counts.sum(axis=0)
     # as the log odds' own spread is 1 / sqrt(count), rarely met buckets keep near zero
-    odds = np.log(rate[1] / rate[0]) * (counts.sum(axis=0) / (counts.sum(axis=0) + 5))
-    return np.where(counts.sum(axis=0) > 0, odds, 0.0)
+    odds = np.log(rate[1] / rate[0]) * (met / (met + 5))
+    return np.where(met > 0, odds, 0.0), met
 
 
 class Classifier:
@@ -185,7 +199,7 @@ def fit(rows: list) -> Classifier:
     if len(set(y)) < 2:
         return Classifier(None, {})
     texts = _encode([r.text for r in rows])
-    net = Net.fresh(_odds(texts, y))
+    net = Net.fresh(*_odds(texts, y))
     net.fit(texts, y)
     return Classifier(net, {})
 
