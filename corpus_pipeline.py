@@ -22,11 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; a row that repeats an id and a text goes. Null ids stay."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    return found.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group, the one with the smallest id (and of that id's texts in the group one); a row that repeats an id and a text goes. Null ids stay."""
+    found = near_dup.near_duplicates(docs).where("kept and doc_id is not null")
+    one = found.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select("m.*")
+    kept = one.union(found.where("group_id is null").select("doc_id", "text_hash").distinct())  # texts without words are in no group
+    hashed = docs.where("doc_id is not null").select(*COLUMNS).withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"], "left_semi")
+    copies = Window.partitionBy("doc_id", "text_hash").orderBy("source", "lang", "n_chars")
+    first = hashed.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select(*COLUMNS)
+    return first.union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
