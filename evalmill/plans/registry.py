@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalmill.plans import corpora, runs, traces
+from evalmill.plans import corpora, files, runs, traces
 
-QUERIES = {**corpora.QUERIES, **runs.QUERIES, **traces.QUERIES}
-ORACLES = {**corpora.ORACLES, **runs.ORACLES, **traces.ORACLES}
+QUERIES = {**corpora.QUERIES, **files.QUERIES, **runs.QUERIES, **traces.QUERIES}
+ORACLES = {**corpora.ORACLES, **files.ORACLES, **runs.ORACLES, **traces.ORACLES}
