@@ -1,8 +1,8 @@
-"""The ten operators' queries and, where SQL can express them, their SQL."""
+"""The operators' queries and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
-from evalmill.llm import decontam, media, near_dup, pieces, pii, ppm, quality, secrets, token_counts, toxicity
+from evalmill.llm import decontam, divergence, media, mixing, near_dup, pieces, pii, ppm, quality, secrets, token_counts, toxicity, turn_trie
 
 QUERIES = {
     "op1_lm_ppm": ppm.op1_lm_ppm,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_media": media.op9_media,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_turn_trie": turn_trie.op11_turn_trie,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLES = {
     "op8_pii": pii.ORACLE_SQL,
+    "op11_turn_trie": turn_trie.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
 }
