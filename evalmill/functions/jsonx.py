@@ -21,9 +21,26 @@ _RESPONSE = T.StructType([T.StructField("tool_calls", T.ArrayType(_CALL)), T.Str
 _KINDS = ((bool, "bool"), (dict, "dict"), (list, "list"), (str, "str"), (int, "int"), (float, "float"), (type(None), "null"))
 
 
+#: What reading, walking or writing a value can raise: no JSON, or more levels than the stack holds.
+BAD = (ValueError, RecursionError)
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def plain(text: str) -> str:
+    """Halves of surrogate pairs, which no column can hold, written as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def dumps(value) -> str:
-    """Sorted keys, no spaces, other scripts kept."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Sorted keys, no spaces, other scripts kept, halves of surrogate pairs escaped."""
+    return plain(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def fault(error: Exception) -> str:
+    """The words of what is wrong with a text."""
+    if isinstance(error, RecursionError):
+        return "invalid JSON at char 0: nested too deep"
+    return f"invalid JSON at char {getattr(error, 'pos', 0)}: {getattr(error, 'msg', error)}"
 
 
 def kind_of(value) -> str:
@@ -35,9 +52,9 @@ def _strict(text: str | None) -> tuple:
         return None, "missing", None
     try:
         value = json.loads(text)
-    except ValueError as error:
-        return None, None, f"invalid JSON at char {getattr(error, 'pos', 0)}: {getattr(error, 'msg', error)}"
-    return dumps(value), kind_of(value), None
+        return dumps(value), kind_of(value), None
+    except BAD as error:
+        return None, None, fault(error)
 
 
 @F.pandas_udf(_PARSED)
@@ -64,7 +81,7 @@ def equality_text(text: str | None) -> str | None:
         return None
     try:
         return dumps(_fold_numbers(json.loads(text)))
-    except ValueError:
+    except BAD:
         return text
 
 
@@ -86,9 +103,9 @@ def fold_all(texts: pd.Series) -> pd.Series:
 def _string_of(text: str | None) -> str | None:
     try:
         value = json.loads(text) if text is not None else None
-    except ValueError:
+    except BAD:
         return None
-    return value.casefold() if isinstance(value, str) else None
+    return plain(value.casefold()) if isinstance(value, str) else None
 
 
 def _arguments(items) -> list[tuple[str, str | None, str | None]]:
@@ -115,31 +132,55 @@ def _hide(value):
 
 @F.pandas_udf(_STRING)
 def redact_json(texts: pd.Series) -> pd.Series:
-    """Values under secret keys hidden at any depth; a text that is not JSON stays."""
+    """Values under secret keys hidden at any depth; a text that is not JSON stays. What is nested too deep to be looked through is hidden as a whole."""
 
     def one(text: str) -> str:
         try:
             return dumps(_hide(json.loads(text)))
+        except RecursionError:
+            return dumps(HIDDEN)
         except ValueError:
             return text
 
     return texts.map(one, na_action="ignore")
 
 
+_KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:')
+
+
 @F.pandas_udf(_STRINGS)
 def keys_at_any_depth(texts: pd.Series) -> pd.Series:
-    def collect(value, out: set) -> set:
-        if isinstance(value, dict):
-            out.update(value)
-        for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-            collect(v, out)
-        return out
+    """The sorted keys of all objects in each text, none if it is no JSON; of what is nested too deep, whatever stands in quotes before a colon."""
 
     def one(text: str) -> list:
         try:
-            return sorted(collect(json.loads(text), set()))
+            found, left = set(), [json.loads(text)]
+        except RecursionError:
+            return sorted(set(_KEY.findall(text)))
         except ValueError:
             return []
+        while left:
+            value = left.pop()
+            if isinstance(value, dict):
+                found.update(map(plain, value))
+                left.extend(value.values())
+            elif isinstance(value, list):
+                left.extend(value)
+        return sorted(found)
+
+    return texts.map(one, na_action="ignore")
+
+
+@F.pandas_udf(_STRINGS)
+def top_keys(texts: pd.Series) -> pd.Series:
+    """The keys of each text's object, null if it has none."""
+
+    def one(text: str) -> list | None:
+        try:
+            value = json.loads(text)
+        except BAD:
+            return None
+        return sorted(map(plain, value)) if isinstance(value, dict) else None
 
     return texts.map(one, na_action="ignore")
 
@@ -235,7 +276,7 @@ def call_of(value) -> tuple[str, dict] | None:
     if isinstance(given, str):
         try:
             given = json.loads(given)
-        except ValueError:
+        except BAD:
             given = {}
         return name, given if isinstance(given, dict) else {}
     if isinstance(given, list):
@@ -249,19 +290,19 @@ def call_of(value) -> tuple[str, dict] | None:
 def response_of(raw: str | None) -> tuple[list[tuple[str, dict]], str | None]:
     """Tool calls and message of a model's raw text; what can't be read as calls is the message."""
     raw = raw or ""
-    plain = raw or None
+    whole = raw or None
     found = first_json(raw)
     try:
         value = json.loads(found) if found is not None else None
-    except ValueError:
-        return [], plain
+    except BAD:
+        return [], whole
     if found is None:
-        return [], plain
+        return [], whole
     structured = isinstance(value, dict) and ("tool_calls" in value or "message" in value)
     if structured:
         listed = value.get("tool_calls", [])
         values = listed if isinstance(listed, list) else []
-        message = value["message"] if isinstance(value.get("message"), str) else plain
+        message = value["message"] if isinstance(value.get("message"), str) else whole
     else:
         values, message = value if isinstance(value, list) else [value], None
         pairs = list(zip(values[::2], values[1::2], strict=False))
@@ -271,7 +312,7 @@ def response_of(raw: str | None) -> tuple[list[tuple[str, dict]], str | None]:
     for name, arguments in filter(None, map(call_of, values)):
         if not structured and name == "request_clarification":
             question = arguments.get("question")
-            message = (question if isinstance(question, str) else None) or plain
+            message = (question if isinstance(question, str) else None) or whole
         elif not structured and name == "refuse_request":
             reason = arguments.get("reason")
             if not isinstance(reason, str) or not reason.strip():
@@ -285,9 +326,12 @@ def response_of(raw: str | None) -> tuple[list[tuple[str, dict]], str | None]:
 
 @F.pandas_udf(_RESPONSE)
 def parse_response(raw: pd.Series) -> pd.DataFrame:
-    """Raw model text to calls (argument values as canonical JSON) and message."""
+    """Raw model text to calls (argument values as canonical JSON) and message; a text nested too deep to be written again is the message."""
     rows = []
     for text in raw:
-        calls, message = response_of(text)
-        rows.append(([{"tool": t, "arguments": {k: dumps(v) for k, v in a.items()}} for t, a in calls], message))
+        try:
+            calls, message = response_of(text)
+            rows.append(([{"tool": t, "arguments": {plain(k): dumps(v) for k, v in a.items()}} for t, a in calls], message and plain(message)))
+        except RecursionError:
+            rows.append(([], text))
     return pd.DataFrame(rows, columns=["tool_calls", "message"])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.text import stripped
+
 #: What counts as done.
 DONE = ("done", "completed", "complete", "finished")
 
 
 def is_done(status: Column) -> Column:
-    return F.lower(F.trim(status)).isin(*DONE)
+    return F.lower(stripped(status)).isin(*DONE)
 
 
 def changed_polls(polls: DataFrame, db: str = "db", ts: str = "poll_ts", fingerprint: str = "fingerprint") -> DataFrame:

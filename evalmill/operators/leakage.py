@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import fold, keys_at_any_depth
+from evalmill.functions.text import stripped
 
 
 def normalised(text: Column) -> Column:
     """Case-folded, without white space at either end."""
-    return F.regexp_replace(fold(text), r"^\s+|\s+\z", "")
+    return stripped(fold(text))
 
 
 def key_classes(rows: DataFrame, row_id: str, key: Column) -> DataFrame:

@@ -181,19 +181,38 @@ def coverage_profile(examples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-#: How a metric is written in a comparison.
-FORMATS = {"latency_ms": "%.0f", "cost_usd": "$%.4f"}
+#: How a metric is written in a comparison: what stands before it and its decimals.
+FORMATS = {"latency_ms": ("", 0), "cost_usd": ("$", 4)}
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded as the binary number it is, and to the even neighbour only where it lies exactly between two.
+
+    Twice the scaled value is a whole odd number there and, by rounding, near there; the product's rounding error, which two partial products give without loss, tells which. Beyond 2^52 scaled, digits are Java's.
+    """
+    x = F.abs(value.cast("double"))
+    scale = 2.0 * 10.0**digits
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    error = (upper * scale - product) + (x - upper) * scale
+    half = F.floor(product / 2).cast("double")
+    odd = (product == F.floor(product)) & (F.pmod(product, F.lit(2.0)) == 1.0)
+    up = F.when(odd, (error > 0) | ((error == 0) & (F.pmod(half, F.lit(2.0)) == 1.0))).otherwise(product - 2 * half > 1)
+    rounded = F.format_string(f"%.{digits}f", (half + up.cast("double")) / (10.0**digits))
+    rounded = F.when(product < 2.0**53, rounded).otherwise(F.format_string(f"%.{digits}f", x))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(F.isnan(value.cast("double")), "nan").when(x == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, rounded))
 
 
 def comparison_table(metrics: DataFrame, run: str, columns: list[str], runs: list[str]) -> DataFrame:
     """A row for each metric, a column for each run; null is n/a."""
-    form = lambda c: next((f for k, f in FORMATS.items() if c.endswith(k)), "%.3f")
+    form = lambda c: next((f for k, f in FORMATS.items() if c.endswith(k)), ("", 3))
     long = metrics.select(F.col(run).cast("string").alias(run), F.explode(F.array(*(_cell(i, c, form(c)) for i, c in enumerate(columns)))).alias("x"))
     return long.groupBy("x.place", "x.metric").pivot(run, runs).agg(F.first("x.cell")).orderBy("place").drop("place")
 
 
-def _cell(place: int, column: str, form: str) -> Column:
-    text = F.when(F.col(column).isNull(), "n/a").otherwise(F.format_string(form, F.col(column).cast("double")))
+def _cell(place: int, column: str, form: tuple[str, int]) -> Column:
+    text = F.when(F.col(column).isNull(), "n/a").otherwise(F.concat(F.lit(form[0]), fixed(F.col(column), form[1])))
     return F.struct(F.lit(place).alias("place"), F.lit(column).alias("metric"), text.alias("cell"))
 
 

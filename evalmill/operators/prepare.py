@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import dumps, strict_json
+from evalmill.functions.text import is_blank
 from evalmill.operators.ranks import json_string, row_hash, shuffled, split_seed
 
 #: The two meta-tools, and the request's fixed time.
@@ -41,7 +42,7 @@ def with_reasons(rows: DataFrame) -> DataFrame:
         error = F.col(f"{parsed}.error")
         return F.when(error.isNotNull(), F.concat(F.lit(f"{name}: "), error)).when(F.col(f"{parsed}.kind") != "list", F.lit(f"{name}: expected list"))
 
-    no_query = F.when(F.col("query").isNull() | (F.regexp_replace("query", r"\s+", "") == ""), F.lit("query: expected non-empty string"))
+    no_query = F.when(is_blank(F.col("query")), F.lit("query: expected non-empty string"))
     out = out.withColumn("reason", F.coalesce(no_query, listed("answers", "__a"), listed("tools", "__t")))
     return out.withColumn("answers_json", F.col("__a.value")).withColumn("tools_json", F.col("__t.value")).drop("__a", "__t")
 
@@ -85,8 +86,9 @@ def review_rows(rows: DataFrame) -> DataFrame:
 
 
 def repeat_count(split: Column, assistant: Column, base: int = 3, extra: int = 2, external: Column | None = None) -> Column:
-    """How often a row is used: control rows of train ``base`` times, ``extra`` more if their first call is a meta-tool; all others once."""
-    first = F.get(F.from_json(assistant, "array<struct<name:string>>"), F.lit(0))["name"]
+    """How often a row is used: control rows of train ``base`` times, ``extra`` more if their first call is a meta-tool; all others once. What is no JSON list by Python's rules has no call."""
+    parsed = strict_json(assistant)
+    first = F.get_json_object(F.when(parsed["kind"] == "list", parsed["value"]), "$[0].name")
     count = F.when(split != "train", 1).when(first.isin(*META_TOOLS), base + extra).otherwise(base)
     return count if external is None else F.when(external, 1).otherwise(count)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import comparable, fold, fold_all, parse_response
-from evalmill.operators.validate import TOOL_PARAMETERS, call_contract_issues
+from evalmill.operators.validate import TOOL_PARAMETERS
 
 #: The failure reasons.
 REASONS = ("hallucinated_tool_call", "missing_tool_call", "extra_tool_call", "wrong_tool_order", "wrong_tool_call", "premature_tool_call", "missing_clarification", "missing_refusal", "wrong_argument")
@@ -154,10 +154,13 @@ EFFECTS = [
     ("clipboard.write", "clipboard", "write", None, None),
     ("clipboard.read", "clipboard", "read", None, None),
 ]
-#: What a field has where a call that makes something leaves it out, and the form of addresses.
+#: What a field has where a call that makes something leaves it out, the form of addresses, and texts that must not be empty.
 DEFAULTS = [("notion.create_task", "status", '"open"')]
-ADDRESS = r'^"[^@\s]+@[^@\s]+\.[^@\s]+"\z'
+ADDRESS = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+\z"
+ADDRESSES = ("gmail.create_draft:recipient", "gmail.send_email:recipient")
 NOT_EMPTY = ("notion.create_task:title", "notion.update_task:title", "gmail.create_draft:body", "gmail.send_email:body")
+#: Tools that look at no argument.
+TAKES_ANYTHING = ("clipboard.read",)
 _MAP = "map<string,string>"
 
 
@@ -167,39 +170,70 @@ def _entries(arguments: Column, defaults: Column | None = None) -> Column:
     return own if defaults is None else F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), own)
 
 
+def json_text(value: Column) -> Column:
+    """The text of a JSON string, null for other values."""
+    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
+
+
+def whole_number(value: Column) -> Column:
+    """A JSON value as a whole number, also one that is written as 30.0, "30" or true; null if it is none."""
+    text = F.coalesce(json_text(value), value)
+    digits = F.regexp_replace(F.regexp_extract(text, r"^\s*([+-]?[0-9]+(?:_[0-9]+)*)(?:\.0*)?\s*\z", 1), "_", "")
+    number = F.when(~value.startswith('"'), value.try_cast("double"))
+    return F.when(value == "true", 1).when(value == "false", 0).when(digits != "", digits.try_cast("long")).when(number == F.floor(number), number.try_cast("long"))
+
+
 def free_number(taken: Column, had: Column, place: Column) -> Column:
     """The number of the ``place``-th (from 1) thing that is made where ``had`` things are: had + place, and one more for each of the ``taken`` numbers on the way."""
     return F.aggregate(F.array_sort(F.filter(taken, lambda t: t > had)), (had + place).cast("long"), lambda g, t: F.when(t <= g, g + 1).otherwise(g))
 
 
 def call_outcomes(calls: DataFrame, parameters: list[tuple] = TOOL_PARAMETERS) -> DataFrame:
-    """Adds ``outcome`` to calls (call_id, tool, arguments): unknown_tool, invalid_arguments (a key too many or missing), validation (a value of the wrong kind) or ok.
+    """Adds ``outcome`` to calls (tool, arguments): unknown_tool, invalid_arguments (a key too many or missing, whatever its value), validation (a value of the wrong kind) or ok.
 
-    A null for a parameter that may be left out counts as left out.
+    A null stands for "not given" where a tool changes something, and where a parameter has no default of its own; whole numbers may be written as 30.0, "30" or true. What a tool should
+    change may not be there, which is found before its values are looked at: ``apply_calls`` sees to that. All in one expression over the row: the tools' parameters are literals.
     """
-    required = F.array(*(F.lit(f"{t}:{p}") for t, p, _, needed, _ in parameters if needed))
-    given = F.map_filter("arguments", lambda k, v: (v != "null") | F.array_contains(required, F.concat_ws(":", F.col("tool"), k)))
-    known = calls.select("call_id", "tool", given.alias("arguments"))
-    issues = call_contract_issues(known, parameters).groupBy("call_id").agg(F.collect_set("code").alias("codes"))  # six codes at most
-    value = lambda name: F.try_element_at(F.col("arguments"), F.lit(name))
-    address = F.coalesce(F.col("tool").startswith("gmail.") & ~value("recipient").rlike(ADDRESS), F.lit(False))
-    empty = F.lit(False)
-    for name in NOT_EMPTY:
-        tool, key = name.split(":")
-        empty = empty | ((F.col("tool") == tool) & F.coalesce(value(key) == '""', F.lit(False)))
-    has = lambda *codes: F.coalesce(F.arrays_overlap("codes", F.array(*map(F.lit, codes))), F.lit(False))
+    field = lambda t, p, kind, needed, allowed: F.struct(
+        F.lit(p).alias("name"), F.lit(kind).alias("kind"), F.lit(needed).alias("needed"), (F.array(*(F.lit(f'"{x}"') for x in allowed.split(","))) if allowed else F.lit(None).cast("array<string>")).alias("allowed"),
+        F.lit(f"{t}:{p}" in NOT_EMPTY).alias("not_empty"), F.lit(f"{t}:{p}" in ADDRESSES).alias("address"),
+        F.lit(".update_" in t or (not needed and (t, p) not in {d[:2] for d in DEFAULTS})).alias("may_be_null"),
+    )
+    by_tool: dict[str, list] = {t: [] for t in (*TAKES_ANYTHING, *(x[0] for x in parameters))}
+    for row in parameters:
+        by_tool[row[0]].append(field(*row))
+    kind = "array<struct<name:string,kind:string,needed:boolean,allowed:array<string>,not_empty:boolean,address:boolean,may_be_null:boolean>>"
+    table = F.create_map(*(x for t, fields in by_tool.items() for x in (F.lit(t), F.array(*fields).cast(kind))))
+    given = F.coalesce("arguments", F.create_map().cast(_MAP))
+    spec = F.try_element_at(table, F.col("tool"))
+    names = F.transform(spec, lambda f: f["name"])
+    missing = F.exists(spec, lambda f: f["needed"] & ~F.map_contains_key(given, f["name"]))
+    surplus = F.size(F.array_except(F.map_keys(given), names)) > 0
+
+    def wrong(f: Column) -> Column:
+        v = F.coalesce(F.try_element_at(given, f["name"]), F.lit("null"))
+        text = (~v.startswith('"')) | (f["not_empty"] & (v == '""')) | (f["address"] & ~F.coalesce(json_text(v).rlike(ADDRESS), F.lit(False)))
+        bad = F.when(f["kind"] == "integer", ~F.coalesce(whole_number(v) > 0, F.lit(False))).otherwise(text | F.coalesce(~F.array_contains(f["allowed"], v), F.lit(False)))
+        return F.map_contains_key(given, f["name"]) & F.when(v == "null", ~f["may_be_null"]).otherwise(bad)
+
     outcome = (
-        F.when(has("unknown_tool"), "unknown_tool").when(has("unknown_argument", "missing_argument"), "invalid_arguments")
-        .when(has("wrong_type", "below_minimum", "not_allowed") | address | empty, "validation").otherwise("ok")
+        F.when(spec.isNull(), "unknown_tool").when(F.col("tool").isin(*TAKES_ANYTHING), "ok").when(missing | surplus, "invalid_arguments")
+        .when(F.exists(spec, lambda f: wrong(f) & ~_is_id(f)), "validation").otherwise("ok")
     )
-    return calls.join(issues, "call_id", "left").withColumn("outcome", outcome).drop("codes")
+    return calls.withColumn("outcome", outcome)
+
+
+def _is_id(f: Column) -> Column:
+    """Whether a parameter names the thing to be changed: of whatever kind it is, nothing is found by it or something."""
+    return F.exists(F.array(*(F.lit(f"{t}:{k}") for t, _, _, k, _ in EFFECTS if k)), lambda x: x == F.concat_ws(":", F.col("tool"), f["name"]))
 
 
 def apply_calls(calls: DataFrame, initial: DataFrame, scenario: str = "scenario_id") -> tuple[DataFrame, DataFrame]:
     """Tool calls applied in order to what a scenario begins with: (results, state).
 
     calls: (call_id, scenario, pos, tool, arguments map of canonical JSON); initial: (scenario, kind, id, fields map of canonical JSON).
-    results: one row for each call, also behind a failed one: success, outcome (``call_outcomes`` or not_found) and the id of what was made, changed or read.
+    results: one row for each call, also behind a failed one: success, outcome (``call_outcomes`` or not_found) and the id of what was made, changed or read. An update whose keys are right
+    is not_found if there is nothing of its id, whatever its other values are.
     state: (scenario, kind, id, fields): what was made has the next free number as its id; an update's values that are not null replace what was there;
     the clipboard holds what was last written, at first an empty text.
     """
@@ -213,22 +247,25 @@ def apply_calls(calls: DataFrame, initial: DataFrame, scenario: str = "scenario_
     numbered = told.withColumn("__place", place).join(had, [scenario, "kind"], "left")
     n = free_number(F.coalesce("taken", F.array().cast("array<bigint>")), F.coalesce("had", F.lit(0)), F.col("__place"))
     made = F.concat("prefix", F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
-    named = F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("arguments", F.col("id_key")), F.lit("}")), "$.v")
+    named = json_text(F.try_element_at("arguments", F.col("id_key")))
     own = F.when(makes, made).when(F.col("action") == "update", named).when(F.col("kind") == "clipboard", "clipboard")
     defaults = F.create_map().cast(_MAP)
     for tool, key, value in DEFAULTS:
         defaults = F.when(F.col("tool") == tool, F.create_map(F.lit(key), F.lit(value))).otherwise(defaults)
-    fields = F.map_filter(_entries(F.col("arguments"), defaults), lambda k, v: ~k.eqNullSafe(F.col("id_key")))
+    integers = F.array(*(F.lit(f"{t}:{p}") for t, p, kind, _, _ in TOOL_PARAMETERS if kind == "integer"))
+    kept_values = F.transform_values(_entries(F.col("arguments"), defaults), lambda k, v: F.when(F.array_contains(integers, F.concat_ws(":", F.col("tool"), k)), whole_number(v).cast("string")).otherwise(v))
+    fields = F.map_filter(kept_values, lambda k, v: ~k.eqNullSafe(F.col("id_key")))
     steps = numbered.select("call_id", scenario, F.col("pos").cast("long").alias("pos"), "tool", "outcome", "kind", "action", own.alias("id"), fields.alias("fields"))
     first = initial.select(F.lit(None).cast("string").alias("call_id"), scenario, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("tool"), F.lit("ok").alias("outcome"), "kind", F.lit("create").alias("action"), "id", F.col("fields").cast(_MAP).alias("fields"))
-    touched = steps.where("outcome = 'ok' AND id IS NOT NULL").withColumn("call_id", F.col("call_id").cast("string")).unionByName(first)
+    looked_for = (F.col("outcome") == "ok") | ((F.col("action") == "update") & (F.col("outcome") == "validation"))
+    touched = steps.where(looked_for & F.col("id").isNotNull()).withColumn("call_id", F.col("call_id").cast("string")).unionByName(first)
     exists = F.max((F.col("action") != "update").cast("int")).over(Window.partitionBy(scenario, "kind", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) == 1
     placed = touched.withColumn("__there", exists)
     lost = placed.where("NOT __there").select(scenario, "pos", F.lit("not_found").alias("__lost"))
-    ended = F.coalesce("__lost", F.when((F.col("action") == "update") & F.col("id").isNull() & (F.col("outcome") == "ok"), "not_found"), F.col("outcome"))
+    ended = F.coalesce("__lost", F.when((F.col("action") == "update") & F.col("id").isNull() & F.col("outcome").isin("ok", "validation"), "not_found"), F.col("outcome"))
     results = steps.join(lost, [scenario, "pos"], "left").withColumn("outcome", ended)
     results = results.select("call_id", scenario, "pos", "tool", (F.col("outcome") == "ok").alias("success"), "outcome", F.when((F.col("outcome") == "ok"), F.col("id")).alias("id"))
-    kept = placed.where("__there AND action <> 'read'").select(scenario, "kind", "id", "pos", F.explode_outer("fields").alias("key", "value"))
+    kept = placed.where("__there AND action <> 'read' AND outcome = 'ok'").select(scenario, "kind", "id", "pos", F.explode_outer("fields").alias("key", "value"))
     last = kept.groupBy(scenario, "kind", "id", "key").agg(F.max_by("value", "pos").alias("value"))
     state = last.groupBy(scenario, "kind", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("fields"))  # the fields of one thing
     return results, state

@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.jsonx import strict_json
+from evalmill.functions.shapes import shaped
+from evalmill.functions.text import is_blank
+from evalmill.operators import formats
+from evalmill.operators.formats import BEHAVIORS, CATEGORIES, DIFFICULTIES, ROLES
 
-#: Fixed values of the scenario format.
-CATEGORIES = ("calendar", "notion", "gmail", "clipboard", "multi_tool")
-DIFFICULTIES = ("explicit", "implicit", "contextual", "ambiguous", "multi_step")
-BEHAVIORS = ("tool_call", "tool_calls", "clarification", "refusal")
 TOOL = r"^[a-z][a-z0-9_]*\.[a-z][a-z0-9_]*\z"
 SCENARIO_ID = r"^[a-z][a-z0-9_]*_[0-9]{3}\z"
 ZONED_TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})\z"
 SPLITS = ("train", "validation", "test")
-ROLES = ("system", "user", "assistant")
 
 #: Tool, parameter, type, required, allowed values.
 TOOL_PARAMETERS = [
@@ -30,9 +29,9 @@ TOOL_PARAMETERS = [
 TOOLS_WITHOUT_PARAMETERS = ("clipboard.read",)
 
 
-def failed(rules: dict[str, Column]) -> Column:
-    """Names of the rules that are broken; a rule that is null counts as kept."""
-    return F.array_compact(F.array(*(F.when(bad, name) for name, bad in rules.items())))
+def failed(rules: dict[str, Column], unknown: bool = False) -> Column:
+    """Names of the rules that are broken; a rule that is null counts as broken where ``unknown`` says so, else as kept."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(unknown)), name) for name, bad in rules.items())))
 
 
 def _full_time(text: Column) -> Column:
@@ -50,41 +49,83 @@ def _blank(c: str) -> Column:
 
 
 def scenario_rules(rows: DataFrame, allowed_keys: list[str] | None = None) -> DataFrame:
-    """Adds ``broken``: the rules a scenario row breaks. A column ``keys`` with its JSON keys is checked against the allowed ones."""
+    """Adds ``broken``: the rules a flat scenario row breaks. What is null where a value is needed is broken; tags may be missing. A column ``keys`` with its JSON keys is checked against the allowed ones,
+    ``initial_state`` must be an object, and ``issues`` as ``load_scenarios`` has them must be empty (rule ``shape``), where the rows have these columns. ``scenario_issues`` checks JSON itself, at any depth."""
     absent = lambda c: F.col(c).isNull() | (F.col(c) == "")
     none = lambda c: F.col(c).isNull() | (F.size(c) == 0)
-    keywords = F.col("expected_type").isin("clarification", "refusal")
+    kind = F.coalesce("expected_type", F.lit(""))
+    keywords = kind.isin("clarification", "refusal")
+    calls = F.coalesce(F.col("expected_calls"), F.array().cast(rows.schema["expected_calls"].dataType))
+    named = lambda t: F.coalesce(t.rlike(TOOL), F.lit(False))
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    given = F.col("available_tools").isNotNull()
     rules = {
         "id": F.col("id").isNull() | ~F.col("id").rlike(SCENARIO_ID), "category": F.col("category").isNull() | ~F.col("category").isin(*CATEGORIES), "difficulty": F.col("difficulty").isNull() | ~F.col("difficulty").isin(*DIFFICULTIES),
         "description": absent("description"), "user_input": absent("user_input"), "current_time": F.col("current_time").isNull() | ~F.col("current_time").rlike(ZONED_TIME) | F.try_to_timestamp(_full_time(F.col("current_time"))).isNull(),
-        "available_tools": none("available_tools") | F.exists("available_tools", lambda t: ~t.rlike(TOOL)), "available_tools_unique": _unique("available_tools"),
-        "expected_type": F.col("expected_type").isNull() | ~F.col("expected_type").isin(*BEHAVIORS), "one_call": (F.col("expected_type") == "tool_call") & (F.size("expected_calls") != 1), "two_calls": (F.col("expected_type") == "tool_calls") & (F.size("expected_calls") < 2),
-        "call_tools": F.exists("expected_calls", lambda x: ~x["tool"].rlike(TOOL)), "keywords": keywords & (none("expected_keywords") | _blank("expected_keywords") | _unique("expected_keywords")),
-        "success_criteria": none("success_criteria") | _blank("success_criteria"), "success_criteria_unique": _unique("success_criteria"), "tags": _blank("tags"), "tags_unique": _unique("tags"),
+        "available_tools": none("available_tools") | F.exists("available_tools", lambda t: ~named(t)), "available_tools_unique": given & _unique("available_tools"),
+        "expected_type": ~kind.isin(*BEHAVIORS), "one_call": (kind == "tool_call") & (F.size(calls) != 1), "two_calls": (kind == "tool_calls") & (F.size(calls) < 2),
+        "call_tools": F.exists(calls, lambda x: ~named(x["tool"])), "keywords": keywords & (none("expected_keywords") | _blank("expected_keywords") | _unique("expected_keywords")),
+        "success_criteria": none("success_criteria") | _blank("success_criteria"), "success_criteria_unique": F.col("success_criteria").isNotNull() & _unique("success_criteria"),
+        "tags": F.exists(tags, lambda x: x.isNull() | (x == "")), "tags_unique": F.size(F.array_distinct(tags)) != F.size(tags),
     }
     if allowed_keys is not None:
         rules["extra_keys"] = F.size(F.array_except("keys", F.array(*map(F.lit, allowed_keys)))) > 0
-    return rows.withColumn("broken", failed(rules))
+    if "initial_state" in rows.columns:
+        rules["initial_state"] = ~F.col("initial_state").startswith("{")
+    if "issues" in rows.columns:
+        rules["shape"] = F.size("issues") > 0
+    return rows.withColumn("broken", failed(rules, True))
+
+
+def scenario_issues(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, path, code) of all that breaks the scenario format in JSON texts, at any depth; a text that is no JSON has one issue, the parser's words."""
+    return shape_issues(rows, keys, formats.SCENARIO, text)
+
+
+def shape_issues(rows: DataFrame, keys: list[str], shape, text: str = "text") -> DataFrame:
+    """(keys, path, code): what is wrong with JSON texts that should have a declared shape."""
+    told = rows.select(*keys, shaped(shape)(text).alias("__s"))
+    listed = F.when(F.col("__s.error").isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col("__s.error").alias("code")))).otherwise(F.col("__s.issues"))
+    return told.select(*keys, F.explode(listed).alias("__i")).select(*keys, F.col("__i.path").alias("path"), F.col("__i.code").alias("code"))
 
 
 def line_issues(lines: DataFrame) -> DataFrame:
-    """Issues of JSONL lines (split, line_number, line): severity, code."""
-    messages = F.from_json("line", "messages array<struct<role:string,content:string>>")["messages"]
-    out = lines.withColumn("__j", strict_json("line")).withColumn("__m", messages)
-    out = out.withColumn("__c", strict_json(F.get(F.col("__m"), F.lit(2))["content"]))
-    roles = F.transform("__m", lambda m: m["role"])
-    code = (
-        F.when(F.trim("line") == "", "blank_line").when(F.col("__j.error").isNotNull(), "invalid_json").when((F.col("__j.kind") != "dict") | F.col("__m").isNull(), "invalid_shape")
-        .when(~roles.eqNullSafe(F.array(*map(F.lit, ROLES))), "invalid_roles").when(F.coalesce(F.col("__c.kind"), F.lit("")) != "list", "invalid_assistant_json")
+    """All issues of JSONL lines (split, line_number, line): (severity, code, detail).
+
+    A blank line and one that is no JSON (detail: where and why) have no others; a wrong shape, as declared, is one issue (detail: each place and what is wrong there). Else the roles are looked at,
+    and what the last message holds, which must be a JSON list.
+    """
+    issue = lambda code, detail=None: F.struct(F.lit(code).alias("code"), (F.lit("") if detail is None else detail).alias("detail"))
+    out = lines.withColumn("__s", shaped(formats.EXAMPLE)("line"))
+    messages = F.col("__s.value.messages")
+    out = out.withColumn("__c", strict_json(F.when(F.size("__s.issues") == 0, F.get(messages, F.size(messages) - 1)["content"])))
+    places = F.array_join(F.transform("__s.issues", lambda i: F.concat_ws(":", i["path"], i["code"])), ",")
+    roles = F.transform(messages, lambda m: m["role"])
+    content = F.when(F.col("__c.error").isNotNull(), issue("invalid_assistant_json", F.col("__c.error"))).when(F.size(messages) > 0, F.when(F.col("__c.kind") != "list", issue("invalid_assistant_json", F.concat(F.lit("expected list, got "), F.col("__c.kind")))))
+    found = (
+        F.when(is_blank(F.col("line")), F.array(issue("blank_line"))).when(F.col("__s.error").isNotNull(), F.array(issue("invalid_json", F.col("__s.error")))).when(F.size("__s.issues") > 0, F.array(issue("invalid_shape", places)))
+        .otherwise(F.array_compact(F.array(F.when(~roles.eqNullSafe(F.array(*map(F.lit, ROLES))), issue("invalid_roles", F.array_join(roles, ","))), content)))
     )
-    return out.withColumn("code", code).where("code IS NOT NULL").select("split", "line_number", F.lit("error").alias("severity"), "code")
+    return out.select("split", "line_number", F.explode(found).alias("__i")).select("split", "line_number", F.lit("error").alias("severity"), F.col("__i.code").alias("code"), F.col("__i.detail").alias("detail"))
+
+
+#: Lines with such an issue are no JSON.
+NO_JSON = ("blank_line", "invalid_json")
+
+
+def count_issues(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """Splits whose number of lines is not the manifest's (split, count): issues without a line number."""
+    actual = lines.groupBy("split").agg(F.count("*").alias("n"))
+    both = counts.select("split", "count").join(actual, "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    detail = F.concat_ws(",", F.col("count").cast("string"), F.col("n").cast("string"))
+    return both.where("count <> n").select("split", F.lit(None).cast("long").alias("line_number"), F.lit("error").alias("severity"), F.lit("manifest_count").alias("code"), detail.alias("detail"))
 
 
 def line_report(lines: DataFrame, issues: DataFrame) -> DataFrame:
-    """Lines, valid and invalid ones of each split, and whether it is free of errors."""
-    bad = issues.where("severity = 'error'").groupBy("split").agg(F.count_distinct("line_number").alias("invalid"))
-    out = lines.groupBy("split").agg(F.count("*").alias("actual")).join(bad, "split", "left")
-    return out.select("split", "actual", (F.col("actual") - F.coalesce("invalid", F.lit(0))).alias("valid_lines"), F.coalesce("invalid", F.lit(0)).alias("invalid_lines"), F.col("invalid").isNull().alias("valid"))
+    """Lines of each split, those that are JSON and those that are not, and whether the split is free of errors. A line that is JSON of a wrong shape is an error but not among the invalid lines."""
+    errors = issues.where("severity = 'error'").groupBy("split").agg(F.count("*").alias("errors"), F.count_distinct(F.when(F.col("code").isin(*NO_JSON), F.col("line_number"))).alias("invalid"))
+    out = lines.groupBy("split").agg(F.count("*").alias("actual")).join(errors, "split", "full").withColumns({"actual": F.coalesce("actual", F.lit(0)), "invalid": F.coalesce("invalid", F.lit(0))})
+    return out.select("split", "actual", (F.col("actual") - F.col("invalid")).alias("valid_lines"), F.col("invalid").alias("invalid_lines"), (F.coalesce("errors", F.lit(0)) == 0).alias("valid"))
 
 
 def split_overlaps(manifest: DataFrame) -> DataFrame:
@@ -105,7 +146,7 @@ def manifest_count_issues(manifest: DataFrame, rows: DataFrame, by: list[str] |
 
 def manifest_metadata_issues(manifest: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Missing hash or revision are errors, skipped rows a warning: (by, severity, code)."""
-    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    empty = lambda c: is_blank(F.col(c))
     issue = lambda bad, severity, code: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     issues = F.array_compact(F.array(issue(empty("config_hash"), "error", "missing_config_hash"), issue(empty("dataset_revision"), "error", "missing_revision"), issue(F.col("skipped") > 0, "warning", "skipped_rows")))
     return manifest.select(*(by or []), F.explode(issues).alias("i")).select(*(by or []), "i.*")

@@ -122,16 +122,26 @@ def manifest_overlap(spark, sf_dir: str) -> DataFrame:
     return validate.split_overlaps(twice).select("source_index", "previous_split", "split", "pos")
 
 
+def _lines(spark, sf_dir: str) -> DataFrame:
+    """Turns as lines of a split's file: blank ones, broken JSON, other shapes, other roles and answers of all kinds, in any combination."""
+    message = lambda role, content: F.concat(F.lit('{"role":"'), role, F.lit('","content":'), content, F.lit("}"))
+    answer = F.when(F.col("turn") == 2, '"{}"').when(F.col("conv_id") % 7 == 3, '"[1"').when(F.col("conv_id") % 11 == 4, "7").otherwise('"[]"')
+    listed = F.concat(F.lit('{"messages":['), F.concat_ws(",", message(F.lit("system"), F.lit('"s"')), message(F.col("role"), F.lit('"q"')), message(F.lit("assistant"), answer)), F.lit("]"), F.when(F.col("conv_id") % 13 == 5, ',"more":null').otherwise(""), F.lit("}"))
+    line = F.when(F.col("turn") == 5, F.when(F.col("conv_id") % 2 == 0, "\u2003 \t").otherwise("")).when(F.col("turn") == 4, "{").when(F.col("role") == "assistant", "[1]").otherwise(listed)
+    return table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 10 < 7, "train").otherwise("test").alias("split"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_number"), line.alias("line"))
+
+
 def manifest_report(spark, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 10 < 7, "train").otherwise("test").alias("split"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_number"), F.when(F.col("turn") == 5, "").when(F.col("turn") == 4, "{").when(F.col("role") == "assistant", "[1]").otherwise(
-        F.concat(F.lit('{"messages":[{"role":"system","content":"s"},{"role":"'), F.col("role"), F.lit('","content":"q"},{"role":"assistant","content":"'), F.when(F.col("turn") == 2, "{}").otherwise("[]"), F.lit('"}]}'))).alias("line"))
-    return validate.line_report(lines, validate.line_issues(lines))
+    """The report of two splits, one of which has a line less than its manifest says."""
+    lines = _lines(spark, sf_dir)
+    counts = lines.groupBy("split").agg((F.count("*") + F.when(F.col("split") == "test", 1).otherwise(0)).alias("count"))
+    issues = validate.line_issues(lines).unionByName(validate.count_issues(lines, counts))
+    return validate.line_report(lines, issues).join(issues.groupBy("split").agg(F.count_if(F.col("code") == "manifest_count").alias("count_issues")), "split", "left")
 
 
 def line_codes(spark, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select(F.lit("train").alias("split"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_number"), F.when(F.col("turn") == 5, "").when(F.col("turn") == 4, "{").when(F.col("role") == "assistant", "[1]").otherwise(
-        F.concat(F.lit('{"messages":[{"role":"system","content":"s"},{"role":"'), F.col("role"), F.lit('","content":"q"},{"role":"assistant","content":"'), F.when(F.col("turn") == 2, "{}").otherwise("[]"), F.lit('"}]}'))).alias("line"))
-    return validate.line_issues(lines).groupBy("code").agg(F.count("*").alias("n"))
+    """All issues of all lines, counted by what they say."""
+    return validate.line_issues(_lines(spark, sf_dir)).groupBy("code", "detail").agg(F.count("*").alias("n"))
 
 
 def repeated_texts(spark, sf_dir: str) -> DataFrame:
@@ -353,9 +363,15 @@ s AS (SELECT doc_id, lang, source, row_hash, CASE WHEN rk < a THEN 'train' WHEN
 _W = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''))"
 _T = f"""w AS (SELECT doc_id, doc_id % 17 <> 0 AS ok, {_W} AS f FROM documents), p AS (SELECT *, CAST(floor(f * 9 / 10) AS BIGINT) AS q FROM w),
 t AS (SELECT *, CASE WHEN ok THEN least(f, 512) ELSE 0 END AS used, CASE WHEN ok THEN least(f, 512) - least(q, 512, least(f, 512)) ELSE 0 END AS l, ok AND f > 512 AS tr, ok AND q >= 512 AS fills FROM p)"""
-_L = """n AS (SELECT CASE WHEN conv_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, CASE WHEN turn = 5 THEN '' WHEN turn = 4 THEN '{' WHEN role = 'assistant' THEN '[1]' ELSE '{"messages":[{"role":"system","content":"s"},{"role":"' || role || '","content":"q"},{"role":"assistant","content":"' || CASE WHEN turn = 2 THEN '{}' ELSE '[]' END || '"}]}' END AS line FROM conversations),
-l AS (SELECT split, CASE WHEN trim(line) = '' THEN 'blank_line' WHEN NOT json_valid(line) THEN 'invalid_json' WHEN json_type(line) <> 'OBJECT' OR json_type(line, '$.messages') IS DISTINCT FROM 'ARRAY' THEN 'invalid_shape' WHEN json_extract_string(line, '$.messages[*].role') <> ['system', 'user', 'assistant'] THEN 'invalid_roles'
-  WHEN NOT json_valid(line->>'$.messages[2].content') OR json_type(line->>'$.messages[2].content') <> 'ARRAY' THEN 'invalid_assistant_json' END AS code FROM n)"""
+_L = """n AS (SELECT CASE WHEN conv_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, conv_id * 1000 + turn AS line_number, CASE WHEN turn = 5 THEN CASE WHEN conv_id % 2 = 0 THEN chr(8195) || ' ' || chr(9) ELSE '' END WHEN turn = 4 THEN '{' WHEN role = 'assistant' THEN '[1]'
+  ELSE '{"messages":[{"role":"system","content":"s"},{"role":"' || role || '","content":"q"},{"role":"assistant","content":' || CASE WHEN turn = 2 THEN '"{}"' WHEN conv_id % 7 = 3 THEN '"[1"' WHEN conv_id % 11 = 4 THEN '7' ELSE '"[]"' END || '}]' || CASE WHEN conv_id % 13 = 5 THEN ',"more":null' ELSE '' END || '}' END AS line FROM conversations),
+k AS (SELECT *, regexp_full_match(line, '[\\s\\x{2003}]*') AS blank, json_valid(line) AS fine, CASE WHEN NOT json_valid(line) THEN [] WHEN json_type(line) <> 'OBJECT' THEN [':wrong_type'] ELSE
+  list_filter(list_transform([0, 1, 2], lambda m: CASE WHEN json_type(line, '$.messages[' || m || '].content') <> 'VARCHAR' THEN 'messages[' || m || '].content:wrong_type' END), lambda p: p IS NOT NULL) || list_transform(list_filter(json_keys(line), lambda p: p <> 'messages'), lambda p: p || ':extra') END AS places FROM n),
+o AS (SELECT *, json_extract_string(line, '$.messages[*].role') AS roles, line->>'$.messages[2].content' AS answer FROM k WHERE NOT blank AND fine AND len(places) = 0),
+i AS (SELECT split, line_number, 'blank_line' AS code, '' AS detail FROM k WHERE blank UNION ALL SELECT split, line_number, 'invalid_json', 'invalid JSON at char 1: Expecting property name enclosed in double quotes' FROM k WHERE NOT blank AND NOT fine
+  UNION ALL SELECT split, line_number, 'invalid_shape', array_to_string(places, ',') FROM k WHERE NOT blank AND fine AND len(places) > 0 UNION ALL SELECT split, line_number, 'invalid_roles', array_to_string(roles, ',') FROM o WHERE roles <> ['system', 'user', 'assistant']
+  UNION ALL SELECT split, line_number, 'invalid_assistant_json', CASE WHEN NOT json_valid(answer) THEN 'invalid JSON at char 2: Expecting '','' delimiter' ELSE 'expected list, got dict' END FROM o WHERE NOT json_valid(answer) OR json_type(answer) <> 'ARRAY'),
+x AS (SELECT n.split, n.line_number, i.code, i.detail FROM n LEFT JOIN i ON n.split = i.split AND n.line_number = i.line_number)"""
 _V = "v AS (SELECT (SELECT list(n_name ORDER BY n_name) FROM nation) AS places, (SELECT list(r_name ORDER BY r_name) FROM region) AS parts)"
 _F = """g AS (SELECT count(*) AS n FROM documents), f(family, contrast_role, behavior_type, template, first) AS (VALUES ('clarification_pair', 'missing_info', 'request_clarification', 'Change {place}.', true), ('clarification_pair', 'explicit_info', 'direct_tool_call', 'Change {place} to {part}.', false),
   ('refusal_pair', 'unsafe_or_unsupported', 'refuse_request', 'Buy {place}.', true), ('refusal_pair', 'safe_allowed', 'direct_tool_call', 'Note {place}.', false),
@@ -423,8 +439,9 @@ ORACLES = {
     "coverage_crossed": "SELECT n_name AS topic, 'Plan ' || n_name || ' in ' || r_name AS user_input, CASE r_regionkey WHEN 0 THEN 'refusal' WHEN 1 THEN 'clarification' ELSE 'tool_call' END AS expected_type, CASE r_regionkey WHEN 0 THEN 'refuses_request' WHEN 1 THEN 'asks_for_clarification' ELSE 'correct_tool,correct_arguments' END AS success_criteria FROM nation, region",
     "manifest_overlap": f"""WITH {_H}, u AS (SELECT split, pos, doc_id FROM s UNION ALL SELECT split, pos + 1000000, doc_id FROM s WHERE doc_id % 9 = 0 UNION ALL SELECT 'test', pos + 2000000, doc_id FROM s WHERE doc_id % 11 = 0),
       v AS (SELECT doc_id AS source_index, lag(split) OVER (PARTITION BY doc_id ORDER BY CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END, pos) AS previous_split, split, pos FROM u) SELECT * FROM v WHERE previous_split IS NOT NULL""",
-    "manifest_report": f"WITH {_L} SELECT split, count(*) AS actual, count(*) - count(code) AS valid_lines, count(code) AS invalid_lines, count(code) = 0 AS valid FROM l GROUP BY 1",
-    "line_codes": f"WITH {_L} SELECT code, count(*) AS n FROM l WHERE code IS NOT NULL GROUP BY 1",
+    "manifest_report": f"""WITH {_L}, r AS (SELECT split, line_number, coalesce(bool_or(code IN ('blank_line', 'invalid_json')), false) AS bad, bool_or(code IS NOT NULL) AS wrong FROM x GROUP BY 1, 2)
+      SELECT split, count(*) AS actual, count(*) - count(*) FILTER (bad) AS valid_lines, count(*) FILTER (bad) AS invalid_lines, split <> 'test' AND NOT bool_or(wrong) AS valid, (split = 'test')::BIGINT AS count_issues FROM r GROUP BY 1""",
+    "line_codes": f"WITH {_L} SELECT code, detail, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY 1, 2",
     "repeated_texts": "SELECT sha256(text) AS h, count(*) AS n, min(source) AS first_source, max(source) AS last_source FROM documents GROUP BY 1 HAVING count(*) > 1",
     "shared_sources": "SELECT DISTINCT source FROM documents WHERE lang = 'de' AND source IN (SELECT source FROM documents WHERE lang = 'fr')",
     "missing_numbers": "SELECT i AS doc_id FROM range((SELECT count(*) FROM documents)) t(i) WHERE i NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es')",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from evalmill.plans.tables import RUNS_SQL, event_runs, hex_bucket, sql_bucket,
 
 
 def _scored(spark, sf_dir: str) -> DataFrame:
-    s = scoring.score_sequences(event_runs(spark, sf_dir))
+    s = scoring.score_sequences(event_runs(spark, sf_dir, arguments=False))
     return s.withColumn("task_success", F.size("failure_reasons") == 0).withColumn("run_id", F.pmod("user_id", F.lit(3)))
 
 
@@ -61,8 +63,9 @@ def comparison(spark, sf_dir: str) -> DataFrame:
 
 
 def confusion(spark, sf_dir: str) -> DataFrame:
-    e = event_runs(spark, sf_dir)
-    return metrics.confusion(e.select(F.get("expected_tools", F.lit(0)).alias("expected"), F.get("actual_tools", F.lit(0)).alias("got")), "expected", "got", ["click", "error", "purchase", "signup", "view"])
+    """Expected tools against those called at the same place of the sequence."""
+    e = event_runs(spark, sf_dir, arguments=False).select(F.explode(F.arrays_zip("expected_tools", "actual_tools")).alias("z"))
+    return metrics.confusion(e.select(F.col("z.expected_tools").alias("expected"), F.col("z.actual_tools").alias("got")), "expected", "got", ["click", "error", "purchase", "signup", "view"])
 
 
 def status_rates(spark, sf_dir: str) -> DataFrame:
@@ -119,17 +122,26 @@ def apply_changes(spark, sf_dir: str) -> DataFrame:
 
 
 def _applied(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each user's events as tool calls in order; every second user begins with a task numbered 2, every third with words on the clipboard."""
+    """Each user's events as tool calls in order; every second user begins with a task numbered 2, every third with words on the clipboard.
+
+    Updates may have a bad status, an argument too many, a null id, or nothing to change, in any combination; lengths are written in several ways.
+    """
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     made = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*(F.lit(n) for n, _ in pairs)), F.array(*(v for _, v in pairs))), lambda n, v: v.isNotNull())
     words = lambda begin: q(F.concat(F.lit(begin), F.col("event_id").cast("string")))
     tools = {"click": "notion.create_task", "view": "notion.update_task", "signup": "gmail.create_draft", "purchase": "clipboard.write", "error": "slack.send_message"}
-    tool = F.try_element_at(F.create_map(*(F.lit(x) for p in tools.items() for x in p)), F.col("event_type"))
+    meets = (F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)
+    tool = F.when(meets, "calendar.create_event").otherwise(F.try_element_at(F.create_map(*(F.lit(x) for p in tools.items() for x in p)), F.col("event_type")))
+    long = F.get(F.array(*(F.lit(x) for x in ('"30"', "30.0", "45", "true", "0", '"x"'))), (k % 6).cast("int"))
+    of_task = F.when(k % 13 == 0, "null").otherwise(q(F.concat(F.lit("task_fake_notion_"), F.lpad((k % 12 + 1).cast("string"), 3, "0"))))
+    title = F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(words("now "))
+    status = F.when(F.col("event_id") % 11 == 5, F.lit('"later"')).when(F.col("event_id") % 2 == 0, F.lit('"done"'))
     arguments = (
-        F.when(F.col("event_type") == "click", made(("title", words("made ")), ("status", F.when(k % 10 == 1, F.lit('"someday"')))))
-        .when(F.col("event_type") == "view", made(("task_id", q(F.concat(F.lit("task_fake_notion_"), F.lpad((k % 12 + 1).cast("string"), 3, "0")))), ("title", F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(words("now "))), ("status", F.when(F.col("event_id") % 2 == 0, F.lit('"done"')))))
+        F.when(meets, made(("title", words("meet ")), ("start_date", F.lit('"2024-01-01"')), ("start_time", F.lit('"10:00"')), ("duration_minutes", long)))
+        .when(F.col("event_type") == "click", made(("title", words("made ")), ("status", F.when(k % 10 == 1, F.lit('"someday"')).when(k % 10 == 2, "null")), ("due_date", F.when(k % 10 == 3, "null"))))
+        .when(F.col("event_type") == "view", made(("task_id", of_task), ("title", title), ("status", status), ("more", F.when(F.col("event_id") % 17 == 3, F.lit("null")))))
         .when(F.col("event_type") == "signup", made(("recipient", F.when(k % 10 == 0, F.lit('"not-an-email"')).otherwise(F.lit('"a@b.cc"'))), ("body", F.when(k % 7 != 0, words("body ")))))
         .when(F.col("event_type") == "purchase", made(("text", words("copied ")))).otherwise(F.create_map().cast("map<string,string>"))
     )
@@ -149,7 +161,7 @@ def call_results(spark, sf_dir: str) -> DataFrame:
 def call_state(spark, sf_dir: str) -> DataFrame:
     _, state = _applied(spark, sf_dir)
     field = lambda n: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("fields", F.lit(n)), F.lit("}")), "$.v"), F.lit("-")).alias(n)
-    return state.select(F.col("scenario_id").alias("user_id"), "kind", "id", field("title"), field("status"), field("body"), field("text"))
+    return state.select(F.col("scenario_id").alias("user_id"), "kind", "id", field("title"), field("status"), field("body"), field("text"), field("duration_minutes"))
 
 
 def outcomes(spark, sf_dir: str) -> DataFrame:
@@ -181,9 +193,10 @@ def request_types(spark, sf_dir: str) -> DataFrame:
 
 
 def retriable_attempts(spark, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "error", F.lit(400) + F.col("event_id") % 110).cast("int")
-    error = F.when(F.col("event_type") == "view", "TimeoutError").otherwise("APIError")
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'view', 'signup')").select(validate.retriable(error, status).alias("r"))
+    """Every event as a failed attempt: errors with statuses of all kinds, the others by their type."""
+    status = F.when(F.col("event_type") == "error", F.lit(400) + F.col("event_id") % 110).when(F.col("event_type") == "purchase", F.lit(500) + F.col("event_id") % 6).cast("int")
+    error = F.when(F.col("event_type") == "view", "TimeoutError").when(F.col("event_type") == "click", "ReadTimeoutError").otherwise("APIError")
+    e = table(spark, sf_dir, "events").select(validate.retriable(error, status).alias("r"))
     return e.groupBy("r.retriable", "r.cause").agg(F.count("*").alias("n"))
 
 
@@ -230,12 +243,14 @@ QUERIES = {f.__name__: f for f in (
 _M = "round(avg((len(reasons) = 0)::INT::DOUBLE), 6) AS task_success_rate, round(avg(tool_call_accuracy), 6) AS average_tool_call_accuracy, round(avg(hallucination_rate), 6) AS average_hallucination_rate, round(avg(latency_ms), 6) AS average_latency_ms, round(sum(cost_usd), 6) AS total_cost_usd"
 #: Each call by what happens to it: made things take the next free number, task 2 of every second user being taken; updates find what was made before them.
 _CALLS = """users AS (SELECT DISTINCT user_id FROM events), c AS (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
-f AS (SELECT *, CASE event_type WHEN 'error' THEN 'unknown_tool' WHEN 'signup' THEN CASE WHEN k % 7 = 0 THEN 'invalid_arguments' WHEN k % 10 = 0 THEN 'validation' ELSE 'ok' END WHEN 'click' THEN CASE WHEN k % 10 = 1 THEN 'validation' ELSE 'ok' END ELSE 'ok' END AS first FROM c),
-n AS (SELECT *, count(*) FILTER (event_type = 'click' AND first = 'ok') OVER w AS tasks, count(*) FILTER (event_type = 'signup' AND first = 'ok') OVER w AS drafts FROM f WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
-done AS (SELECT *, CASE event_type WHEN 'click' THEN 'notion.create_task' WHEN 'view' THEN 'notion.update_task' WHEN 'signup' THEN 'gmail.create_draft' WHEN 'purchase' THEN 'clipboard.write' ELSE 'slack.send_message' END AS tool,
-  CASE WHEN event_type = 'view' AND NOT (CASE WHEN user_id % 2 = 1 THEN k % 12 + 1 <= tasks ELSE k % 12 + 1 = 2 OR (k % 12 + 1 > 2 AND k % 12 - 1 <= tasks) END) THEN 'not_found' ELSE first END AS outcome,
-  CASE event_type WHEN 'click' THEN 'task_fake_notion_' || CASE WHEN tasks + 2 * (user_id % 2 = 0)::INT < 1000 THEN lpad(CAST(tasks + 2 * (user_id % 2 = 0)::INT AS VARCHAR), 3, '0') ELSE CAST(tasks + 2 * (user_id % 2 = 0)::INT AS VARCHAR) END WHEN 'view' THEN 'task_fake_notion_' || lpad(CAST(k % 12 + 1 AS VARCHAR), 3, '0')
-    WHEN 'signup' THEN 'draft_fake_gmail_' || CASE WHEN drafts < 1000 THEN lpad(CAST(drafts AS VARCHAR), 3, '0') ELSE CAST(drafts AS VARCHAR) END WHEN 'purchase' THEN 'clipboard' END AS id FROM n)"""
+a AS (SELECT *, CASE WHEN event_type = 'click' THEN 'notion.create_task' WHEN event_type = 'view' THEN 'notion.update_task' WHEN event_type = 'signup' THEN 'gmail.create_draft' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'calendar.create_event' WHEN event_type = 'purchase' THEN 'clipboard.write' ELSE 'slack.send_message' END AS tool FROM c),
+f AS (SELECT *, CASE tool WHEN 'slack.send_message' THEN 'unknown_tool' WHEN 'gmail.create_draft' THEN CASE WHEN k % 7 = 0 THEN 'invalid_arguments' WHEN k % 10 = 0 THEN 'validation' ELSE 'ok' END WHEN 'notion.create_task' THEN CASE WHEN k % 10 IN (1, 2) THEN 'validation' ELSE 'ok' END
+  WHEN 'calendar.create_event' THEN CASE WHEN k % 6 > 3 THEN 'validation' ELSE 'ok' END WHEN 'notion.update_task' THEN CASE WHEN event_id % 17 = 3 THEN 'invalid_arguments' ELSE 'ok' END ELSE 'ok' END AS first FROM a),
+n AS (SELECT *, count(*) FILTER (tool = 'notion.create_task' AND first = 'ok') OVER w AS tasks, count(*) FILTER (tool = 'gmail.create_draft' AND first = 'ok') OVER w AS drafts, count(*) FILTER (tool = 'calendar.create_event' AND first = 'ok') OVER w AS meets FROM f WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+done AS (SELECT *, CASE WHEN tool <> 'notion.update_task' OR first <> 'ok' THEN first WHEN k % 13 = 0 OR NOT (CASE WHEN user_id % 2 = 1 THEN k % 12 + 1 <= tasks ELSE k % 12 + 1 = 2 OR (k % 12 + 1 > 2 AND k % 12 - 1 <= tasks) END) THEN 'not_found' WHEN event_id % 11 = 5 THEN 'validation' ELSE 'ok' END AS outcome,
+  CASE tool WHEN 'notion.create_task' THEN 'task_fake_notion_' || lpad3(tasks + 2 * (user_id % 2 = 0)::INT) WHEN 'notion.update_task' THEN 'task_fake_notion_' || lpad3(k % 12 + 1) WHEN 'gmail.create_draft' THEN 'draft_fake_gmail_' || lpad3(drafts)
+    WHEN 'calendar.create_event' THEN 'evt_fake_calendar_' || lpad3(meets) WHEN 'clipboard.write' THEN 'clipboard' END AS id FROM n)"""
+_CALLS = re.sub(r"lpad3\(((?:[^()]|\([^()]*\))*)\)", r"CASE WHEN \1 < 1000 THEN lpad(CAST(\1 AS VARCHAR), 3, '0') ELSE CAST(\1 AS VARCHAR) END", _CALLS)
 ORACLES = {
     "score_sequences": f"WITH {RUNS_SQL} SELECT scenario_id, array_to_string(exp, ',') AS expected, array_to_string(act, ',') AS actual, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate, array_to_string(reasons, ',') AS reasons FROM scored",
     "metrics_by_run": f"WITH {RUNS_SQL} SELECT user_id % 3 AS run_id, {_M} FROM scored GROUP BY 1",
@@ -248,7 +263,7 @@ ORACLES = {
     "comparison": f"""WITH {RUNS_SQL}, m2 AS (SELECT user_id % 3 AS run_id, avg((len(reasons) = 0)::INT::DOUBLE) AS s, avg(tool_call_accuracy) AS t, avg(hallucination_rate) AS h, avg(latency_ms) AS l, sum(cost_usd) AS c FROM scored GROUP BY 1),
       x AS (SELECT run_id, unnest([{{'metric': 'task_success_rate', 'cell': printf('%.3f', s)}}, {{'metric': 'average_tool_call_accuracy', 'cell': printf('%.3f', t)}}, {{'metric': 'average_hallucination_rate', 'cell': printf('%.3f', h)}}, {{'metric': 'average_latency_ms', 'cell': printf('%.0f', l)}}, {{'metric': 'total_cost_usd', 'cell': printf('$%.4f', c)}}]) AS u FROM m2)
       SELECT u.metric AS metric, max(u.cell) FILTER (run_id = 0) AS run0, max(u.cell) FILTER (run_id = 1) AS run1, max(u.cell) FILTER (run_id = 2) AS run2 FROM x GROUP BY 1""",
-    "confusion": f"WITH {RUNS_SQL} SELECT exp[1] AS expected, " + ", ".join(f"count(*) FILTER (act[1] = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM s GROUP BY 1",
+    "confusion": f"WITH {RUNS_SQL}, z AS (SELECT unnest(range(1, greatest(len(exp), len(act)) + 1)) AS i, exp, act FROM s) SELECT exp[i] AS expected, " + ", ".join(f"count(*) FILTER (act[i] = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM z GROUP BY 1",
     "status_rates": "SELECT user_id % 10 AS run, round(avg((event_type = 'error')::INT::DOUBLE), 6) AS error_rate, round(avg((event_type = 'purchase')::INT::DOUBLE), 6) AS purchase_rate FROM events GROUP BY 1",
     "precision_recall": "WITH c AS (SELECT user_id, count(*) FILTER (value > 10 AND event_type = 'purchase')::DOUBLE AS h, count(*) FILTER (value > 10) AS p, count(*) FILTER (event_type = 'purchase') AS a FROM events GROUP BY 1) SELECT user_id, round(h / nullif(p, 0), 6) AS precision, round(h / nullif(a, 0), 6) AS recall FROM c",
     "coverage_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
@@ -268,10 +283,13 @@ ORACLES = {
     "outcomes": f"""WITH {_CALLS} SELECT tool, count(*) AS calls, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'unknown_tool') AS unknown_tool, count(*) FILTER (outcome = 'invalid_arguments') AS invalid_arguments, count(*) FILTER (outcome = 'validation') AS validation,
       count(*) FILTER (outcome = 'not_found') AS not_found, round(avg((outcome = 'ok')::INT::DOUBLE), 6) AS success_rate FROM done GROUP BY 1""",
     "call_state": f"""WITH {_CALLS},
-      t AS (SELECT user_id, 0 AS pos, 'task' AS kind, 'task_fake_notion_002' AS id, 'first' AS title, 'open' AS status, NULL AS body, NULL AS text FROM users WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 0, 'clipboard', 'clipboard', NULL, NULL, NULL, 'before' FROM users WHERE user_id % 3 = 0
-        UNION ALL SELECT user_id, pos, CASE event_type WHEN 'click' THEN 'task' WHEN 'view' THEN 'task' WHEN 'signup' THEN 'draft' ELSE 'clipboard' END, id, CASE WHEN event_type = 'click' THEN 'made ' || event_id WHEN event_type = 'view' AND event_id % 3 > 0 THEN 'now ' || event_id END,
-          CASE WHEN event_type = 'click' THEN 'open' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'done' END, CASE WHEN event_type = 'signup' THEN 'body ' || event_id END, CASE WHEN event_type = 'purchase' THEN 'copied ' || event_id END FROM done WHERE outcome = 'ok')
-      SELECT user_id, kind, id, coalesce(arg_max(title, pos) FILTER (title IS NOT NULL), '-') AS title, coalesce(arg_max(status, pos) FILTER (status IS NOT NULL), '-') AS status, coalesce(arg_max(body, pos) FILTER (body IS NOT NULL), '-') AS body, coalesce(arg_max(text, pos) FILTER (text IS NOT NULL), '-') AS text FROM t GROUP BY 1, 2, 3""",
+      t AS (SELECT user_id, 0 AS pos, 'task' AS kind, 'task_fake_notion_002' AS id, 'first' AS title, 'open' AS status, NULL AS body, NULL AS text, NULL AS duration_minutes FROM users WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 0, 'clipboard', 'clipboard', NULL, NULL, NULL, 'before', NULL FROM users WHERE user_id % 3 = 0
+        UNION ALL SELECT user_id, pos, CASE tool WHEN 'notion.create_task' THEN 'task' WHEN 'notion.update_task' THEN 'task' WHEN 'gmail.create_draft' THEN 'draft' WHEN 'calendar.create_event' THEN 'event' ELSE 'clipboard' END, id,
+          CASE WHEN tool = 'notion.create_task' THEN 'made ' || event_id WHEN tool = 'calendar.create_event' THEN 'meet ' || event_id WHEN tool = 'notion.update_task' AND event_id % 3 > 0 THEN 'now ' || event_id END,
+          CASE WHEN tool = 'notion.create_task' THEN 'open' WHEN tool = 'notion.update_task' AND event_id % 2 = 0 THEN 'done' END, CASE WHEN tool = 'gmail.create_draft' THEN 'body ' || event_id END, CASE WHEN tool = 'clipboard.write' THEN 'copied ' || event_id END,
+          CASE WHEN tool = 'calendar.create_event' THEN ['30', '30', '45', '1'][k % 6 + 1] END FROM done WHERE outcome = 'ok')
+      SELECT user_id, kind, id, coalesce(arg_max(title, pos) FILTER (title IS NOT NULL), '-') AS title, coalesce(arg_max(status, pos) FILTER (status IS NOT NULL), '-') AS status, coalesce(arg_max(body, pos) FILTER (body IS NOT NULL), '-') AS body, coalesce(arg_max(text, pos) FILTER (text IS NOT NULL), '-') AS text,
+        coalesce(arg_max(duration_minutes, pos) FILTER (duration_minutes IS NOT NULL), '-') AS duration_minutes FROM t GROUP BY 1, 2, 3""",
     "diversity_buckets": "WITH b AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT count(*) AS buckets, CAST(sum(n) AS BIGINT) AS rows, round(max(n) / sum(n)::DOUBLE, 6) AS largest_share FROM b",
     "comparison_scores": """WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS message FROM conversations GROUP BY 1),
       k AS (SELECT conv_id, CASE WHEN len(asked) < 150 THEN 'clarification' ELSE 'refusal' END AS t, message, string_split(asked, ' ')[1:2] AS kw FROM f WHERE asked IS NOT NULL),
@@ -280,8 +298,8 @@ ORACLES = {
         round(CASE WHEN t = 'clarification' THEN 0.50 * (message IS NOT NULL)::INT + 0.35 * acc + 0.15 ELSE 0.50 * (message IS NOT NULL)::INT + 0.30 * acc + 0.20 END, 6) AS comparison_score FROM a""",
     "plan_issues": f"WITH {RUNS_SQL}, x AS (SELECT scenario_id AS task_id, unnest(range(0, len(act))) AS i, act FROM s) SELECT task_id, CAST(i AS INT) AS step_index, 'unknown_tool' AS code FROM x WHERE act[i + 1] NOT IN ('click', 'view', 'signup', 'purchase') UNION ALL SELECT scenario_id, -1, 'plan_too_long' FROM s WHERE len(act) > 2",
     "request_types": f"WITH {RUNS_SQL} SELECT CASE act[1] WHEN 'click' THEN 'creation' WHEN 'signup' THEN 'creation' WHEN 'view' THEN 'edit' WHEN 'purchase' THEN 'delete' ELSE 'validation' END AS request_type, count(*) AS n FROM s GROUP BY 1",
-    "retriable_attempts": """WITH a AS (SELECT CASE WHEN event_type = 'error' THEN 400 + event_id % 110 END AS st, event_type FROM events WHERE event_type IN ('error', 'view', 'signup')),
-      r AS (SELECT CASE WHEN event_type = 'view' THEN true WHEN st IN (408, 429, 500, 502, 503, 504) THEN true ELSE false END AS retriable, CASE WHEN event_type = 'view' THEN 'connection_timeouterror' WHEN st IS NULL THEN 'unknown_APIError' WHEN st IN (408, 429, 500, 502, 503, 504, 400, 401, 403, 404, 422) THEN 'http_' || st ELSE 'http_' || st || '_unclassified' END AS cause FROM a)
+    "retriable_attempts": """WITH a AS (SELECT CASE event_type WHEN 'error' THEN 400 + event_id % 110 WHEN 'purchase' THEN 500 + event_id % 6 END AS st, CASE event_type WHEN 'view' THEN 'TimeoutError' WHEN 'click' THEN 'ReadTimeoutError' ELSE 'APIError' END AS e FROM events),
+      r AS (SELECT e <> 'APIError' OR coalesce(st IN (408, 429, 500, 502, 503, 504), false) AS retriable, CASE WHEN e <> 'APIError' THEN 'connection_' || lower(e) WHEN st IS NULL THEN 'unknown_APIError' WHEN st IN (408, 429, 500, 502, 503, 504, 400, 401, 403, 404, 422) THEN 'http_' || st ELSE 'http_' || st || '_unclassified' END AS cause FROM a)
       SELECT retriable, cause, count(*) AS n FROM r GROUP BY ALL""",
     "call_contract": """WITH p(tool, param, kind, required, allowed) AS (VALUES ('notion.create_task', 'title', 's', true, NULL), ('notion.create_task', 'due_date', 's', false, NULL), ('notion.create_task', 'status', 's', false, 'open,done'),
       ('calendar.update_event', 'event_id', 's', true, NULL), ('calendar.update_event', 'title', 's', false, NULL), ('calendar.update_event', 'start_date', 's', false, NULL), ('calendar.update_event', 'start_time', 's', false, NULL), ('calendar.update_event', 'duration_minutes', 'i', false, NULL),

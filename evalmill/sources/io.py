@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalmill.functions.jsonx import keys_at_any_depth, strict_json
+from evalmill.functions.jsonx import keys_at_any_depth, strict_json, top_keys
+from evalmill.functions.shapes import shaped
+from evalmill.operators import formats
+from evalmill.operators.ranks import json_string
 from evalmill.operators.validate import SPLITS
 
 _CALL = "struct<tool:string,arguments:map<string,string>>"
-SCENARIO = (
-    "id string, category string, difficulty string, description string, user_input string, current_time string, available_tools array<string>, initial_state string, "
-    f"expected_behavior struct<type:string,tool:string,arguments:map<string,string>,calls:array<{_CALL}>,question_contains:array<string>,reason_contains:array<string>>, success_criteria array<string>, tags array<string>"
-)
 
 
-def load_scenarios(spark: SparkSession, *folders: str) -> DataFrame:
-    """Suites of one JSON object a file; the expected behaviour is flattened, ``keys`` are the object's own keys."""
-    raw = spark.read.text([f"{f}/*.json" for f in folders], wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    s = raw.withColumn("s", F.from_json("value", SCENARIO))
-    e = F.col("s.expected_behavior")
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def load_scenarios(spark: SparkSession, *folders: str, pattern: str = "*.json") -> DataFrame:
+    """Suites of one JSON object a file, in files named by ``pattern``, with the types they have there: arguments and the initial state are canonical JSON, the expected behaviour is flattened.
+
+    ``keys`` are the object's own keys, ``issues`` all that breaks the format as (path, code), ``error`` what makes a file no JSON; ``load_failures`` lists both.
+    """
+    s = _files(spark, *(f"{f}/{pattern}" for f in folders)).withColumn("s", shaped(formats.SCENARIO)("value")).withColumn("v", F.col("s.value"))
+    e = F.col("v.expected_behavior")
+    none = F.array().cast(f"array<{_CALL}>")
     one = F.array(F.struct(e["tool"].alias("tool"), e["arguments"].alias("arguments")))
-    calls = F.when(e["type"] == "tool_call", one).otherwise(F.coalesce(e["calls"], F.array().cast(f"array<{_CALL}>")))
-    calls = F.transform(calls, lambda c: F.struct(c["tool"].alias("tool"), F.transform_values(c["arguments"], lambda k, v: v).alias("arguments")))
+    calls = F.when(e["type"] == "tool_call", one).otherwise(F.coalesce(e["calls"], none))
+    state = F.col("v.initial_state")
+    keys = F.transform(F.map_keys(state), lambda k: F.concat(json_string(k), F.lit(":"), state[k]))
     return s.select(
-        *(F.col(f"s.{c}") for c in ("id", "category", "difficulty", "description", "user_input", "current_time", "available_tools", "initial_state")), e["type"].alias("expected_type"), calls.alias("expected_calls"),
-        F.coalesce(e["question_contains"], e["reason_contains"]).alias("expected_keywords"), "s.success_criteria", "s.tags", F.json_object_keys("value").alias("keys"), "path", F.regexp_extract("path", r"^(.*)/[^/]*\z", 1).alias("folder"),
+        *(F.col(f"v.{c}") for c in ("id", "category", "difficulty", "description", "user_input", "current_time", "available_tools")), F.concat(F.lit("{"), F.array_join(keys, ","), F.lit("}")).alias("initial_state"), e["type"].alias("expected_type"), calls.alias("expected_calls"),
+        F.coalesce(e["question_contains"], e["reason_contains"]).alias("expected_keywords"), "v.success_criteria", F.coalesce("v.tags", F.array().cast("array<string>")).alias("tags"), top_keys("value").alias("keys"), "path", F.regexp_extract("path", r"^(.*)/[^/]*\z", 1).alias("folder"),
+        F.col("s.issues").alias("issues"), F.col("s.error").alias("error"),
     ).orderBy("path")
 
 
+def load_failures(scenarios: DataFrame) -> DataFrame:
+    """(path, where, code) of every issue of loaded files; a file that is no JSON has the parser's words as its code."""
+    listed = F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col("error").alias("code")))).otherwise(F.col("issues"))
+    return scenarios.select("path", F.explode(listed).alias("i")).select("path", F.col("i.path").alias("where"), F.col("i.code").alias("code"))
+
+
 def duplicate_ids(scenarios: DataFrame) -> DataFrame:
     """Ids that several files have, naming the first and the last folder."""
     return scenarios.groupBy("id").agg(F.count("*").alias("n"), F.min("folder").alias("first_folder"), F.max("folder").alias("last_folder")).where("n > 1")
 
 
-def load_responses(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object keyed by scenario id to rows (scenario_id, tool_calls, message)."""
-    one = spark.read.text(path, wholetext=True)
-    rows = one.select(F.explode(F.from_json("value", f"map<string,struct<tool_calls:array<{_CALL}>,message:string>>")).alias("scenario_id", "r"))
-    return rows.select("scenario_id", F.coalesce("r.tool_calls", F.array().cast(f"array<{_CALL}>")).alias("tool_calls"), "r.message")
+def load_responses(spark: SparkSession, *paths: str) -> DataFrame:
+    """JSON objects keyed by scenario id to rows (scenario_id, tool_calls, message); argument values are canonical JSON."""
+    rows = _files(spark, *paths).select(F.explode(shaped(formats.RESPONSES)("value")["value"]).alias("scenario_id", "r"))
+    none = F.array().cast(f"array<{_CALL}>")
+    call = lambda c: F.struct(c["tool"].alias("tool"), F.coalesce(c["arguments"], F.create_map().cast("map<string,string>")).alias("arguments"))
+    return rows.select("scenario_id", F.transform(F.coalesce("r.tool_calls", none), call).alias("tool_calls"), "r.message")
+
+
+def response_issues(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, where, code) of all that breaks the format of response files."""
+    return load_failures(_files(spark, *paths).withColumn("s", shaped(formats.RESPONSES)("value")).select("path", "s.issues", "s.error"))
 
 
 def join_responses(scenarios: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,14 +112,43 @@ def write_results(header: DataFrame, results: DataFrame, folder: str) -> None:
     results.write.parquet(f"{folder}/results")
 
 
-def load_result_payloads(spark: SparkSession, labelled: dict[str, str], result_schema: str) -> DataFrame:
-    """Result files of several runs, one JSON payload each, to rows with the run's label."""
-    out = None
-    for label, path in labelled.items():
-        one = spark.read.text(path, wholetext=True).select(F.from_json("value", f"run_id string, scenario_results array<struct<{result_schema}>>").alias("p"))
-        rows = one.select(F.lit(label).alias("label"), "p.run_id", F.posexplode("p.scenario_results").alias("position", "r")).select("label", "run_id", "position", "r.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def write_payloads(results: DataFrame, folder: str, run: str, part: str, columns: list[str]) -> None:
+    """One JSON payload for each run and part: run_id, backend_name and the results. Parts bound what one file holds; ``backend_name`` is a column."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", *columns))), lambda x: x.dropFields("position"))  # a part's results
+    payload = F.to_json(F.struct(F.col(run).cast("string").alias("run_id"), F.first("backend_name").alias("backend_name"), rows.alias("scenario_results")), {"ignoreNullFields": "false"})
+    made = results.groupBy(run, part).agg(payload.alias("value"))
+    made.write.partitionBy(run, part).mode("errorifexists").text(folder)
+
+
+def load_results(spark: SparkSession, paths: list[str], columns: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:
+    """Result files of any number of runs in one scan: (label, run_id, position) and the wanted columns, each with its Spark type.
+
+    ``labels`` names files by their paths; others are named by the file's stem. Results are read by keys: what a run lacks is null, as is a value that has another type, further keys are passed
+    over; numbers are read as numbers, whether a run wrote 3 or 3.0.
+    """
+    p = _files(spark, *paths).withColumn("p", shaped(formats.PAYLOAD)("value")["value"])
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
+    if labels:
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        whole = lambda x: (lambda at: at.getFileSystem(conf).makeQualified(at).toUri().toString())(hadoop(x))
+        named = spark.createDataFrame([(whole(x), label) for x, label in labels.items()], "path string, named string")
+        plain_path = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        p = p.withColumn("path", plain_path("path")).join(named.withColumn("path", plain_path("path")), "path", "left")
+        stem = F.coalesce("named", stem)
+    rows = p.select(stem.alias("label"), "p.run_id", F.posexplode("p.scenario_results").alias("position", "r"))
+    return rows.select("label", "run_id", "position", *(typed_value(F.try_element_at("r", F.lit(c)), kind).alias(c) for c, kind in columns.items()))
+
+
+def typed_value(text: Column, kind: str) -> Column:
+    """Canonical JSON of one value as a Spark type; null where it has another."""
+    kind = kind.lower()
+    if kind == "string":
+        return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).when(text != "null", text)
+    if kind in ("int", "long", "bigint", "double", "float"):
+        return text.try_cast("double").try_cast(kind)
+    if kind == "boolean":
+        return F.when(text.isin("true", "false"), text == "true")
+    return F.when(text.startswith("[" if kind.startswith("array") else "{"), F.from_json(text, kind))
 
 
 def append_events(events: DataFrame, folder: str) -> None:

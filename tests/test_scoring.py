@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -195,3 +197,99 @@ def test_comparison_scores_by_mode(spark):
     data = [(1, "tool_call", [(TASK, {"title": '"x"'})], None, [TASK], [(TASK, {"title": '"x"'})], None), (2, "tool_call", [(TASK, {"title": '"x"'})], None, [TASK], [(TASK, {}), (EVENT, {})], None), (3, "refusal", [], ["cannot"], [TASK], [], "I cannot."), (4, "clarification", [], ["which"], [TASK], [(TASK, {})], None)]
     got = {r.id: r.comparison_score for r in scoring.comparison_score(scoring.score(spark.createDataFrame(data, SCHEMA))).collect()}
     assert got == pytest.approx({1: 1.0, 2: 0.35 + 0.25 + 0.0 + 0.15 * 0.5, 3: 1.0, 4: 0.15})
+
+
+def plain_calls(calls, initial):
+    """Calls one after the other on lists of things: a signature is looked at first, then what an update is for, then the values."""
+    text = lambda v: isinstance(v, str)
+
+    def whole(v):
+        if isinstance(v, str):
+            v = int(v) if re.fullmatch(r"[+-]?\d+", v) else None
+        return int(v) if isinstance(v, (int, float)) and v == int(v) else None
+
+    specs = {
+        "calendar.create_event": ({"title", "start_date", "start_time", "duration_minutes"}, set()), "calendar.update_event": ({"event_id"}, {"title", "start_date", "start_time", "duration_minutes"}), "notion.create_task": ({"title"}, {"due_date", "status"}),
+        "notion.update_task": ({"task_id"}, {"title", "status", "due_date"}), "gmail.create_draft": ({"recipient", "body"}, {"subject", "thread_id"}), "clipboard.write": ({"text"}, set()),
+    }
+    kinds = {"calendar": ("event", "evt_fake_calendar_"), "notion": ("task", "task_fake_notion_"), "gmail": ("draft", "draft_fake_gmail_")}
+    state = {"event": {}, "task": {}, "draft": {}, "clipboard": {}}
+    for kind, name, fields in initial:
+        state[kind][name] = dict(fields)
+    out = []
+
+    def good(tool, k, v):
+        if k == "duration_minutes":
+            return whole(v) is not None and whole(v) > 0
+        if not text(v) or (k == "status" and v not in ("open", "done")) or (k == "recipient" and not re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", v)):
+            return False
+        return bool(v) or f"{tool}:{k}" not in scoring.NOT_EMPTY
+
+    for tool, given in calls:
+        if tool == "clipboard.read":
+            out.append("ok")
+            continue
+        if tool not in specs:
+            out.append("unknown_tool")
+            continue
+        needed, other = specs[tool]
+        if not needed <= set(given) or set(given) - needed - other:
+            out.append("invalid_arguments")
+            continue
+        kind, prefix = kinds.get(tool.split(".")[0], ("clipboard", ""))
+        things = state[kind]
+        value = lambda k, v: whole(v) if k == "duration_minutes" else v
+        if ".update_" in tool:
+            name = given["event_id" if kind == "event" else "task_id"]
+            if not text(name) or name not in things:
+                out.append("not_found")
+                continue
+            new = {k: v for k, v in given.items() if v is not None and not k.endswith("_id")}
+            if not all(good(tool, k, v) for k, v in new.items()):
+                out.append("validation")
+                continue
+            things[name].update({k: value(k, v) for k, v in new.items()})
+        else:
+            null_is_none = other - {"status"}
+            if not all((v is None and k in null_is_none) or good(tool, k, v) for k, v in given.items()):
+                out.append("validation")
+                continue
+            if kind == "clipboard":
+                things["clipboard"] = {"text": given["text"]}
+            else:
+                n = len(things) + 1
+                while f"{prefix}{n:03}" in things:
+                    n += 1
+                things[f"{prefix}{n:03}"] = ({"status": "open"} if kind == "task" else {}) | {k: value(k, v) for k, v in given.items() if v is not None}
+        out.append("ok")
+    return out, {(kind, name, json.dumps(fields, sort_keys=True)) for kind, things in state.items() for name, fields in things.items()}
+
+
+def test_random_calls_against_a_plain_fold(spark):
+    rng = random.Random(17)
+    values = ["x", "", None, 5, "open", "done", "later", "30", "3.5", 30.0, 0, True, "a@b.c", "a@b", [], "task_fake_notion_002", "evt_fake_calendar_001", "task_fake_notion_001", "7"]
+    names = {"calendar.create_event": ["title", "start_date", "start_time", "duration_minutes"], "calendar.update_event": ["event_id", "title", "duration_minutes"], "notion.create_task": ["title", "due_date", "status"], "notion.update_task": ["task_id", "title", "status", "due_date"], "gmail.create_draft": ["recipient", "body", "subject"], "clipboard.write": ["text"], "clipboard.read": [], "no.tool": ["x"]}
+    usual = {"title": "t", "start_date": "d", "start_time": "s", "duration_minutes": 30, "status": "done", "due_date": "d", "recipient": "a@b.c", "body": "b", "text": "w", "subject": "s"}
+    rows, firsts, want, states = [], [], {}, set()
+    for s in range(60):
+        initial = [("task", "task_fake_notion_002", {"title": "old", "status": "open"}), ("task", "7", {"title": "odd", "status": "open"})] if s % 2 else []
+        calls = []
+        for _ in range(rng.randint(1, 12)):
+            tool = rng.choice(list(names))
+            given = {k: (rng.choice(["task_fake_notion_001", "task_fake_notion_002", "evt_fake_calendar_001", None, 7, "7"]) if k.endswith("_id") else usual.get(k, 1)) for k in names[tool] if rng.random() < 0.93}
+            for k in list(given):
+                if rng.random() < 0.15 and not k.endswith("_id"):
+                    given[k] = rng.choice(values)
+            if rng.random() < 0.05:
+                given["more"] = None
+            calls.append((tool, given))
+        outcomes, state = plain_calls(calls, initial)
+        want |= {(s, i): o for i, o in enumerate(outcomes)}
+        states |= {(str(s), *x) for x in state}
+        rows += [(s * 100 + i, str(s), i, t, {k: jsonx.dumps(v) for k, v in g.items()}) for i, (t, g) in enumerate(calls)]
+        firsts += [(str(s), kind, name, {k: jsonx.dumps(v) for k, v in fields.items()}) for kind, name, fields in initial]
+    results, state = scoring.apply_calls(spark.createDataFrame(rows, CALLS).repartition(3), spark.createDataFrame(firsts, INITIAL))
+    got = {(r.call_id // 100, r.call_id % 100): r.outcome for r in results.collect()}
+    assert {k: (got[k], rows) for k in want if got[k] != want[k]} == {} and len(got) == len(want)
+    assert {(r.scenario_id, r.kind, r.id, json.dumps({k: json.loads(v) for k, v in r.fields.items()}, sort_keys=True)) for r in state.collect()} == states
+    assert set(want.values()) == {"ok", "unknown_tool", "invalid_arguments", "validation", "not_found"}

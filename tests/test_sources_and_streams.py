@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalmill.operators import scoring
@@ -10,7 +11,7 @@ from evalmill.streaming import jobs
 
 
 def scenario(i, **more):
-    return {"id": f"mail_{i:03d}", "category": "gmail", "difficulty": "explicit", "description": "d", "user_input": "u", "current_time": "2026-05-11T09:00:00Z", "available_tools": ["gmail.send_email"], "initial_state": {}, "expected_behavior": {"type": "tool_call", "tool": "gmail.send_email", "arguments": {"recipient": "\"a@b.c\""}}, "success_criteria": ["x"], "tags": []} | more
+    return {"id": f"mail_{i:03d}", "category": "gmail", "difficulty": "explicit", "description": "d", "user_input": "u", "current_time": "2026-05-11T09:00:00Z", "available_tools": ["gmail.send_email"], "initial_state": {}, "expected_behavior": {"type": "tool_call", "tool": "gmail.send_email", "arguments": {"recipient": "a@b.c", "body_contains": "Lunch", "count": 30, "more": None}}, "success_criteria": ["x"], "tags": []} | more
 
 
 def test_suites_responses_and_scores(spark, tmp_path):
@@ -23,10 +24,37 @@ def test_suites_responses_and_scores(spark, tmp_path):
     assert [r.id for r in s.collect()] == ["mail_001", "mail_002", "mail_002", "mail_003"]
     (twice,) = io.duplicate_ids(s).collect()
     assert twice.id == "mail_002" and twice.first_folder.endswith("v1") and twice.last_folder.endswith("v2")
-    (tmp_path / "r.json").write_text(json.dumps({"mail_001": {"tool_calls": [{"tool": "gmail.send_email", "arguments": {"recipient": "\"a@b.c\""}}]}, "mail_003": {"message": "I cannot."}}))
+    right = {"recipient": "a@b.c", "body": "lunch with Bo", "count": 30.0}
+    (tmp_path / "r.json").write_text(json.dumps({"mail_001": {"tool_calls": [{"tool": "gmail.send_email", "arguments": right}]}, "mail_003": {"message": "I cannot."}}))
     both, missing = io.join_responses(s.dropDuplicates(["id"]), io.load_responses(spark, str(tmp_path / "r.json")))
     assert [r.id for r in missing.collect()] == ["mail_002"]
     assert all(r.task_success for r in scoring.score(both).collect())
+    assert s.select("initial_state").distinct().collect()[0][0] == "{}" and io.load_failures(s).isEmpty()
+
+
+@pytest.mark.parametrize(
+    ("expected", "given", "accuracy"),
+    [({"title_contains": "Lunch"}, {"title": "lunch with Bo"}, 1.0), ({"n": 30}, {"n": "30"}, 0.0), ({"n": "true"}, {"n": True}, 0.0), ({"n": 1}, {"n": True}, 1.0), ({"n": 30}, {"n": 30.0}, 1.0), ({"n": None}, {}, 1.0),
+     ({"n_contains": "3"}, {"n": 30}, 0.0), ({"n": {"a": [1, {"b": None}]}}, {"n": {"a": [1.0, {"b": None}]}}, 1.0), ({"n": []}, {"n": {}}, 0.0), ({"t_contains": "STRASSE"}, {"t": "straße"}, 1.0), ({"n": "\ud800"}, {"n": "\ud800"}, 1.0)],
+)
+def test_values_keep_their_json_types_from_files_to_scores(spark, tmp_path, expected, given, accuracy):
+    (tmp_path / "s.json").write_text(json.dumps(scenario(1, expected_behavior={"type": "tool_call", "tool": "gmail.send_email", "arguments": expected}, initial_state={"a": {"b": [1, 1.5, "1"]}})))
+    (tmp_path / "r.txt").write_text(json.dumps({"mail_001": {"tool_calls": [{"tool": "gmail.send_email", "arguments": given}]}}))
+    both, _ = io.join_responses(io.load_scenarios(spark, str(tmp_path)), io.load_responses(spark, str(tmp_path / "r.txt")))
+    (r,) = scoring.score(both).collect()
+    assert r.argument_accuracy == accuracy and r.initial_state == '{"a":{"b":[1,1.5,"1"]}}' and r.task_success == (accuracy == 1.0)
+
+
+def test_broken_files_are_named(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{")
+    (tmp_path / "b.json").write_text(json.dumps(scenario(2, more=1, initial_state=None)))
+    (tmp_path / "c.json").write_text(json.dumps(scenario(3)))
+    got = [(r.path.rsplit("/", 1)[1], r.where, r.code) for r in io.load_failures(io.load_scenarios(spark, str(tmp_path))).collect()]
+    assert sorted(got) == [("a.json", "", "invalid JSON at char 1: Expecting property name enclosed in double quotes"), ("b.json", "initial_state", "wrong_type"), ("b.json", "more", "extra")]
+    (tmp_path / "r.txt").write_text(json.dumps({"x_001": {"tool_calls": [{"tool": "Bad", "arguments": {}, "why": 1}]}, "x_002": {"message": 5}, "x_003": {}}))
+    issues = {(r.where, r.code) for r in io.response_issues(spark, str(tmp_path / "r.txt")).collect()}
+    assert issues == {("x_001.tool_calls[0].tool", "pattern"), ("x_001.tool_calls[0].why", "extra"), ("x_002.message", "wrong_type")}
+    assert [(r.scenario_id, len(r.tool_calls), r.message) for r in io.load_responses(spark, str(tmp_path / "r.txt")).orderBy("scenario_id").collect()] == [("x_001", 1, None), ("x_002", 0, None), ("x_003", 0, None)]
 
 
 def test_jsonl_and_splits(spark, tmp_path):
@@ -67,10 +95,23 @@ def test_manifests_have_counts_and_sources(spark, tmp_path):
 
 
 def test_results_of_several_runs(spark, tmp_path):
-    for label, n in (("a", 1), ("b", 2)):
-        (tmp_path / f"{label}.json").write_text(json.dumps({"run_id": label, "scenario_results": [{"scenario_id": f"s{i}", "latency_ms": i} for i in range(n)]}))
-    rows = io.load_result_payloads(spark, {x: str(tmp_path / f"{x}.json") for x in "ab"}, "scenario_id:string,latency_ms:int").collect()
-    assert [(r.label, r.position, r.scenario_id) for r in rows] == [("a", 0, "s0"), ("b", 0, "s0"), ("b", 1, "s1")]
+    """Runs that differ in their columns and in how they write numbers, in one scan."""
+    made = {"a": [{"scenario_id": "s0", "latency_ms": 3, "score": {"task_success": True}}], "b": [{"scenario_id": "s0", "latency_ms": 4.0, "extra": [1]}, {"scenario_id": 7, "latency_ms": "no", "score": []}, {}]}
+    for label, rows in made.items():
+        (tmp_path / f"{label}.json").write_text(json.dumps({"run_id": f"run {label}", "other": {}, "scenario_results": rows}))
+    paths, columns = [str(tmp_path / f"{x}.json") for x in "ab"], {"scenario_id": "string", "latency_ms": "int", "score": "struct<task_success:boolean>"}
+    rows = io.load_results(spark, paths, columns, {paths[1]: "second"}).orderBy("label", "position").collect()
+    assert [(r.label, r.run_id, r.position, r.scenario_id, r.latency_ms, r.score and r.score.task_success) for r in rows] == [
+        ("a", "run a", 0, "s0", 3, True), ("second", "run b", 0, "s0", 4, None), ("second", "run b", 1, "7", None, None), ("second", "run b", 2, None, None, None)]
+    plan = io.load_results(spark, [str(tmp_path / "*.json")], columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
+def test_payloads_are_written_by_run_and_part(spark, tmp_path):
+    df = spark.range(10).select((F.col("id") % 2).alias("run"), (F.col("id") % 3).alias("part"), F.lit("local").alias("backend_name"), F.col("id").alias("position"), F.concat(F.lit("s"), "id").alias("scenario_id"), F.when(F.col("id") > 4, F.col("id")).alias("latency_ms"))
+    io.write_payloads(df, str(tmp_path / "out"), "run", "part", ["scenario_id", "latency_ms"])
+    back = io.load_results(spark, [str(tmp_path / "out" / "*" / "*" / "*.txt")], {"scenario_id": "string", "latency_ms": "long"})
+    assert sorted((r.run_id, r.scenario_id, r.latency_ms) for r in back.collect()) == sorted((str(i % 2), f"s{i}", i if i > 4 else None) for i in range(10))
 
 
 def event(minute, trace, fields="{}"):

@@ -36,6 +36,7 @@ def test_scenario_rules(spark):
         (GOOD, []), (but(id="Mail_1"), ["id"]), (but(id="mail_001\n"), ["id"]), (but(current_time="2026-05-11T09:00:00"), ["current_time"]), (but(current_time="2026-99-11T09:00:00Z"), ["current_time"]), (but(current_time="2026-05-11 09:00+0700"), []), (but(expected_type="tool_calls"), ["two_calls"]), (but(available_tools=["gmail.x", "gmail.x"]), ["available_tools_unique"]),
         (but(available_tools=["bad"]), ["available_tools"]), (but(success_criteria=["a", "a"]), ["success_criteria_unique"]), (but(description=""), ["description"]), (but(tags=[""]), ["tags"]), (but(keys=["id", "more"]), ["extra_keys"]),
         (but(expected_type="refusal", expected_calls=[], expected_keywords=[]), ["keywords"]), (but(category=None), ["category"]),
+        (but(expected_type="tool_calls", expected_calls=None), ["two_calls"]), (but(expected_calls=None), ["one_call"]), (but(expected_calls=[(None,)]), ["call_tools"]), (but(available_tools=["gmail.x", None]), ["available_tools"]), (but(tags=None), []), (but(expected_type=None), ["expected_type"]), (but(success_criteria=None), ["success_criteria"]),
     ]
     rows = validate.scenario_rules(spark.createDataFrame([c for c, _ in cases], SCENARIO), ["id"]).collect()
     assert [r.broken for r in rows] == [w for _, w in cases]
@@ -50,7 +51,27 @@ def test_line_checks(spark):
     df = spark.createDataFrame([("train", i + 1, t) for i, t in enumerate(lines)], "split string, line_number long, line string")
     issues = validate.line_issues(df)
     assert {r.line_number: r.code for r in issues.collect()} == {2: "blank_line", 3: "invalid_json", 4: "invalid_shape", 5: "invalid_roles", 6: "invalid_assistant_json", 7: "invalid_assistant_json"}
-    assert validate.line_report(df, issues).first() == ("train", 7, 1, 6, False)
+    assert validate.line_report(df, issues).first() == ("train", 7, 5, 2, False)
+    counts = spark.createDataFrame([("train", 8), ("test", 0), ("validation", 2)], "split string, count long")
+    more = validate.count_issues(df, counts)
+    assert {(r.split, r.detail) for r in more.collect()} == {("train", "8,7"), ("validation", "2,0")}
+    assert ("validation", 0, 0, 0, False) in [tuple(r) for r in validate.line_report(df, issues.unionByName(more)).collect()]
+
+
+def test_lines_have_all_their_issues_and_shapes_are_strict(spark):
+    m = lambda *roles, last="[]": [{"role": r, "content": last if i == len(roles) - 1 else "x"} for i, r in enumerate(roles)]
+    cases = [
+        ("\u2003\t", [("blank_line", "")]), ("{bad", [("invalid_json", "invalid JSON at char 1: Expecting property name enclosed in double quotes")]), (json.dumps({"messages": m("system", "user", "assistant"), "id": 1}), [("invalid_shape", "id:extra")]),
+        (json.dumps({"messages": [{"role": "system", "content": 5}, {"role": "user", "content": "x", "name": "y"}, {"role": "tool", "content": []}]}), [("invalid_shape", "messages[0].content:wrong_type,messages[1].name:extra,messages[2].role:not_allowed,messages[2].content:wrong_type")]),
+        (json.dumps({"messages": []}), [("invalid_roles", "")]), (json.dumps({"messages": m("user", "assistant", last="{}")}), [("invalid_roles", "user,assistant"), ("invalid_assistant_json", "expected list, got dict")]),
+        (json.dumps({"messages": m("system", "user", "assistant", last="[1] x")}), [("invalid_assistant_json", "invalid JSON at char 4: Extra data")]), ("[" * 100000, [("invalid_json", "invalid JSON at char 0: nested too deep")]),
+        (json.dumps({"messages": m("system", "user", "assistant", last='["\\ud800"]')}), []), ("null", [("invalid_shape", ":wrong_type")]),
+    ]
+    df = spark.createDataFrame([("train", i, t) for i, (t, _) in enumerate(cases)], "split string, line_number long, line string")
+    got = {}
+    for r in validate.line_issues(df).collect():
+        got.setdefault(r.line_number, []).append((r.code, r.detail))
+    assert [got.get(i, []) for i in range(len(cases))] == [w for _, w in cases]
 
 
 def test_manifest_checks(spark):
@@ -101,6 +122,15 @@ def test_comparison_table_formats(spark):
     assert [(r.metric, r.a) for r in metrics.comparison_table(m, "run", m.columns[1:], ["a"]).collect()] == [("task_success_rate", "0.500"), ("refusal", "n/a"), ("average_latency_ms", "2519"), ("total_cost_usd", "$0.0058")]
 
 
+def test_numbers_are_written_as_python_does(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [0.0625, 2.5, 0.3125, 0.0005, 0.0015, 1.0005, 3.5, 0.5, -0.0625, -0.00001, 0.0, 123456.7895, 1e12 + 0.5, float("inf"), float("nan"), *(k / 16 for k in range(200)), *(k / 2000 for k in range(400)), *(rng.random() * 10 ** rng.randint(-6, 9) for _ in range(400))]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(metrics.fixed(F.col("v"), d).alias(f"d{d}") for d in (0, 3, 4)))
+    assert [(r.v, r[f"d{d}"]) for r in df.collect() for d in (0, 3, 4) if r[f"d{d}"] != f"{r.v:.{d}f}"] == []
+
+
 def test_bootstrap_brackets_the_mean(spark):
     df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("k"))
     r = metrics.bootstrap(df, "id", "v", 300).first()
@@ -151,6 +181,8 @@ def test_leaks(spark):
     train = spark.createDataFrame([(1, " STRASSE 1\n"), (2, "other"), (3, "a b c d e f g h i"), (4, None), (5, "strasse 1")], "id long, text string")
     evals = spark.createDataFrame([(9, "straße 1"), (8, "x a b c d e f g h y"), (7, "Strasse 1 "), (6, None)], "e long, text string")
     assert sorted(map(tuple, leakage.exact_leaks(train, "id", evals, "e").collect())) == [(1, 7, 2), (5, 7, 2)]
+    odd = spark.createDataFrame([(1, "\u2003hi\u00a0\x1f"), (2, "hi\u200b")], "id long, text string")
+    assert [r.id for r in leakage.exact_leaks(odd, "id", spark.createDataFrame([(9, "Hi")], "e long, text string"), "e").collect()] == [1]
     assert sorted(map(tuple, leakage.key_classes(evals, "e", leakage.normalised(F.col("text"))).collect())) == [(7, 7), (8, 8), (9, 7)]
     assert [(r.id, r.e, r.common) for r in leakage.ngram_leaks(train, "id", evals, "e", 4, 0.5).collect()] == [(3, 8, 5)]
     docs = spark.createDataFrame([(1, '{"a":[{"success_criteria":1}]}'), (2, '{"a":"success_criteria"}'), (3, "bad")], "id long, payload string")
@@ -217,6 +249,7 @@ def test_changes_and_reminders(spark):
     assert {(r.id, r.change) for r in changes.diff(old, new, "id", ["v"]).collect()} == {(2, "update"), (3, "delete"), (4, "insert")}
     tasks = spark.sql("select * from values (1, timestamp'2024-01-01', 'open'), (2, timestamp'2024-01-01', ' Done'), (3, timestamp'2025-01-01', 'open'), (4, timestamp'2024-01-02', null), (5, timestamp'2024-01-02', 'x') t(id, due, status)")
     fired = spark.sql("select * from values (4, timestamp'2024-01-02'), (5, timestamp'2024-01-01') t(id, last_due)")
+    assert spark.createDataFrame([("Done\n",), ("\u2003COMPLETE",), ("done\u200b",)], "s string").select(changes.is_done(F.col("s"))).collect() == [(True,), (True,), (False,)]
     assert sorted(r.id for r in changes.due_tasks(tasks, fired, F.lit("2024-06-01").cast("timestamp")).collect()) == [1, 5]
 
 
