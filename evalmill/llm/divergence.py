@@ -1,7 +1,7 @@
 """Source divergence audit: how far the sources of a language are apart in their words, in whole numbers.
 
 One ``CountVectorizer`` serves all languages: a term is counted as ``lang term``, so that minDF, a number of documents, holds for each language by itself. vocabSize is the largest integer:
-no term is left out for want of room. Where more terms may be kept than ``SHARD`` (asked of a sketch first), terms are dealt into shards by hash and each shard has a vectorizer of
+no term is left out for want of room. Where more terms are kept than ``SHARD`` (``kept_terms`` looks first), terms are dealt into shards by hash and each shard has a vectorizer of
 its own, one after the other, so that the driver never holds more than about a shard's vocabulary. Document vectors are written as sparse vectors and read as plain arrays; they are
 added up by (lang, source) as a summarizer does, but in whole numbers.
 
@@ -14,31 +14,100 @@ empty table gives no rows; repeated rows are documents each; further columns are
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.llm._tables import Store
+from evalmill.llm._text import LOWER, U64, mix, released, slices, utf8, word_bounds, word_hashes
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes that are in no term: all of ASCII but its letters.
+APART = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 MIN_DF, TOP = 10, 10
 #: The largest integer: vocabularies have no limit of their own.
 VOCABULARY = 2**31 - 1
-#: Terms of one vectorizer, about.
-SHARD = 1 << 20
+#: Terms of one vectorizer, about, and one of how many hashes is counted to know their number.
+SHARD, SOME = 1 << 20, 64
 SOURCES, TERMS = 64, 1024
 SCALE = 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def tagged(docs: DataFrame) -> DataFrame:
+def _words(batch: pa.RecordBatch):
+    """Slices of a batch: (rows, bytes, starts and ends of terms, offsets by row)."""
+    for rows, data, at in slices(batch, "text"):
+        starts, ends, by = word_bounds(data, at, APART)  # a text's first byte is never the rest of a letter
+        yield rows, data, starts, ends, by
+
+
+def _spread(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For parts of these lengths, laid end to end, the places they begin at counted up: first, first + 1, ..."""
+    begin = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(first - begin, lengths)
+
+
+def _tagged(shards: int, shard: int):
+    """Rows (lang, source, text) to (lang, source, terms), each term behind its language and a blank; of several shards of terms, one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, starts, ends, by in _words(batch):
+                if shards > 1:
+                    own = word_hashes(data, starts, ends) % U64(shards) == U64(shard)
+                    by = np.concatenate([[0], np.cumsum(own)])[by]
+                    starts, ends = starts[own], ends[own]
+                marks, mark_at = utf8(pc.binary_join_element_wise(rows.column("lang").cast(pa.string()), "", " "))
+                row = np.repeat(np.arange(rows.num_rows), np.diff(by))
+                ahead, size = np.diff(mark_at)[row], ends - starts
+                offsets = np.concatenate([[0], np.cumsum(ahead + size)])
+                out = np.empty(int(offsets[-1]), dtype=np.uint8)
+                out[_spread(ahead, offsets[:-1])] = marks[_spread(ahead, mark_at[:-1][row])]
+                out[_spread(size, offsets[:-1] + ahead)] = LOWER[data[_spread(size, starts)]]
+                terms = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+                yield pa.RecordBatch.from_arrays([rows.column("lang").cast(pa.string()), rows.column("source").cast(pa.string()), pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), terms)], ["lang", "source", "terms"])
+
+    return released(work)
+
+
+def _some_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of a document's terms, one of ``SOME`` of all hashes; each once for a document."""
+    for batch in batches:
+        for rows, data, starts, ends, by in _words(batch):
+            tongue, tongue_at = utf8(rows.column("lang"))
+            langs = np.array([int.from_bytes(hashlib.blake2b(tongue[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in itertools.pairwise(tongue_at)], dtype=U64)
+            row = np.repeat(np.arange(rows.num_rows), np.diff(by))
+            h = mix(word_hashes(data, starts, ends) ^ langs[row])
+            pick = h % U64(SOME) == 0
+            pairs = np.unique(np.rec.fromarrays([row[pick], h[pick]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs["f1"]).view(np.int64) if len(pairs) else np.zeros(0, np.int64))], ["h"])
+
+
+_some_terms = released(_some_terms)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return docs.select(text("lang"), text("source"), text("text"))
+
+
+def tagged(docs: DataFrame, shards: int = 1, shard: int = 0) -> DataFrame:
     """(lang, source, terms): each term behind its language; terms have no blanks, so the last blank parts the two."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    terms = F.regexp_extract_all(F.translate(text("text"), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    return docs.select(text("lang").alias("lang"), text("source").alias("source"), terms.alias("t")).select("lang", "source", F.transform("t", lambda t: F.concat("lang", F.lit(" "), t)).alias("terms"))
+    return _texts(docs).mapInArrow(_tagged(shards, shard), "lang string, source string, terms array<string>")
+
+
+def kept_terms(docs: DataFrame, min_df: int) -> int:
+    """About how many terms will be kept: those of one of ``SOME`` hashes are counted over all documents."""
+    some = _texts(docs).mapInArrow(_some_terms, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    return SOME * some.where(F.col("n") >= min_df).count()
 
 
 def vectorizer(terms: DataFrame, min_df: int) -> CountVectorizerModel:
@@ -49,20 +118,19 @@ def vectorizer(terms: DataFrame, min_df: int) -> CountVectorizerModel:
 
 def group_counts(docs: DataFrame, store: Store, min_df: int = MIN_DF, shard: int = SHARD) -> DataFrame:
     """(lang, source, term, count) of kept terms, counts over 0: sums of the documents' sparse vectors."""
-    terms = tagged(docs)
-    size = terms.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.05)).first()[0]
-    n, found = max(1, -(-size // shard)), None
+    n, found = max(1, -(-kept_terms(docs, min_df) // shard)), None
     for k in range(n):
-        part = terms if n == 1 else terms.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == k))
-        model = vectorizer(part, min_df)
+        terms = tagged(docs, n, k)
+        model = vectorizer(terms, min_df)
         path = f"{store.folder}/vocabulary-{k}"
         model.write().save(path)
-        store.keep(model.transform(part).select("lang", "source", "vector"), f"vectors-{k}")
+        store.keep(model.transform(terms).select("source", "vector"), f"vectors-{k}")
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "word"))
-        vectors = docs.sparkSession.read.schema(f"lang string, source string, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
-        entries = vectors.select("lang", "source", F.explode(F.arrays_zip(F.col("vector.indices").alias("index"), F.col("vector.values").alias("value"))).alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
-        named = sums.join(words, "index").select("lang", "source", F.element_at(F.split("word", " "), -1).alias("term"), "count")
+        vectors = docs.sparkSession.read.schema(f"source string, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
+        entries = vectors.select("source", F.explode(F.arrays_zip(F.col("vector.indices").alias("index"), F.col("vector.values").alias("value"))).alias("e"))
+        sums = entries.groupBy("source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))  # a term's index tells its language
+        parted = F.regexp_extract("word", r"(?s)^(.*) ([^ ]*)\z", 1).alias("lang"), "source", F.element_at(F.split("word", " "), -1).alias("term"), "count"
+        named = sums.join(words, "index").select(*parted)
         found = named if found is None else found.union(named)
     return store.keep(found, "counts")
 
