@@ -29,6 +29,7 @@ are each linked by their own text. An empty table gives an empty one. Columns of
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ _TURN = 1 << 16
 #: Shingles of texts that a task remembers while it confirms pairs.
 _KNOWN = 1 << 21
 CELL_BITS = 20
+#: Sizes of sets are told apart by powers of this.
+SIZE_STEP = 1.2
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -192,8 +195,22 @@ def _rarest(sent):
     return rarest
 
 
+def _by_partner(rare: DataFrame) -> DataFrame:
+    """Rows of ``rare`` once for each class of sizes (``partner``; ``own`` is the row's) that a set may have with which what is left here can suffice; none for most shingles that stand late."""
+    n, left = F.col("n_shingles"), F.col("left")
+    size = lambda c: F.floor(F.log(c.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    least = F.ceil(n * PERCENT / 100)
+    most = F.least(F.floor(n * 100 / PERCENT), F.floor(left * (100 + PERCENT) / PERCENT) - n)
+    fit = rare.withColumns({"least": least, "most": most}).where("most >= least")
+    return fit.select("shingle", "id", "component", "n_shingles", "left", size(n).alias("own"), F.explode(F.sequence(size(F.col("least")), size(F.col("most")))).alias("partner"))
+
+
 def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
-    """Pairs (a, b) of texts (id, component, n_shingles, text) of different components that share one of the shingles each must have in common with what is similar enough."""
+    """Pairs (a, b) of texts (id, component, n_shingles, text) of different components that share one of the shingles each must have in common with what is similar enough.
+
+    Components that share such a shingle, with sizes that go together, meet first, each once; then their members do. So the work on a shingle is the pairs it has to offer, not the square of
+    who has it: a large component and one outsider meet in as many rows as the component has members.
+    """
     level = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int").alias("level")
     cells = texts.select("text").mapInArrow(released(_count_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).select("cell", level)
     levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
@@ -202,11 +219,17 @@ def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(levels)
     rare = store.keep(texts.mapInArrow(released(_rarest(sent)), "shingle long, id long, component long, n_shingles long, left long"), "rare")
     several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    shared = store.keep(rare.join(several, "shingle"), "shared")
-    p, q = (shared.select("shingle", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}"), F.col("left").alias(f"left{i}")) for i in "ab")
+    shared = store.keep(_by_partner(rare.join(several, "shingle")), "shared")
+    key = ["shingle", "own", "partner"]
+    homes = shared.select(*key, "component").distinct()
+    p, q = (homes.select("shingle", F.col("own").alias(f"own{i}"), F.col("partner").alias(f"partner{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
+    apart = p.join(q, (p.shingle == q.shingle) & (F.col("owna") == F.col("partnerb")) & (F.col("partnera") == F.col("ownb")) & (F.col("ca") < F.col("cb"))).select(p.shingle, "owna", "ownb", "ca", "cb")
+    # components first: members of one component never meet each other
+    a = shared.select("shingle", F.col("own").alias("owna"), F.col("partner").alias("ownb"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("left").alias("lefta"))
+    b = shared.select("shingle", F.col("partner").alias("owna"), F.col("own").alias("ownb"), F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("left").alias("leftb"))
     # the first shingle two sets share, in the common order, has all others they share behind it in both
-    fits = (F.col("ca") < F.col("cb")) & (F.least("lefta", "leftb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
-    met = p.join(q, (p.shingle == q.shingle) & fits).select("a", "b").distinct()
+    fits = F.least("lefta", "leftb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+    met = apart.join(a, ["shingle", "owna", "ownb", "ca"]).join(b, ["shingle", "owna", "ownb", "cb"]).where(fits).select("a", "b").distinct()
     return store.keep(met, "met")
 
 
