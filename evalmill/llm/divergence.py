@@ -2,8 +2,8 @@
 
 One ``CountVectorizer`` serves all languages: a term is counted as ``lang term``, so that minDF, a number of documents, holds for each language by itself. vocabSize is the largest integer:
 no term is left out for want of room. Where more terms are kept than ``SHARD`` (``kept_terms`` looks first), terms are dealt into shards by hash and each shard has a vectorizer of
-its own, one after the other, so that the driver never holds more than about a shard's vocabulary. Document vectors are written as sparse vectors and read as plain arrays; they are
-added up by (lang, source) as a summarizer does, but in whole numbers.
+its own, one after the other, so that the driver never holds more than about a shard's vocabulary. Document vectors are sparse and exact;
+each task adds its own up by source, as a summarizer does, but sparsely and in whole numbers, and Spark adds up what the tasks have.
 
 Pairs of sources are looked at in blocks of ``SOURCES`` sources and ``TERMS`` terms: a task has the shares of two blocks' sources for such terms as any of them has, and adds up the
 pairs' differences. Terms that neither block has add the same each, which is multiplied. The number of pairs is what the result has.
@@ -39,7 +39,6 @@ SHARD, SOME = 1 << 20, 64
 SOURCES, TERMS = 64, 1024
 SCALE = 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 def _words(batch: pa.RecordBatch):
@@ -55,14 +54,20 @@ def _spread(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(first - begin, lengths)
 
 
-def _tagged(shards: int, shard: int):
-    """Rows (lang, source, text) to (lang, source, terms), each term behind its language and a blank; of several shards of terms, one."""
+def _tagged(shards: int, shard: int, once: bool):
+    """Rows (lang, source, text) to (lang, source, terms), each term behind its language and a blank, with ``once`` only once for a document; of several shards of terms, one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, starts, ends, by in _words(batch):
-                if shards > 1:
-                    own = word_hashes(data, starts, ends) % U64(shards) == U64(shard)
+                if shards > 1 or once:
+                    h, row = word_hashes(data, starts, ends), np.repeat(np.arange(rows.num_rows), np.diff(by))
+                    own = h % U64(shards) == U64(shard)
+                    if once:
+                        order = np.lexsort((h, row))
+                        again = np.zeros(len(h), dtype=bool)
+                        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                        own &= ~again
                     by = np.concatenate([[0], np.cumsum(own)])[by]
                     starts, ends = starts[own], ends[own]
                 marks, mark_at = utf8(pc.binary_join_element_wise(rows.column("lang").cast(pa.string()), "", " "))
@@ -99,9 +104,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text("lang"), text("source"), text("text"))
 
 
-def tagged(docs: DataFrame, shards: int = 1, shard: int = 0) -> DataFrame:
+def tagged(docs: DataFrame, shards: int = 1, shard: int = 0, once: bool = False) -> DataFrame:
     """(lang, source, terms): each term behind its language; terms have no blanks, so the last blank parts the two."""
-    return _texts(docs).mapInArrow(_tagged(shards, shard), "lang string, source string, terms array<string>")
+    return _texts(docs).mapInArrow(_tagged(shards, shard, once), "lang string, source string, terms array<string>")
 
 
 def kept_terms(docs: DataFrame, min_df: int) -> int:
@@ -116,19 +121,49 @@ def vectorizer(terms: DataFrame, min_df: int) -> CountVectorizerModel:
     return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCABULARY).fit(terms.select("terms").union(blank))
 
 
+#: (source, index) pairs that a task holds before it hands their sums on.
+_HELD = 1 << 20
+_SUMS = pa.schema([("source", pa.string()), ("index", pa.int32()), ("count", pa.int64())])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors of documents to sums by source and index, of the documents of one task."""
+    names: dict[str, int] = {}
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def sums() -> pa.RecordBatch:
+        source = pa.array(list(names), pa.string()).take(pa.array(keys >> 32))
+        return pa.RecordBatch.from_arrays([source, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], schema=_SUMS)
+
+    for batch in batches:
+        sources = batch.column("source").dictionary_encode()
+        code = np.array([names.setdefault(x, len(names)) for x in sources.dictionary.to_pylist()], np.int64)[sources.indices.to_numpy()]
+        vector = batch.column("vector")
+        index, value = vector.field("indices"), vector.field("values")
+        row = np.repeat(code, pc.list_value_length(index).to_numpy(zero_copy_only=False))
+        found, at = np.unique(np.concatenate([keys, (row << 32) | index.flatten().to_numpy().astype(np.int64)]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, value.flatten().to_numpy()]), minlength=len(found)).astype(np.int64)
+        keys = found
+        if len(keys) > _HELD:
+            yield sums()
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(keys):
+        yield sums()
+
+
 def group_counts(docs: DataFrame, store: Store, min_df: int = MIN_DF, shard: int = SHARD) -> DataFrame:
-    """(lang, source, term, count) of kept terms, counts over 0: sums of the documents' sparse vectors."""
+    """(lang, source, term, count) of kept terms, counts over 0: sums of the documents' sparse vectors.
+
+    For the vocabulary each document names its terms once, as only the number of documents matters; the vectors count all.
+    """
     n, found = max(1, -(-kept_terms(docs, min_df) // shard)), None
     for k in range(n):
-        terms = tagged(docs, n, k)
-        model = vectorizer(terms, min_df)
+        model = vectorizer(tagged(docs, n, k, once=True), min_df)
         path = f"{store.folder}/vocabulary-{k}"
         model.write().save(path)
-        store.keep(model.transform(terms).select("source", "vector"), f"vectors-{k}")
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "word"))
-        vectors = docs.sparkSession.read.schema(f"source string, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
-        entries = vectors.select("source", F.explode(F.arrays_zip(F.col("vector.indices").alias("index"), F.col("vector.values").alias("value"))).alias("e"))
-        sums = entries.groupBy("source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))  # a term's index tells its language
+        vectors = model.transform(tagged(docs, n, k)).select("source", "vector")
+        sums = vectors.mapInArrow(released(_summed), "source string, index int, count long").groupBy("source", "index").agg(F.sum("count").alias("count"))  # a term's index tells its language
         parted = F.regexp_extract("word", r"(?s)^(.*) ([^ ]*)\z", 1).alias("lang"), "source", F.element_at(F.split("word", " "), -1).alias("term"), "count"
         named = sums.join(words, "index").select(*parted)
         found = named if found is None else found.union(named)
