@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evalmill.plans import corpora, files, runs, traces
+from evalmill.plans import chats, corpora, files, runs, streams, suites, traces
 
-QUERIES = {**corpora.QUERIES, **files.QUERIES, **runs.QUERIES, **traces.QUERIES}
-ORACLES = {**corpora.ORACLES, **files.ORACLES, **runs.ORACLES, **traces.ORACLES}
+_PARTS = (corpora, files, runs, traces, suites, chats, streams)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

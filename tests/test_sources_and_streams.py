@@ -134,34 +134,84 @@ def test_live_rollup_and_redaction(spark, tmp_path):
     assert spark.sql("select * from hidden where fields like '%input_tokens\":\"***REDACTED***\"%'").count() == 3
 
 
-def test_change_feed(spark, tmp_path):
-    src, state, out = tmp_path / "snaps", tmp_path / "last", []
+def test_late_events_and_rollup_make_the_whole_log(spark, tmp_path):
+    """Events that reach the log in time are rolled up over several batches as in batch; later ones are listed, none is in both or in neither."""
+    import datetime
+    import random
+
+    rng, start = random.Random(6), datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(400):
+        at = start + datetime.timedelta(minutes=rng.randint(0, 3000))
+        rows.append({"ts": at, "logged": at + datetime.timedelta(minutes=rng.choice([0, 0, 1, 59, 61, 600])), "trace_id": f"t{at.hour}{at.day}", "event": rng.choice(["call", "x"]), "fields": json.dumps({"input_tokens": i, "cost_usd": i / 8})})
+    rows.sort(key=lambda r: r["logged"])
+    src = tmp_path / "in"
     src.mkdir()
-
-    def read_last(s):
-        return s.read.parquet(str(sorted(state.iterdir())[-1])) if state.exists() else None
-
-    def write(rows, batch_id, snapshot):
-        out.append(sorted((r.id, r.change) for r in rows.collect()))
-        snapshot.write.parquet(str(state / f"{batch_id:05d}"))
-
-    for i, rows in enumerate([[(1, "a"), (2, "b")], [(1, "z"), (3, "c")]]):
-        (src / f"{i}.json").write_text("\n".join(json.dumps({"id": a, "v": b}) for a, b in rows))
-        q = jobs.change_feed(spark.readStream.schema("id int, v string").json(str(src)), "id", ["v"], read_last, write).option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
-        q.stop()
-    assert out == [[(1, "insert"), (2, "insert")], [(1, "update"), (2, "delete"), (3, "insert")]]
+    for n in range(5):
+        part = rows[n * 80 : n * 80 + 80]
+        (src / f"{n}.json").write_text("\n".join(json.dumps(r | {c: r[c].isoformat() + "Z" for c in ("ts", "logged")}) for r in part))
+    (src / "9.json").write_text(json.dumps({"ts": "2025-01-01T00:00:00Z", "logged": "2025-01-01T00:00:00Z", "trace_id": "end", "event": "x", "fields": "{}"}))
+    events = jobs.read_events(spark, str(src), jobs.LOGGED, 1)
+    for name, df in (("rolled", jobs.live_rollup(events, "2 hours", "1 hour", "logged", "call").drop("session_window")), ("late", jobs.late_events(events, "logged", "1 hour"))):
+        df.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start().awaitTermination()
+    late = [r for r in rows if r["logged"] - r["ts"] > datetime.timedelta(hours=1)]
+    assert spark.read.parquet(str(tmp_path / "late")).count() == len(late) > 50
+    want: dict = {}
+    for r in sorted((r for r in rows if r not in late), key=lambda r: (r["trace_id"], r["ts"])):
+        key = r["trace_id"]
+        runs = want.setdefault(key, [])
+        if not runs or r["ts"] - runs[-1][-1]["ts"] >= datetime.timedelta(hours=2):
+            runs.append([])
+        runs[-1].append(r)
+    sums = sorted((k, len(x), sum(json.loads(r["fields"])["input_tokens"] for r in x), sum(r["event"] == "call" for r in x), int((x[-1]["ts"] - x[0]["ts"]).total_seconds() * 1000)) for k, runs in want.items() for x in runs)
+    got = sorted((r.trace_id, r.event_count, r.input_tokens, r.tool_call_count, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "rolled")).collect())
+    assert got == sums
+
+
+def test_change_feed_counts_each_poll_once(spark, tmp_path, monkeypatch):
+    """Polls that come again change nothing, also after a failure between what was written and its commit."""
+    snaps = [[(1, "a"), (2, "b")], [(1, "z"), (3, "c")], [(1, "z"), (3, None)]]
+    for i, rows in enumerate(snaps):
+        spark.createDataFrame(rows, "id int, v string").write.parquet(str(tmp_path / "s" / str(i)))
+    polls = tmp_path / "polls"
+    polls.mkdir()
+    feed = jobs.ChangeFeed(spark, str(tmp_path / "feed"), "id", ["v"])
+    stream = spark.readStream.schema("poll long, path string").option("maxFilesPerTrigger", 1).json(str(polls))
+    run = lambda c: feed.write(stream).option("checkpointLocation", str(tmp_path / c)).trigger(availableNow=True).start().awaitTermination()
+    want = [(0, 1, "insert"), (0, 2, "insert"), (1, 1, "update"), (1, 2, "delete"), (1, 3, "insert"), (2, 3, "update")]
+    (polls / "0.json").write_text("\n".join(json.dumps({"poll": i, "path": str(tmp_path / "s" / str(i))}) for i in (0, 1)))
+    run("c")
+    assert sorted(tuple(r) for r in feed.changes().collect()) == want[:5]
+    (polls / "1.json").write_text(json.dumps({"poll": 2, "path": str(tmp_path / "s" / "2")}))
+    commit = feed.commit
+    monkeypatch.setattr(feed, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        run("c")
+    assert sorted(tuple(r) for r in feed.changes().collect()) == want[:5]
+    monkeypatch.setattr(feed, "commit", commit)
+    run("c")
+    assert sorted(tuple(r) for r in feed.changes().collect()) == want
+    run("another")
+    assert sorted(tuple(r) for r in feed.changes().collect()) == want and not feed.apply(1, "gone")
+    assert sorted((r.poll, r.previous) for r in feed.commits().collect()) == [(0, None), (1, 0), (2, 1)]
 
 
 def test_reminders_fire_once_for_each_due_time(spark, tmp_path):
     src = tmp_path / "tasks"
     src.mkdir()
     schema = "id string, title string, due timestamp, status string, now timestamp"
-    q = jobs.reminders(spark.readStream.schema(schema).json(str(src))).writeStream.outputMode("append").format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = jobs.reminders(spark.readStream.schema(schema).json(str(src)), keep_days=3).writeStream.outputMode("append").format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "c")).start()
     row = lambda i, due, now, status="open": {"id": i, "title": i, "due": due and f"2024-01-{due:02d}T00:00:00Z", "status": status, "now": f"2024-01-{now:02d}T12:00:00Z"}
-    for n, rows in enumerate([[row("a", 2, 1), row("b", 1, 1), row("c", 1, 1, "Done"), row("d", None, 1)], [row("a", 2, 3), row("b", 1, 3)], [row("a", 5, 6), row("b", 1, 6)]]):
+    held = []
+    for n, rows in enumerate([
+        [row("a", 2, 1), row("b", 1, 1), row("c", 1, 1, "Done\n"), row("d", None, 1), row("timer", 3, 1), row("moved", 3, 1)], [row("a", 2, 3), row("b", 1, 3)], [row("moved", 9, 4)], [row("a", 5, 6), row("b", 1, 6)], [row("c", 1, 8), row("b", 1, 8, "done")],
+        [row("x", None, 20, "done")], [row("x", None, 30, "done")],
+    ]):
         (src / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
         q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
     q.stop()
-    got = spark.sql("select id, date_format(due, 'd') as due from fired").orderBy(F.col("id"), F.col("due")).collect()
-    assert [tuple(r) for r in got] == [("a", "2"), ("a", "5"), ("b", "1")]
+    got = spark.sql("select id, date_format(due, 'd') as due from fired").collect()
+    # c was forgotten three days after it was done, and came back; moved was due on the 3rd, which the 4th knows
+    assert sorted(tuple(r) for r in got) == [("a", "2"), ("a", "5"), ("b", "1"), ("c", "1"), ("moved", "3"), ("moved", "9"), ("timer", "3")]
+    assert held[0] == 6 and max(held) == 7 and held[-1] == 6  # b and its state went
