@@ -10,11 +10,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalmill.functions.grams import gram_hashes
 from evalmill.functions.jsonx import fold, keys_at_any_depth
 from evalmill.functions.text import stripped
+from evalmill.sources.kept import kept
 
 
 def normalised(text: Column) -> Column:
@@ -71,37 +73,140 @@ def word_ngrams(text: Column, n: int) -> Column:
     return _runs_of_words(text, n, lambda run: F.array_join(run, " "))
 
 
-def _common(grams: DataFrame, train_id: str, marked: DataFrame, eval_id: str, gram: str, least: float) -> DataFrame:
-    met = grams.join(marked, gram).groupBy(train_id, eval_id).agg(F.count("*").alias("common"), F.first("total").alias("total"))
-    return met.withColumn("share", F.col("common") / F.col("total")).where(F.col("share") >= least)
+#: Hashes of evaluation grams that a task looks up at a time; with more, training texts are read once for each such part.
+GRAMS = 1 << 22
+_KEY = "array<bigint>"
+
+
+def _hashed_grams(row_id: str, n: int):
+    def work(batches):
+        for batch in batches:
+            rows, grams = [], []
+            for row, h in gram_hashes(batch.column("text"), n):
+                rows.append(row)
+                grams.append(pa.array(h.view(np.int64)))
+            out = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.concat_arrays(grams)) if grams else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(row_id).take(pa.array(rows, pa.int64())), out], [row_id, "grams"])
+
+    return work
+
+
+def _met_grams(row_id: str, n: int, sent, least: int):
+    """Texts that have at least ``least`` of the grams sent, with those they have."""
+
+    def work(batches):
+        known = sent.value
+        for batch in batches:
+            rows, grams = [], []
+            for row, h in gram_hashes(batch.column("folded"), n):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                own = h[known[at] == h]
+                if len(own) >= least:
+                    rows.append(row)
+                    grams.append(pa.array(own.view(np.int64)))
+            if rows:
+                out = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.concat_arrays(grams))
+                part = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(row_id), part.column("text"), out], [row_id, "text", "grams"])
+
+    return work
+
+
+def _all_hashes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("h").to_numpy().tobytes()], pa.binary())], ["h"])
 
 
 def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, n: int = 8, least: float = 0.5, text: str = "text") -> DataFrame:
     """Pairs of which at least ``least`` of the evaluation text's n-grams stand in the training text: (train_id, eval_id, common, share).
 
-    All texts are compared by 64-bit hashes of their grams; a training gram that no evaluation text has leaves in the join before anything is counted.
-    As equal grams have equal hashes, the pairs so found hold all that count; their texts are compared again by the grams themselves.
+    Training texts are read once: each is looked up, by hashes of its grams, among the evaluation grams, and only texts that have as many of them as the least demanding evaluation text asks for
+    are kept, with those they have; no other gram leaves its task. Then grams are put in order by how many of these texts have them. A pair that counts shares one of the evaluation text's rarest grams, of as many as it
+    may lack and one more: on these alone they meet. As equal grams have equal hashes, nothing is lost; what met is compared by the grams themselves.
     """
-    hashed = lambda c: _runs_of_words(F.col(c), n, lambda run: F.xxhash64(run))
-    marked = evals.select(eval_id, hashed(text).alias("g")).select(eval_id, F.size("g").alias("total"), F.explode("g").alias("h"))
-    met = _common(train.select(train_id, F.explode(hashed(text)).alias("h")), train_id, marked, eval_id, "h", least).select(train_id, eval_id)
-    a, b = train.join(met.select(train_id).distinct(), train_id, "left_semi"), evals.join(met.select(eval_id).distinct(), eval_id, "left_semi")
-    pairs = met.join(a.select(train_id, word_ngrams(F.col(text), n).alias("__a")), train_id).join(b.select(eval_id, word_ngrams(F.col(text), n).alias("__b")), eval_id)
-    out = pairs.withColumn("common", F.size(F.array_intersect("__a", "__b")).cast("long")).withColumn("share", F.col("common") / F.size("__b"))
+    spark = train.sparkSession
+    id_type = evals.schema[eval_id].dataType.simpleString()
+    listed = evals.select(eval_id, F.lower(text).alias("text")).mapInArrow(_hashed_grams(eval_id, n), f"`{eval_id}` {id_type}, grams {_KEY}")
+    total = F.size("grams").cast("long")
+    marked = kept(listed.select(eval_id, total.alias("total"), F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(least)) * total - 1e-9)).alias("needed"), F.explode("grams").alias("h")), "eval-grams")
+    size, fewest = marked.agg(F.count_distinct("h"), F.coalesce(F.min("needed"), F.lit(1))).first()
+    parts = max(1, -(-size // GRAMS))
+    found = None
+    for k in range(parts):
+        own = marked.select("h").distinct() if parts == 1 else marked.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).select("h").distinct()
+        packed = [np.frombuffer(bytes(r.h), "<i8") for r in own.coalesce(8).mapInArrow(_all_hashes, "h binary").collect()]  # at most about GRAMS hashes
+        sent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *packed]).view(np.uint64)) if size else np.zeros(1, np.uint64))
+        rows = train.select(train_id, F.col(text).alias("text"), F.lower(text).alias("folded"))
+        hits = rows.mapInArrow(_met_grams(train_id, n, sent, fewest if parts == 1 else 1), f"`{train_id}` {train.schema[train_id].dataType.simpleString()}, text string, grams {_KEY}")
+        found = hits if found is None else found.unionByName(hits)
+    if parts > 1:
+        found = found.groupBy(train_id, "text").agg(F.flatten(F.collect_list("grams")).alias("grams")).where(F.size("grams") >= fewest)  # one text's grams
+    found = kept(found.withColumn("row", F.monotonically_increasing_id()), "met-grams")
+    one = found.select("row", F.explode("grams").alias("h"))
+    often = one.groupBy("h").agg(F.count("*").alias("often"))
+    met = marked.join(often, "h")
+    order = Window.partitionBy(eval_id).orderBy("often", "h")  # the grams of one evaluation text
+    rare = met.withColumns({"place": F.row_number().over(order), "there": F.count("*").over(Window.partitionBy(eval_id))}).where("place <= there - needed + 1")
+    pairs = one.join(rare.select(eval_id, "h"), "h").select("row", eval_id).distinct()
+    texts = evals.join(rare.select(eval_id).distinct(), eval_id, "left_semi").select(eval_id, word_ngrams(F.col(text), n).alias("__b"))
+    both = pairs.join(found.select("row", train_id, F.col("text")), "row").join(texts, eval_id)
+    out = both.withColumn("common", F.size(F.array_intersect(word_ngrams(F.col("text"), n), "__b")).cast("long")).withColumn("share", F.col("common") / F.size("__b"))
     return out.where(F.col("share") >= least).select(train_id, eval_id, "common", "share")
 
 
 BLOCK_ROWS = 2048
 
 
-def _packed(row_id: str, vector: str):
-    """Vectors to blocks of ``BLOCK_ROWS``: (ids, values, width), numbers as bytes. Zero vectors and nulls are left out."""
+#: Centres, and vectors they are fitted to: a bounded sample, the first by a hash of their ids. More centres make smaller cells.
+CENTRES, SAMPLE, TURNS = 64, 4096, 8
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([x.shape[1]], pa.int32())], ["ids", "data", "width"])
+
+def fitted_centres(sample: list[np.ndarray], n: int = CENTRES) -> dict[int, np.ndarray]:
+    """Directions that stand for the sample's, by width: each the mean of those next to it, found in a few turns. They decide what is skipped, never what is found."""
+    out = {}
+    for width in sorted({len(v) for v in sample}):
+        x = _units(np.array([v for v in sample if len(v) == width]))
+        rng = np.random.default_rng(width)
+        centres = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+        for _ in range(TURNS):
+            near = (x @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x)
+            some = np.linalg.norm(sums, axis=1) > 1e-9
+            centres[some] = _units(sums[some])
+        out[width] = centres
+    return out
+
+
+_BLOCK = "cell int, ids binary, data binary, width int, reach double"
+
+
+def _packed(row_id: str, vector: str, centres: dict[int, np.ndarray]):
+    """Vectors to blocks of at most ``BLOCK_ROWS`` about one centre: (cell, ids, values, width, the largest angle to the centre). Zero vectors and nulls are left out; widths without centres have one cell."""
+    first = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())]), strict=False))
+
+    def block(cell: int, ids: np.ndarray, x: np.ndarray, reach: float) -> pa.RecordBatch:
+        columns = [pa.array([cell], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([x.shape[1]], pa.int32()), pa.array([reach])]
+        return pa.RecordBatch.from_arrays(columns, ["cell", "ids", "data", "width", "reach"])
 
     def pack(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], list] = {}
+
+        def let_go(key, everything: bool):
+            ids, x, angle = (np.concatenate(c) for c in zip(*held.pop(key), strict=True))
+            order = np.argsort(angle)  # near ones together: blocks of small reach
+            ids, x, angle = ids[order], x[order], angle[order]
+            last = len(ids) if everything else len(ids) // BLOCK_ROWS * BLOCK_ROWS
+            for lo in range(0, last, BLOCK_ROWS):
+                hi = min(lo + BLOCK_ROWS, last)
+                yield block(key[1], ids[lo:hi], x[lo:hi], float(angle[hi - 1]))
+            if last < len(ids):
+                held[key] = [(ids[last:], x[last:], angle[last:])]
+
         for batch in batches:
             batch = batch.filter(pc.and_(batch.column(row_id).is_valid(), batch.column(vector).is_valid()))
             widths = pc.list_value_length(batch.column(vector)).to_numpy(zero_copy_only=False)
@@ -110,15 +215,21 @@ def _packed(row_id: str, vector: str):
                 ids, x = part.column(row_id).to_numpy(), part.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
                 good = np.isfinite(x).all(axis=1) & x.any(axis=1)
                 ids, x = ids[good], x[good]
-                if width in held:
-                    ids, x = np.concatenate([held[width][0], ids]), np.concatenate([held[width][1], x])
-                while len(ids) >= BLOCK_ROWS:
-                    yield block(ids[:BLOCK_ROWS], x[:BLOCK_ROWS])
-                    ids, x = ids[BLOCK_ROWS:], x[BLOCK_ROWS:]
-                held[width] = ids, x
-        for ids, x in held.values():
-            if len(ids):
-                yield block(ids, x)
+                if not len(ids):
+                    continue
+                if width in centres:
+                    cos = _units(x) @ centres[width].T
+                    near = cos.argmax(axis=1)
+                    cells, angle = near + first[width], np.arccos(np.clip(cos[np.arange(len(x)), near], -1, 1))
+                else:
+                    cells, angle = np.full(len(x), -width), np.full(len(x), np.pi)
+                for cell in np.unique(cells).tolist():
+                    own = cells == cell
+                    held.setdefault((width, cell), []).append((ids[own], x[own], angle[own]))
+            for key in [k for k, v in held.items() if sum(len(i) for i, *_ in v) >= 4 * BLOCK_ROWS]:
+                yield from let_go(key, False)
+        for key in list(held):
+            yield from let_go(key, True)
 
     return pack
 
@@ -143,15 +254,46 @@ def _compared(train_id: str, eval_id: str, least: float):
     return compare
 
 
+def _blocks_met(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, vector: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training blocks, evaluation blocks, pairs of blocks that may hold a pair near enough), numbered and written."""
+    spark = train.sparkSession
+    chosen = evals.where(F.col(eval_id).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(eval_id).cast("long")), F.col(eval_id)).limit(SAMPLE).select(F.col(vector).cast("array<double>"))
+    sample = [np.array(r[0], dtype=float) for r in chosen.collect() if r[0] and None not in r[0]]
+    centres = fitted_centres([v for v in sample if np.isfinite(v).all() and v.any()])
+    pack = lambda df, key: df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(_packed(key, vector, centres), _BLOCK)
+    blocks = [kept(pack(df, key).withColumn("block", F.monotonically_increasing_id()), name) for df, key, name in ((train, train_id, "train-blocks"), (evals, eval_id, "eval-blocks"))]
+    bound = float(np.arccos(np.clip(least - 1e-9, -1, 1))) + 1e-6
+    apart = []  # of each two cells the angle between their centres: CENTRES squared rows for a width
+    start = 0
+    for c in centres.values():
+        angles = np.arccos(np.clip(c @ c.T, -1, 1))
+        apart += [(start + i, start + j, float(angles[i, j])) for i in range(len(c)) for j in range(len(c))]
+        start += len(c)
+    known = spark.createDataFrame(apart, "cell int, other int, angle double") if apart else spark.createDataFrame([], "cell int, other int, angle double")
+    a = blocks[0].select("block", "cell", "reach")
+    b = blocks[1].select(F.col("block").alias("eval_block"), F.col("cell").alias("other"), F.col("reach").alias("eval_reach"))
+    near = a.join(F.broadcast(known), "cell").join(b, "other").where(F.col("angle") - F.col("reach") - F.col("eval_reach") <= bound).select("block", "eval_block")
+    odd = a.where("cell < 0").join(b.where("other < 0"), F.col("cell") == F.col("other")).select("block", "eval_block")  # widths that no sampled vector has
+    return blocks[0], blocks[1], near.union(odd)
+
+
 def embedding_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, vector: str = "embedding", least: float = 0.9) -> DataFrame:
-    """All pairs with a cosine of at least ``least``. Both sides are packed into blocks of bounded size in one scan each; every block of queries meets every block of training vectors, a matrix product for a pair.
+    """All pairs with a cosine of at least ``least``. Vectors are packed into blocks about the nearest of some centres, in one scan of each side; two blocks are compared, by a matrix product, only if the angle between their
+    centres, less the largest angles of their vectors to them, leaves room for a pair: angles obey the triangle inequality, so no pair is lost. Blocks meet by the pairs of their cells; ``blocks_skipped`` tells how many need not.
 
     Zero vectors, vectors with a value that is no number, and nulls match nothing; vectors of different widths don't match.
     """
-    kind = "ids binary, data binary, width int"
-    a = train.select(F.col(train_id).cast("long").alias(train_id), vector).mapInArrow(_packed(train_id, vector), kind)
-    b = evals.select(F.col(eval_id).cast("long").alias(eval_id), vector).mapInArrow(_packed(eval_id, vector), kind).toDF("eval_ids", "eval_data", "eval_width")
-    return a.crossJoin(b).mapInPandas(_compared(train_id, eval_id, least), f"{train_id} long, {eval_id} long, cosine double")  # a query set against all rows, in blocks
+    a, b, met = _blocks_met(train, train_id, evals, eval_id, vector, least)
+    b = b.select(F.col("block").alias("eval_block"), F.col("ids").alias("eval_ids"), F.col("data").alias("eval_data"), F.col("width").alias("eval_width"))
+    pairs = met.join(a.drop("cell", "reach"), "block").join(b, "eval_block").select("ids", "data", "width", "eval_ids", "eval_data", "eval_width")
+    return pairs.mapInPandas(_compared(train_id, eval_id, least), f"`{train_id}` long, `{eval_id}` long, cosine double")
+
+
+def blocks_skipped(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str, vector: str = "embedding", least: float = 0.9) -> DataFrame:
+    """One row: how many pairs of blocks there are, how many are compared, and the share of those that are not."""
+    a, b, met = _blocks_met(train, train_id, evals, eval_id, vector, least)
+    n = a.count() * b.count()
+    return met.agg(F.lit(n).cast("long").alias("pairs"), F.count("*").alias("compared"), (1 - F.count("*") / F.lit(max(1, n))).alias("skipped"))
 
 
 def shared_structure(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

@@ -100,6 +100,34 @@ def latency_percentiles(rows: DataFrame, by: list[str], value: str, points: dict
     return own.groupBy(*by).agg(*((low(n) + part(n) * (high(n) - low(n))).alias(n) for n in points))
 
 
+#: Size of quantile sketches (a rank is off by about 1.3 % at 200, 0.4 % at 800) and of distinct ones (a count by about 1.6 % at 12).
+KLL_K, HLL_BITS = 800, 12
+
+
+def quantile_states(rows: DataFrame, by: list[str], value: str, k: int = KLL_K) -> DataFrame:
+    """Sketches of the values' distribution for each key: (by, n, state). States of any keys can be put together later, without the rows: by day now, by month or run then."""
+    v = F.col(value).cast("double")
+    return rows.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(v, k).alias("state"))
+
+
+def merged_quantiles(states: DataFrame, by: list[str], points: dict[str, float] | None = None, k: int = KLL_K) -> DataFrame:
+    """Quantiles for each key out of all its states: (by, n, a column for each point)."""
+    points = points or {"p50": 0.5, "p99": 0.99}
+    out = states.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("state", k).alias("state"))
+    return out.select(*by, "n", *(F.kll_sketch_get_quantile_double("state", F.lit(float(p))).alias(name) for name, p in points.items()))
+
+
+def distinct_states(rows: DataFrame, by: list[str], columns: list[str], bits: int = HLL_BITS) -> DataFrame:
+    """Sketches of how many different buckets of the columns' values each key has: (by, rows, state). A null is a value of its own."""
+    bucket = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.hll_sketch_agg(bucket, bits).alias("state"))
+
+
+def merged_distinct(states: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows, buckets): the estimate of different buckets out of all states of a key."""
+    return states.groupBy(*by).agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("state")).alias("buckets"))
+
+
 def precision_recall(rows: DataFrame, predicted: Column, actual: Column, by: list[str]) -> DataFrame:
     hit = F.count_if(predicted & actual).cast("double")
     return rows.groupBy(*by).agg(F.try_divide(hit, F.count_if(predicted).cast("double")).alias("precision"), F.try_divide(hit, F.count_if(actual).cast("double")).alias("recall"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalmill.operators import changes, metrics, scoring, validate
 from evalmill.plans.tables import RUNS_SQL, event_runs, hex_bucket, sql_bucket, table
+from evalmill.sources.kept import kept
 
 
 def _scored(spark, sf_dir: str) -> DataFrame:
@@ -217,6 +218,27 @@ def latency_pct(spark, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
+def latency_sketch(spark, sf_dir: str) -> DataFrame:
+    """Percentiles by type out of daily sketches that are kept and merged, and whether their ranks are off by at most a hundredth."""
+    e = table(spark, sf_dir, "events")
+    states = kept(metrics.quantile_states(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"), "latency-states")
+    merged = metrics.merged_quantiles(states, ["event_type"])
+    share = lambda p: F.avg((F.col("value") <= F.col(p)).cast("double"))
+    below = lambda p: F.avg((F.col("value") < F.col(p)).cast("double"))
+    held = lambda p, q: ((share(p) >= q - 0.01) & (below(p) <= q + 0.01)).alias(f"{p}_held")
+    return e.join(F.broadcast(merged), "event_type").groupBy("event_type", "n").agg(held("p50", 0.5), held("p99", 0.99))  # a row for each type of event
+
+
+def bucket_sketch(spark, sf_dir: str) -> DataFrame:
+    """How many different buckets of orders there are, out of yearly sketches, for each status and over all; and whether the estimate is off by at most a twentieth of the true number."""
+    o = table(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate"), "day": F.dayofyear("o_orderdate")})
+    columns = ["o_orderpriority", "day"]
+    states = kept(metrics.distinct_states(o, ["o_orderstatus", "year"], columns), "bucket-states")
+    merged = metrics.merged_distinct(states, ["o_orderstatus"]).unionByName(metrics.merged_distinct(states.withColumn("o_orderstatus", F.lit("all")), ["o_orderstatus"]))
+    exact = o.groupBy("o_orderstatus").agg(F.count_distinct(*columns).alias("true_buckets")).union(o.agg(F.lit("all"), F.count_distinct(*columns)))
+    return merged.join(exact, "o_orderstatus").select("o_orderstatus", "rows", "true_buckets", (F.abs(F.col("buckets") - F.col("true_buckets")) <= 0.05 * F.col("true_buckets")).alias("held"))
+
+
 def snapshot_diff(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     old, new = o.where("o_orderkey % 10 <> 3"), o.where("o_orderkey % 10 <> 7")
@@ -237,7 +259,7 @@ def due_once(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     score_sequences, score_calls, call_results, call_state, failure_counts, diversity_buckets, metrics_by_run, metrics_by_slice, failure_summary, paired_wins, comparison, confusion, status_rates, precision_recall, coverage_cube, diversity, coverage_profile, bootstrap, review_gate,
-    apply_changes, outcomes, comparison_scores, plan_issues, request_types, retriable_attempts, call_contract, latency_pct, snapshot_diff, changed_polls, due_once,
+    apply_changes, outcomes, comparison_scores, plan_issues, request_types, retriable_attempts, call_contract, latency_pct, latency_sketch, bucket_sketch, snapshot_diff, changed_polls, due_once,
 )}
 
 _M = "round(avg((len(reasons) = 0)::INT::DOUBLE), 6) AS task_success_rate, round(avg(tool_call_accuracy), 6) AS average_tool_call_accuracy, round(avg(hallucination_rate), 6) AS average_hallucination_rate, round(avg(latency_ms), 6) AS average_latency_ms, round(sum(cost_usd), 6) AS total_cost_usd"
@@ -313,6 +335,9 @@ ORACLES = {
         UNION ALL SELECT p.param, 'missing_argument' FROM c JOIN p ON c.tool = p.tool AND p.required WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = c.id AND a.param = p.param))
       SELECT param, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
     "latency_pct": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
+    "latency_sketch": "SELECT event_type, count(*) AS n, true AS p50_held, true AS p99_held FROM events GROUP BY 1",
+    "bucket_sketch": """WITH o AS (SELECT o_orderstatus, o_orderpriority, dayofyear(o_orderdate) AS day FROM orders)
+      SELECT o_orderstatus, count(*) AS rows, count(DISTINCT (o_orderpriority, day)) AS true_buckets, true AS held FROM o GROUP BY 1 UNION ALL SELECT 'all', count(*), count(DISTINCT (o_orderpriority, day)), true FROM o""",
     "snapshot_diff": "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 3), n AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 10 <> 7), j AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'delete' WHEN o.o_totalprice <> n.o_totalprice OR o.o_orderstatus <> n.o_orderstatus THEN 'update' END AS change FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey) SELECT * FROM j WHERE change IS NOT NULL",
     "changed_polls": "WITH p AS (SELECT user_id AS db, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT db, count(*) AS polls, count(*) FILTER (b IS NOT NULL AND b <> event_type) AS changes FROM p GROUP BY 1",
     "due_once": "WITH t AS (SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS due, CASE WHEN o_orderstatus = 'F' THEN ' Done ' ELSE o_orderstatus END AS status FROM orders) SELECT id, status FROM t WHERE lower(trim(status)) NOT IN ('done', 'completed', 'complete', 'finished') AND due <= TIMESTAMP '1996-01-01' AND (id % 4 <> 0 OR due - INTERVAL 1 DAY * (id % 3) < due)",

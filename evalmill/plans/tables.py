@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.sources.kept import scratch
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["scratch"]
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder for files a query writes and reads: in ``spark.checkpoint.dir``, which all executors share; without it only a session on this machine has one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hex_bucket(c: Column, n: int) -> Column:
