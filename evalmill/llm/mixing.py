@@ -106,6 +106,7 @@ def drawn_slots(sources: DataFrame, store: Store, seed: int = SEED) -> DataFrame
     through = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row for each source
     ends = store.keep(ends.withColumns({"over_at": F.coalesce(F.sum("over").over(through), F.lit(0)).cast("long"), "under_at": F.coalesce(F.sum("under").over(through), F.lit(0)).cast("long")}), "ends")
     listed = counts.join(bands, ["number", "band"]).select("shard", "number", "n", first.alias("first")).join(ends.select("number", "slots", "over_at"), "number")
+    listed = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "number")  # few rows that become many, and each is permuted
     turns = listed.select("shard", "number", "slots", "over_at", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("turn"))
     free = turns.where("turn >= slots").select("shard", (F.col("over_at") + F.col("turn") - F.col("slots")).alias("r"))
     missing = ends.where("under > 0").select("number", "under_at", "drawn", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("turn")).select("number", "turn", (F.col("under_at") + F.col("turn") - F.col("drawn")).alias("r"))

@@ -100,6 +100,21 @@ def test_half_similar_documents_in_shared_buckets_do_not_all_meet(spark):
     assert spark.read.parquet(f"{store.folder}/met").count() < 1520  # of more than a million pairs
 
 
+@pytest.mark.parametrize("similar", [False, True])
+def test_members_of_one_component_do_not_meet_over_an_outsider(spark, similar):
+    """Rows and pairs grow with the component's members, not with their square; every pair across is found where it may be similar enough."""
+    rows = {}
+    for m in (300, 1200):
+        common = " ".join(f"c{i}" for i in range(60))
+        texts = [(i, 0, f"{common} " + " ".join(f"u{i}x{j}" for j in range(12 if similar else 26))) for i in range(m)] + [(m, 1, f"{common} " + " ".join(f"z{j}" for j in range(4 if similar else 26)))]
+        store = Store(spark, "outsider")
+        df = store.keep(spark.createDataFrame([(i, c, len(t.split()) - 4, t) for i, c, t in texts], "id long, component long, n_shingles long, text string").repartition(4), "in")
+        met = {(r.a, r.b) for r in near_dup.rare_pairs(df, store).collect()}
+        assert met == ({(i, m) for i in range(m)} if similar else set())
+        rows[m] = spark.read.parquet(f"{store.folder}/shared").count()
+    assert rows[1200] <= 5 * rows[300]
+
+
 def test_recall_near_the_threshold(spark):
     """700 pairs of similarity 0.75 to 0.80, counted one by one."""
     rng = random.Random(13)
