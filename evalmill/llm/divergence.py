@@ -1,9 +1,9 @@
 """Source divergence audit: how far the sources of a language are apart in their words, in whole numbers.
 
 One ``CountVectorizer`` serves all languages: a term is counted as ``lang term``, so that minDF, a number of documents, holds for each language by itself. vocabSize is the largest integer:
-no term is left out for want of room. Where more terms are kept than ``SHARD`` (``kept_terms`` looks first), terms are dealt into shards by hash and each shard has a vectorizer of
-its own, one after the other, so that the driver never holds more than about a shard's vocabulary. Document vectors are sparse and exact;
-each task adds its own up by source, as a summarizer does, but sparsely and in whole numbers, and Spark adds up what the tasks have.
+no term is left out for want of room. Where more terms are kept than ``SHARD``, they are dealt into shards by hash and each shard has a vectorizer of its own, one after the other, so that the driver never holds
+more than about a shard's vocabulary. Document vectors are sparse and exact; they are written, and added up by (lang, source) as a summarizer does, but sparsely and in whole numbers.
+Inside a document, and to count documents in a slice of texts, terms are told apart by 64-bit hashes.
 
 Pairs of sources are looked at in blocks of ``SOURCES`` sources and ``TERMS`` terms: a task has the shares of two blocks' sources for such terms as any of them has, and adds up the
 pairs' differences. Terms that neither block has add the same each, which is multiplied. The number of pairs is what the result has.
@@ -27,25 +27,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalmill.llm._tables import Store
-from evalmill.llm._text import LOWER, U64, mix, released, slices, utf8, word_bounds, word_hashes
+from evalmill.llm._text import LOWER, SLICE_BYTES, U64, mix, released, slices, utf8, word_bounds, word_hashes
 
 #: Bytes that are in no term: all of ASCII but its letters.
 APART = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 MIN_DF, TOP = 10, 10
 #: The largest integer: vocabularies have no limit of their own.
 VOCABULARY = 2**31 - 1
-#: Terms of one vectorizer, about, and one of how many hashes is counted to know their number.
-SHARD, SOME = 1 << 20, 64
+#: Terms of one vectorizer, about, and parts of them that are put together in rows to fit it.
+SHARD, CHUNKS = 1 << 20, 1024
+_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 SOURCES, TERMS = 64, 1024
 SCALE = 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _words(batch: pa.RecordBatch):
-    """Slices of a batch: (rows, bytes, starts and ends of terms, offsets by row)."""
-    for rows, data, at in slices(batch, "text"):
-        starts, ends, by = word_bounds(data, at, APART)  # a text's first byte is never the rest of a letter
-        yield rows, data, starts, ends, by
+def _distinct(batch: pa.RecordBatch, limit: int) -> Iterator[tuple]:
+    """Slices of a batch: (rows, bytes, and of each term of each row, once, its row, where it first starts and ends, its hash with the language's, how often the row has it), by row."""
+    for rows, data, at in slices(batch, "text", limit):
+        starts, ends, by = word_bounds(data, at, APART)
+        row = np.repeat(np.arange(rows.num_rows), np.diff(by))
+        tongue, tongue_at = utf8(rows.column("lang"))
+        langs = np.array([int.from_bytes(hashlib.blake2b(tongue[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in itertools.pairwise(tongue_at)], dtype=U64)
+        h = word_hashes(data, starts, ends)
+        _, first, times = np.unique(mix(h ^ mix(row.astype(U64))), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first, times = first[order], times[order]
+        yield rows, data, row[first], starts[first], ends[first], mix(h[first] ^ langs[row[first]]), times
 
 
 def _spread(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -54,49 +62,41 @@ def _spread(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(first - begin, lengths)
 
 
-def _tagged(shards: int, shard: int, once: bool):
-    """Rows (lang, source, text) to (lang, source, terms), each term behind its language and a blank, with ``once`` only once for a document; of several shards of terms, one."""
+def _named(rows: pa.RecordBatch, data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Terms as strings, each behind its language and a blank; terms have no blanks, so the last blank parts the two."""
+    marks, mark_at = utf8(pc.binary_join_element_wise(rows.column("lang").cast(pa.string()), "", " "))
+    ahead, size = np.diff(mark_at)[row], ends - starts
+    offsets = np.concatenate([[0], np.cumsum(ahead + size)])
+    out = np.empty(int(offsets[-1]), dtype=np.uint8)
+    out[_spread(ahead, offsets[:-1])] = marks[_spread(ahead, mark_at[:-1][row])]
+    out[_spread(size, offsets[:-1] + ahead)] = LOWER[data[_spread(size, starts)]]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, starts, ends, by in _words(batch):
-                if shards > 1 or once:
-                    h, row = word_hashes(data, starts, ends), np.repeat(np.arange(rows.num_rows), np.diff(by))
-                    own = h % U64(shards) == U64(shard)
-                    if once:
-                        order = np.lexsort((h, row))
-                        again = np.zeros(len(h), dtype=bool)
-                        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-                        own &= ~again
-                    by = np.concatenate([[0], np.cumsum(own)])[by]
-                    starts, ends = starts[own], ends[own]
-                marks, mark_at = utf8(pc.binary_join_element_wise(rows.column("lang").cast(pa.string()), "", " "))
-                row = np.repeat(np.arange(rows.num_rows), np.diff(by))
-                ahead, size = np.diff(mark_at)[row], ends - starts
-                offsets = np.concatenate([[0], np.cumsum(ahead + size)])
-                out = np.empty(int(offsets[-1]), dtype=np.uint8)
-                out[_spread(ahead, offsets[:-1])] = marks[_spread(ahead, mark_at[:-1][row])]
-                out[_spread(size, offsets[:-1] + ahead)] = LOWER[data[_spread(size, starts)]]
-                terms = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
-                yield pa.RecordBatch.from_arrays([rows.column("lang").cast(pa.string()), rows.column("source").cast(pa.string()), pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), terms)], ["lang", "source", "terms"])
 
-    return released(work)
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, its hash, n): how many documents of a slice have a term."""
+    for batch in batches:
+        for rows, data, row, starts, ends, h, _ in _distinct(batch, 8 * SLICE_BYTES):
+            found, first, n = np.unique(h, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_named(rows, data, row[first], starts[first], ends[first]), pa.array((found >> U64(1)).astype(np.int64)), pa.array(n)], ["term", "hash", "n"])
 
 
-def _some_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of a document's terms, one of ``SOME`` of all hashes; each once for a document."""
-    for batch in batches:
-        for rows, data, starts, ends, by in _words(batch):
-            tongue, tongue_at = utf8(rows.column("lang"))
-            langs = np.array([int.from_bytes(hashlib.blake2b(tongue[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in itertools.pairwise(tongue_at)], dtype=U64)
-            row = np.repeat(np.arange(rows.num_rows), np.diff(by))
-            h = mix(word_hashes(data, starts, ends) ^ langs[row])
-            pick = h % U64(SOME) == 0
-            pairs = np.unique(np.rec.fromarrays([row[pick], h[pick]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs["f1"]).view(np.int64) if len(pairs) else np.zeros(0, np.int64))], ["h"])
+def _weighed(shards: int, shard: int):
+    """Rows to (source, weight, terms): a document's terms whose count has the bit ``weight``, each once; of several shards of terms, one. All rows of a document, by weight, make its counts."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, row, starts, ends, h, times in _distinct(batch, SLICE_BYTES):
+                own = (h >> U64(1)) % U64(shards) == U64(shard)
+                for bit in range(int(times.max(initial=0)).bit_length()):
+                    some = np.flatnonzero(own & ((times >> bit) & 1 == 1))
+                    if not len(some):
+                        continue
+                    of, at = np.unique(row[some], return_index=True)
+                    terms = pa.ListArray.from_arrays(pa.array(np.append(at, len(some)).astype(np.int32)), _named(rows, data, row[some], starts[some], ends[some]))
+                    yield pa.RecordBatch.from_arrays([rows.column("source").cast(pa.string()).take(pa.array(of)), pa.array(np.full(len(of), 1 << bit)), terms], ["source", "weight", "terms"])
 
-_some_terms = released(_some_terms)
+    return released(work)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -104,66 +104,35 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(text("lang"), text("source"), text("text"))
 
 
-def tagged(docs: DataFrame, shards: int = 1, shard: int = 0, once: bool = False) -> DataFrame:
-    """(lang, source, terms): each term behind its language; terms have no blanks, so the last blank parts the two."""
-    return _texts(docs).mapInArrow(_tagged(shards, shard, once), "lang string, source string, terms array<string>")
-
-
-def kept_terms(docs: DataFrame, min_df: int) -> int:
-    """About how many terms will be kept: those of one of ``SOME`` hashes are counted over all documents."""
-    some = _texts(docs).mapInArrow(_some_terms, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    return SOME * some.where(F.col("n") >= min_df).count()
+def vectorizer(frequencies: DataFrame, min_df: int) -> CountVectorizerModel:
+    """The vectorizer of all terms that at least ``min_df`` documents have, fitted to rows in which each term (term, n) stands ``n`` times, or ``min_df`` times if that is less, once in a row.
 
-
-def vectorizer(terms: DataFrame, min_df: int) -> CountVectorizerModel:
-    """A vocabulary of the terms in at least ``min_df`` rows. Rows of an empty term are added to the fit, as a vectorizer must not find nothing."""
-    blank = terms.sparkSession.range(min_df).select(F.array(F.lit("")).alias("terms"))
-    return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCABULARY).fit(terms.select("terms").union(blank))
-
-
-#: (source, index) pairs that a task holds before it hands their sums on.
-_HELD = 1 << 20
-_SUMS = pa.schema([("source", pa.string()), ("index", pa.int32()), ("count", pa.int64())])
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors of documents to sums by source and index, of the documents of one task."""
-    names: dict[str, int] = {}
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def sums() -> pa.RecordBatch:
-        source = pa.array(list(names), pa.string()).take(pa.array(keys >> 32))
-        return pa.RecordBatch.from_arrays([source, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], schema=_SUMS)
-
-    for batch in batches:
-        sources = batch.column("source").dictionary_encode()
-        code = np.array([names.setdefault(x, len(names)) for x in sources.dictionary.to_pylist()], np.int64)[sources.indices.to_numpy()]
-        vector = batch.column("vector")
-        index, value = vector.field("indices"), vector.field("values")
-        row = np.repeat(code, pc.list_value_length(index).to_numpy(zero_copy_only=False))
-        found, at = np.unique(np.concatenate([keys, (row << 32) | index.flatten().to_numpy().astype(np.int64)]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, value.flatten().to_numpy()]), minlength=len(found)).astype(np.int64)
-        keys = found
-        if len(keys) > _HELD:
-            yield sums()
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(keys):
-        yield sums()
+    Rows of an empty term are added, as a vectorizer must not find nothing.
+    """
+    rows = frequencies.select("term", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(min_df).cast("long")))).alias("times"))
+    rows = rows.groupBy(F.pmod(F.xxhash64("term"), F.lit(CHUNKS)).alias("chunk"), "times").agg(F.collect_list("term").alias("terms"))  # one of CHUNKS parts of a shard's terms
+    blank = frequencies.sparkSession.range(min_df).select(F.array(F.lit("")).alias("terms"))
+    return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCABULARY).fit(rows.select("terms").union(blank))
 
 
 def group_counts(docs: DataFrame, store: Store, min_df: int = MIN_DF, shard: int = SHARD) -> DataFrame:
     """(lang, source, term, count) of kept terms, counts over 0: sums of the documents' sparse vectors.
 
-    For the vocabulary each document names its terms once, as only the number of documents matters; the vectors count all.
+    The vectorizer learns from how many documents have each term. A document's vector is the sum of its rows' vectors, each times its weight: the powers of two that its counts are made of, so that a
+    term that stands there often is looked up seldom.
     """
-    n, found = max(1, -(-kept_terms(docs, min_df) // shard)), None
+    texts = _texts(docs)
+    frequencies = store.keep(texts.mapInArrow(released(_document_counts), "term string, hash long, n long").groupBy("term", "hash").agg(F.sum("n").alias("n")), "frequencies")
+    n, found = max(1, -(-frequencies.where(F.col("n") >= min_df).count() // shard)), None
     for k in range(n):
-        model = vectorizer(tagged(docs, n, k, once=True), min_df)
+        model = vectorizer(frequencies.where(F.pmod("hash", F.lit(n)) == k), min_df)
         path = f"{store.folder}/vocabulary-{k}"
         model.write().save(path)
+        store.keep(model.transform(texts.mapInArrow(_weighed(n, k), "source string, weight long, terms array<string>")).select("source", "weight", "vector"), f"vectors-{k}")
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "word"))
-        vectors = model.transform(tagged(docs, n, k)).select("source", "vector")
-        sums = vectors.mapInArrow(released(_summed), "source string, index int, count long").groupBy("source", "index").agg(F.sum("count").alias("count"))  # a term's index tells its language
+        vectors = docs.sparkSession.read.schema(f"source string, weight long, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
+        entries = vectors.select("source", "weight", F.explode("vector.indices").alias("index"))  # a term is once in a row: all values are 1
+        sums = entries.groupBy("source", "index").agg(F.sum("weight").alias("count"))  # a term's index tells its language
         parted = F.regexp_extract("word", r"(?s)^(.*) ([^ ]*)\z", 1).alias("lang"), "source", F.element_at(F.split("word", " "), -1).alias("term"), "count"
         named = sums.join(words, "index").select(*parted)
         found = named if found is None else found.union(named)

@@ -151,7 +151,6 @@ def test_audit_is_that_of_plain_python(spark, monkeypatch, shard, terms):
         docs.append((rng.choice([text, text, None, ""]) if i % 9 == 0 else text, lang, rng.choice(["s1", "é", "s10", "", None])))
     docs += [(f"common word {'common ' * (i % 3)}", "many", f"src{i % 70:02d}") for i in range(700)]  # more sources than one block has
     monkeypatch.setattr(divergence, "TERMS", terms)
-    monkeypatch.setattr(divergence, "SOME", 1) if shard == 16 else None
     df = spark.createDataFrame(docs, "text string, lang string, source string").repartition(3).withColumn("term", F.lit(1)).withColumn("count", F.lit(2))
     got = {tuple(r) for r in divergence.audit(df, shard=shard).collect()}
     assert got == plain_audit(docs, 10, 10)
