@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalmill.llm._tables import Store
 from evalmill.llm._text import U64, mix, released, slices, word_bounds, word_hashes
 from evalmill.llm._training import Adam, batches_of, labelled_sample, one_label, remainder, sigmoid
 
@@ -209,10 +210,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list:
     return labelled_sample(docs, labels.where(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(5)) < 4), "toxic", rows, ["text", "lang"])
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, model: Classifier, fitted: list) -> dict[str, float]:
-    """The value of ``GRID`` with the fewest errors for each language, over all labelled documents that are not among the fitted."""
+def thresholds(scores: DataFrame, labels: DataFrame, fitted: list) -> dict[str, float]:
+    """The value of ``GRID`` with the fewest errors for each language, over all labelled documents (scores: doc_id, lang, toxicity) that are not among the fitted."""
     steps = sum((F.col("toxicity") >= t).cast("int") for t in GRID)
-    values = _scores(docs.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).select("doc_id", "lang", steps.alias("steps"))
+    values = scores.select("doc_id", "lang", steps.alias("steps"))
     own = one_label(labels, "toxic").where(~F.col("doc_id").isin([r.doc_id for r in fitted]))
     once = values.join(own, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("lang", "steps")).alias("x"))
     counts: dict[str, np.ndarray] = {}
@@ -233,7 +234,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, model: Classifier, fitted: li
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     fitted = sample(docs, labels, rows)
     model = fit(fitted)
-    return Classifier(model.net, thresholds(docs, labels, model, fitted)) if model.net else model
+    return Classifier(model.net, thresholds(_scores(docs.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]), labels, fitted)) if model.net else model
 
 
 def _scores(docs: DataFrame, model: Classifier, names: list[str]) -> DataFrame:
@@ -249,17 +250,29 @@ def _scores(docs: DataFrame, model: Classifier, names: list[str]) -> DataFrame:
     return docs.mapInArrow(released(run), schema)
 
 
+def judged(scores: DataFrame, by_lang: dict[str, float]) -> DataFrame:
+    """Adds toxicity_threshold and is_toxic to rows with lang and toxicity."""
+    by = [x for lang, t in by_lang.items() for x in (F.lit(lang), F.lit(t))]
+    bar = F.coalesce(F.try_element_at(F.create_map(*by), F.col("lang")), F.lit(THRESHOLD)) if by else F.lit(THRESHOLD)
+    return scores.withColumn("toxicity_threshold", bar).withColumn("is_toxic", F.col("toxicity") >= F.col("toxicity_threshold"))
+
+
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs (doc_id, text, lang and whatever more) with toxicity (score), toxicity_threshold (by lang) and is_toxic."""
     names = [c for c in docs.columns if c not in ("toxicity", "toxicity_threshold", "is_toxic")]
-    out = _scores(docs.select(*(f"`{c}`" for c in names)), model, names)
-    by = [x for lang, t in model.by_lang.items() for x in (F.lit(lang), F.lit(t))]
-    bar = F.coalesce(F.try_element_at(F.create_map(*by), F.col("lang")), F.lit(THRESHOLD)) if by else F.lit(THRESHOLD)
-    return out.withColumn("toxicity_threshold", bar).withColumn("is_toxic", F.col("toxicity") >= F.col("toxicity_threshold"))
+    return judged(_scores(docs.select(*(f"`{c}`" for c in names)), model, names), model.by_lang)
+
+
+def learned_and_scored(docs: DataFrame, labels: DataFrame, store: Store, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, lang, toxicity, toxicity_threshold, is_toxic) of all docs (doc_id, text, lang): each text is scored once, and the written scores set the thresholds too."""
+    fitted = sample(docs, labels, rows)
+    model = fit(fitted)
+    scores = store.keep(_scores(docs.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]), "scores")
+    return judged(scores, thresholds(scores, labels, fitted) if model.net else {})
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(3) != 1)
-    out = scored(docs, train(docs, labels))
+    out = learned_and_scored(docs, labels, Store(spark, "toxicity"))
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), "toxicity_threshold", "is_toxic")

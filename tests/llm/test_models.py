@@ -246,6 +246,16 @@ def test_of_differing_labels_the_higher_counts(spark):
     assert {r.doc_id: r.label for r in got} == {1: 1, 2: 0}
 
 
+def test_texts_that_are_scored_once_get_what_training_and_scoring_give(spark):
+    from evalmill.llm._tables import Store
+
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 3 == 0 else 'good'} words {i % 7} here", "en" if i % 2 else "fr") for i in range(300)], "doc_id long, text string, lang string").repartition(3)
+    known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], LABELS)
+    a = toxicity.scored(docs, toxicity.train(docs, known, 60)).select("doc_id", "toxicity", "toxicity_threshold", "is_toxic").collect()
+    b = toxicity.learned_and_scored(docs, known, Store(spark, "once"), 60).select("doc_id", "toxicity", "toxicity_threshold", "is_toxic").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 300
+
+
 def test_thresholds_are_those_of_brute_force(spark):
     """Few-error thresholds by language, errors of a class counted for the documents outside the sample it stands for."""
     from pyspark.sql import functions as F
