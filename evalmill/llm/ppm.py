@@ -9,9 +9,9 @@ below the empty context all symbols left are equally likely. So the probabilitie
 Scale: counts of (context, symbol) codes are made per partition by sorting, then added by key. The trie is a distributed
 table of any size, one row per distinct code, and the order is the same at every size. Sent to all tasks are the contexts of
 up to ``LOW`` bytes and, of the longer ones, the most frequent with all their symbols: those met at least as often as the least power of
-two that leaves at most ``MAX_NODES`` codes. A suffix of a context is met as often at least, so a symbol whose longest
+two that leaves at most ``MAX_NODES`` codes (those of up to ``LOW`` bytes are at most 257^3, whatever the corpus). A suffix of a context is met as often at least, so a symbol whose longest
 context was sent has all it can escape to there too. All other codes leave the tasks counted by row and meet the whole table by
-the last bytes of their contexts; the probabilities are the same either way. Word counts are a distributed table too,
+the last bytes of their contexts, groups that are too large by one byte more; the probabilities are the same either way. Word counts are a distributed table too,
 keyed by 64-bit word hashes; only the most frequent ``HEAD`` words are sent to the tasks, all other words of a text meet the
 table in a join.
 
@@ -320,11 +320,14 @@ def _frequent(trie: DataFrame, order: int, store: Store) -> dict[int, tuple[np.n
 
 
 def _answering(sent, order: int):
-    """Log probabilities of the asked codes of one group, which holds all codes of the trie that end in the same contexts."""
+    """Log probabilities of the asked codes of one group, which holds all codes of the trie that end in the same contexts; of contexts that were split, with the codes one byte shorter (``low``)."""
 
     def answer(nodes: pa.Table, asked: pa.Table) -> pa.Table:
-        key, n = (nodes.column(c).to_numpy() for c in ("key", "n"))
-        model = Model(*add_up(key.astype(np.int64).view(U64), n.astype(np.int64)), order, sent.value)
+        key, n, low = (nodes.column(c).to_numpy() for c in ("key", "n", "low"))
+        key, n, given = key.astype(np.int64).view(U64), n.astype(np.int64), sent.value
+        if low.any():
+            given = given | {LOW + 1: add_up(key[low], n[low])}
+        model = Model(*add_up(key[~low], n[~low]), order, given)
         codes = np.sort(asked.column("key").to_numpy().astype(np.int64).view(U64)).view(np.int64)
         values = [model.log10(codes[i : i + (1 << 18)].view(U64)) for i in range(0, len(codes), 1 << 18)]
         return pa.table({"key": pa.array(codes), "value": pa.array(np.concatenate([np.zeros(0), *values]))})
@@ -333,13 +336,29 @@ def _answering(sent, order: int):
 
 
 def _asked(rows: DataFrame, model: dict, trie: DataFrame, store: Store) -> DataFrame:
-    """For each row the log probabilities of the codes that what was sent can't tell: (row, asked_log)."""
+    """For each row the log probabilities of the codes that what was sent can't tell: (row, asked_log).
+
+    Codes meet the trie in groups by a hash of the last ``LOW`` + 1 bytes of their contexts. Where so many codes end alike that they would be more than a group's, they are dealt by one byte more,
+    which leaves at most 257 x 257 codes together; what their contexts escape to, codes one byte shorter, at most 257 for each such ending, goes along to each of its groups.
+    """
     groups = max(1, -(-trie.count() // GROUP_NODES))
-    own = F.pmod(F.xxhash64(F.shiftrightunsigned("key", SHIFT).bitwiseAND(F.lit(int(mask(LOW + 1))))), F.lit(groups)).alias("own")
+    ends = lambda k: F.shiftrightunsigned("key", SHIFT).bitwiseAND(F.lit(int(mask(k))))
+    crowded = trie.groupBy(ends(LOW + 1).alias("end")).agg(F.count("*").alias("codes")).where(F.col("codes") > GROUP_NODES).select("end", F.lit(True).alias("split"))
+    crowded = store.keep(crowded, "crowded")
+    few = F.broadcast(crowded) if crowded.count() <= MAX_NODES >> 2 else crowded  # one for each GROUP_NODES codes at most
+    own = F.when(F.col("split"), groups + F.pmod(F.xxhash64(ends(LOW + 2)), F.lit(groups))).otherwise(F.pmod(F.xxhash64("end"), F.lit(groups))).alias("own")
+    dealt = lambda df: df.withColumn("end", ends(LOW + 1)).join(few, "end", "left")
     sent = rows.sparkSession.sparkContext.broadcast({k: model["given"][k] for k in range(LOW + 1)})
     asked = rows.select("row", F.explode(F.arrays_zip("asked", "times")).alias("x")).select("row", F.col("x.asked").alias("key"), F.col("x.times").alias("times"))
-    once = asked.select("key").distinct().select("key", own)
-    values = trie.select("key", "n", own).groupBy("own").cogroup(once.groupBy("own")).applyInArrow(_answering(sent, model["order"]), "key long, value double")
+    once = dealt(asked.select("key").distinct()).select("key", "end", "split", own)
+    if model["order"] > LOW + 1:
+        codes = dealt(trie).select("key", "n", "end", "split", own)
+        shorter = codes.where("split").groupBy("end", F.col("key").bitwiseAND(F.lit(int(mask(LOW + 2)))).alias("key")).agg(F.sum("n").alias("n"))
+        along = codes.select("end", "own", "split").union(once.select("end", "own", "split")).where("split").select("end", "own").distinct().join(shorter, "end").select("key", "n", "own", F.lit(True).alias("low"))
+        nodes = codes.select("key", "n", "own", F.lit(False).alias("low")).union(along)
+    else:
+        nodes = dealt(trie).select("key", "n", own, F.lit(False).alias("low"))
+    values = nodes.groupBy("own").cogroup(once.select("key", "own").groupBy("own")).applyInArrow(_answering(sent, model["order"]), "key long, value double")
     return asked.join(store.keep(values, "asked"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("asked_log"))
 
 

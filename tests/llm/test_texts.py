@@ -90,15 +90,15 @@ def test_words_beyond_the_head_meet_the_table(spark, tmp_path, monkeypatch):
         assert a[:5] == b[:5] and math.isclose(a.base_score, b.base_score) and math.isclose(a.score, b.score)
 
 
-@pytest.mark.parametrize("nodes", [0, 40, 400])
-def test_order_stays_when_the_trie_outgrows_what_is_sent(spark, tmp_path, monkeypatch, nodes):
+@pytest.mark.parametrize(("nodes", "group"), [(0, 50), (40, 50), (400, 50), (40, 3), (0, 10**6)])
+def test_order_stays_when_the_trie_outgrows_what_is_sent(spark, tmp_path, monkeypatch, nodes, group):
     rng = random.Random(9)
     texts = ["".join(rng.choices("aaabbcde ", k=rng.randint(0, 60))) for _ in range(40)] + ["zzz", "aaazq", "é", None]
     folder = save(spark, tmp_path, documents=documents(spark, texts))
     full = sorted(ppm.op1_lm_ppm(spark, folder).collect())
     train = [(texts[r.doc_id] or "").encode() for r in full if not r.held_out]
     monkeypatch.setattr(ppm, "MAX_NODES", nodes)
-    monkeypatch.setattr(ppm, "GROUP_NODES", 50)
+    monkeypatch.setattr(ppm, "GROUP_NODES", group)
     for a, b in zip(full, sorted(ppm.op1_lm_ppm(spark, folder).collect()), strict=True):
         assert a[:5] == b[:5] and math.isclose(a.base_score, b.base_score) and math.isclose(a.score, b.score)
         assert math.isclose(b.score, plain_ppm(train, (texts[b.doc_id] or "").encode(), ppm.ORDER))
