@@ -53,6 +53,8 @@ _KNOWN = 1 << 21
 CELL_BITS = 20
 #: Sizes of sets are told apart by powers of this.
 SIZE_STEP = 1.2
+#: So many members of a component at one shingle are kept from meeting each other.
+CROWD = 64
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -202,14 +204,14 @@ def _by_partner(rare: DataFrame) -> DataFrame:
     least = F.ceil(n * PERCENT / 100)
     most = F.least(F.floor(n * 100 / PERCENT), F.floor(left * (100 + PERCENT) / PERCENT) - n)
     fit = rare.withColumns({"least": least, "most": most}).where("most >= least")
-    return fit.select("shingle", "id", "component", "n_shingles", "left", size(n).alias("own"), F.explode(F.sequence(size(F.col("least")), size(F.col("most")))).alias("partner"))
+    return fit.select("shingle", "id", "component", "n_shingles", F.col("most").cast("long").alias("most"), size(n).alias("own"), F.explode(F.sequence(size(F.col("least")), size(F.col("most")))).alias("partner"))
 
 
 def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
     """Pairs (a, b) of texts (id, component, n_shingles, text) of different components that share one of the shingles each must have in common with what is similar enough.
 
-    Components that share such a shingle, with sizes that go together, meet first, each once; then their members do. So the work on a shingle is the pairs it has to offer, not the square of
-    who has it: a large component and one outsider meet in as many rows as the component has members.
+    Members of a component with more than ``CROWD`` of them at a shingle, with sizes that go together, don't meet each other: they meet the members of smaller components there, and of other crowds
+    by components first. So the work on a shingle is the pairs it has to offer across components: a large component and one outsider meet in as many rows as the component has members.
     """
     level = F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("int").alias("level")
     cells = texts.select("text").mapInArrow(released(_count_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).select("cell", level)
@@ -219,18 +221,21 @@ def rare_pairs(texts: DataFrame, store: Store) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(levels)
     rare = store.keep(texts.mapInArrow(released(_rarest(sent)), "shingle long, id long, component long, n_shingles long, left long"), "rare")
     several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    shared = store.keep(_by_partner(rare.join(several, "shingle")), "shared")
     key = ["shingle", "own", "partner"]
-    homes = shared.select(*key, "component").distinct()
-    p, q = (homes.select("shingle", F.col("own").alias(f"own{i}"), F.col("partner").alias(f"partner{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-    apart = p.join(q, (p.shingle == q.shingle) & (F.col("owna") == F.col("partnerb")) & (F.col("partnera") == F.col("ownb")) & (F.col("ca") < F.col("cb"))).select(p.shingle, "owna", "ownb", "ca", "cb")
-    # components first: members of one component never meet each other
-    a = shared.select("shingle", F.col("own").alias("owna"), F.col("partner").alias("ownb"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("left").alias("lefta"))
-    b = shared.select("shingle", F.col("partner").alias("owna"), F.col("own").alias("ownb"), F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("left").alias("leftb"))
-    # the first shingle two sets share, in the common order, has all others they share behind it in both
-    fits = F.least("lefta", "leftb") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
-    met = apart.join(a, ["shingle", "owna", "ownb", "ca"]).join(b, ["shingle", "owna", "ownb", "cb"]).where(fits).select("a", "b").distinct()
-    return store.keep(met, "met")
+    dealt = store.keep(_by_partner(rare.join(several, "shingle")), "shared")
+    crowds = dealt.groupBy(*key, "component").agg(F.count("*").alias("members"), F.min("n_shingles").alias("fewest"), F.max("most").alias("highest")).where(F.col("members") > CROWD)
+    crowds = store.keep(crowds, "crowds")
+    told = dealt.join(crowds.select(*key, "component", F.lit(True).alias("crowd")), [*key, "component"], "left").fillna(False, ["crowd"])
+    # the first shingle two sets share, in the common order, has all others they share behind it in both: sizes must suit what is left on either side
+    one, two = (told.select("shingle", F.col("own").alias(own), F.col("partner").alias(partner), F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("n_shingles").alias(f"n{i}"), F.col("most").alias(f"most{i}"), F.col("crowd").alias(f"crowd{i}")) for i, own, partner in (("a", "x", "y"), ("b", "y", "x")))
+    fits = (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb"))
+    apart = (F.col("ca") < F.col("cb")) | ((F.col("ca") > F.col("cb")) & F.col("crowdb"))
+    met = one.where("NOT crowda").join(two, ["shingle", "x", "y"]).where(apart & fits).select("a", "b")
+    # large crowds meet by their components first
+    p, q = (crowds.select("shingle", F.col("own").alias(own), F.col("partner").alias(partner), F.col("component").alias(f"c{i}"), F.col("fewest").alias(f"fewest{i}"), F.col("highest").alias(f"highest{i}")) for i, own, partner in (("a", "x", "y"), ("b", "y", "x")))
+    pairs = p.join(q, ["shingle", "x", "y"]).where("ca < cb AND fewestb <= highesta AND fewesta <= highestb")
+    crowded = pairs.join(one.where("crowda"), ["shingle", "x", "y", "ca"]).where("fewestb <= mosta AND na <= highestb").join(two.where("crowdb"), ["shingle", "x", "y", "cb"]).where(fits).select("a", "b")
+    return store.keep(met.union(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
 
 
 def components(edges: DataFrame, store: Store, name: str) -> DataFrame:

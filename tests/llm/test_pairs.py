@@ -100,6 +100,26 @@ def test_half_similar_documents_in_shared_buckets_do_not_all_meet(spark):
     assert spark.read.parquet(f"{store.folder}/met").count() < 1520  # of more than a million pairs
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 10**6])
+def test_rare_pairs_are_the_same_whatever_is_a_crowd(spark, monkeypatch, crowd):
+    """Components of all sizes over shared passages: every pair across them that is similar enough is met."""
+    rng = random.Random(31)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(4)]
+    texts = []
+    for c in range(30):
+        head = rng.choice(passages)
+        for _ in range(rng.choice([1, 1, 2, 9, 20])):
+            texts.append((c, f"{head} " + " ".join(rng.choice("abc") + str(rng.randrange(4)) for _ in range(rng.randint(0, 9)))))
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] != texts[j][0] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, c, len(s), t) for i, ((c, t), s) in enumerate(zip(texts, sets, strict=True))], "id long, component long, n_shingles long, text string").repartition(4)
+    store = Store(spark, "crowds")
+    got = near_dup.rare_pairs(store.keep(df, "in"), store).collect()
+    pairs = {(max(r.a, r.b), min(r.a, r.b)) for r in got}
+    assert want <= pairs and len(pairs) == len(got) and len(want) > 100 and all(texts[i][0] != texts[j][0] for i, j in pairs)
+
+
 @pytest.mark.parametrize("similar", [False, True])
 def test_members_of_one_component_do_not_meet_over_an_outsider(spark, similar):
     """Rows and pairs grow with the component's members, not with their square; every pair across is found where it may be similar enough."""
@@ -109,7 +129,7 @@ def test_members_of_one_component_do_not_meet_over_an_outsider(spark, similar):
         texts = [(i, 0, f"{common} " + " ".join(f"u{i}x{j}" for j in range(12 if similar else 26))) for i in range(m)] + [(m, 1, f"{common} " + " ".join(f"z{j}" for j in range(4 if similar else 26)))]
         store = Store(spark, "outsider")
         df = store.keep(spark.createDataFrame([(i, c, len(t.split()) - 4, t) for i, c, t in texts], "id long, component long, n_shingles long, text string").repartition(4), "in")
-        met = {(r.a, r.b) for r in near_dup.rare_pairs(df, store).collect()}
+        met = {tuple(sorted((r.a, r.b))) for r in near_dup.rare_pairs(df, store).collect()}
         assert met == ({(i, m) for i in range(m)} if similar else set())
         rows[m] = spark.read.parquet(f"{store.folder}/shared").count()
     assert rows[1200] <= 5 * rows[300]
