@@ -34,10 +34,11 @@ def split_preview(spark, sf_dir: str) -> DataFrame:
 
 
 def sft_rows(spark, sf_dir: str) -> DataFrame:
-    """Conversations to source rows: the first user turn asks, the first assistant turn's words are the answer's argument."""
-    c = table(spark, sf_dir, "conversations")
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    rows = c.groupBy(F.col("conv_id").alias("source_index")).agg(first("user").alias("query"), first("assistant").alias("said"))
+    """Every turn that is not an assistant's as a source row: a user's asks, the assistant's words behind it, if they come next, are the answer's argument."""
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)}).where("role <> 'assistant'")
+    index = F.col("conv_id") * 1000 + F.col("turn")
+    rows = c.select(index.alias("source_index"), F.when(F.col("role") == "user", F.col("text")).alias("query"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("said"))
     answers = F.when(F.col("said").isNotNull(), F.concat(F.lit('[{"name": "reply", "arguments": {"n": '), F.length("said").cast("string"), F.lit("}}]")))
     tools = F.when(F.col("source_index") % 5 == 0, '{"name":"reply"}').when(F.col("source_index") % 7 == 0, "[not json]").otherwise('[{"name":"reply"}]')
     out = rows.withColumns({"answers": answers, "tools": tools, "source_row_id_json": F.col("source_index").cast("string")})
@@ -149,8 +150,11 @@ def repeated_texts(spark, sf_dir: str) -> DataFrame:
 
 
 def shared_sources(spark, sf_dir: str) -> DataFrame:
+    """Sources that a language shares with the one before it in the alphabet, for all languages."""
     d = table(spark, sf_dir, "documents")
-    return validate.in_both(d.where("lang = 'de'"), d.where("lang = 'fr'"), "source")
+    langs = ["de", "en", "es", "fr"]
+    found = [validate.in_both(d.where(F.col("lang") == a), d.where(F.col("lang") == b), "source").select(F.lit(b).alias("lang"), "source") for a, b in zip(langs, langs[1:], strict=False)]
+    return found[0].union(found[1]).union(found[2])
 
 
 def missing_numbers(spark, sf_dir: str) -> DataFrame:
@@ -425,7 +429,8 @@ ORACLES = {
     "split_counts": f"WITH {_H} SELECT split, count(*) AS n FROM s GROUP BY 1",
     "review_sample": "SELECT doc_id, lang, (SELECT count(*) FROM documents) AS seen FROM (SELECT doc_id, lang FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 100)",
     "split_preview": "SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3",
-    "sft_rows": """WITH f AS (SELECT conv_id AS i, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1),
+    "sft_rows": """WITH l AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      f AS (SELECT conv_id * 1000 + turn AS i, CASE WHEN role = 'user' THEN text END AS q, CASE WHEN next_role = 'assistant' THEN next_text END AS a FROM l WHERE role <> 'assistant'),
       r AS (SELECT *, CASE WHEN q IS NULL OR trim(q) = '' THEN 'query: expected non-empty string' WHEN a IS NULL THEN 'answers: expected list' WHEN i % 5 = 0 THEN 'tools: expected list' WHEN i % 7 = 0 THEN 'tools: invalid JSON at char 1: Expecting value' ELSE '' END AS reason FROM f)
       SELECT i AS source_index, CASE WHEN reason = '' THEN sha256('{"seed":1,"source_index":' || i || ',"source_row_id":' || i || '}') ELSE '' END AS row_hash, reason, CASE WHEN reason = '' THEN '[{"arguments":{"n":' || len(a) || '},"name":"reply"}]' ELSE '' END AS assistant FROM r""",
     "role_check": "WITH c AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1) SELECT roles, count(*) AS n, count(*) FILTER (roles = 'system,user,assistant') AS valid FROM c GROUP BY 1",
@@ -443,7 +448,7 @@ ORACLES = {
       SELECT split, count(*) AS actual, count(*) - count(*) FILTER (bad) AS valid_lines, count(*) FILTER (bad) AS invalid_lines, split <> 'test' AND NOT bool_or(wrong) AS valid, (split = 'test')::BIGINT AS count_issues FROM r GROUP BY 1""",
     "line_codes": f"WITH {_L} SELECT code, detail, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY 1, 2",
     "repeated_texts": "SELECT sha256(text) AS h, count(*) AS n, min(source) AS first_source, max(source) AS last_source FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "shared_sources": "SELECT DISTINCT source FROM documents WHERE lang = 'de' AND source IN (SELECT source FROM documents WHERE lang = 'fr')",
+    "shared_sources": "WITH s AS (SELECT DISTINCT lang, source FROM documents) SELECT b.lang, b.source FROM s a JOIN s b ON a.source = b.source WHERE (a.lang, b.lang) IN (('de', 'en'), ('en', 'es'), ('es', 'fr'))",
     "missing_numbers": "SELECT i AS doc_id FROM range((SELECT count(*) FROM documents)) t(i) WHERE i NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es')",
     "text_stats": f"WITH {_T} SELECT count(*) AS n, count(*) FILTER (l > 0) AS with_labels, count(*) FILTER (l <= 0) AS without_labels, count(*) FILTER (tr) AS truncated, count(*) FILTER (fills) AS prompt_fills_context, CAST(sum(l) AS BIGINT) AS label_tokens, CAST(coalesce(min(l) FILTER (l > 0), 0) AS INT) AS min_labels, CAST(coalesce(max(l) FILTER (l > 0), 0) AS INT) AS max_labels FROM t",
     "problem_rows": f"WITH {_T}, i AS (SELECT doc_id, CAST(used AS INT) AS input_tokens, CAST(l AS INT) AS trainable_label_tokens, array_to_string(list_filter([CASE WHEN NOT ok THEN 'invalid_messages' END, CASE WHEN tr THEN 'truncated' END, CASE WHEN fills THEN 'prompt_fills_context' END, CASE WHEN ok AND l = 0 THEN 'no_trainable_labels' END], lambda x: x IS NOT NULL), ',') AS issues FROM t) SELECT * FROM i WHERE issues <> '' ORDER BY doc_id LIMIT 20",

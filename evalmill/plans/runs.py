@@ -171,16 +171,16 @@ def outcomes(spark, sf_dir: str) -> DataFrame:
 
 
 def comparison_scores(spark, sf_dir: str) -> DataFrame:
-    """Conversations as responses to the first turn: a clarification is expected where the first user turn is short."""
-    c = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
-    first = c.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("asked"), F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("message"))
+    """Every user turn with what the assistant says next, if it does: a clarification is expected where the turn is short."""
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)}).where("role = 'user'")
     call = "array<struct<tool:string,arguments:map<string,string>>>"
-    rows = first.where("asked IS NOT NULL").select(
-        "conv_id", F.when(F.length("asked") < 150, "clarification").otherwise("refusal").alias("expected_type"), F.array().cast(call).alias("expected_calls"), F.array().cast(call).alias("tool_calls"),
-        F.slice(F.split("asked", " "), 1, 2).alias("expected_keywords"), F.array(F.lit("notion.create_task")).alias("available_tools"), "message",
+    rows = c.select(
+        "conv_id", "turn", F.when(F.length("text") < 150, "clarification").otherwise("refusal").alias("expected_type"), F.array().cast(call).alias("expected_calls"), F.array().cast(call).alias("tool_calls"),
+        F.slice(F.split("text", " "), 1, 2).alias("expected_keywords"), F.array(F.lit("notion.create_task")).alias("available_tools"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("message"),
     )
     out = scoring.comparison_score(scoring.score(rows))
-    return out.select("conv_id", "expected_type", F.round(F.coalesce("clarification_accuracy", "refusal_accuracy"), 6).alias("accuracy"), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), F.round("comparison_score", 6).alias("comparison_score"))
+    return out.select("conv_id", "turn", "expected_type", F.round(F.coalesce("clarification_accuracy", "refusal_accuracy"), 6).alias("accuracy"), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), F.round("comparison_score", 6).alias("comparison_score"))
 
 
 def plan_issues(spark, sf_dir: str) -> DataFrame:
@@ -313,10 +313,10 @@ ORACLES = {
       SELECT user_id, kind, id, coalesce(arg_max(title, pos) FILTER (title IS NOT NULL), '-') AS title, coalesce(arg_max(status, pos) FILTER (status IS NOT NULL), '-') AS status, coalesce(arg_max(body, pos) FILTER (body IS NOT NULL), '-') AS body, coalesce(arg_max(text, pos) FILTER (text IS NOT NULL), '-') AS text,
         coalesce(arg_max(duration_minutes, pos) FILTER (duration_minutes IS NOT NULL), '-') AS duration_minutes FROM t GROUP BY 1, 2, 3""",
     "diversity_buckets": "WITH b AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT count(*) AS buckets, CAST(sum(n) AS BIGINT) AS rows, round(max(n) / sum(n)::DOUBLE, 6) AS largest_share FROM b",
-    "comparison_scores": """WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS asked, arg_min(text, turn) FILTER (role = 'assistant') AS message FROM conversations GROUP BY 1),
-      k AS (SELECT conv_id, CASE WHEN len(asked) < 150 THEN 'clarification' ELSE 'refusal' END AS t, message, string_split(asked, ' ')[1:2] AS kw FROM f WHERE asked IS NOT NULL),
+    "comparison_scores": """WITH l AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      k AS (SELECT conv_id, turn, CASE WHEN len(text) < 150 THEN 'clarification' ELSE 'refusal' END AS t, CASE WHEN next_role = 'assistant' THEN next_text END AS message, string_split(text, ' ')[1:2] AS kw FROM l WHERE role = 'user'),
       a AS (SELECT *, CASE WHEN message IS NULL THEN 0.0 ELSE len(list_filter(kw, lambda x: contains(lower(replace(message, 'ß', 'ss')), lower(replace(x, 'ß', 'ss'))))) / len(kw)::DOUBLE END AS acc FROM k)
-      SELECT conv_id, t AS expected_type, round(acc, 6) AS accuracy, acc = 1 AS task_success, CASE WHEN acc = 1 THEN '' WHEN t = 'clarification' THEN 'missing_clarification' ELSE 'missing_refusal' END AS reasons,
+      SELECT conv_id, turn, t AS expected_type, round(acc, 6) AS accuracy, acc = 1 AS task_success, CASE WHEN acc = 1 THEN '' WHEN t = 'clarification' THEN 'missing_clarification' ELSE 'missing_refusal' END AS reasons,
         round(CASE WHEN t = 'clarification' THEN 0.50 * (message IS NOT NULL)::INT + 0.35 * acc + 0.15 ELSE 0.50 * (message IS NOT NULL)::INT + 0.30 * acc + 0.20 END, 6) AS comparison_score FROM a""",
     "plan_issues": f"WITH {RUNS_SQL}, x AS (SELECT scenario_id AS task_id, unnest(range(0, len(act))) AS i, act FROM s) SELECT task_id, CAST(i AS INT) AS step_index, 'unknown_tool' AS code FROM x WHERE act[i + 1] NOT IN ('click', 'view', 'signup', 'purchase') UNION ALL SELECT scenario_id, -1, 'plan_too_long' FROM s WHERE len(act) > 2",
     "request_types": f"WITH {RUNS_SQL} SELECT CASE act[1] WHEN 'click' THEN 'creation' WHEN 'signup' THEN 'creation' WHEN 'view' THEN 'edit' WHEN 'purchase' THEN 'delete' ELSE 'validation' END AS request_type, count(*) AS n FROM s GROUP BY 1",
