@@ -43,6 +43,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LETTER = re.compile(f"[{_LETTERS}]")
 _CUT = re.compile(f" (?<=[!-~{_LETTERS}] )")
 _MARKS = ".,;:!?"
+#: Where a stretch is parted into its letters and the marks behind them: no added token may reach over such a place.
+_PARTED = re.compile(f"[{_LETTERS}][{re.escape(_MARKS)}]")
 _loaded: dict = {}
 
 
@@ -51,7 +53,7 @@ def provable(tok) -> bool:
     s = json.loads(tok.to_str())
     before = s["pre_tokenizer"] or {}
     plain = s["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-    return bool(plain) and all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])) for t in s["added_tokens"])
+    return bool(plain) and all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) or _PARTED.search(t["content"])) for t in s["added_tokens"])
 
 
 class Counts:

@@ -117,6 +117,19 @@ def test_spliced_counts_are_the_library_s():
         assert token_counts.count_long(tok, s, rng.randint(8, 80), rng.randint(2, 20)) == len(tok.encode(s, add_special_tokens=False).ids)
 
 
+def test_added_tokens_over_letters_and_marks_leave_nothing_to_prove():
+    from tokenizers import AddedToken, Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
+    assert token_counts.provable(tok)
+    tok.add_tokens([AddedToken("Mr.", normalized=False)])
+    assert not token_counts.provable(tok)
+    counts = token_counts.Counts(tok)
+    assert counts.count(["ask Mr. X, Mr."]) == [len(tok.encode("ask Mr. X, Mr.", add_special_tokens=False).ids)]
+
+
 def test_op4_counts(spark, tmp_path):
     tok = token_counts.tokenizer(token_counts.TOKENIZER)
     texts = [*ODD, "some words, and more. " * 6000]
