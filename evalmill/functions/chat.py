@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 #: Fixed value: what labels hold where nothing is to be learnt.
 IGNORED = -100
 TOKENS = "struct<input_ids:array<int>,attention_mask:array<int>,labels:array<int>,prompt_tokens:bigint,full_tokens:bigint>"
-_ARROW = pa.struct([("input_ids", pa.list_(pa.int32())), ("attention_mask", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("prompt_tokens", pa.int64()), ("full_tokens", pa.int64())])
+_ARROW = pa.struct([
+    ("input_ids", pa.list_(pa.int32())), ("attention_mask", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())),
+    ("prompt_tokens", pa.int64()), ("full_tokens", pa.int64())
+])
 _loaded: dict = {}
 
 
@@ -34,7 +37,10 @@ class Template:
 def rendered(messages: Column, template: Template, answer: bool) -> Column:
     """The messages as one text; with ``answer`` it ends where an answer is asked for."""
     lit = F.lit
-    each = F.transform(messages, lambda m: F.concat(lit(template.before), m["role"], lit(template.between), F.coalesce(m["content"], lit("")), lit(template.after)))
+    each = F.transform(
+        messages,
+        lambda m: F.concat(lit(template.before), m["role"], lit(template.between), F.coalesce(m["content"], lit("")), lit(template.after))
+    )
     return F.concat(F.array_join(each, ""), lit(template.answer if answer else ""))
 
 
@@ -96,7 +102,10 @@ def tokens(messages: Column, tokenizer: str, max_length: int, template: Template
             for i, (prompt, whole) in zip(at, pairs, strict=True):
                 ids = whole[:max_length]
                 masked = min(len(prompt), max_length, len(ids))
-                out[i] = {"input_ids": ids, "attention_mask": [1] * len(ids), "labels": [IGNORED] * masked + ids[masked:], "prompt_tokens": len(prompt), "full_tokens": len(whole)}
+                out[i] = {
+                    "input_ids": ids, "attention_mask": [1] * len(ids), "labels": [IGNORED] * masked + ids[masked:],
+                    "prompt_tokens": len(prompt), "full_tokens": len(whole)
+                }
             yield pa.array(out, _ARROW)
 
     three = F.size(messages) == 3

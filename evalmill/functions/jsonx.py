@@ -116,7 +116,9 @@ def _arguments(items) -> list[tuple[str, str | None, str | None]]:
 @F.pandas_udf(_CHECKS)
 def comparable(arguments: pd.Series) -> pd.Series:
     """Each map of canonical JSON values as (key, text for equality, folded text of a string value)."""
-    return arguments.map(lambda calls: None if calls is None else [[{"key": k, "same": s, "text": t} for k, s, t in _arguments(c if c is not None else {})] for c in calls])
+    return arguments.map(lambda calls: None if calls is None else [[
+        {"key": k, "same": s, "text": t} for k, s, t in _arguments(c if c is not None else {})
+    ] for c in calls])
 
 
 #: Parts of key names whose values are hidden, and what stands for them.

@@ -43,8 +43,14 @@ def task_from_page(pages: DataFrame, page: str = "page") -> DataFrame:
     )
     p = pages.withColumn("p", F.from_json(page, schema))
     start = F.col("p.properties.Due.date.start")
-    due = F.when(start.rlike(r"([Zz]|[+-]\d{2}:?\d{2})\z"), F.try_to_timestamp(start)).otherwise(F.try_to_timestamp(F.concat(start, F.when(start.contains("T"), "Z").otherwise("T00:00:00Z"))))
+    due = F.when(
+        start.rlike(r"([Zz]|[+-]\d{2}:?\d{2})\z"), F.try_to_timestamp(start)
+    ).otherwise(F.try_to_timestamp(F.concat(start, F.when(start.contains("T"), "Z").otherwise("T00:00:00Z"))))
     return p.select(
-        F.col("p.id").alias("id"), F.coalesce(F.get("p.properties.Name.title", F.lit(0))["plain_text"], F.lit("")).alias("title"), due.alias("due"), F.coalesce("p.properties.Status.select.name", F.lit("")).alias("status"),
-        F.col("p.properties.Priority.select.name").alias("priority"), F.coalesce(F.transform(F.col("p.properties.Tags.multi_select"), lambda t: t["name"]), F.array().cast("array<string>")).alias("tags"),
+        F.col("p.id").alias("id"), F.coalesce(
+            F.get("p.properties.Name.title", F.lit(0))["plain_text"], F.lit("")
+        ).alias("title"), due.alias("due"), F.coalesce("p.properties.Status.select.name", F.lit("")).alias("status"),
+        F.col("p.properties.Priority.select.name").alias("priority"), F.coalesce(
+            F.transform(F.col("p.properties.Tags.multi_select"), lambda t: t["name"]), F.array().cast("array<string>")
+        ).alias("tags"),
     )

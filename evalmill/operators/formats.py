@@ -25,8 +25,14 @@ SCENARIO = Obj({
     "description": SOME_TEXT, "user_input": SOME_TEXT, "current_time": Time(), "available_tools": Listed(TOOL, least=1, unique=True), "initial_state": Keyed(),
     "expected_behavior": BEHAVIOR, "success_criteria": WORDS, "tags": Listed(SOME_TEXT, unique=True),
 }, optional=("tags",))
-RESPONSE = Obj({"tool_calls": Listed(Obj({"tool": TOOL, "arguments": Keyed()}, optional=("arguments",))), "message": Maybe(Text())}, optional=("tool_calls", "message"))
+RESPONSE = Obj(
+    {"tool_calls": Listed(Obj({"tool": TOOL, "arguments": Keyed()}, optional=("arguments",))), "message": Maybe(Text())},
+    optional=("tool_calls", "message")
+)
 RESPONSES = Keyed(RESPONSE)
 EXAMPLE = Obj({"messages": Listed(Obj({"role": Text(one_of=ROLES), "content": Text()}))})
 #: Of a run's results only what is asked for is read, so runs may differ in all else.
-PAYLOAD = Obj({"run_id": Text(), "backend_name": Maybe(Text()), "scenario_results": Listed(Keyed(Anything()))}, optional=("backend_name",), closed=False)
+PAYLOAD = Obj(
+    {"run_id": Text(), "backend_name": Maybe(Text()), "scenario_results": Listed(Keyed(Anything()))}, optional=("backend_name",),
+    closed=False
+)

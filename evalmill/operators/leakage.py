@@ -49,8 +49,13 @@ def id_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str) ->
     """Training ids that hold an evaluation id, of any number of parts, as a run of their parts."""
     parts = F.split(F.col(train_id).cast("string"), r"[^A-Za-z0-9]+")
     # the outer transform binds the parts to a variable: as an expression they would be split again for every run
-    runs = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.array_join(F.slice(p, i, n), "_"))))
-    a = train.select(train_id).distinct().select(train_id, F.explode(F.array_distinct(F.get(F.transform(F.array(parts), runs), F.lit(0)))).alias("key"))
+    runs = lambda p: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(p)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: F.array_join(F.slice(p, i, n), "_"))
+    ))
+    a = train.select(train_id).distinct().select(
+        train_id, F.explode(F.array_distinct(F.get(F.transform(F.array(parts), runs), F.lit(0)))).alias("key")
+    )
     b = evals.select(eval_id, F.array_join(F.split(F.col(eval_id).cast("string"), r"[^A-Za-z0-9]+"), "_").alias("key")).distinct()
     return a.join(b, "key").select(train_id, eval_id).distinct()
 
@@ -58,13 +63,17 @@ def id_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str) ->
 def output_leaks(train: DataFrame, train_id: str, payload: str, responses: DataFrame, response_id: str, response_payload: str) -> DataFrame:
     """(train_id, class, members): training targets equal to evaluation responses, by classes as ``exact_leaks`` has them; payloads are canonical JSON."""
     a = train.select(train_id, F.sha2(payload, 256).alias("h"))
-    return a.join(_classes(responses.select(response_id, F.sha2(response_payload, 256).alias("h")), response_id), "h").select(train_id, "class", "members")
+    return a.join(
+        _classes(responses.select(response_id, F.sha2(response_payload, 256).alias("h")), response_id), "h"
+    ).select(train_id, "class", "members")
 
 
 def _runs_of_words(text: Column, n: int, of) -> Column:
     """Distinct values of ``of`` over the runs of n lower-cased words; none for shorter texts."""
     words = F.filter(F.split(F.lower(text), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.when(F.size(w) >= n, of(F.slice(w, i + 1, n))))
+    runs = lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.when(F.size(w) >= n, of(F.slice(w, i + 1, n)))
+    )
     return F.array_compact(F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0))))
 
 
@@ -85,7 +94,9 @@ def _hashed_grams(row_id: str, n: int):
             for row, h in gram_hashes(batch.column("text"), n):
                 rows.append(row)
                 grams.append(pa.array(h.view(np.int64)))
-            out = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.concat_arrays(grams)) if grams else pa.array([], pa.list_(pa.int64()))
+            out = pa.ListArray.from_arrays(
+                np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.concat_arrays(grams)
+            ) if grams else pa.array([], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(row_id).take(pa.array(rows, pa.int64())), out], [row_id, "grams"])
 
     return work
@@ -128,7 +139,13 @@ def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str,
     id_type = evals.schema[eval_id].dataType.simpleString()
     listed = evals.select(eval_id, F.lower(text).alias("text")).mapInArrow(_hashed_grams(eval_id, n), f"`{eval_id}` {id_type}, grams {_KEY}")
     total = F.size("grams").cast("long")
-    marked = kept(listed.select(eval_id, total.alias("total"), F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(least)) * total - 1e-9)).alias("needed"), F.explode("grams").alias("h")), "eval-grams")
+    marked = kept(
+        listed.select(
+            eval_id, total.alias("total"), F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(least)) * total - 1e-9)).alias("needed"),
+            F.explode("grams").alias("h")
+        ),
+        "eval-grams"
+    )
     size, fewest = marked.agg(F.count_distinct("h"), F.coalesce(F.min("needed"), F.lit(1))).first()
     parts = max(1, -(-size // GRAMS))
     found = None
@@ -137,7 +154,10 @@ def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str,
         packed = [np.frombuffer(bytes(r.h), "<i8") for r in own.coalesce(8).mapInArrow(_all_hashes, "h binary").collect()]  # at most about GRAMS hashes
         sent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *packed]).view(np.uint64)) if size else np.zeros(1, np.uint64))
         rows = train.select(train_id, F.col(text).alias("text"), F.lower(text).alias("folded"))
-        hits = rows.mapInArrow(_met_grams(train_id, n, sent, fewest if parts == 1 else 1), f"`{train_id}` {train.schema[train_id].dataType.simpleString()}, text string, grams {_KEY}")
+        hits = rows.mapInArrow(
+            _met_grams(train_id, n, sent, fewest if parts == 1 else 1),
+            f"`{train_id}` {train.schema[train_id].dataType.simpleString()}, text string, grams {_KEY}"
+        )
         found = hits if found is None else found.unionByName(hits)
     if parts > 1:
         found = found.groupBy(train_id, "text").agg(F.flatten(F.collect_list("grams")).alias("grams")).where(F.size("grams") >= fewest)  # one text's grams
@@ -146,11 +166,15 @@ def ngram_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str,
     often = one.groupBy("h").agg(F.count("*").alias("often"))
     met = marked.join(often, "h")
     order = Window.partitionBy(eval_id).orderBy("often", "h")  # the grams of one evaluation text
-    rare = met.withColumns({"place": F.row_number().over(order), "there": F.count("*").over(Window.partitionBy(eval_id))}).where("place <= there - needed + 1")
+    rare = met.withColumns({
+        "place": F.row_number().over(order), "there": F.count("*").over(Window.partitionBy(eval_id))
+    }).where("place <= there - needed + 1")
     pairs = one.join(rare.select(eval_id, "h"), "h").select("row", eval_id).distinct()
     texts = evals.join(rare.select(eval_id).distinct(), eval_id, "left_semi").select(eval_id, word_ngrams(F.col(text), n).alias("__b"))
     both = pairs.join(found.select("row", train_id, F.col("text")), "row").join(texts, eval_id)
-    out = both.withColumn("common", F.size(F.array_intersect(word_ngrams(F.col("text"), n), "__b")).cast("long")).withColumn("share", F.col("common") / F.size("__b"))
+    out = both.withColumn(
+        "common", F.size(F.array_intersect(word_ngrams(F.col("text"), n), "__b")).cast("long")
+    ).withColumn("share", F.col("common") / F.size("__b"))
     return out.where(F.col("share") >= least).select(train_id, eval_id, "common", "share")
 
 
@@ -190,7 +214,10 @@ def _packed(row_id: str, vector: str, centres: dict[int, np.ndarray]):
     first = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())]), strict=False))
 
     def block(cell: int, ids: np.ndarray, x: np.ndarray, reach: float) -> pa.RecordBatch:
-        columns = [pa.array([cell], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([x.shape[1]], pa.int32()), pa.array([reach])]
+        columns = [
+            pa.array([cell], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]),
+            pa.array([x.shape[1]], pa.int32()), pa.array([reach])
+        ]
         return pa.RecordBatch.from_arrays(columns, ["cell", "ids", "data", "width", "reach"])
 
     def pack(batches):
@@ -249,7 +276,9 @@ def _compared(train_id: str, eval_id: str, least: float):
                 i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= least - 1e-4)
                 cos = np.einsum("ij,ij->i", x[i], y[j])
                 keep = cos >= least
-                yield pd.DataFrame({train_id: np.frombuffer(r.ids, "<i8")[i[keep]], eval_id: np.frombuffer(r.eval_ids, "<i8")[j[keep]], "cosine": cos[keep]})
+                yield pd.DataFrame({
+                    train_id: np.frombuffer(r.ids, "<i8")[i[keep]], eval_id: np.frombuffer(r.eval_ids, "<i8")[j[keep]], "cosine": cos[keep]
+                })
 
     return compare
 
@@ -261,7 +290,10 @@ def _blocks_met(train: DataFrame, train_id: str, evals: DataFrame, eval_id: str,
     sample = [np.array(r[0], dtype=float) for r in chosen.collect() if r[0] and None not in r[0]]
     centres = fitted_centres([v for v in sample if np.isfinite(v).all() and v.any()])
     pack = lambda df, key: df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(_packed(key, vector, centres), _BLOCK)
-    blocks = [kept(pack(df, key).withColumn("block", F.monotonically_increasing_id()), name) for df, key, name in ((train, train_id, "train-blocks"), (evals, eval_id, "eval-blocks"))]
+    blocks = [
+        kept(pack(df, key).withColumn("block", F.monotonically_increasing_id()), name) for df, key,
+        name in ((train, train_id, "train-blocks"), (evals, eval_id, "eval-blocks"))
+    ]
     bound = float(np.arccos(np.clip(least - 1e-9, -1, 1))) + 1e-6
     apart = []  # of each two cells the angle between their centres: CENTRES squared rows for a width
     start = 0
@@ -284,7 +316,10 @@ def embedding_leaks(train: DataFrame, train_id: str, evals: DataFrame, eval_id:
     Zero vectors, vectors with a value that is no number, and nulls match nothing; vectors of different widths don't match.
     """
     a, b, met = _blocks_met(train, train_id, evals, eval_id, vector, least)
-    b = b.select(F.col("block").alias("eval_block"), F.col("ids").alias("eval_ids"), F.col("data").alias("eval_data"), F.col("width").alias("eval_width"))
+    b = b.select(
+        F.col("block").alias("eval_block"), F.col("ids").alias("eval_ids"), F.col("data").alias("eval_data"),
+        F.col("width").alias("eval_width")
+    )
     pairs = met.join(a.drop("cell", "reach"), "block").join(b, "eval_block").select("ids", "data", "width", "eval_ids", "eval_data", "eval_width")
     return pairs.mapInPandas(_compared(train_id, eval_id, least), f"`{train_id}` long, `{eval_id}` long, cosine double")
 

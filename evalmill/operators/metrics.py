@@ -67,7 +67,10 @@ def paired_wins(scored: DataFrame, run: str, item: str, value: str, a, b) -> Dat
     """Wins, losses and ties of run b against run a over the items both have."""
     both = scored.groupBy(item).agg(F.max(F.when(F.col(run) == a, F.col(value))).alias("a"), F.max(F.when(F.col(run) == b, F.col(value))).alias("b"))
     both = both.where("a IS NOT NULL AND b IS NOT NULL")
-    return both.agg(F.count_if(F.expr("b > a")).alias("wins"), F.count_if(F.expr("b < a")).alias("losses"), F.count_if(F.expr("b = a")).alias("ties"), F.count("*").alias("pairs"))
+    return both.agg(
+        F.count_if(F.expr("b > a")).alias("wins"), F.count_if(F.expr("b < a")).alias("losses"), F.count_if(F.expr("b = a")).alias("ties"),
+        F.count("*").alias("pairs")
+    )
 
 
 def _place(value: Column) -> Column:
@@ -87,14 +90,22 @@ def latency_percentiles(rows: DataFrame, by: list[str], value: str, points: dict
     counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n")).withColumn("__b", _place(F.col("__v")))
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("__s").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__s")).select(*by, "__b", "__s", before.alias("__before"), F.sum("__s").over(group).alias("__total"))
+    ranges = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__s")).select(
+        *by, "__b", "__s", before.alias("__before"), F.sum("__s").over(group).alias("__total")
+    )
     at = {name: F.lit(float(p)) * (F.col("__total") - 1) for name, p in points.items()}
-    ranks = F.array(*(F.struct(F.lit(name).alias("name"), side(x).cast("long").alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items() for side in (F.floor, F.ceil)))
+    ranks = F.array(*(
+        F.struct(F.lit(name).alias("name"), side(x).cast("long").alias("rank"), (x - F.floor(x)).alias("part")) for name,
+        x in at.items() for side in (F.floor, F.ceil)
+    ))
     wanted = F.filter(F.array_distinct(ranks), lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__s")))
     held = ranges.select(*by, "__b", "__before", wanted.alias("__w")).where(F.size("__w") > 0)
     upto = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v"))
     inside = with_keys(counts, held, [*by, "__b"]).withColumn("__end", F.col("__before") + upto)
-    own = inside.select(*by, "__v", F.explode(F.filter("__w", lambda r: (r["rank"] < F.col("__end")) & (r["rank"] >= F.col("__end") - F.col("__n")))).alias("__w"))
+    own = inside.select(
+        *by, "__v",
+        F.explode(F.filter("__w", lambda r: (r["rank"] < F.col("__end")) & (r["rank"] >= F.col("__end") - F.col("__n")))).alias("__w")
+    )
     low, high = (lambda name: F.min(F.when(F.col("__w.name") == name, F.col("__v")))), (lambda name: F.max(F.when(F.col("__w.name") == name, F.col("__v"))))
     part = lambda name: F.max(F.when(F.col("__w.name") == name, F.col("__w.part")))
     return own.groupBy(*by).agg(*((low(n) + part(n) * (high(n) - low(n))).alias(n) for n in points))
@@ -130,7 +141,10 @@ def merged_distinct(states: DataFrame, by: list[str]) -> DataFrame:
 
 def precision_recall(rows: DataFrame, predicted: Column, actual: Column, by: list[str]) -> DataFrame:
     hit = F.count_if(predicted & actual).cast("double")
-    return rows.groupBy(*by).agg(F.try_divide(hit, F.count_if(predicted).cast("double")).alias("precision"), F.try_divide(hit, F.count_if(actual).cast("double")).alias("recall"))
+    return rows.groupBy(*by).agg(
+        F.try_divide(hit, F.count_if(predicted).cast("double")).alias("precision"),
+        F.try_divide(hit, F.count_if(actual).cast("double")).alias("recall")
+    )
 
 
 def confusion(rows: DataFrame, expected: str, actual: str, modes: list[str]) -> DataFrame:
@@ -196,7 +210,10 @@ def diversity(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def diversity_summary(buckets: DataFrame) -> DataFrame:
     """One row: how many buckets have rows, how many rows there are, and the largest bucket's share of them."""
-    return buckets.agg(F.count("*").alias("buckets"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("largest_share"))
+    return buckets.agg(
+        F.count("*").alias("buckets"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("largest_share")
+    )
 
 
 def coverage_profile(examples: DataFrame, by: list[str]) -> DataFrame:
@@ -275,7 +292,10 @@ def token_diagnostics(rows: DataFrame, prompt: Column, full: Column, n_messages:
         "truncated": ok & (full > max_length), "prompt_fills_context": ok & (prompt >= max_length),
     })
     out = out.withColumn("has_trainable_labels", F.col("trainable_label_tokens") > 0)
-    issues = F.array(F.when(~ok, "invalid_messages"), F.when(F.col("truncated"), "truncated"), F.when(F.col("prompt_fills_context"), "prompt_fills_context"), F.when(ok & ~F.col("has_trainable_labels"), "no_trainable_labels"))
+    issues = F.array(
+        F.when(~ok, "invalid_messages"), F.when(F.col("truncated"), "truncated"),
+        F.when(F.col("prompt_fills_context"), "prompt_fills_context"), F.when(ok & ~F.col("has_trainable_labels"), "no_trainable_labels")
+    )
     return out.withColumn("issues", F.array_compact(issues))
 
 
@@ -305,7 +325,9 @@ def contrast_groups(examples: DataFrame, wanted: dict[str, tuple[list[str], list
     (contrast_group, members, roles, behaviors, code): unknown_family, wrong_size, wrong_roles or wrong_behaviors, the first that holds.
     """
     listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
-    groups = examples.where("contrast_group IS NOT NULL").groupBy("contrast_group").agg(F.count("*").alias("members"), listed("contrast_role").alias("roles"), listed("behavior_type").alias("behaviors"))
+    groups = examples.where("contrast_group IS NOT NULL").groupBy("contrast_group").agg(
+        F.count("*").alias("members"), listed("contrast_role").alias("roles"), listed("behavior_type").alias("behaviors")
+    )
     of = lambda pick: F.coalesce(*(F.when(F.col("contrast_group").startswith(name), F.lit(pick(*w))) for name, w in wanted.items()))
     text = lambda values: ",".join(sorted(values))
     size, roles, behaviors = of(lambda r, b: len(r)), of(lambda r, b: text(r)), of(lambda r, b: text(b))

@@ -30,7 +30,9 @@ CURRENT_TIME = "2026-05-11T09:00:00-07:00"
 def parse_list(value: Column) -> Column:
     """Tolerant: struct(value, error) of JSON text that should be a list. Null, in SQL or JSON, is missing; a value of another kind is kept beside the error; what is no JSON has the parser's words."""
     parsed = strict_json(value)
-    error = F.when(parsed["error"].isNotNull(), parsed["error"]).when(parsed["kind"].isin("missing", "null"), "missing").when(parsed["kind"] != "list", F.concat(F.lit("expected list, got "), parsed["kind"]))
+    error = F.when(parsed["error"].isNotNull(), parsed["error"]).when(parsed["kind"].isin("missing", "null"), "missing").when(
+        parsed["kind"] != "list", F.concat(F.lit("expected list, got "), parsed["kind"])
+    )
     return F.struct(F.when(~parsed["kind"].isin("missing", "null"), parsed["value"]).alias("value"), error.alias("error"))
 
 
@@ -57,13 +59,19 @@ def tools_with_meta_tools(tools_json: Column) -> Column:
 
 def user_message(query: Column, tools_json: Column) -> Column:
     request = F.concat(F.lit(f'{{"current_time":{json.dumps(CURRENT_TIME)},"initial_state":{{}},"request":'), json_string(query), F.lit("}"))
-    return F.concat_ws("\n", F.lit("Available tools, including internal meta-tools:"), tools_with_meta_tools(tools_json), F.lit(""), F.lit("User request:"), request)
+    return F.concat_ws(
+        "\n", F.lit("Available tools, including internal meta-tools:"), tools_with_meta_tools(tools_json), F.lit(""),
+        F.lit("User request:"), request
+    )
 
 
 def to_messages(rows: DataFrame, system_prompt: str) -> DataFrame:
     """Rows that passed, with ``messages``: system, user, assistant (the answers in canonical JSON)."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    made = F.array(message("system", F.lit(system_prompt)), message("user", user_message(F.col("query"), F.col("tools_json"))), message("assistant", F.col("answers_json")))
+    made = F.array(
+        message("system", F.lit(system_prompt)), message("user", user_message(F.col("query"), F.col("tools_json"))),
+        message("assistant", F.col("answers_json"))
+    )
     return rows.where("reason IS NULL").withColumn("messages", made)
 
 
@@ -72,13 +80,18 @@ def prepare(rows: DataFrame, system_prompt: str, seed: int, max_rows: int | None
     seen = rows if max_rows is None else rows.where(F.col("source_index") < max_rows)
     checked = with_reasons(seen)
     hashed = to_messages(checked, system_prompt).withColumn("row_hash", row_hash(seed, F.col("source_index"), F.col("source_row_id_json")))
-    return hashed.select("source_index", "source_row_id_json", "row_hash", "messages"), checked.where("reason IS NOT NULL").select("source_index", "source_row_id_json", "reason")
+    return hashed.select(
+        "source_index", "source_row_id_json", "row_hash", "messages"
+    ), checked.where("reason IS NOT NULL").select("source_index", "source_row_id_json", "reason")
 
 
 def review_rows(rows: DataFrame) -> DataFrame:
     """Rows to be reviewed by hand, with what could not be parsed."""
     out = rows.withColumn("__a", parse_list(F.col("answers"))).withColumn("__t", parse_list(F.col("tools")))
-    errors = F.array_compact(F.array(*(F.when(F.col(f"{p}.error").isNotNull(), F.concat(F.lit(f"{n}: "), F.col(f"{p}.error"))) for n, p in (("answers", "__a"), ("tools", "__t")))))
+    errors = F.array_compact(F.array(*(
+        F.when(F.col(f"{p}.error").isNotNull(), F.concat(F.lit(f"{n}: "), F.col(f"{p}.error"))) for n,
+        p in (("answers", "__a"), ("tools", "__t"))
+    )))
     return out.select(
         "source_index", "source_row_id_json", "query", F.col("__a.value").alias("answers"), F.col("__t.value").alias("tools"), F.col("answers").alias("raw_answers"), F.col("tools").alias("raw_tools"),
         errors.alias("parse_errors"), F.lit(None).cast("string").alias("review_label"), F.lit("").alias("review_notes"),
@@ -97,7 +110,9 @@ def mix(rows: DataFrame, seed: int, base: int = 3, extra: int = 2) -> DataFrame:
     """rows (source, split, idx, assistant, ...) repeated, named source:split:idx:rK and shuffled in each split."""
     times = repeat_count(F.col("split"), F.col("assistant"), base, extra, F.col("source") == "external")
     spread = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), times - 1)))
-    named = spread.withColumn("row_id", F.concat(F.concat_ws(":", "source", "split", F.col("idx").cast("string")), F.lit(":r"), F.col("repeat").cast("string")))
+    named = spread.withColumn(
+        "row_id", F.concat(F.concat_ws(":", "source", "split", F.col("idx").cast("string")), F.lit(":r"), F.col("repeat").cast("string"))
+    )
     return shuffled(named, split_seed(seed, F.col("split")), "row_id", ["split"])
 
 
@@ -120,7 +135,10 @@ def families(spark, counts: dict[str, int], templates: list[tuple[str, str, str,
 
     {name} takes the words of that list in turn, by the group's number, so the rows of a group differ in nothing but their template. Groups are named family_001 on.
     """
-    plan = spark.createDataFrame([(f, r, b, t, i) for i, (f, r, b, t) in enumerate(templates)], "family string, contrast_role string, behavior_type string, template string, place int")
+    plan = spark.createDataFrame(
+        [(f, r, b, t, i) for i, (f, r, b, t) in enumerate(templates)],
+        "family string, contrast_role string, behavior_type string, template string, place int"
+    )
     groups = [spark.range(n).select(F.lit(f).alias("family"), F.col("id").alias("local_index")) for f, n in counts.items()]
     every = groups[0]
     for g in groups[1:]:
@@ -136,6 +154,8 @@ def families(spark, counts: dict[str, int], templates: list[tuple[str, str, str,
 
 def crossed(topics: DataFrame, templates: DataFrame) -> DataFrame:
     """Scenario rows of every topic and template (both small tables); the criteria follow from the behaviour."""
-    criteria = F.when(F.col("expected_type") == "clarification", F.array(F.lit("asks_for_clarification"))).when(F.col("expected_type") == "refusal", F.array(F.lit("refuses_request")))
+    criteria = F.when(
+        F.col("expected_type") == "clarification", F.array(F.lit("asks_for_clarification"))
+    ).when(F.col("expected_type") == "refusal", F.array(F.lit("refuses_request")))
     out = topics.crossJoin(templates).withColumn("success_criteria", F.coalesce(criteria, F.array(F.lit("correct_tool"), F.lit("correct_arguments"))))
     return out.withColumn("user_input", F.replace("template", F.lit("{topic}"), F.col("topic")))

@@ -32,7 +32,9 @@ def global_rank(df: DataFrame, hash_col: str, tie: str, rank_col: str = "rank",
     counts = cut.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("total"))
+    offsets = counts.select(
+        *by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("total")
+    )
     inside = Window.partitionBy(*by, "__bucket").orderBy(hash_col, tie)
     ranked = cut.withColumn("__in", F.row_number().over(inside) - 1)
     return ranked.join(offsets, [*by, "__bucket"]).withColumn(rank_col, F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
@@ -44,7 +46,9 @@ def split_by_hash(df: DataFrame, hash_col: str, tie: str, train: float = 0.7, va
     n_train = F.floor(F.col("total") * F.lit(float(train)))
     n_validation = F.floor(F.col("total") * F.lit(float(validation)))
     split = F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_validation, "validation").otherwise("test")
-    pos = F.when(F.col("rank") < n_train, F.col("rank")).when(F.col("rank") < n_train + n_validation, F.col("rank") - n_train).otherwise(F.col("rank") - n_train - n_validation)
+    pos = F.when(F.col("rank") < n_train, F.col("rank")).when(
+        F.col("rank") < n_train + n_validation, F.col("rank") - n_train
+    ).otherwise(F.col("rank") - n_train - n_validation)
     return ranked.withColumn("split", split).withColumn("pos", pos).drop("rank", "total")
 
 

@@ -12,7 +12,10 @@ from evalmill.functions.jsonx import comparable, fold, fold_all, parse_response
 from evalmill.operators.validate import TOOL_PARAMETERS
 
 #: The failure reasons.
-REASONS = ("hallucinated_tool_call", "missing_tool_call", "extra_tool_call", "wrong_tool_order", "wrong_tool_call", "premature_tool_call", "missing_clarification", "missing_refusal", "wrong_argument")
+REASONS = (
+    "hallucinated_tool_call", "missing_tool_call", "extra_tool_call", "wrong_tool_order", "wrong_tool_call", "premature_tool_call",
+    "missing_clarification", "missing_refusal", "wrong_argument"
+)
 TOOL_TYPES = ("tool_call", "tool_calls")
 #: How a call can fail.
 OUTCOMES = ("unknown_tool", "invalid_arguments", "validation", "not_found")
@@ -27,7 +30,10 @@ def _when_expected(exp: Column, act: Column, value: Column) -> Column:
 
 
 def ordered_accuracy(exp: Column, act: Column) -> Column:
-    same = F.filter(F.zip_with(exp, F.slice(act, F.lit(1), F.greatest(F.size(exp), F.lit(1))), lambda a, b: a.isNotNull() & a.eqNullSafe(b)), lambda x: x)
+    same = F.filter(
+        F.zip_with(exp, F.slice(act, F.lit(1), F.greatest(F.size(exp), F.lit(1))), lambda a, b: a.isNotNull() & a.eqNullSafe(b)),
+        lambda x: x
+    )
     return _when_expected(exp, act, _share(F.size(same), F.size(exp)))
 
 
@@ -52,7 +58,12 @@ def argument_accuracy(is_tool: Column, exp_args: Column, act_args: Column) -> Co
         equal = F.coalesce(value(check["key"])["same"], F.lit("null")) == F.coalesce(check["same"], F.lit("null"))
         return F.when(check["key"].endswith("_contains"), held).otherwise(equal)
 
-    checks = F.transform(exp_args, lambda e, i: F.size(F.filter(e, lambda c: right(c, F.coalesce(F.get(act_args, i), F.array().cast("array<struct<key:string,same:string,text:string>>"))))))
+    checks = F.transform(
+        exp_args, lambda e,
+        i: F.size(F.filter(
+            e, lambda c: right(c, F.coalesce(F.get(act_args, i), F.array().cast("array<struct<key:string,same:string,text:string>>")))
+        ))
+    )
     total = F.aggregate(exp_args, F.lit(0), lambda s, e: s + F.size(e))
     correct = F.aggregate(checks, F.lit(0), lambda s, n: s + n)
     return F.when(~is_tool | (total == 0), 1.0).otherwise(_share(correct, total))
@@ -94,7 +105,10 @@ def score(df: DataFrame) -> DataFrame:
     tools = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)), lambda x: x["tool"])
     maps = lambda c: comparable(F.transform(F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)), lambda x: x["arguments"]))
     kind = F.col("expected_type")
-    base = df.withColumns({"__e": tools("expected_calls"), "__a": tools("tool_calls"), "__ea": maps("expected_calls"), "__aa": maps("tool_calls"), "__m": fold("message"), "__k": fold_all("expected_keywords")})
+    base = df.withColumns({
+        "__e": tools("expected_calls"), "__a": tools("tool_calls"), "__ea": maps("expected_calls"), "__aa": maps("tool_calls"),
+        "__m": fold("message"), "__k": fold_all("expected_keywords")
+    })
     words = F.when(F.size("__a") > 0, 0.0).otherwise(keyword_accuracy(F.col("__k"), F.col("__m")))
     scored = score_sequences(base, "__e", "__a").withColumns({
         "argument_accuracy": argument_accuracy(kind.isin(*TOOL_TYPES), F.col("__ea"), F.col("__aa")),
@@ -114,18 +128,24 @@ def score(df: DataFrame) -> DataFrame:
 
 def parse_outputs(raw: DataFrame) -> DataFrame:
     """Raw model outputs (raw_text and keys) with tool_calls and message."""
-    return raw.withColumn("__r", parse_response("raw_text")).withColumns({"tool_calls": F.col("__r.tool_calls"), "message": F.col("__r.message")}).drop("__r")
+    return raw.withColumn("__r", parse_response("raw_text")).withColumns({
+        "tool_calls": F.col("__r.tool_calls"), "message": F.col("__r.message")
+    }).drop("__r")
 
 
 def comparison_score(df: DataFrame) -> DataFrame:
     """One number per scored row: weights of decision, tools, arguments and safety by expected type."""
     n = F.size("tool_calls")
-    mode = F.when(n > 0, "act").when(F.col("message").isNotNull() & F.col("expected_type").isin("clarification", "refusal"), F.col("expected_type")).otherwise("none")
+    mode = F.when(n > 0, "act").when(
+        F.col("message").isNotNull() & F.col("expected_type").isin("clarification", "refusal"), F.col("expected_type")
+    ).otherwise("none")
     wanted = F.when(F.col("expected_type").isin(*TOOL_TYPES), "act").otherwise(F.col("expected_type"))
     decision, safety = (mode == wanted).cast("double"), 1 - F.col("hallucination_rate")
     words = F.coalesce("clarification_accuracy", "refusal_accuracy", F.lit(0.0))
     value = F.when(wanted == "act", 0.35 * decision + 0.25 * F.col("tool_call_accuracy") + 0.25 * F.col("argument_accuracy") + 0.15 * safety)
-    value = value.when(wanted == "clarification", 0.50 * decision + 0.35 * words + 0.15 * safety).otherwise(0.50 * decision + 0.30 * words + 0.20 * safety)
+    value = value.when(
+        wanted == "clarification", 0.50 * decision + 0.35 * words + 0.15 * safety
+    ).otherwise(0.50 * decision + 0.30 * words + 0.20 * safety)
     return df.withColumn("comparison_score", value)
 
 
@@ -213,7 +233,9 @@ def call_outcomes(calls: DataFrame, parameters: list[tuple] = TOOL_PARAMETERS) -
     def wrong(f: Column) -> Column:
         v = F.coalesce(F.try_element_at(given, f["name"]), F.lit("null"))
         text = (~v.startswith('"')) | (f["not_empty"] & (v == '""')) | (f["address"] & ~F.coalesce(json_text(v).rlike(ADDRESS), F.lit(False)))
-        bad = F.when(f["kind"] == "integer", ~F.coalesce(whole_number(v) > 0, F.lit(False))).otherwise(text | F.coalesce(~F.array_contains(f["allowed"], v), F.lit(False)))
+        bad = F.when(
+            f["kind"] == "integer", ~F.coalesce(whole_number(v) > 0, F.lit(False))
+        ).otherwise(text | F.coalesce(~F.array_contains(f["allowed"], v), F.lit(False)))
         return F.map_contains_key(given, f["name"]) & F.when(v == "null", ~f["may_be_null"]).otherwise(bad)
 
     outcome = (
@@ -238,10 +260,14 @@ def apply_calls(calls: DataFrame, initial: DataFrame, scenario: str = "scenario_
     the clipboard holds what was last written, at first an empty text.
     """
     spark = calls.sparkSession
-    effects = F.broadcast(spark.createDataFrame(EFFECTS, "tool string, kind string, action string, id_key string, prefix string"))  # a fixed small table
+    effects = F.broadcast(spark.createDataFrame(
+        EFFECTS, "tool string, kind string, action string, id_key string, prefix string"
+    ))  # a fixed small table
     told = call_outcomes(calls).join(effects, "tool", "left")
     number = F.regexp_extract("id", r"^(?:evt_fake_calendar|task_fake_notion|draft_fake_gmail|email_fake_gmail)_(\d{3,})\z", 1)
-    had = initial.where("kind <> 'clipboard'").groupBy(scenario, "kind").agg(F.count("*").alias("had"), F.collect_list(F.when(number != "", number.try_cast("long"))).alias("taken"))  # what one scenario begins with
+    had = initial.where("kind <> 'clipboard'").groupBy(scenario, "kind").agg(
+        F.count("*").alias("had"), F.collect_list(F.when(number != "", number.try_cast("long"))).alias("taken")
+    )  # what one scenario begins with
     makes = F.col("action").eqNullSafe("create") & (F.col("outcome") == "ok")
     place = F.count_if(makes).over(Window.partitionBy(scenario, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     numbered = told.withColumn("__place", place).join(had, [scenario, "kind"], "left")
@@ -253,19 +279,37 @@ def apply_calls(calls: DataFrame, initial: DataFrame, scenario: str = "scenario_
     for tool, key, value in DEFAULTS:
         defaults = F.when(F.col("tool") == tool, F.create_map(F.lit(key), F.lit(value))).otherwise(defaults)
     integers = F.array(*(F.lit(f"{t}:{p}") for t, p, kind, _, _ in TOOL_PARAMETERS if kind == "integer"))
-    kept_values = F.transform_values(_entries(F.col("arguments"), defaults), lambda k, v: F.when(F.array_contains(integers, F.concat_ws(":", F.col("tool"), k)), whole_number(v).cast("string")).otherwise(v))
+    kept_values = F.transform_values(
+        _entries(F.col("arguments"), defaults), lambda k,
+        v: F.when(F.array_contains(integers, F.concat_ws(":", F.col("tool"), k)), whole_number(v).cast("string")).otherwise(v)
+    )
     fields = F.map_filter(kept_values, lambda k, v: ~k.eqNullSafe(F.col("id_key")))
-    steps = numbered.select("call_id", scenario, F.col("pos").cast("long").alias("pos"), "tool", "outcome", "kind", "action", own.alias("id"), fields.alias("fields"))
-    first = initial.select(F.lit(None).cast("string").alias("call_id"), scenario, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("tool"), F.lit("ok").alias("outcome"), "kind", F.lit("create").alias("action"), "id", F.col("fields").cast(_MAP).alias("fields"))
+    steps = numbered.select(
+        "call_id", scenario, F.col("pos").cast("long").alias("pos"), "tool", "outcome", "kind", "action", own.alias("id"),
+        fields.alias("fields")
+    )
+    first = initial.select(
+        F.lit(None).cast("string").alias("call_id"), scenario, F.lit(-1).cast("long").alias("pos"),
+        F.lit(None).cast("string").alias("tool"), F.lit("ok").alias("outcome"), "kind", F.lit("create").alias("action"), "id",
+        F.col("fields").cast(_MAP).alias("fields")
+    )
     looked_for = (F.col("outcome") == "ok") | ((F.col("action") == "update") & (F.col("outcome") == "validation"))
     touched = steps.where(looked_for & F.col("id").isNotNull()).withColumn("call_id", F.col("call_id").cast("string")).unionByName(first)
     exists = F.max((F.col("action") != "update").cast("int")).over(Window.partitionBy(scenario, "kind", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) == 1
     placed = touched.withColumn("__there", exists)
     lost = placed.where("NOT __there").select(scenario, "pos", F.lit("not_found").alias("__lost"))
-    ended = F.coalesce("__lost", F.when((F.col("action") == "update") & F.col("id").isNull() & F.col("outcome").isin("ok", "validation"), "not_found"), F.col("outcome"))
+    ended = F.coalesce(
+        "__lost", F.when((F.col("action") == "update") & F.col("id").isNull() & F.col("outcome").isin("ok", "validation"), "not_found"),
+        F.col("outcome")
+    )
     results = steps.join(lost, [scenario, "pos"], "left").withColumn("outcome", ended)
-    results = results.select("call_id", scenario, "pos", "tool", (F.col("outcome") == "ok").alias("success"), "outcome", F.when((F.col("outcome") == "ok"), F.col("id")).alias("id"))
-    kept = placed.where("__there AND action <> 'read' AND outcome = 'ok'").select(scenario, "kind", "id", "pos", F.explode_outer("fields").alias("key", "value"))
+    results = results.select(
+        "call_id", scenario, "pos", "tool", (F.col("outcome") == "ok").alias("success"), "outcome",
+        F.when((F.col("outcome") == "ok"), F.col("id")).alias("id")
+    )
+    kept = placed.where("__there AND action <> 'read' AND outcome = 'ok'").select(
+        scenario, "kind", "id", "pos", F.explode_outer("fields").alias("key", "value")
+    )
     last = kept.groupBy(scenario, "kind", "id", "key").agg(F.max_by("value", "pos").alias("value"))
     state = last.groupBy(scenario, "kind", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))).alias("fields"))  # the fields of one thing
     return results, state

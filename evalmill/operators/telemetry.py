@@ -20,10 +20,14 @@ def redact(fields: Column) -> Column:
     return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike("|".join(SECRET_KEYS)), F.lit(HIDDEN)).otherwise(v))
 
 
-def with_cost(calls: DataFrame, model: str = "model", tokens_in: str = "input_tokens", tokens_out: str = "output_tokens", prices: list[tuple] = PRICES) -> DataFrame:
+def with_cost(
+    calls: DataFrame, model: str = "model", tokens_in: str = "input_tokens", tokens_out: str = "output_tokens", prices: list[tuple] = PRICES
+) -> DataFrame:
     """Adds cost_usd; a model without a price costs nothing. The prices are a few literals: no join."""
     name = F.col(model)
-    price = lambda k: F.coalesce(F.try_element_at(F.create_map(*(x for p in prices for x in (F.lit(p[0]), F.lit(float(p[k]))))), name), F.lit(0.0))
+    price = lambda k: F.coalesce(
+        F.try_element_at(F.create_map(*(x for p in prices for x in (F.lit(p[0]), F.lit(float(p[k]))))), name), F.lit(0.0)
+    )
     return calls.withColumn("cost_usd", F.col(tokens_in) / 1e6 * price(1) + F.col(tokens_out) / 1e6 * price(2))
 
 
@@ -40,7 +44,9 @@ def trace_rollup(events: DataFrame, trace: list[str]) -> DataFrame:
 def attach_summaries(results: DataFrame, summaries: DataFrame, task: str = "task_id") -> DataFrame:
     """Results with the cost and trace id of their task's last summary."""
     last = summaries.groupBy(task).agg(F.max_by(F.struct("trace_id", "cost_usd"), "ts").alias("s"))
-    return results.join(last, task, "left").select(results["*"], F.col("s.trace_id").alias("trace_id"), F.coalesce("s.cost_usd", F.lit(0.0)).alias("cost_usd"))
+    return results.join(last, task, "left").select(
+        results["*"], F.col("s.trace_id").alias("trace_id"), F.coalesce("s.cost_usd", F.lit(0.0)).alias("cost_usd")
+    )
 
 
 def step_pairs(events: DataFrame, step: list[str], started: Column, completed: Column, outcome: Column | None = None) -> DataFrame:
@@ -54,7 +60,9 @@ def step_pairs(events: DataFrame, step: list[str], started: Column, completed: C
     out = events.groupBy(*step).agg(*aggregates).where("started IS NOT NULL OR completed IS NOT NULL").withColumn("duration_us", _micros("completed") - _micros("started"))
     if outcome is None:
         return out
-    return out.withColumn("outcome", F.when(F.col("completed").isNull(), "unfinished").when(F.col("__ok"), "success").otherwise("failed")).drop("__ok")
+    return out.withColumn(
+        "outcome", F.when(F.col("completed").isNull(), "unfinished").when(F.col("__ok"), "success").otherwise("failed")
+    ).drop("__ok")
 
 
 def request_outcomes(attempts: DataFrame, request: list[str], attempt: str, error: Column, retriable: Column) -> DataFrame:
@@ -70,4 +78,6 @@ def request_outcomes(attempts: DataFrame, request: list[str], attempt: str, erro
 
 def retry_rollup(requests: DataFrame, by: list[str]) -> DataFrame:
     """Requests by key with their mean and largest number of attempts."""
-    return requests.groupBy(*by).agg(F.count("*").alias("requests"), F.avg("attempts").alias("mean_attempts"), F.max("attempts").alias("max_attempts"))
+    return requests.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.avg("attempts").alias("mean_attempts"), F.max("attempts").alias("max_attempts")
+    )

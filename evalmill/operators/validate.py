@@ -18,10 +18,18 @@ SPLITS = ("train", "validation", "test")
 
 #: Tool, parameter, type, required, allowed values.
 TOOL_PARAMETERS = [
-    ("calendar.create_event", "title", "string", True, None), ("calendar.create_event", "start_date", "string", True, None), ("calendar.create_event", "start_time", "string", True, None), ("calendar.create_event", "duration_minutes", "integer", True, None),
-    ("calendar.update_event", "event_id", "string", True, None), ("calendar.update_event", "title", "string", False, None), ("calendar.update_event", "start_date", "string", False, None), ("calendar.update_event", "start_time", "string", False, None), ("calendar.update_event", "duration_minutes", "integer", False, None),
-    ("notion.create_task", "title", "string", True, None), ("notion.create_task", "due_date", "string", False, None), ("notion.create_task", "status", "string", False, "open,done"),
-    ("notion.update_task", "task_id", "string", True, None), ("notion.update_task", "title", "string", False, None), ("notion.update_task", "status", "string", False, "open,done"), ("notion.update_task", "due_date", "string", False, None),
+    ("calendar.create_event", "title", "string", True, None), ("calendar.create_event", "start_date", "string", True, None), ("calendar.create_event", "start_time", "string", True, None), (
+        "calendar.create_event", "duration_minutes", "integer", True, None
+    ),
+    ("calendar.update_event", "event_id", "string", True, None), ("calendar.update_event", "title", "string", False, None), ("calendar.update_event", "start_date", "string", False, None), ("calendar.update_event", "start_time", "string", False, None), (
+        "calendar.update_event", "duration_minutes", "integer", False, None
+    ),
+    ("notion.create_task", "title", "string", True, None), ("notion.create_task", "due_date", "string", False, None), (
+        "notion.create_task", "status", "string", False, "open,done"
+    ),
+    ("notion.update_task", "task_id", "string", True, None), ("notion.update_task", "title", "string", False, None), (
+        "notion.update_task", "status", "string", False, "open,done"
+    ), ("notion.update_task", "due_date", "string", False, None),
     ("gmail.create_draft", "recipient", "string", True, None), ("gmail.create_draft", "body", "string", True, None), ("gmail.create_draft", "subject", "string", False, None), ("gmail.create_draft", "thread_id", "string", False, None),
     ("gmail.send_email", "recipient", "string", True, None), ("gmail.send_email", "body", "string", True, None), ("gmail.send_email", "subject", "string", False, None),
     ("clipboard.write", "text", "string", True, None),
@@ -85,7 +93,9 @@ def scenario_issues(rows: DataFrame, keys: list[str], text: str = "text") -> Dat
 def shape_issues(rows: DataFrame, keys: list[str], shape, text: str = "text") -> DataFrame:
     """(keys, path, code): what is wrong with JSON texts that should have a declared shape."""
     told = rows.select(*keys, shaped(shape)(text).alias("__s"))
-    listed = F.when(F.col("__s.error").isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col("__s.error").alias("code")))).otherwise(F.col("__s.issues"))
+    listed = F.when(
+        F.col("__s.error").isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col("__s.error").alias("code")))
+    ).otherwise(F.col("__s.issues"))
     return told.select(*keys, F.explode(listed).alias("__i")).select(*keys, F.col("__i.path").alias("path"), F.col("__i.code").alias("code"))
 
 
@@ -101,12 +111,21 @@ def line_issues(lines: DataFrame) -> DataFrame:
     out = out.withColumn("__c", strict_json(F.when(F.size("__s.issues") == 0, F.get(messages, F.size(messages) - 1)["content"])))
     places = F.array_join(F.transform("__s.issues", lambda i: F.concat_ws(":", i["path"], i["code"])), ",")
     roles = F.transform(messages, lambda m: m["role"])
-    content = F.when(F.col("__c.error").isNotNull(), issue("invalid_assistant_json", F.col("__c.error"))).when(F.size(messages) > 0, F.when(F.col("__c.kind") != "list", issue("invalid_assistant_json", F.concat(F.lit("expected list, got "), F.col("__c.kind")))))
+    content = F.when(F.col("__c.error").isNotNull(), issue("invalid_assistant_json", F.col("__c.error"))).when(
+        F.size(messages) > 0,
+        F.when(F.col("__c.kind") != "list", issue("invalid_assistant_json", F.concat(F.lit("expected list, got "), F.col("__c.kind"))))
+    )
     found = (
-        F.when(is_blank(F.col("line")), F.array(issue("blank_line"))).when(F.col("__s.error").isNotNull(), F.array(issue("invalid_json", F.col("__s.error")))).when(F.size("__s.issues") > 0, F.array(issue("invalid_shape", places)))
-        .otherwise(F.array_compact(F.array(F.when(~roles.eqNullSafe(F.array(*map(F.lit, ROLES))), issue("invalid_roles", F.array_join(roles, ","))), content)))
+        F.when(is_blank(F.col("line")), F.array(issue("blank_line"))).when(
+            F.col("__s.error").isNotNull(), F.array(issue("invalid_json", F.col("__s.error")))
+        ).when(F.size("__s.issues") > 0, F.array(issue("invalid_shape", places)))
+        .otherwise(F.array_compact(F.array(
+            F.when(~roles.eqNullSafe(F.array(*map(F.lit, ROLES))), issue("invalid_roles", F.array_join(roles, ","))), content
+        )))
     )
-    return out.select("split", "line_number", F.explode(found).alias("__i")).select("split", "line_number", F.lit("error").alias("severity"), F.col("__i.code").alias("code"), F.col("__i.detail").alias("detail"))
+    return out.select("split", "line_number", F.explode(found).alias("__i")).select(
+        "split", "line_number", F.lit("error").alias("severity"), F.col("__i.code").alias("code"), F.col("__i.detail").alias("detail")
+    )
 
 
 #: Lines with such an issue are no JSON.
@@ -118,21 +137,33 @@ def count_issues(lines: DataFrame, counts: DataFrame) -> DataFrame:
     actual = lines.groupBy("split").agg(F.count("*").alias("n"))
     both = counts.select("split", "count").join(actual, "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     detail = F.concat_ws(",", F.col("count").cast("string"), F.col("n").cast("string"))
-    return both.where("count <> n").select("split", F.lit(None).cast("long").alias("line_number"), F.lit("error").alias("severity"), F.lit("manifest_count").alias("code"), detail.alias("detail"))
+    return both.where("count <> n").select(
+        "split", F.lit(None).cast("long").alias("line_number"), F.lit("error").alias("severity"), F.lit("manifest_count").alias("code"),
+        detail.alias("detail")
+    )
 
 
 def line_report(lines: DataFrame, issues: DataFrame) -> DataFrame:
     """Lines of each split, those that are JSON and those that are not, and whether the split is free of errors. A line that is JSON of a wrong shape is an error but not among the invalid lines."""
-    errors = issues.where("severity = 'error'").groupBy("split").agg(F.count("*").alias("errors"), F.count_distinct(F.when(F.col("code").isin(*NO_JSON), F.col("line_number"))).alias("invalid"))
-    out = lines.groupBy("split").agg(F.count("*").alias("actual")).join(errors, "split", "full").withColumns({"actual": F.coalesce("actual", F.lit(0)), "invalid": F.coalesce("invalid", F.lit(0))})
-    return out.select("split", "actual", (F.col("actual") - F.col("invalid")).alias("valid_lines"), F.col("invalid").alias("invalid_lines"), (F.coalesce("errors", F.lit(0)) == 0).alias("valid"))
+    errors = issues.where("severity = 'error'").groupBy("split").agg(
+        F.count("*").alias("errors"), F.count_distinct(F.when(F.col("code").isin(*NO_JSON), F.col("line_number"))).alias("invalid")
+    )
+    out = lines.groupBy("split").agg(F.count("*").alias("actual")).join(errors, "split", "full").withColumns({
+        "actual": F.coalesce("actual", F.lit(0)), "invalid": F.coalesce("invalid", F.lit(0))
+    })
+    return out.select(
+        "split", "actual", (F.col("actual") - F.col("invalid")).alias("valid_lines"), F.col("invalid").alias("invalid_lines"),
+        (F.coalesce("errors", F.lit(0)) == 0).alias("valid")
+    )
 
 
 def split_overlaps(manifest: DataFrame) -> DataFrame:
     """Each further use of a source row in a manifest (split, pos, source_index, source_row_id_json), with the split that had it before."""
     place = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split"))
     w = Window.partitionBy("source_index", F.coalesce("source_row_id_json", F.lit("null"))).orderBy(place, "pos")
-    return manifest.withColumn("previous_split", F.lag("split").over(w)).where("previous_split IS NOT NULL").select("source_index", "source_row_id_json", "previous_split", "split", "pos")
+    return manifest.withColumn("previous_split", F.lag("split").over(w)).where("previous_split IS NOT NULL").select(
+        "source_index", "source_row_id_json", "previous_split", "split", "pos"
+    )
 
 
 def manifest_count_issues(manifest: DataFrame, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -140,7 +171,10 @@ def manifest_count_issues(manifest: DataFrame, rows: DataFrame, by: list[str] |
     by = by or []
     counted = rows.groupBy(*by).agg(F.count("*").alias("__listed"))
     both = manifest.join(counted, by, "left") if by else manifest.crossJoin(F.broadcast(counted))  # one row
-    wrong = failed({"split_counts": F.coalesce("__listed", F.lit(0)) != F.col("converted"), "converted_count": F.col("loaded") - F.col("skipped") != F.col("converted")})
+    wrong = failed({
+        "split_counts": F.coalesce("__listed", F.lit(0)) != F.col("converted"),
+        "converted_count": F.col("loaded") - F.col("skipped") != F.col("converted")
+    })
     return both.select(*by, F.explode(wrong).alias("code"))
 
 
@@ -148,7 +182,10 @@ def manifest_metadata_issues(manifest: DataFrame, by: list[str] | None = None) -
     """Missing hash or revision are errors, skipped rows a warning: (by, severity, code)."""
     empty = lambda c: is_blank(F.col(c))
     issue = lambda bad, severity, code: F.when(bad, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
-    issues = F.array_compact(F.array(issue(empty("config_hash"), "error", "missing_config_hash"), issue(empty("dataset_revision"), "error", "missing_revision"), issue(F.col("skipped") > 0, "warning", "skipped_rows")))
+    issues = F.array_compact(F.array(
+        issue(empty("config_hash"), "error", "missing_config_hash"), issue(empty("dataset_revision"), "error", "missing_revision"),
+        issue(F.col("skipped") > 0, "warning", "skipped_rows")
+    ))
     return manifest.select(*(by or []), F.explode(issues).alias("i")).select(*(by or []), "i.*")
 
 
@@ -175,15 +212,21 @@ def select_scenarios(scenarios: DataFrame, wanted: DataFrame, limit: int | None
 
 def plan_issues(tasks: DataFrame, max_steps: str = "max_plan_steps") -> DataFrame:
     """Steps of a plan (task_id, plan, available_tools) that name no available tool, by index; and plans that are too long (index null)."""
-    steps = tasks.select("task_id", F.posexplode("plan").alias("step_index", "tool"), "available_tools").where(~F.array_contains("available_tools", F.col("tool")))
-    long = tasks.where(F.size("plan") > F.col(max_steps)).select("task_id", F.lit(None).cast("int").alias("step_index"), F.lit("plan_too_long").alias("code"))
+    steps = tasks.select(
+        "task_id", F.posexplode("plan").alias("step_index", "tool"), "available_tools"
+    ).where(~F.array_contains("available_tools", F.col("tool")))
+    long = tasks.where(F.size("plan") > F.col(max_steps)).select(
+        "task_id", F.lit(None).cast("int").alias("step_index"), F.lit("plan_too_long").alias("code")
+    )
     return steps.select("task_id", "step_index", F.lit("unknown_tool").alias("code")).unionByName(long)
 
 
 def call_contract_issues(calls: DataFrame, parameters: list[tuple] = TOOL_PARAMETERS) -> DataFrame:
     """Calls (call_id, tool, arguments map of canonical JSON) against the tools' parameters: unknown tool or key, missing key, wrong type or value."""
     spark = calls.sparkSession
-    rules = F.broadcast(spark.createDataFrame(parameters, "tool string, param string, type string, required boolean, allowed string"))  # a fixed small table
+    rules = F.broadcast(spark.createDataFrame(
+        parameters, "tool string, param string, type string, required boolean, allowed string"
+    ))  # a fixed small table
     tools = F.broadcast(rules.select("tool").distinct().union(spark.createDataFrame([(t,) for t in TOOLS_WITHOUT_PARAMETERS], "tool string")))
     unknown = calls.join(tools, "tool", "left_anti").select("call_id", F.lit(None).cast("string").alias("param"), F.lit("unknown_tool").alias("code"))
     known = calls.join(tools, "tool", "left_semi")
@@ -191,7 +234,9 @@ def call_contract_issues(calls: DataFrame, parameters: list[tuple] = TOOL_PARAME
     integer = F.col("value").rlike(r"^-?\d+\z")
     code = (
         F.when(F.col("type").isNull(), "unknown_argument").when((F.col("type") == "string") & ~F.col("value").startswith('"'), "wrong_type")
-        .when((F.col("type") == "integer") & ~integer, "wrong_type").when((F.col("type") == "integer") & (F.try_to_number("value", F.lit("S999999999")) < 1), "below_minimum")
+        .when((F.col("type") == "integer") & ~integer, "wrong_type").when(
+            (F.col("type") == "integer") & (F.try_to_number("value", F.lit("S999999999")) < 1), "below_minimum"
+        )
         .when(F.col("allowed").isNotNull() & ~F.array_contains(F.split("allowed", ","), F.regexp_replace("value", '"', "")), "not_allowed")
     )
     wrong = given.withColumn("code", code).where("code IS NOT NULL").select("call_id", "param", "code")
@@ -208,10 +253,15 @@ def retriable(error: Column, status: Column) -> Column:
     """struct(retriable, cause) of an attempt's error class name and HTTP status."""
     http = F.concat(F.lit("http_"), status.cast("string"))
     cause = (
-        F.when(error.isin(*RETRIABLE_ERRORS), F.concat(F.lit("connection_"), F.lower(error))).when(status.isNull(), F.concat(F.lit("unknown_"), error))
+        F.when(
+            error.isin(*RETRIABLE_ERRORS), F.concat(F.lit("connection_"), F.lower(error))
+        ).when(status.isNull(), F.concat(F.lit("unknown_"), error))
         .when(status.isin(*RETRIABLE_STATUSES, *FINAL_STATUSES), http).otherwise(F.concat(http, F.lit("_unclassified")))
     )
-    return F.struct((error.isin(*RETRIABLE_ERRORS) | F.coalesce(status.isin(*RETRIABLE_STATUSES), F.lit(False))).alias("retriable"), cause.alias("cause"))
+    return F.struct(
+        (error.isin(*RETRIABLE_ERRORS) | F.coalesce(status.isin(*RETRIABLE_STATUSES), F.lit(False))).alias("retriable"),
+        cause.alias("cause")
+    )
 
 
 def request_type(tools: Column) -> Column:

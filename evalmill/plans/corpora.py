@@ -36,10 +36,17 @@ def split_preview(spark, sf_dir: str) -> DataFrame:
 def sft_rows(spark, sf_dir: str) -> DataFrame:
     """Every turn that is not an assistant's as a source row: a user's asks, the assistant's words behind it, if they come next, are the answer's argument."""
     after = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)}).where("role <> 'assistant'")
+    c = table(spark, sf_dir, "conversations").withColumns({
+        "next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)
+    }).where("role <> 'assistant'")
     index = F.col("conv_id") * 1000 + F.col("turn")
-    rows = c.select(index.alias("source_index"), F.when(F.col("role") == "user", F.col("text")).alias("query"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("said"))
-    answers = F.when(F.col("said").isNotNull(), F.concat(F.lit('[{"name": "reply", "arguments": {"n": '), F.length("said").cast("string"), F.lit("}}]")))
+    rows = c.select(
+        index.alias("source_index"), F.when(F.col("role") == "user", F.col("text")).alias("query"),
+        F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("said")
+    )
+    answers = F.when(
+        F.col("said").isNotNull(), F.concat(F.lit('[{"name": "reply", "arguments": {"n": '), F.length("said").cast("string"), F.lit("}}]"))
+    )
     tools = F.when(F.col("source_index") % 5 == 0, '{"name":"reply"}').when(F.col("source_index") % 7 == 0, "[not json]").otherwise('[{"name":"reply"}]')
     out = rows.withColumns({"answers": answers, "tools": tools, "source_row_id_json": F.col("source_index").cast("string")})
     prepared, skipped = prepare.prepare(out, "Use the tools.", 1)
@@ -51,7 +58,9 @@ def _source_rows(spark, sf_dir: str) -> DataFrame:
     """Conversations as source rows: what the first user turn asks, with one or two tools; some offer a meta-tool themselves."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     rows = c.groupBy(F.col("conv_id").alias("source_index")).agg(F.min_by("text", "turn").alias("query"))
-    tools = F.when(F.col("source_index") % 3 == 0, '[ {"name": "refuse_request"} , {"parameters": {}, "name": "reply"} ]').when(F.col("source_index") % 7 == 0, "[]").otherwise('[{"name":"reply"}]')
+    tools = F.when(
+        F.col("source_index") % 3 == 0, '[ {"name": "refuse_request"} , {"parameters": {}, "name": "reply"} ]'
+    ).when(F.col("source_index") % 7 == 0, "[]").otherwise('[{"name":"reply"}]')
     return rows.withColumns({"answers": F.lit("[ ]"), "tools": tools, "source_row_id_json": F.col("source_index").cast("string")})
 
 
@@ -63,25 +72,34 @@ def user_messages(spark, sf_dir: str) -> DataFrame:
 
 def prepared_first(spark, sf_dir: str) -> DataFrame:
     """Only the first rows by source order are looked at, good or not: the cap is the operator's."""
-    prepared, skipped = prepare.prepare(_source_rows(spark, sf_dir).withColumn("answers", F.when(F.col("source_index") % 4 > 0, "[]")), "Use the tools.", 1, max_rows=50)
+    prepared, skipped = prepare.prepare(
+        _source_rows(spark, sf_dir).withColumn("answers", F.when(F.col("source_index") % 4 > 0, "[]")), "Use the tools.", 1, max_rows=50
+    )
     return prepared.select("source_index", F.lit("").alias("reason")).union(skipped.select("source_index", "reason"))
 
 
 def role_check(spark, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ","
+    ).alias("roles"))
     ok = F.col("roles") == ",".join(validate.ROLES)
     return c.groupBy("roles").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"))
 
 
 def mix_repeat(spark, sf_dir: str) -> DataFrame:
     d = ranks.split_by_hash(_hashed(spark, sf_dir), "row_hash", "doc_id")
-    rows = d.select(F.when(F.col("lang") == "en", "external").otherwise("control").alias("source"), "split", F.col("doc_id").alias("idx"), F.when(F.col("lang") == "fr", '[{"name":"refuse_request"}]').when(F.col("lang") == "de", "[]").otherwise('[{"name":"a.b"}]').alias("assistant"))
+    rows = d.select(
+        F.when(F.col("lang") == "en", "external").otherwise("control").alias("source"), "split", F.col("doc_id").alias("idx"),
+        F.when(F.col("lang") == "fr", '[{"name":"refuse_request"}]').when(F.col("lang") == "de", "[]").otherwise('[{"name":"a.b"}]').alias("assistant")
+    )
     return prepare.mix(rows, 3).select("row_id", "split", "pos")
 
 
 def running_index(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("pos", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1)
-    return ranks.running_index(rows.select("doc_id", "source", "lang", "pos"), ["source", "lang"], [F.col("source"), F.col("lang")], "pos").select("doc_id", "output_index")
+    return ranks.running_index(
+        rows.select("doc_id", "source", "lang", "pos"), ["source", "lang"], [F.col("source"), F.col("lang")], "pos"
+    ).select("doc_id", "output_index")
 
 
 def _words(spark, sf_dir: str) -> tuple[int, dict[str, list[str]]]:
@@ -93,14 +111,23 @@ def _words(spark, sf_dir: str) -> tuple[int, dict[str, list[str]]]:
 def templated_rows(spark, sf_dir: str) -> DataFrame:
     """As many templated rows as documents, with the nations' and regions' names in turn."""
     n, words = _words(spark, sf_dir)
-    plan = [("clarification", "Change {place}."), ("refusal", "Order {part} now."), ("clarification", "Move {part} to {place}."), ("direct", "Add {place}: {part}")]
+    plan = [
+        ("clarification", "Change {place}."), ("refusal", "Order {part} now."), ("clarification", "Move {part} to {place}."),
+        ("direct", "Add {place}: {part}")
+    ]
     return prepare.templated(spark, n, plan, words)
 
 
 _FAMILIES = [
-    ("clarification_pair", "missing_info", "request_clarification", "Change {place}."), ("clarification_pair", "explicit_info", "direct_tool_call", "Change {place} to {part}."),
-    ("refusal_pair", "unsafe_or_unsupported", "refuse_request", "Buy {place}."), ("refusal_pair", "safe_allowed", "direct_tool_call", "Note {place}."),
-    ("act_clarify_refuse_triplet", "act", "direct_tool_call", "Add {place}: {part}"), ("act_clarify_refuse_triplet", "clarify", "request_clarification", "Add {place}."), ("act_clarify_refuse_triplet", "refuse", "refuse_request", "Sell {part}."),
+    ("clarification_pair", "missing_info", "request_clarification", "Change {place}."), (
+        "clarification_pair", "explicit_info", "direct_tool_call", "Change {place} to {part}."
+    ),
+    (
+        "refusal_pair", "unsafe_or_unsupported", "refuse_request", "Buy {place}."
+    ), ("refusal_pair", "safe_allowed", "direct_tool_call", "Note {place}."),
+    ("act_clarify_refuse_triplet", "act", "direct_tool_call", "Add {place}: {part}"), (
+        "act_clarify_refuse_triplet", "clarify", "request_clarification", "Add {place}."
+    ), ("act_clarify_refuse_triplet", "refuse", "refuse_request", "Sell {part}."),
 ]
 _WANTED = {f: ([r for g, r, *_ in _FAMILIES if g == f], [b for g, _, b, _ in _FAMILIES if g == f]) for f in dict.fromkeys(x[0] for x in _FAMILIES)}
 
@@ -108,18 +135,29 @@ _WANTED = {f: ([r for g, r, *_ in _FAMILIES if g == f], [b for g, _, b, _ in _FA
 def contrast_families(spark, sf_dir: str) -> DataFrame:
     """Pairs and triplets of contrasting rows, as many groups in all as there are documents."""
     n, words = _words(spark, sf_dir)
-    return prepare.families(spark, {"clarification_pair": n // 2, "refusal_pair": n // 4, "act_clarify_refuse_triplet": n - n // 2 - n // 4}, _FAMILIES, words).drop("place")
+    return prepare.families(
+        spark, {"clarification_pair": n // 2, "refusal_pair": n // 4, "act_clarify_refuse_triplet": n - n // 2 - n // 4}, _FAMILIES, words
+    ).drop("place")
 
 
 def coverage_crossed(spark, sf_dir: str) -> DataFrame:
     topics = table(spark, sf_dir, "nation").select(F.col("n_name").alias("topic"))
-    kinds = table(spark, sf_dir, "region").select(F.concat(F.lit("Plan {topic} in "), F.col("r_name")).alias("template"), F.when(F.col("r_regionkey") == 0, "refusal").when(F.col("r_regionkey") == 1, "clarification").otherwise("tool_call").alias("expected_type"))
-    return prepare.crossed(topics, kinds).select("topic", "user_input", "expected_type", F.array_join("success_criteria", ",").alias("success_criteria"))
+    kinds = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("Plan {topic} in "), F.col("r_name")).alias("template"),
+        F.when(F.col("r_regionkey") == 0, "refusal").when(F.col("r_regionkey") == 1, "clarification").otherwise("tool_call").alias("expected_type")
+    )
+    return prepare.crossed(topics, kinds).select(
+        "topic", "user_input", "expected_type", F.array_join("success_criteria", ",").alias("success_criteria")
+    )
 
 
 def manifest_overlap(spark, sf_dir: str) -> DataFrame:
-    d = ranks.split_by_hash(_hashed(spark, sf_dir), "row_hash", "doc_id").select("split", "pos", F.col("doc_id").alias("source_index"), F.col("doc_id").cast("string").alias("source_row_id_json"))
-    twice = d.union(d.where("source_index % 9 = 0").select("split", F.col("pos") + 1000000, "source_index", "source_row_id_json")).union(d.where("source_index % 11 = 0").select(F.lit("test"), F.col("pos") + 2000000, "source_index", "source_row_id_json"))
+    d = ranks.split_by_hash(_hashed(spark, sf_dir), "row_hash", "doc_id").select(
+        "split", "pos", F.col("doc_id").alias("source_index"), F.col("doc_id").cast("string").alias("source_row_id_json")
+    )
+    twice = d.union(d.where("source_index % 9 = 0").select("split", F.col("pos") + 1000000, "source_index", "source_row_id_json")).union(d.where("source_index % 11 = 0").select(
+        F.lit("test"), F.col("pos") + 2000000, "source_index", "source_row_id_json"
+    ))
     return validate.split_overlaps(twice).select("source_index", "previous_split", "split", "pos")
 
 
@@ -127,9 +165,18 @@ def _lines(spark, sf_dir: str) -> DataFrame:
     """Turns as lines of a split's file: blank ones, broken JSON, other shapes, other roles and answers of all kinds, in any combination."""
     message = lambda role, content: F.concat(F.lit('{"role":"'), role, F.lit('","content":'), content, F.lit("}"))
     answer = F.when(F.col("turn") == 2, '"{}"').when(F.col("conv_id") % 7 == 3, '"[1"').when(F.col("conv_id") % 11 == 4, "7").otherwise('"[]"')
-    listed = F.concat(F.lit('{"messages":['), F.concat_ws(",", message(F.lit("system"), F.lit('"s"')), message(F.col("role"), F.lit('"q"')), message(F.lit("assistant"), answer)), F.lit("]"), F.when(F.col("conv_id") % 13 == 5, ',"more":null').otherwise(""), F.lit("}"))
-    line = F.when(F.col("turn") == 5, F.when(F.col("conv_id") % 2 == 0, "\u2003 \t").otherwise("")).when(F.col("turn") == 4, "{").when(F.col("role") == "assistant", "[1]").otherwise(listed)
-    return table(spark, sf_dir, "conversations").select(F.when(F.col("conv_id") % 10 < 7, "train").otherwise("test").alias("split"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_number"), line.alias("line"))
+    listed = F.concat(
+        F.lit('{"messages":['),
+        F.concat_ws(",", message(F.lit("system"), F.lit('"s"')), message(F.col("role"), F.lit('"q"')), message(F.lit("assistant"), answer)),
+        F.lit("]"), F.when(F.col("conv_id") % 13 == 5, ',"more":null').otherwise(""), F.lit("}")
+    )
+    line = F.when(
+        F.col("turn") == 5, F.when(F.col("conv_id") % 2 == 0, "\u2003 \t").otherwise("")
+    ).when(F.col("turn") == 4, "{").when(F.col("role") == "assistant", "[1]").otherwise(listed)
+    return table(spark, sf_dir, "conversations").select(
+        F.when(F.col("conv_id") % 10 < 7, "train").otherwise("test").alias("split"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("line_number"), line.alias("line")
+    )
 
 
 def manifest_report(spark, sf_dir: str) -> DataFrame:
@@ -137,7 +184,9 @@ def manifest_report(spark, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     counts = lines.groupBy("split").agg((F.count("*") + F.when(F.col("split") == "test", 1).otherwise(0)).alias("count"))
     issues = validate.line_issues(lines).unionByName(validate.count_issues(lines, counts))
-    return validate.line_report(lines, issues).join(issues.groupBy("split").agg(F.count_if(F.col("code") == "manifest_count").alias("count_issues")), "split", "left")
+    return validate.line_report(lines, issues).join(
+        issues.groupBy("split").agg(F.count_if(F.col("code") == "manifest_count").alias("count_issues")), "split", "left"
+    )
 
 
 def line_codes(spark, sf_dir: str) -> DataFrame:
@@ -153,7 +202,10 @@ def shared_sources(spark, sf_dir: str) -> DataFrame:
     """Sources that a language shares with the one before it in the alphabet, for all languages."""
     d = table(spark, sf_dir, "documents")
     langs = ["de", "en", "es", "fr"]
-    found = [validate.in_both(d.where(F.col("lang") == a), d.where(F.col("lang") == b), "source").select(F.lit(b).alias("lang"), "source") for a, b in zip(langs, langs[1:], strict=False)]
+    found = [
+        validate.in_both(d.where(F.col("lang") == a), d.where(F.col("lang") == b), "source").select(F.lit(b).alias("lang"), "source") for a,
+        b in zip(langs, langs[1:], strict=False)
+    ]
     return found[0].union(found[1]).union(found[2])
 
 
@@ -165,13 +217,17 @@ def missing_numbers(spark, sf_dir: str) -> DataFrame:
 def text_stats(spark, sf_dir: str) -> DataFrame:
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != ""))
     rows = table(spark, sf_dir, "documents").withColumn("full", words).withColumn("prompt", F.floor(F.col("full") * 9 / 10).cast("int"))
-    return metrics.token_summary(metrics.token_diagnostics(rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512))
+    return metrics.token_summary(metrics.token_diagnostics(
+        rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512
+    ))
 
 
 def problem_rows(spark, sf_dir: str) -> DataFrame:
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != ""))
     rows = table(spark, sf_dir, "documents").withColumn("full", words).withColumn("prompt", F.floor(F.col("full") * 9 / 10).cast("int"))
-    out = metrics.problem_rows(metrics.token_diagnostics(rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512), "doc_id")
+    out = metrics.problem_rows(
+        metrics.token_diagnostics(rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512), "doc_id"
+    )
     return out.select("doc_id", "input_tokens", "trainable_label_tokens", F.array_join("issues", ",").alias("issues"))
 
 
@@ -179,7 +235,9 @@ def trainable_rows(spark, sf_dir: str) -> DataFrame:
     """The documents that leave something to learn from, by their tokens."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\t\n\r\f\x0b]+"), lambda w: w != ""))
     rows = table(spark, sf_dir, "documents").withColumn("full", words).withColumn("prompt", F.floor(F.col("full") * 9 / 10).cast("int"))
-    out = metrics.trainable_only(metrics.token_diagnostics(rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512))
+    out = metrics.trainable_only(metrics.token_diagnostics(
+        rows, F.col("prompt"), F.col("full"), F.when(F.col("doc_id") % 17 == 0, 2).otherwise(3), 512
+    ))
     return out.select("doc_id", "trainable_label_tokens")
 
 
@@ -187,10 +245,17 @@ def contrast_groups(spark, sf_dir: str) -> DataFrame:
     """Documents as examples in groups of two or three by number; what their languages and lengths make of roles and behaviors is rarely what a family asks for."""
     i, lang = F.col("doc_id"), F.col("lang")
     pair = F.floor(i / 6) % 3
-    group = F.when(pair == 0, F.concat(F.lit("clarification_pair_"), F.floor(i / 2).cast("string"))).when(pair == 1, F.concat(F.lit("act_clarify_refuse_triplet_"), F.floor(i / 3).cast("string"))).when(i % 5 == 0, F.concat(F.lit("other_"), i.cast("string")))
-    role = F.when(pair == 0, F.when(i % 2 == 0, "missing_info").otherwise("explicit_info")).otherwise(F.when(lang == "en", "act").when(lang == "fr", "clarify").otherwise("refuse"))
+    group = F.when(pair == 0, F.concat(F.lit("clarification_pair_"), F.floor(i / 2).cast("string"))).when(
+        pair == 1, F.concat(F.lit("act_clarify_refuse_triplet_"), F.floor(i / 3).cast("string"))
+    ).when(i % 5 == 0, F.concat(F.lit("other_"), i.cast("string")))
+    role = F.when(
+        pair == 0, F.when(i % 2 == 0, "missing_info").otherwise("explicit_info")
+    ).otherwise(F.when(lang == "en", "act").when(lang == "fr", "clarify").otherwise("refuse"))
     behavior = F.when(i % 2 == 0, F.when(F.col("n_chars") % 3 > 0, "request_clarification").otherwise("refuse_request")).otherwise("direct_tool_call")
-    return metrics.contrast_groups(table(spark, sf_dir, "documents").select(group.alias("contrast_group"), role.alias("contrast_role"), behavior.alias("behavior_type")), _WANTED)
+    return metrics.contrast_groups(
+        table(spark, sf_dir, "documents").select(group.alias("contrast_group"), role.alias("contrast_role"), behavior.alias("behavior_type")),
+        _WANTED
+    )
 
 
 def family_check(spark, sf_dir: str) -> DataFrame:
@@ -221,9 +286,14 @@ def leak_members(spark, sf_dir: str) -> DataFrame:
 
 def leak_ids(spark, sf_dir: str) -> DataFrame:
     n = (F.col("doc_id") % 97).cast("string")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.lit("a/set/of"), F.lit("item"), n, F.lit("and/more"), "lang").alias("row_name"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("/", "source", F.lit("a/set/of"), F.lit("item"), n, F.lit("and/more"), "lang").alias("row_name")
+    )
     i = F.col("item_id").cast("string")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("item_"), i)).otherwise(F.concat(F.lit("a_set_of_item_"), i, F.lit("_and_more"))).alias("eval_name"))
+    b = table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("item_"), i)).otherwise(F.concat(F.lit("a_set_of_item_"), i, F.lit("_and_more"))).alias("eval_name")
+    )
     return leakage.id_leaks(d, "row_name", b, "eval_name")
 
 
@@ -252,12 +322,19 @@ def shared_structure(spark, sf_dir: str) -> DataFrame:
 
 
 def unseen_combinations(spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))).alias("tools"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(
+        "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")
+    )).alias("tools"))
     return leakage.unseen_combinations(e.where("l_orderkey % 10 = 0"), e.where("l_orderkey % 10 <> 0")).select("l_orderkey", "combo")
 
 
 def metadata_leaks(spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"a":[{"success_criteria":'), F.col("props"), F.lit("}]}"))).otherwise(F.col("props")).alias("payload"))
+    e = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(
+            F.col("event_id") % 7 == 0, F.concat(F.lit('{"a":[{"success_criteria":'), F.col("props"), F.lit("}]}"))
+        ).otherwise(F.col("props")).alias("payload")
+    )
     return leakage.metadata_leaks(e, "event_id", "payload")
 
 
@@ -285,7 +362,11 @@ def manifest_checks(spark, sf_dir: str) -> DataFrame:
     rows = ranks.split_by_hash(_hashed(spark, sf_dir), "row_hash", "doc_id").select("source", "split")
     n = rows.groupBy("source").agg(F.count("*").alias("listed"))
     part = hex_bucket(F.col("source"), 4)
-    heads = n.select("source", "listed", (F.col("listed") + 2).alias("loaded"), F.lit(2).cast("long").alias("skipped"), (F.col("listed") + F.when(part == 1, 1).otherwise(0)).alias("converted"), F.when(part == 2, " ").otherwise("h").alias("config_hash"), F.when(part != 3, "r").alias("dataset_revision"))
+    heads = n.select(
+        "source", "listed", (F.col("listed") + 2).alias("loaded"), F.lit(2).cast("long").alias("skipped"),
+        (F.col("listed") + F.when(part == 1, 1).otherwise(0)).alias("converted"),
+        F.when(part == 2, " ").otherwise("h").alias("config_hash"), F.when(part != 3, "r").alias("dataset_revision")
+    )
     counts = validate.manifest_count_issues(heads, rows, ["source"])
     about = validate.manifest_metadata_issues(heads, ["source"])
     return counts.select("source", F.lit("error").alias("severity"), "code").union(about.select("source", "severity", "code"))
@@ -294,7 +375,10 @@ def manifest_checks(spark, sf_dir: str) -> DataFrame:
 def config_hashes(spark, sf_dir: str) -> DataFrame:
     """Each source's and language's settings, as JSON in no special order, hashed without where output goes."""
     d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    settings = F.concat(F.lit('{ "source": "'), "source", F.lit('", "output_dir": "/out/'), "lang", F.lit('", "n": '), F.col("n").cast("string"), F.lit(', "lang": "'), "lang", F.lit('"}'))
+    settings = F.concat(
+        F.lit('{ "source": "'), "source", F.lit('", "output_dir": "/out/'), "lang", F.lit('", "n": '), F.col("n").cast("string"),
+        F.lit(', "lang": "'), "lang", F.lit('"}')
+    )
     return d.select("source", "lang", settings_hash(settings).alias("config_hash"))
 
 
@@ -305,7 +389,10 @@ def review_rows(spark, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("source_index"), F.col("event_id").cast("string").alias("source_row_id_json"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 6 == 0, F.lit(None)).when(F.col("event_id") % 6 == 1, "[1, 2,").when(F.col("event_id") % 6 == 2, F.col("props")).when(F.col("event_id") % 6 == 3, "null").otherwise(F.concat(F.lit("[ "), F.col("props"), F.lit(" ]"))).alias("answers"),
         F.get(F.array(*map(F.lit, ("7", "[ ]", "1.5", "true", '"text"', '[ {"name": "x"} ]'))), (F.col("event_id") % 7).cast("int")).alias("tools"),
     )
-    return prepare.review_rows(rows).select("source_index", F.coalesce("answers", F.lit("-")).alias("answers"), F.coalesce("tools", F.lit("-")).alias("tools"), F.array_join("parse_errors", ";").alias("parse_errors"))
+    return prepare.review_rows(rows).select(
+        "source_index", F.coalesce("answers", F.lit("-")).alias("answers"), F.coalesce("tools", F.lit("-")).alias("tools"),
+        F.array_join("parse_errors", ";").alias("parse_errors")
+    )
 
 
 def parsed_outputs(spark, sf_dir: str) -> DataFrame:
@@ -314,11 +401,20 @@ def parsed_outputs(spark, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     call = lambda name, args: F.concat(F.lit(f'{{"{name}": "notion.create_task", "{args}": {{"k": '), k, F.lit("}}"))
     raw = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit("Sure: ["), call("name", "arguments"), F.lit("] done"))).when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), call("function_name", "params"), F.lit("\n```")))
-        .when(F.col("event_type") == "signup", F.concat(F.lit('[{"name": "request_clarification", "arguments": {"question": "Which '), k, F.lit('?"}}]'))).when(F.col("event_type") == "purchase", F.concat(F.lit('["notion.create_task", {"k": '), k, F.lit("}]"))).otherwise(F.concat(F.lit("no [json "), k))
+        F.when(F.col("event_type") == "click", F.concat(F.lit("Sure: ["), call("name", "arguments"), F.lit("] done"))).when(
+            F.col("event_type") == "view", F.concat(F.lit("```json\n"), call("function_name", "params"), F.lit("\n```"))
+        )
+        .when(
+            F.col("event_type") == "signup",
+            F.concat(F.lit('[{"name": "request_clarification", "arguments": {"question": "Which '), k, F.lit('?"}}]'))
+        ).when(F.col("event_type") == "purchase", F.concat(F.lit('["notion.create_task", {"k": '), k, F.lit("}]"))).otherwise(F.concat(F.lit("no [json "), k))
     )
     out = scoring.parse_outputs(e.select("event_id", raw.alias("raw_text")))
-    return out.select("event_id", F.array_join(F.transform("tool_calls", lambda c: F.concat(c["tool"], F.lit("#"), c["arguments"]["k"])), ",").alias("calls"), F.coalesce("message", F.lit("-")).alias("message"))
+    return out.select(
+        "event_id",
+        F.array_join(F.transform("tool_calls", lambda c: F.concat(c["tool"], F.lit("#"), c["arguments"]["k"])), ",").alias("calls"),
+        F.coalesce("message", F.lit("-")).alias("message")
+    )
 
 
 def scenario_rules(spark, sf_dir: str) -> DataFrame:
@@ -326,9 +422,15 @@ def scenario_rules(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     rows = o.select(
-        F.concat(F.when(k % 3 == 0, "Order_").otherwise("order_"), F.lpad((k % 1000).cast("string"), 3, "0")).alias("id"), F.when(k % 5 == 0, "music").otherwise("gmail").alias("category"), F.lit("explicit").alias("difficulty"), F.lit("d").alias("description"),
-        F.when(k % 7 == 0, "").otherwise("u").alias("user_input"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 11 == 0, "").otherwise("+02:00")).alias("current_time"), F.array(F.lit("gmail.send_email"), F.when(k % 13 == 0, "gmail.send_email").otherwise("clipboard.read")).alias("available_tools"),
-        F.when(k % 2 == 0, "refusal").otherwise("tool_calls").alias("expected_type"), F.when(k % 2 == 1, F.array_repeat(F.struct(F.lit("gmail.send_email").alias("tool")), (k % 4).cast("int"))).alias("expected_calls"), F.when(k % 2 == 0, F.array(F.lit("cannot"))).alias("expected_keywords"),
+        F.concat(
+            F.when(k % 3 == 0, "Order_").otherwise("order_"), F.lpad((k % 1000).cast("string"), 3, "0")
+        ).alias("id"), F.when(k % 5 == 0, "music").otherwise("gmail").alias("category"), F.lit("explicit").alias("difficulty"), F.lit("d").alias("description"),
+        F.when(k % 7 == 0, "").otherwise("u").alias("user_input"), F.concat(
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 11 == 0, "").otherwise("+02:00")
+        ).alias("current_time"), F.array(F.lit("gmail.send_email"), F.when(k % 13 == 0, "gmail.send_email").otherwise("clipboard.read")).alias("available_tools"),
+        F.when(k % 2 == 0, "refusal").otherwise("tool_calls").alias("expected_type"), F.when(
+            k % 2 == 1, F.array_repeat(F.struct(F.lit("gmail.send_email").alias("tool")), (k % 4).cast("int"))
+        ).alias("expected_calls"), F.when(k % 2 == 0, F.array(F.lit("cannot"))).alias("expected_keywords"),
         F.array(F.lit("x")).alias("success_criteria"), F.array().cast("array<string>").alias("tags"),
     )
     return validate.scenario_rules(rows).groupBy(F.array_join("broken", ",").alias("broken")).agg(F.count("*").alias("n"))
@@ -340,18 +442,37 @@ def tasks_from_pages(spark, sf_dir: str) -> DataFrame:
     due = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     key = F.col("o_orderkey")
     text = lambda c: F.struct(c.alias("plain_text"))
-    title = F.when(key % 4 == 0, F.array(text(F.col("o_orderpriority")), text(F.lit(" and more")))).when(key % 4 == 1, F.array().cast("array<struct<plain_text:string>>")).otherwise(F.array(text(F.col("o_orderpriority"))))
+    title = F.when(
+        key % 4 == 0, F.array(text(F.col("o_orderpriority")), text(F.lit(" and more")))
+    ).when(key % 4 == 1, F.array().cast("array<struct<plain_text:string>>")).otherwise(F.array(text(F.col("o_orderpriority"))))
     date = F.struct(F.struct(F.when(key % 2 == 0, F.concat(due, F.lit("Z"))).otherwise(due).alias("start")).alias("date"))
     state = F.struct(F.when(F.col("o_orderstatus") == "F", " Done").otherwise(F.col("o_orderstatus")).alias("name"))
     status = F.struct(F.when(key % 6 > 0, state).alias("select"), F.struct(F.lit("elsewhere").alias("name")).alias("status"))
-    tags = F.struct(F.transform(F.array_repeat(F.col("o_orderstatus"), (key % 3).cast("int")), lambda t: F.struct(t.alias("name"))).alias("multi_select"))
-    page = F.to_json(F.struct(key.cast("string").alias("id"), F.struct(F.when(key % 3 > 0, F.struct(title.alias("title"))).alias("Name"), F.when(key % 5 > 0, date).alias("Due"), status.alias("Status"), F.struct(F.when(key % 7 > 0, F.struct(F.col("o_orderpriority").alias("name"))).alias("select")).alias("Priority"), tags.alias("Tags")).alias("properties")))
+    tags = F.struct(F.transform(
+        F.array_repeat(F.col("o_orderstatus"), (key % 3).cast("int")), lambda t: F.struct(t.alias("name"))
+    ).alias("multi_select"))
+    page = F.to_json(F.struct(
+        key.cast("string").alias("id"),
+        F.struct(
+            F.when(key % 3 > 0, F.struct(title.alias("title"))).alias("Name"), F.when(key % 5 > 0, date).alias("Due"),
+            status.alias("Status"),
+            F.struct(F.when(key % 7 > 0, F.struct(F.col("o_orderpriority").alias("name"))).alias("select")).alias("Priority"),
+            tags.alias("Tags")
+        ).alias("properties")
+    ))
     out = changes.task_from_page(o.select(page.alias("page")))
-    return out.select("id", "title", F.coalesce(F.date_format("due", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("due"), "status", changes.is_done(F.col("status")).alias("done"), F.coalesce("priority", F.lit("-")).alias("priority"), F.array_join("tags", ",").alias("tags"))
+    return out.select(
+        "id", "title", F.coalesce(F.date_format("due", "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("due"), "status",
+        changes.is_done(F.col("status")).alias("done"), F.coalesce("priority", F.lit("-")).alias("priority"),
+        F.array_join("tags", ",").alias("tags")
+    )
 
 
 def redacted_nested(spark, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('{"a": [{"Access_Token": '), F.col("props"), F.lit('}, '), F.col("props"), F.lit('], "user": '), F.col("user_id").cast("string"), F.lit("}"))
+    text = F.concat(
+        F.lit('{"a": [{"Access_Token": '), F.col("props"), F.lit('}, '), F.col("props"), F.lit('], "user": '),
+        F.col("user_id").cast("string"), F.lit("}")
+    )
     return table(spark, sf_dir, "events").select("event_id", redact_json(text).alias("fields"))
 
 

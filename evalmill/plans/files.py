@@ -12,7 +12,10 @@ from evalmill.streaming import jobs
 
 
 def _examples(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumns({"row_hash": ranks.row_hash(1, F.col("doc_id"), F.col("doc_id").cast("string")), "source_index": F.col("doc_id"), "source_row_id_json": F.col("doc_id").cast("string")})
+    d = table(spark, sf_dir, "documents").withColumns({
+        "row_hash": ranks.row_hash(1, F.col("doc_id"), F.col("doc_id").cast("string")), "source_index": F.col("doc_id"),
+        "source_row_id_json": F.col("doc_id").cast("string")
+    })
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     messages = F.array(message("system", F.col("lang")), message("user", F.coalesce("text", F.lit(""))), message("assistant", F.lit("[]")))
     return ranks.split_by_hash(d.withColumn("messages", messages), "row_hash", "doc_id")
@@ -24,7 +27,10 @@ def split_files(spark, sf_dir: str) -> DataFrame:
     io.write_splits(_examples(spark, sf_dir), folder)
     lines = io.load_jsonl(spark, f"{folder}/*/*.json").withColumn("split", F.regexp_extract("path", r"/split=(\w+)/", 1))
     size = F.char_length(F.get_json_object("value", "$.messages[1].content"))
-    return lines.groupBy("split").agg(F.count("*").alias("lines"), F.count("error").alias("errors"), F.sum(size).cast("long").alias("chars"), F.count_distinct("path", "line_number").alias("places"))
+    return lines.groupBy("split").agg(
+        F.count("*").alias("lines"), F.count("error").alias("errors"), F.sum(size).cast("long").alias("chars"),
+        F.count_distinct("path", "line_number").alias("places")
+    )
 
 
 def manifest_file(spark, sf_dir: str) -> DataFrame:
@@ -32,16 +38,25 @@ def manifest_file(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "manifest")
     rows = _examples(spark, sf_dir)
     io.write_manifest(rows, folder, rows.count() + 3, 3, "hash", "rev")
-    head = spark.read.json(f"{folder}/split-manifest").select("converted", F.explode(F.map_from_arrays(F.array(*map(F.lit, io.SPLITS)), F.array(*io.SPLITS))).alias("split", "n"))
-    listed = spark.read.parquet(f"{folder}/split-manifest-rows").groupBy("split").agg(F.count("*").alias("listed"), F.max("pos").cast("long").alias("last_pos"), F.min("row_hash").alias("first_hash"))
-    return head.join(listed, "split", "left").select("split", "converted", "n", F.coalesce("listed", F.lit(0)).alias("listed"), "last_pos", "first_hash")
+    head = spark.read.json(f"{folder}/split-manifest").select(
+        "converted", F.explode(F.map_from_arrays(F.array(*map(F.lit, io.SPLITS)), F.array(*io.SPLITS))).alias("split", "n")
+    )
+    listed = spark.read.parquet(f"{folder}/split-manifest-rows").groupBy("split").agg(
+        F.count("*").alias("listed"), F.max("pos").cast("long").alias("last_pos"), F.min("row_hash").alias("first_hash")
+    )
+    return head.join(listed, "split", "left").select(
+        "split", "converted", "n", F.coalesce("listed", F.lit(0)).alias("listed"), "last_pos", "first_hash"
+    )
 
 
 def _log(spark, sf_dir: str) -> str:
     """The events as an event log, appended to in two goes."""
     folder = scratch(spark, "log")
     fields = F.concat(F.lit('{"api_key":"x","props":'), "props", F.lit("}"))
-    e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("task_id"), F.col("event_type").alias("event"), fields.alias("fields"))
+    e = table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("task_id"),
+        F.col("event_type").alias("event"), fields.alias("fields")
+    )
     for part in (0, 1):
         io.append_events(e.where(F.pmod("event_id", F.lit(2)) == part).drop("event_id"), folder)
     return folder
@@ -49,7 +64,10 @@ def _log(spark, sf_dir: str) -> str:
 
 def event_log(spark, sf_dir: str) -> DataFrame:
     e = spark.read.schema(jobs.EVENT).json(_log(spark, sf_dir))
-    return e.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("trace_id").alias("traces"), F.sum(F.get_json_object("fields", "$.props.k").cast("long")).alias("k"), F.max(F.unix_micros("ts")).alias("last_us"))
+    return e.groupBy("event").agg(
+        F.count("*").alias("n"), F.count_distinct("trace_id").alias("traces"),
+        F.sum(F.get_json_object("fields", "$.props.k").cast("long")).alias("k"), F.max(F.unix_micros("ts")).alias("last_us")
+    )
 
 
 def stream_redaction(spark, sf_dir: str) -> DataFrame:

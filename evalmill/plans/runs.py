@@ -41,7 +41,10 @@ def score_calls(spark, sf_dir: str) -> DataFrame:
     runs = runs.withColumns({"expected_keywords": F.lit(None).cast("array<string>"), "message": F.lit(None).cast("string")})
     out = scoring.comparison_score(scoring.score(runs))
     r = lambda c: F.round(c, 6).alias(c)
-    return out.select("scenario_id", r("tool_call_accuracy"), r("argument_accuracy"), r("unordered_accuracy"), r("hallucination_rate"), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), r("comparison_score"))
+    return out.select(
+        "scenario_id", r("tool_call_accuracy"), r("argument_accuracy"), r("unordered_accuracy"), r("hallucination_rate"), "task_success",
+        F.array_join("failure_reasons", ",").alias("reasons"), r("comparison_score")
+    )
 
 
 def failure_summary(spark, sf_dir: str) -> DataFrame:
@@ -60,17 +63,26 @@ def paired_wins(spark, sf_dir: str) -> DataFrame:
 
 def comparison(spark, sf_dir: str) -> DataFrame:
     m = metrics.run_metrics(_scored(spark, sf_dir), ["run_id"])
-    return metrics.comparison_table(m, "run_id", ["task_success_rate", "average_tool_call_accuracy", "average_hallucination_rate", "average_latency_ms", "total_cost_usd"], ["0", "1", "2"]).select("metric", *(F.col(f"`{i}`").alias(f"run{i}") for i in range(3)))
+    return metrics.comparison_table(
+        m, "run_id",
+        ["task_success_rate", "average_tool_call_accuracy", "average_hallucination_rate", "average_latency_ms", "total_cost_usd"],
+        ["0", "1", "2"]
+    ).select("metric", *(F.col(f"`{i}`").alias(f"run{i}") for i in range(3)))
 
 
 def confusion(spark, sf_dir: str) -> DataFrame:
     """Expected tools against those called at the same place of the sequence."""
     e = event_runs(spark, sf_dir, arguments=False).select(F.explode(F.arrays_zip("expected_tools", "actual_tools")).alias("z"))
-    return metrics.confusion(e.select(F.col("z.expected_tools").alias("expected"), F.col("z.actual_tools").alias("got")), "expected", "got", ["click", "error", "purchase", "signup", "view"])
+    return metrics.confusion(
+        e.select(F.col("z.expected_tools").alias("expected"), F.col("z.actual_tools").alias("got")), "expected", "got",
+        ["click", "error", "purchase", "signup", "view"]
+    )
 
 
 def status_rates(spark, sf_dir: str) -> DataFrame:
-    out = metrics.status_rates(table(spark, sf_dir, "events").withColumn("run", F.pmod("user_id", F.lit(10))), "run", "event_type", ["error", "purchase"])
+    out = metrics.status_rates(
+        table(spark, sf_dir, "events").withColumn("run", F.pmod("user_id", F.lit(10))), "run", "event_type", ["error", "purchase"]
+    )
     return out.select("run", F.round("error_rate", 6).alias("error_rate"), F.round("purchase_rate", 6).alias("purchase_rate"))
 
 
@@ -93,12 +105,21 @@ def diversity_buckets(spark, sf_dir: str) -> DataFrame:
 
 
 def coverage_profile(spark, sf_dir: str) -> DataFrame:
-    kinds = {"click": "calendar.create_event", "view": "notion.create_task", "signup": "gmail.send_email", "purchase": "request_clarification", "error": "refuse_request"}
+    kinds = {
+        "click": "calendar.create_event", "view": "notion.create_task", "signup": "gmail.send_email", "purchase": "request_clarification",
+        "error": "refuse_request"
+    }
     name = F.try_element_at(F.create_map(*(F.lit(x) for p in kinds.items() for x in p)), F.col("event_type"))
     e = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("part"))
-    made = e.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", name.alias("tool"), (F.col("event_id") % 4).cast("int").alias("n_arguments")))), lambda x: F.struct(x["tool"].alias("tool"), x["n_arguments"].alias("n_arguments"))).alias("calls"))
+    made = e.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("event_id", name.alias("tool"), (F.col("event_id") % 4).cast("int").alias("n_arguments")))),
+        lambda x: F.struct(x["tool"].alias("tool"), x["n_arguments"].alias("n_arguments"))
+    ).alias("calls"))
     out = metrics.coverage_profile(made.withColumn("part", F.col("part") % 2), ["part"])
-    return out.select("part", "tool_family", "single_tool", "multi_tool", F.round("mean_arguments", 6).alias("mean_arguments"), "clarify_like", "refuse_like")
+    return out.select(
+        "part", "tool_family", "single_tool", "multi_tool", F.round("mean_arguments", 6).alias("mean_arguments"), "clarify_like",
+        "refuse_like"
+    )
 
 
 def bootstrap(spark, sf_dir: str) -> DataFrame:
@@ -116,10 +137,18 @@ def review_gate(spark, sf_dir: str) -> DataFrame:
 
 def apply_changes(spark, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    calls = e.select("user_id", hex_bucket(F.col("event_id"), 20).alias("entity"), F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type").isin("signup", "purchase"), "create").otherwise("update").alias("action"), F.when(F.col("event_type") != "view", F.col("value")).alias("price"), F.when(F.col("event_type") != "click", F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    calls = e.select(
+        "user_id", hex_bucket(F.col("event_id"), 20).alias("entity"), F.struct("ts", "event_id").alias("at"),
+        F.when(F.col("event_type").isin("signup", "purchase"), "create").otherwise("update").alias("action"),
+        F.when(F.col("event_type") != "view", F.col("value")).alias("price"),
+        F.when(F.col("event_type") != "click", F.get_json_object("props", "$.k").cast("long")).alias("k")
+    )
     state, errors = scoring.apply_changes(calls, ["user_id", "entity"], "at", ["price", "k"])
     bad = errors.groupBy("user_id").agg(F.count("*").alias("n_errors"))
-    return state.groupBy("user_id").agg(F.count("*").alias("n_entities"), F.round(F.sum("price"), 6).alias("price"), F.sum("k").alias("k"), F.sum("n_changes").alias("n_changes")).join(bad, "user_id", "left").fillna(0, ["n_errors"])
+    return state.groupBy("user_id").agg(
+        F.count("*").alias("n_entities"), F.round(F.sum("price"), 6).alias("price"), F.sum("k").alias("k"),
+        F.sum("n_changes").alias("n_changes")
+    ).join(bad, "user_id", "left").fillna(0, ["n_errors"])
 
 
 def _applied(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,27 +159,60 @@ def _applied(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    made = lambda *pairs: F.map_filter(F.map_from_arrays(F.array(*(F.lit(n) for n, _ in pairs)), F.array(*(v for _, v in pairs))), lambda n, v: v.isNotNull())
+    made = lambda *pairs: F.map_filter(
+        F.map_from_arrays(F.array(*(F.lit(n) for n, _ in pairs)), F.array(*(v for _, v in pairs))), lambda n, v: v.isNotNull()
+    )
     words = lambda begin: q(F.concat(F.lit(begin), F.col("event_id").cast("string")))
-    tools = {"click": "notion.create_task", "view": "notion.update_task", "signup": "gmail.create_draft", "purchase": "clipboard.write", "error": "slack.send_message"}
+    tools = {
+        "click": "notion.create_task", "view": "notion.update_task", "signup": "gmail.create_draft", "purchase": "clipboard.write",
+        "error": "slack.send_message"
+    }
     meets = (F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)
-    tool = F.when(meets, "calendar.create_event").otherwise(F.try_element_at(F.create_map(*(F.lit(x) for p in tools.items() for x in p)), F.col("event_type")))
+    tool = F.when(meets, "calendar.create_event").otherwise(F.try_element_at(
+        F.create_map(*(F.lit(x) for p in tools.items() for x in p)), F.col("event_type")
+    ))
     long = F.get(F.array(*(F.lit(x) for x in ('"30"', "30.0", "45", "true", "0", '"x"'))), (k % 6).cast("int"))
     of_task = F.when(k % 13 == 0, "null").otherwise(q(F.concat(F.lit("task_fake_notion_"), F.lpad((k % 12 + 1).cast("string"), 3, "0"))))
     title = F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(words("now "))
     status = F.when(F.col("event_id") % 11 == 5, F.lit('"later"')).when(F.col("event_id") % 2 == 0, F.lit('"done"'))
     arguments = (
-        F.when(meets, made(("title", words("meet ")), ("start_date", F.lit('"2024-01-01"')), ("start_time", F.lit('"10:00"')), ("duration_minutes", long)))
-        .when(F.col("event_type") == "click", made(("title", words("made ")), ("status", F.when(k % 10 == 1, F.lit('"someday"')).when(k % 10 == 2, "null")), ("due_date", F.when(k % 10 == 3, "null"))))
-        .when(F.col("event_type") == "view", made(("task_id", of_task), ("title", title), ("status", status), ("more", F.when(F.col("event_id") % 17 == 3, F.lit("null")))))
-        .when(F.col("event_type") == "signup", made(("recipient", F.when(k % 10 == 0, F.lit('"not-an-email"')).otherwise(F.lit('"a@b.cc"'))), ("body", F.when(k % 7 != 0, words("body ")))))
+        F.when(
+            meets,
+            made(("title", words("meet ")), ("start_date", F.lit('"2024-01-01"')), ("start_time", F.lit('"10:00"')), ("duration_minutes", long))
+        )
+        .when(
+            F.col("event_type") == "click",
+            made(
+                ("title", words("made ")), ("status", F.when(k % 10 == 1, F.lit('"someday"')).when(k % 10 == 2, "null")),
+                ("due_date", F.when(k % 10 == 3, "null"))
+            )
+        )
+        .when(
+            F.col("event_type") == "view",
+            made(("task_id", of_task), ("title", title), ("status", status), ("more", F.when(F.col("event_id") % 17 == 3, F.lit("null"))))
+        )
+        .when(
+            F.col("event_type") == "signup",
+            made(
+                ("recipient", F.when(k % 10 == 0, F.lit('"not-an-email"')).otherwise(F.lit('"a@b.cc"'))),
+                ("body", F.when(k % 7 != 0, words("body ")))
+            )
+        )
         .when(F.col("event_type") == "purchase", made(("text", words("copied ")))).otherwise(F.create_map().cast("map<string,string>"))
     )
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    calls = e.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("scenario_id"), F.row_number().over(w).alias("pos"), tool.alias("tool"), arguments.alias("arguments"))
+    calls = e.select(
+        F.col("event_id").alias("call_id"), F.col("user_id").alias("scenario_id"), F.row_number().over(w).alias("pos"), tool.alias("tool"),
+        arguments.alias("arguments")
+    )
     users = e.select(F.col("user_id").alias("scenario_id")).distinct()
-    task = users.where("scenario_id % 2 = 0").select("scenario_id", F.lit("task").alias("kind"), F.lit("task_fake_notion_002").alias("id"), F.create_map(F.lit("title"), F.lit('"first"'), F.lit("status"), F.lit('"open"')).alias("fields"))
-    board = users.where("scenario_id % 3 = 0").select("scenario_id", F.lit("clipboard"), F.lit("clipboard"), F.create_map(F.lit("text"), F.lit('"before"')))
+    task = users.where("scenario_id % 2 = 0").select(
+        "scenario_id", F.lit("task").alias("kind"), F.lit("task_fake_notion_002").alias("id"),
+        F.create_map(F.lit("title"), F.lit('"first"'), F.lit("status"), F.lit('"open"')).alias("fields")
+    )
+    board = users.where("scenario_id % 3 = 0").select(
+        "scenario_id", F.lit("clipboard"), F.lit("clipboard"), F.create_map(F.lit("text"), F.lit('"before"'))
+    )
     return scoring.apply_calls(calls, task.union(board))
 
 
@@ -161,8 +223,13 @@ def call_results(spark, sf_dir: str) -> DataFrame:
 
 def call_state(spark, sf_dir: str) -> DataFrame:
     _, state = _applied(spark, sf_dir)
-    field = lambda n: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("fields", F.lit(n)), F.lit("}")), "$.v"), F.lit("-")).alias(n)
-    return state.select(F.col("scenario_id").alias("user_id"), "kind", "id", field("title"), field("status"), field("body"), field("text"), field("duration_minutes"))
+    field = lambda n: F.coalesce(
+        F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("fields", F.lit(n)), F.lit("}")), "$.v"), F.lit("-")
+    ).alias(n)
+    return state.select(
+        F.col("scenario_id").alias("user_id"), "kind", "id", field("title"), field("status"), field("body"), field("text"),
+        field("duration_minutes")
+    )
 
 
 def outcomes(spark, sf_dir: str) -> DataFrame:
@@ -173,29 +240,44 @@ def outcomes(spark, sf_dir: str) -> DataFrame:
 def comparison_scores(spark, sf_dir: str) -> DataFrame:
     """Every user turn with what the assistant says next, if it does: a clarification is expected where the turn is short."""
     after = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)}).where("role = 'user'")
+    c = table(spark, sf_dir, "conversations").withColumns({
+        "next_role": F.lead("role").over(after), "next_text": F.lead("text").over(after)
+    }).where("role = 'user'")
     call = "array<struct<tool:string,arguments:map<string,string>>>"
     rows = c.select(
         "conv_id", "turn", F.when(F.length("text") < 150, "clarification").otherwise("refusal").alias("expected_type"), F.array().cast(call).alias("expected_calls"), F.array().cast(call).alias("tool_calls"),
         F.slice(F.split("text", " "), 1, 2).alias("expected_keywords"), F.array(F.lit("notion.create_task")).alias("available_tools"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("message"),
     )
     out = scoring.comparison_score(scoring.score(rows))
-    return out.select("conv_id", "turn", "expected_type", F.round(F.coalesce("clarification_accuracy", "refusal_accuracy"), 6).alias("accuracy"), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), F.round("comparison_score", 6).alias("comparison_score"))
+    return out.select(
+        "conv_id", "turn", "expected_type", F.round(F.coalesce("clarification_accuracy", "refusal_accuracy"), 6).alias("accuracy"),
+        "task_success", F.array_join("failure_reasons", ",").alias("reasons"), F.round("comparison_score", 6).alias("comparison_score")
+    )
 
 
 def plan_issues(spark, sf_dir: str) -> DataFrame:
-    tasks = event_runs(spark, sf_dir).select(F.col("scenario_id").alias("task_id"), F.col("actual_tools").alias("plan"), "available_tools", F.lit(2).alias("max_plan_steps"))
+    tasks = event_runs(spark, sf_dir).select(
+        F.col("scenario_id").alias("task_id"), F.col("actual_tools").alias("plan"), "available_tools", F.lit(2).alias("max_plan_steps")
+    )
     return validate.plan_issues(tasks).withColumn("step_index", F.coalesce("step_index", F.lit(-1)))
 
 
 def request_types(spark, sf_dir: str) -> DataFrame:
-    verb = F.try_element_at(F.create_map(*(F.lit(x) for x in ("click", "notion.create_task", "view", "calendar.update_event", "signup", "gmail.send_email", "purchase", "notion.delete_task", "error", "clipboard.read"))), F.get("actual_tools", F.lit(0)))
+    verb = F.try_element_at(
+        F.create_map(*(F.lit(x) for x in (
+            "click", "notion.create_task", "view", "calendar.update_event", "signup", "gmail.send_email", "purchase", "notion.delete_task",
+            "error", "clipboard.read"
+        ))),
+        F.get("actual_tools", F.lit(0))
+    )
     return event_runs(spark, sf_dir).select(validate.request_type(F.array_compact(F.array(verb))).alias("request_type")).groupBy("request_type").agg(F.count("*").alias("n"))
 
 
 def retriable_attempts(spark, sf_dir: str) -> DataFrame:
     """Every event as a failed attempt: errors with statuses of all kinds, the others by their type."""
-    status = F.when(F.col("event_type") == "error", F.lit(400) + F.col("event_id") % 110).when(F.col("event_type") == "purchase", F.lit(500) + F.col("event_id") % 6).cast("int")
+    status = F.when(F.col("event_type") == "error", F.lit(400) + F.col("event_id") % 110).when(
+        F.col("event_type") == "purchase", F.lit(500) + F.col("event_id") % 6
+    ).cast("int")
     error = F.when(F.col("event_type") == "view", "TimeoutError").when(F.col("event_type") == "click", "ReadTimeoutError").otherwise("APIError")
     e = table(spark, sf_dir, "events").select(validate.retriable(error, status).alias("r"))
     return e.groupBy("r.retriable", "r.cause").agg(F.count("*").alias("n"))
@@ -204,12 +286,28 @@ def retriable_attempts(spark, sf_dir: str) -> DataFrame:
 def call_contract(spark, sf_dir: str) -> DataFrame:
     q = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
     e = table(spark, sf_dir, "events")
-    tool = F.try_element_at(F.create_map(*(F.lit(x) for x in ("click", "notion.create_task", "view", "calendar.update_event", "signup", "gmail.send_email", "purchase", "notion.update_task"))), F.col("event_type"))
+    tool = F.try_element_at(
+        F.create_map(*(F.lit(x) for x in (
+            "click", "notion.create_task", "view", "calendar.update_event", "signup", "gmail.send_email", "purchase", "notion.update_task"
+        ))),
+        F.col("event_type")
+    )
     args = F.map_from_arrays(
-        F.array(F.when(F.col("event_id") % 3 == 0, "title").otherwise("recipient"), F.when(F.col("event_id") % 2 == 0, "status").otherwise("duration_minutes"), F.lit("event_id")),
-        F.array(q(F.col("user_id")), F.when(F.col("event_id") % 2 == 0, q(F.when(F.col("event_id") % 5 == 0, "closed").otherwise("open"))).otherwise(F.floor("value").cast("string")), q(F.col("event_id"))),
+        F.array(
+            F.when(F.col("event_id") % 3 == 0, "title").otherwise("recipient"),
+            F.when(F.col("event_id") % 2 == 0, "status").otherwise("duration_minutes"), F.lit("event_id")
+        ),
+        F.array(
+            q(F.col("user_id")),
+            F.when(
+                F.col("event_id") % 2 == 0, q(F.when(F.col("event_id") % 5 == 0, "closed").otherwise("open"))
+            ).otherwise(F.floor("value").cast("string")),
+            q(F.col("event_id"))
+        ),
     )
-    issues = validate.call_contract_issues(e.select(F.col("event_id").alias("call_id"), F.coalesce(tool, F.lit("none.at_all")).alias("tool"), args.alias("arguments")))
+    issues = validate.call_contract_issues(e.select(
+        F.col("event_id").alias("call_id"), F.coalesce(tool, F.lit("none.at_all")).alias("tool"), args.alias("arguments")
+    ))
     return issues.groupBy(F.coalesce("param", F.lit("-")).alias("param"), "code").agg(F.count("*").alias("n"))
 
 
@@ -234,9 +332,14 @@ def bucket_sketch(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate"), "day": F.dayofyear("o_orderdate")})
     columns = ["o_orderpriority", "day"]
     states = kept(metrics.distinct_states(o, ["o_orderstatus", "year"], columns), "bucket-states")
-    merged = metrics.merged_distinct(states, ["o_orderstatus"]).unionByName(metrics.merged_distinct(states.withColumn("o_orderstatus", F.lit("all")), ["o_orderstatus"]))
+    merged = metrics.merged_distinct(states, ["o_orderstatus"]).unionByName(metrics.merged_distinct(
+        states.withColumn("o_orderstatus", F.lit("all")), ["o_orderstatus"]
+    ))
     exact = o.groupBy("o_orderstatus").agg(F.count_distinct(*columns).alias("true_buckets")).union(o.agg(F.lit("all"), F.count_distinct(*columns)))
-    return merged.join(exact, "o_orderstatus").select("o_orderstatus", "rows", "true_buckets", (F.abs(F.col("buckets") - F.col("true_buckets")) <= 0.05 * F.col("true_buckets")).alias("held"))
+    return merged.join(exact, "o_orderstatus").select(
+        "o_orderstatus", "rows", "true_buckets",
+        (F.abs(F.col("buckets") - F.col("true_buckets")) <= 0.05 * F.col("true_buckets")).alias("held")
+    )
 
 
 def snapshot_diff(spark, sf_dir: str) -> DataFrame:
@@ -247,12 +350,17 @@ def snapshot_diff(spark, sf_dir: str) -> DataFrame:
 
 
 def changed_polls(spark, sf_dir: str) -> DataFrame:
-    polls = table(spark, sf_dir, "events").select(F.col("user_id").alias("db"), F.struct("ts", "event_id").alias("poll_ts"), F.col("event_type").alias("fingerprint"))
+    polls = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("db"), F.struct("ts", "event_id").alias("poll_ts"), F.col("event_type").alias("fingerprint")
+    )
     return changes.changed_polls(polls).groupBy("db").agg(F.count("*").alias("polls"), F.count_if("changed").alias("changes"))
 
 
 def due_once(spark, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("due"), F.when(F.col("o_orderstatus") == "F", " Done ").otherwise(F.col("o_orderstatus")).alias("status"))
+    tasks = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("due"),
+        F.when(F.col("o_orderstatus") == "F", " Done ").otherwise(F.col("o_orderstatus")).alias("status")
+    )
     fired = tasks.where("id % 4 = 0").select("id", (F.col("due") - F.expr("INTERVAL 1 DAY") * (F.col("id") % 3)).alias("last_due"))
     return changes.due_tasks(tasks, fired, F.lit("1996-01-01").cast("timestamp")).select("id", "status")
 
@@ -272,7 +380,9 @@ n AS (SELECT *, count(*) FILTER (tool = 'notion.create_task' AND first = 'ok') O
 done AS (SELECT *, CASE WHEN tool <> 'notion.update_task' OR first <> 'ok' THEN first WHEN k % 13 = 0 OR NOT (CASE WHEN user_id % 2 = 1 THEN k % 12 + 1 <= tasks ELSE k % 12 + 1 = 2 OR (k % 12 + 1 > 2 AND k % 12 - 1 <= tasks) END) THEN 'not_found' WHEN event_id % 11 = 5 THEN 'validation' ELSE 'ok' END AS outcome,
   CASE tool WHEN 'notion.create_task' THEN 'task_fake_notion_' || lpad3(tasks + 2 * (user_id % 2 = 0)::INT) WHEN 'notion.update_task' THEN 'task_fake_notion_' || lpad3(k % 12 + 1) WHEN 'gmail.create_draft' THEN 'draft_fake_gmail_' || lpad3(drafts)
     WHEN 'calendar.create_event' THEN 'evt_fake_calendar_' || lpad3(meets) WHEN 'clipboard.write' THEN 'clipboard' END AS id FROM n)"""
-_CALLS = re.sub(r"lpad3\(((?:[^()]|\([^()]*\))*)\)", r"CASE WHEN \1 < 1000 THEN lpad(CAST(\1 AS VARCHAR), 3, '0') ELSE CAST(\1 AS VARCHAR) END", _CALLS)
+_CALLS = re.sub(
+    r"lpad3\(((?:[^()]|\([^()]*\))*)\)", r"CASE WHEN \1 < 1000 THEN lpad(CAST(\1 AS VARCHAR), 3, '0') ELSE CAST(\1 AS VARCHAR) END", _CALLS
+)
 ORACLES = {
     "score_sequences": f"WITH {RUNS_SQL} SELECT scenario_id, array_to_string(exp, ',') AS expected, array_to_string(act, ',') AS actual, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate, array_to_string(reasons, ',') AS reasons FROM scored",
     "metrics_by_run": f"WITH {RUNS_SQL} SELECT user_id % 3 AS run_id, {_M} FROM scored GROUP BY 1",

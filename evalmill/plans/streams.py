@@ -19,9 +19,15 @@ def _timed_log(spark, sf_dir: str) -> str:
     """The events in the order they reached the log, one file after the other; one in forty came three days late. A last line, far ahead, closes all traces."""
     k = F.get_json_object("props", "$.k").cast("long")
     ts = F.col("ts").cast("timestamp")
-    logged = ts + F.make_dt_interval(F.when(F.col("event_id") % 40 == 7, 3).otherwise(0), F.lit(0), F.lit(0), (F.col("event_id") % 50).cast("decimal(18,6)"))
+    logged = ts + F.make_dt_interval(
+        F.when(F.col("event_id") % 40 == 7, 3).otherwise(0), F.lit(0), F.lit(0), (F.col("event_id") % 50).cast("decimal(18,6)")
+    )
     fields = F.to_json(F.struct((k * 1000).alias("input_tokens"), (k * 100).alias("output_tokens"), (k / 1000).alias("cost_usd")))
-    e = table(spark, sf_dir, "events").select(ts.alias("ts"), F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), F.col("event_id").cast("string").alias("task_id"), F.col("event_type").alias("event"), fields.alias("fields"), logged.alias("logged"))
+    e = table(spark, sf_dir, "events").select(
+        ts.alias("ts"), F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"),
+        F.col("event_id").cast("string").alias("task_id"), F.col("event_type").alias("event"), fields.alias("fields"),
+        logged.alias("logged")
+    )
     low, high = e.agg(F.min(F.unix_micros("logged")), F.max(F.unix_micros("logged"))).first()
     folder = scratch(spark, "timed-log")
     if low is None:
@@ -30,7 +36,10 @@ def _timed_log(spark, sf_dir: str) -> str:
     stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     for i in range(PARTS):
         e.where(part == i).coalesce(1).write.mode("append").options(**stamp).json(folder)
-    closing = spark.range(1).select(F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("ts"), F.lit("end").alias("trace_id"), F.lit("end").alias("event"), F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("logged"))
+    closing = spark.range(1).select(
+        F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("ts"), F.lit("end").alias("trace_id"), F.lit("end").alias("event"),
+        F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("logged")
+    )
     closing.coalesce(1).write.mode("append").options(**stamp).json(folder)
     return folder
 
@@ -41,19 +50,30 @@ def live_traces(spark, sf_dir: str) -> DataFrame:
     traces, late = scratch(spark, "traces"), scratch(spark, "late")
     _run(jobs.live_rollup(events, "1 day", LATE, "logged", "click").drop("session_window"), traces)
     _run(jobs.late_events(events, "logged", LATE), late)
-    rolled = spark.read.parquet(traces).select(F.lit("trace").alias("kind"), "trace_id", F.lit(-1).cast("long").alias("event_id"), "input_tokens", "output_tokens", F.round("cost_usd", 5).alias("cost_usd"), "tool_call_count", "event_count", "duration_ms")
+    rolled = spark.read.parquet(traces).select(
+        F.lit("trace").alias("kind"), "trace_id", F.lit(-1).cast("long").alias("event_id"), "input_tokens", "output_tokens",
+        F.round("cost_usd", 5).alias("cost_usd"), "tool_call_count", "event_count", "duration_ms"
+    )
     nothing = [F.lit(0).cast("long").alias(c) for c in ("input_tokens", "output_tokens")]
-    listed = spark.read.parquet(late).select(F.lit("late").alias("kind"), "trace_id", F.col("task_id").cast("long").alias("event_id"), *nothing, F.lit(0.0).alias("cost_usd"), F.lit(0).cast("long").alias("tool_call_count"), F.lit(1).cast("long").alias("event_count"), F.lit(0).cast("long").alias("duration_ms"))
+    listed = spark.read.parquet(late).select(
+        F.lit("late").alias("kind"), "trace_id", F.col("task_id").cast("long").alias("event_id"), *nothing, F.lit(0.0).alias("cost_usd"),
+        F.lit(0).cast("long").alias("tool_call_count"), F.lit(1).cast("long").alias("event_count"),
+        F.lit(0).cast("long").alias("duration_ms")
+    )
     return rolled.unionByName(listed)
 
 
 def change_feed(spark, sf_dir: str) -> DataFrame:
     """Four polled snapshots of the orders as a feed of changes; the polls come in two batches, the last of which comes twice."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    shots, polls, feed = scratch(spark, "snapshots"), scratch(spark, "polls"), jobs.ChangeFeed(spark, scratch(spark, "feed"), "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    shots, polls, feed = scratch(spark, "snapshots"), scratch(spark, "polls"), jobs.ChangeFeed(
+        spark, scratch(spark, "feed"), "o_orderkey", ["o_orderstatus", "o_totalprice"]
+    )
     key = F.col("o_orderkey")
     for p in range(POLLS):
-        changed = o.where((key % 10 != p) & ((key % 7 > p) | (key % 5 == 0))).withColumn("o_totalprice", F.when(key % 13 == p, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+        changed = o.where((key % 10 != p) & ((key % 7 > p) | (key % 5 == 0))).withColumn(
+            "o_totalprice", F.when(key % 13 == p, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+        )
         changed.write.parquet(f"{shots}/{p}")
     for part in (0, 1):
         rows = [(p, f"{shots}/{p}") for p in range(POLLS) if p // 2 == part]
@@ -75,7 +95,10 @@ def stream_reminders(spark, sf_dir: str) -> DataFrame:
         status = F.when(key % 5 == p, "Done\n").otherwise("open")
         rows = o if p == 0 else o.where((key % 3 == p % 3) | (key % 5 == p) | (key % 5 == p - 1))
         now = F.to_timestamp(F.lit(f"{1994 + p}-06-01 00:00:00"))
-        rows.select(key.cast("string").alias("id"), F.concat(F.lit("task "), key.cast("string")).alias("title"), due.alias("due"), status.alias("status"), now.alias("now")).coalesce(1).write.mode("append").json(folder)
+        rows.select(
+            key.cast("string").alias("id"), F.concat(F.lit("task "), key.cast("string")).alias("title"), due.alias("due"),
+            status.alias("status"), now.alias("now")
+        ).coalesce(1).write.mode("append").json(folder)
     last = spark.range(1).select(F.lit("end").alias("id"), F.lit("open").alias("status"), F.to_timestamp(F.lit("1997-06-01 00:00:01")).alias("now"))
     last.coalesce(1).write.mode("append").json(folder)
     schema = "id string, title string, due timestamp, status string, now timestamp"

@@ -42,12 +42,20 @@ def suite_scores(spark, sf_dir: str) -> DataFrame:
     suites, responses = scratch(spark, "suites"), scratch(spark, "responses")
     _one_a_file(s.select(F.expr(_SCENARIO).alias("value"), (F.col("k") % 2).alias("suite")), suites, "suite")
     entry = F.concat(F.lit('"'), F.expr(_ID), F.lit('":'), F.expr(_RESPONSE))
-    answered = s.where("k % 16 <> 15").groupBy(F.floor(F.col("k") / 256).alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))
+    answered = s.where("k % 16 <> 15").groupBy(F.floor(F.col("k") / 256).alias("part")).agg(F.concat(
+        F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")
+    ).alias("value"))
     _one_a_file(answered.select("value", "part"), responses, "part")
-    both, _ = io.join_responses(io.load_scenarios(spark, f"{suites}/suite=0", f"{suites}/suite=1", pattern="*.txt"), io.load_responses(spark, f"{responses}/*/*.txt"))
+    both, _ = io.join_responses(
+        io.load_scenarios(spark, f"{suites}/suite=0", f"{suites}/suite=1", pattern="*.txt"),
+        io.load_responses(spark, f"{responses}/*/*.txt")
+    )
     scored = scoring.score(both)
     names = ["tool_call_accuracy", "argument_accuracy", "unordered_accuracy", "hallucination_rate", "clarification_accuracy", "refusal_accuracy"]
-    return scored.select("scenario_id", *(F.round(c, 6).alias(c) for c in names), "task_success", F.array_join("failure_reasons", ",").alias("reasons"), F.size("issues").alias("issues"))
+    return scored.select(
+        "scenario_id", *(F.round(c, 6).alias(c) for c in names), "task_success", F.array_join("failure_reasons", ",").alias("reasons"),
+        F.size("issues").alias("issues")
+    )
 
 
 def scenario_issues(spark, sf_dir: str) -> DataFrame:
@@ -61,12 +69,23 @@ def scenario_issues(spark, sf_dir: str) -> DataFrame:
 
 def result_payloads(spark, sf_dir: str) -> DataFrame:
     """Two hundred runs as payload files, some without costs, read in one scan and put together by run."""
-    r = scoring.score_sequences(event_runs(spark, sf_dir, arguments=False)).withColumns({"run": F.pmod("user_id", F.lit(200)), "part": F.floor(F.col("user_id") / 200), "position": F.col("scenario_id"), "task_success": F.size("failure_reasons") == 0})
-    r = r.withColumns({"backend_name": F.lit("local"), "score": F.struct("task_success", "hallucination_rate"), "cost_usd": F.when(F.col("run") % 3 > 0, F.col("cost_usd"))})
+    r = scoring.score_sequences(event_runs(spark, sf_dir, arguments=False)).withColumns({
+        "run": F.pmod("user_id", F.lit(200)), "part": F.floor(F.col("user_id") / 200), "position": F.col("scenario_id"),
+        "task_success": F.size("failure_reasons") == 0
+    })
+    r = r.withColumns({
+        "backend_name": F.lit("local"), "score": F.struct("task_success", "hallucination_rate"),
+        "cost_usd": F.when(F.col("run") % 3 > 0, F.col("cost_usd"))
+    })
     folder = scratch(spark, "payloads")
     io.write_payloads(r, folder, "run", "part", ["scenario_id", "latency_ms", "cost_usd", "score"])
-    back = io.load_results(spark, [f"{folder}/*/*/*.txt"], {"scenario_id": "long", "latency_ms": "double", "cost_usd": "double", "score": "struct<task_success:boolean,hallucination_rate:double>"})
-    out = metrics.run_metrics(back.withColumns({"task_success": F.col("score.task_success"), "hallucination_rate": F.col("score.hallucination_rate")}), ["run_id"])
+    back = io.load_results(
+        spark, [f"{folder}/*/*/*.txt"],
+        {"scenario_id": "long", "latency_ms": "double", "cost_usd": "double", "score": "struct<task_success:boolean,hallucination_rate:double>"}
+    )
+    out = metrics.run_metrics(
+        back.withColumns({"task_success": F.col("score.task_success"), "hallucination_rate": F.col("score.hallucination_rate")}), ["run_id"]
+    )
     return out.select(F.col("run_id").cast("long").alias("run"), *(F.round(c, 6).alias(c) for c in out.columns if c != "run_id"))
 
 

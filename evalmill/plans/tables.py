@@ -35,20 +35,40 @@ def event_runs(spark, sf_dir: str, arguments: bool = True) -> DataFrame:
     Arguments are made from an event's number k and its type, so that values compare equal in several forms, or don't; without ``arguments`` calls have none.
     """
     k = F.get_json_object("props", "$.k").cast("long") % 4
-    expected = F.map_from_arrays(F.array(F.lit("k"), F.lit("note_contains")), F.array(F.when(k == 3, "null").otherwise(k.cast("string")), F.concat(F.lit('"'), F.upper(F.substring("event_type", 1, 3)), F.lit('"'))))
+    expected = F.map_from_arrays(
+        F.array(F.lit("k"), F.lit("note_contains")),
+        F.array(F.when(k == 3, "null").otherwise(k.cast("string")), F.concat(F.lit('"'), F.upper(F.substring("event_type", 1, 3)), F.lit('"')))
+    )
     number = F.when(k == 1, F.when(F.col("event_id") % 3 == 0, "true").otherwise("1.0")).otherwise(k.cast("string"))
     note = F.when(F.col("event_id") % 5 == 1, "5").otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit(' done"')))
     actual = F.map_filter(F.map_from_arrays(F.array(F.lit("k"), F.lit("note")), F.array(number, note)), lambda key, v: (key != "k") | (k != 3))
-    e = table(spark, sf_dir, "events").withColumn("run", F.pmod("event_id", F.lit(2))).withColumn("scenario_id", F.col("user_id") * 100000 + F.unix_date(F.to_date("ts")))
-    call = F.struct("ts", "event_id", F.col("event_type").alias("tool"), (F.when(F.col("run") == 0, expected).otherwise(actual) if arguments else F.lit(None).cast("map<string,string>")).alias("arguments"))
-    in_order = F.transform(F.array_sort(F.collect_list(call), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).when(a["event_id"] < b["event_id"], -1).otherwise(1)), lambda x: F.struct(x["tool"].alias("tool"), x["arguments"].alias("arguments")))
-    both = e.groupBy("scenario_id", "user_id", "run").agg(in_order.alias("calls"), F.sum("value").alias("cost_usd"), F.avg("value").alias("latency_ms"))
+    e = table(spark, sf_dir, "events").withColumn("run", F.pmod("event_id", F.lit(2))).withColumn(
+        "scenario_id", F.col("user_id") * 100000 + F.unix_date(F.to_date("ts"))
+    )
+    call = F.struct(
+        "ts", "event_id", F.col("event_type").alias("tool"),
+        (F.when(F.col("run") == 0, expected).otherwise(actual) if arguments else F.lit(None).cast("map<string,string>")).alias("arguments")
+    )
+    in_order = F.transform(
+        F.array_sort(
+            F.collect_list(call), lambda a,
+            b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).when(a["event_id"] < b["event_id"], -1).otherwise(1)
+        ),
+        lambda x: F.struct(x["tool"].alias("tool"), x["arguments"].alias("arguments"))
+    )
+    both = e.groupBy("scenario_id", "user_id", "run").agg(
+        in_order.alias("calls"), F.sum("value").alias("cost_usd"), F.avg("value").alias("latency_ms")
+    )
     exp = both.where("run = 0").select("scenario_id", "user_id", F.col("calls").alias("expected_calls"))
     act = both.where("run = 1").select("scenario_id", "user_id", F.col("calls").alias("tool_calls"), "cost_usd", "latency_ms")
     none = F.array().cast("array<struct<tool:string,arguments:map<string,string>>>")
-    out = exp.join(act, ["scenario_id", "user_id"], "full").withColumns({"expected_calls": F.coalesce("expected_calls", none), "tool_calls": F.coalesce("tool_calls", none)})
+    out = exp.join(act, ["scenario_id", "user_id"], "full").withColumns({
+        "expected_calls": F.coalesce("expected_calls", none), "tool_calls": F.coalesce("tool_calls", none)
+    })
     tools = lambda c: F.transform(c, lambda x: x["tool"])
-    return out.withColumns({"expected_tools": tools("expected_calls"), "actual_tools": tools("tool_calls"), "available_tools": F.array(*map(F.lit, TOOLS))})
+    return out.withColumns({
+        "expected_tools": tools("expected_calls"), "actual_tools": tools("tool_calls"), "available_tools": F.array(*map(F.lit, TOOLS))
+    })
 
 
 RUNS_SQL = """e AS (SELECT *, event_id % 2 AS run, user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS scenario_id, CAST(props->>'$.k' AS BIGINT) % 4 AS k FROM events),

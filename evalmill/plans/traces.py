@@ -14,7 +14,10 @@ _MODELS = {"click": "gpt-4o-mini", "view": "gpt-4o-mini", "purchase": "gpt-4o",
 def _events(spark, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     model = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in _MODELS.items() for x in p)), F.col("event_type")), F.lit("local"))
-    e = table(spark, sf_dir, "events").withColumns({"input_tokens": k * 1000, "output_tokens": k * 100, "model": model, "day": F.date_format("ts", "yyyy-MM-dd"), "is_tool_call": F.col("event_type") == "click"})
+    e = table(spark, sf_dir, "events").withColumns({
+        "input_tokens": k * 1000, "output_tokens": k * 100, "model": model, "day": F.date_format("ts", "yyyy-MM-dd"),
+        "is_tool_call": F.col("event_type") == "click"
+    })
     return telemetry.with_cost(e)
 
 
@@ -24,11 +27,16 @@ def cost_by_model(spark, sf_dir: str) -> DataFrame:
 
 def trace_rollup(spark, sf_dir: str) -> DataFrame:
     out = telemetry.trace_rollup(_events(spark, sf_dir), ["user_id", "day"])
-    return out.select("user_id", "day", "input_tokens", "output_tokens", F.round("cost_usd", 5).alias("cost_usd"), "tool_call_count", "event_count", "duration_ms")
+    return out.select(
+        "user_id", "day", "input_tokens", "output_tokens", F.round("cost_usd", 5).alias("cost_usd"), "tool_call_count", "event_count",
+        "duration_ms"
+    )
 
 
 def last_summary(spark, sf_dir: str) -> DataFrame:
-    s = telemetry.trace_rollup(_events(spark, sf_dir), ["user_id", "day"]).select(F.col("user_id").alias("task_id"), F.col("day").alias("trace_id"), "cost_usd", F.struct("completed", "day").alias("ts"))
+    s = telemetry.trace_rollup(_events(spark, sf_dir), ["user_id", "day"]).select(
+        F.col("user_id").alias("task_id"), F.col("day").alias("trace_id"), "cost_usd", F.struct("completed", "day").alias("ts")
+    )
     results = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), "c_nationkey")
     return telemetry.attach_summaries(results, s).select("task_id", "c_nationkey", "trace_id", F.round("cost_usd", 5).alias("cost_usd"))
 
@@ -36,7 +44,9 @@ def last_summary(spark, sf_dir: str) -> DataFrame:
 def step_pairs(spark, sf_dir: str) -> DataFrame:
     """Every hundred events a step of each user, tried in up to three attempts: views begin, clicks complete; what was never completed is there too."""
     e = table(spark, sf_dir, "events").withColumns({"step_index": F.floor(F.col("event_id") / 100), "attempt": F.col("event_id") % 3 + 1})
-    out = telemetry.step_pairs(e, ["user_id", "step_index", "attempt"], F.col("event_type") == "view", F.col("event_type") == "click", F.col("value") > 5)
+    out = telemetry.step_pairs(
+        e, ["user_id", "step_index", "attempt"], F.col("event_type") == "view", F.col("event_type") == "click", F.col("value") > 5
+    )
     return out.select("user_id", "step_index", "attempt", F.coalesce("duration_us", F.lit(-1).cast("long")).alias("duration_us"), "outcome")
 
 
@@ -51,9 +61,15 @@ def retry_rollup(spark, sf_dir: str) -> DataFrame:
 
 
 def redacted_props(spark, sf_dir: str) -> DataFrame:
-    fields = F.create_map(F.lit("User"), F.col("user_id").cast("string"), F.lit("api_Key"), F.col("props"), F.when(F.col("event_id") % 2 == 0, "input_tokens").otherwise("k"), F.get_json_object("props", "$.k"))
+    fields = F.create_map(
+        F.lit("User"), F.col("user_id").cast("string"), F.lit("api_Key"), F.col("props"),
+        F.when(F.col("event_id") % 2 == 0, "input_tokens").otherwise("k"), F.get_json_object("props", "$.k")
+    )
     out = table(spark, sf_dir, "events").select("event_id", telemetry.redact(fields).alias("f"))
-    return out.select("event_id", F.col("f")["User"].alias("user"), F.col("f")["api_Key"].alias("api_key"), F.coalesce(F.col("f")["input_tokens"], F.col("f")["k"]).alias("k"))
+    return out.select(
+        "event_id", F.col("f")["User"].alias("user"), F.col("f")["api_Key"].alias("api_key"),
+        F.coalesce(F.col("f")["input_tokens"], F.col("f")["k"]).alias("k")
+    )
 
 
 def trace_latency(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,9 @@ def load_scenarios(spark: SparkSession, *folders: str, pattern: str = "*.json")
     state = F.col("v.initial_state")
     keys = F.transform(F.map_keys(state), lambda k: F.concat(json_string(k), F.lit(":"), state[k]))
     return s.select(
-        *(F.col(f"v.{c}") for c in ("id", "category", "difficulty", "description", "user_input", "current_time", "available_tools")), F.concat(F.lit("{"), F.array_join(keys, ","), F.lit("}")).alias("initial_state"), e["type"].alias("expected_type"), calls.alias("expected_calls"),
+        *(F.col(f"v.{c}") for c in (
+            "id", "category", "difficulty", "description", "user_input", "current_time", "available_tools"
+        )), F.concat(F.lit("{"), F.array_join(keys, ","), F.lit("}")).alias("initial_state"), e["type"].alias("expected_type"), calls.alias("expected_calls"),
         F.coalesce(e["question_contains"], e["reason_contains"]).alias("expected_keywords"), "v.success_criteria", F.coalesce("v.tags", F.array().cast("array<string>")).alias("tags"), top_keys("value").alias("keys"), "path", F.regexp_extract("path", r"^(.*)/[^/]*\z", 1).alias("folder"),
         F.col("s.issues").alias("issues"), F.col("s.error").alias("error"),
     ).orderBy("path")
@@ -45,14 +47,18 @@ def load_failures(scenarios: DataFrame) -> DataFrame:
 
 def duplicate_ids(scenarios: DataFrame) -> DataFrame:
     """Ids that several files have, naming the first and the last folder."""
-    return scenarios.groupBy("id").agg(F.count("*").alias("n"), F.min("folder").alias("first_folder"), F.max("folder").alias("last_folder")).where("n > 1")
+    return scenarios.groupBy("id").agg(
+        F.count("*").alias("n"), F.min("folder").alias("first_folder"), F.max("folder").alias("last_folder")
+    ).where("n > 1")
 
 
 def load_responses(spark: SparkSession, *paths: str) -> DataFrame:
     """JSON objects keyed by scenario id to rows (scenario_id, tool_calls, message); argument values are canonical JSON."""
     rows = _files(spark, *paths).select(F.explode(shaped(formats.RESPONSES)("value")["value"]).alias("scenario_id", "r"))
     none = F.array().cast(f"array<{_CALL}>")
-    call = lambda c: F.struct(c["tool"].alias("tool"), F.coalesce(c["arguments"], F.create_map().cast("map<string,string>")).alias("arguments"))
+    call = lambda c: F.struct(
+        c["tool"].alias("tool"), F.coalesce(c["arguments"], F.create_map().cast("map<string,string>")).alias("arguments")
+    )
     return rows.select("scenario_id", F.transform(F.coalesce("r.tool_calls", none), call).alias("tool_calls"), "r.message")
 
 
@@ -73,12 +79,18 @@ def load_jsonl(spark: SparkSession, path: str, max_rows: int | None = None) -> D
     A line's number is its place in its block of the file and the lines of the blocks before: no task sorts more than a block.
     """
     block = ["path", "block"]
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__o"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("__o")
+    )
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     starts = lines.groupBy(*block).agg(F.count("*").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy(*block).orderBy("__o"))
     out = lines.withColumn("__i", inside).join(starts, block).withColumn("line_number", F.col("before") + F.col("__i")).withColumn("j", strict_json("value"))
-    out = out.select("path", "line_number", F.col("value").alias("line"), F.col("j.value").alias("value"), F.concat_ws(":", "path", F.col("line_number").cast("string"), "j.error").alias("where"), "j.error")
+    out = out.select(
+        "path", "line_number", F.col("value").alias("line"), F.col("j.value").alias("value"),
+        F.concat_ws(":", "path", F.col("line_number").cast("string"), "j.error").alias("where"), "j.error"
+    )
     return out if max_rows is None else out.where(F.col("line_number") <= max_rows)
 
 
@@ -115,7 +127,10 @@ def write_results(header: DataFrame, results: DataFrame, folder: str) -> None:
 def write_payloads(results: DataFrame, folder: str, run: str, part: str, columns: list[str]) -> None:
     """One JSON payload for each run and part: run_id, backend_name and the results. Parts bound what one file holds; ``backend_name`` is a column."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("position", *columns))), lambda x: x.dropFields("position"))  # a part's results
-    payload = F.to_json(F.struct(F.col(run).cast("string").alias("run_id"), F.first("backend_name").alias("backend_name"), rows.alias("scenario_results")), {"ignoreNullFields": "false"})
+    payload = F.to_json(
+        F.struct(F.col(run).cast("string").alias("run_id"), F.first("backend_name").alias("backend_name"), rows.alias("scenario_results")),
+        {"ignoreNullFields": "false"}
+    )
     made = results.groupBy(run, part).agg(payload.alias("value"))
     made.write.partitionBy(run, part).mode("errorifexists").text(folder)
 

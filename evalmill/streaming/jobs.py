@@ -32,7 +32,9 @@ def late_events(events: DataFrame, logged: str = "logged", late: str = "10 minut
     return events.where(is_late(logged, late))
 
 
-def live_rollup(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes", logged: str | None = None, tool_event: str | None = None) -> DataFrame:
+def live_rollup(
+    events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes", logged: str | None = None, tool_event: str | None = None
+) -> DataFrame:
     """One row for each trace once no event came for ``gap``: tokens, cost, tool calls, events, start, end, duration.
 
     The watermark stays ``late`` behind the newest event and bounds the state. With ``logged``, a column that says when an event reached the log, events that were later than that are left to
@@ -75,7 +77,9 @@ class ChangeFeed:
 
     def changes(self) -> DataFrame:
         """(poll, key, change) of all committed polls."""
-        return self.spark.read.parquet(f"{self.folder}/changes").join(F.broadcast(self.commits().select("poll")), "poll", "left_semi").select("poll", self.key, "change")  # one number for each poll
+        return self.spark.read.parquet(f"{self.folder}/changes").join(
+            F.broadcast(self.commits().select("poll")), "poll", "left_semi"
+        ).select("poll", self.key, "change")  # one number for each poll
 
     def apply(self, poll: int, path: str) -> bool:
         """Takes in one poll; False if it is in already."""
@@ -84,7 +88,9 @@ class ChangeFeed:
             return False
         snapshot = self.spark.read.parquet(path)
         last = before[0] if before else None
-        found = diff(self.spark.read.parquet(last["path"]), snapshot, self.key, self.columns) if last else snapshot.select(self.key, F.lit("insert").alias("change"))
+        found = diff(
+            self.spark.read.parquet(last["path"]), snapshot, self.key, self.columns
+        ) if last else snapshot.select(self.key, F.lit("insert").alias("change"))
         found.write.mode("overwrite").parquet(f"{self.folder}/changes/poll={poll}")
         self.commit(poll, path, last["poll"] if last else None)
         return True
@@ -158,6 +164,9 @@ def reminders(tasks: DataFrame, now: str = "now", keep_days: int = 7) -> DataFra
     A task that is not due yet waits for its timeout, so it fires without being polled again once the stream's clock, the newest ``now``, has passed it. The state of a done task is
     removed ``keep_days`` after it was done; opened again before that, it still knows what it fired. State goes to and from the workers in Arrow batches, many tasks at once.
     """
-    flat = tasks.select(F.col("id").cast("string").alias("id"), "title", "due", F.coalesce(is_done(F.col("status")), F.lit(False)).alias("done"), F.col(now).alias("now"))
+    flat = tasks.select(
+        F.col("id").cast("string").alias("id"), "title", "due", F.coalesce(is_done(F.col("status")), F.lit(False)).alias("done"),
+        F.col(now).alias("now")
+    )
     timed = flat.withWatermark("now", "1 millisecond")  # rows of the newest time may come in several batches
     return timed.groupBy("id").applyInPandasWithState(_remind(keep_days), FIRED, _TASK_STATE, "append", "EventTimeTimeout")
