@@ -5,8 +5,8 @@ character map, white-space rules and the metaspace marker), then a unigram model
 model, merges ranked by them, with byte fallback; and the decoder. If no piece holds the marker behind another character,
 no merge or piece can cross from one word to the next, so words are encoded apart and remembered.
 
-Batches are encoded on ``THREADS`` threads. All that is encoded is also encoded by the sentencepiece library itself: ``parity`` says
-whether the two agree for a text, and where they don't, the library's ids are the ones returned. ``round_trip`` says whether decoding
+Batches are encoded on ``THREADS`` threads. The ids returned are the rebuilt pipeline's. All that is encoded is also encoded by the sentencepiece
+library itself: ``parity`` says whether the two agree for a text, and where they don't, the library's ids are returned instead. ``round_trip`` says whether decoding
 the ids gives the text back (models that normalise or drop white space may rightly say no).
 
 Each row is worked on by itself: no shuffle; models are loaded once in each Python worker.
@@ -36,7 +36,9 @@ MARK = "▁"
 REMEMBERED = 64 << 20
 #: Ids decoded together; the list of one row is never cut.
 DECODED = 1 << 18
-_JOINED, _KEPT = 256, 1 << 16
+#: Words put end to end in a text, and words learnt in a call: threads share a call's texts.
+_JOINED, _LEARNT = 128, 1 << 14
+_KEPT = 1 << 16
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -180,17 +182,17 @@ class Backend:
         rest = [w for w in fresh if w.strip(MARK)]
         joined = ["".join(rest[i : i + _JOINED]) for i in range(0, len(rest), _JOINED)]
         ours = [e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
-        theirs = self.theirs.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)
-        back = self.ours.decode_batch(theirs, skip_special_tokens=False)
+        theirs = self.theirs.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=THREADS)
+        back = self.ours.decode_batch(ours, skip_special_tokens=False)
         for i, (text, a, b) in enumerate(zip(joined, ours, theirs, strict=True)):
             words = rest[i * _JOINED : (i + 1) * _JOINED]
             ends = np.cumsum([len(w.encode()) for w in words])
-            places = np.cumsum(self.sizes[b]) if b else np.zeros(0, np.int64)
+            places = np.cumsum(self.sizes[a]) if a else np.zeros(0, np.int64)
             cut = np.searchsorted(places, ends)
             if a == b and back[i] == text[1:].replace(MARK, " ") and len(places) and places[-1] == ends[-1] and (places[cut] == ends).all():
                 self.words.update(zip(words, range(len(self.good), len(self.good) + len(words)), strict=True))
                 self.first.extend((len(self.flat) + cut + 1).tolist())
-                self.flat.extend(b)
+                self.flat.extend(a)
                 self.good.extend([3] * len(words))
             else:
                 alone += words
@@ -199,24 +201,28 @@ class Backend:
             a = self.bare.encode(word, add_special_tokens=False).ids
             b = [self.theirs.piece_to_id(MARK)] if word == MARK else self.theirs.encode(bare)
             self.words[word] = len(self.good)
-            self.flat.extend(b)
+            ids = a if a == b else b
+            self.flat.extend(ids)
             self.first.append(len(self.flat))
-            self.good.append((a == b) + 2 * (self.ours.decode(b, skip_special_tokens=False) == bare))
+            self.good.append((a == b) + 2 * (self.ours.decode(ids, skip_special_tokens=False) == bare))
         self.held += sum(map(len, fresh)) * 2 + 160 * len(fresh)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """(ids end to end, numbers of ids, parity, round trip) of the texts."""
         if not self.by_word:
             ours = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
-            known = self.theirs.encode(texts, num_threads=1)
-            back = self.ours.decode_batch(known, skip_special_tokens=False)
-            return np.concatenate([np.zeros(0, np.int32), *(np.array(k, np.int32) for k in known)]), np.array([len(k) for k in known]), [a == b for a, b in zip(ours, known, strict=True)], [a == b for a, b in zip(texts, back, strict=True)]
+            theirs = self.theirs.encode(texts, num_threads=THREADS)
+            parity = [a == b for a, b in zip(ours, theirs, strict=True)]
+            ids = [a if same else b for a, b, same in zip(ours, theirs, parity, strict=True)]
+            back = self.ours.decode_batch(ids, skip_special_tokens=False)
+            flat = np.concatenate([np.zeros(0, np.int32), *(np.array(k, np.int32) for k in ids)])
+            return flat, np.array([len(k) for k in ids]), parity, [a == b for a, b in zip(texts, back, strict=True)]
         split = [_WORDS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
         if self.held > REMEMBERED:
             self.forget()
         fresh = [w for w in set().union(*split) if w not in self.words]
-        for i in range(0, len(fresh), 4096):
-            self.learn(fresh[i : i + 4096])
+        for i in range(0, len(fresh), _LEARNT):
+            self.learn(fresh[i : i + _LEARNT])
         words = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
         at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, words[-1])
         first, flat, good = np.array(self.first), np.array(self.flat, dtype=np.int32), np.array(self.good)
