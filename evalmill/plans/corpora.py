@@ -497,6 +497,8 @@ i AS (SELECT split, line_number, 'blank_line' AS code, '' AS detail FROM k WHERE
   UNION ALL SELECT split, line_number, 'invalid_shape', array_to_string(places, ',') FROM k WHERE NOT blank AND fine AND len(places) > 0 UNION ALL SELECT split, line_number, 'invalid_roles', array_to_string(roles, ',') FROM o WHERE roles <> ['system', 'user', 'assistant']
   UNION ALL SELECT split, line_number, 'invalid_assistant_json', CASE WHEN NOT json_valid(answer) THEN 'invalid JSON at char 2: Expecting '','' delimiter' ELSE 'expected list, got dict' END FROM o WHERE NOT json_valid(answer) OR json_type(answer) <> 'ARRAY'),
 x AS (SELECT n.split, n.line_number, i.code, i.detail FROM n LEFT JOIN i ON n.split = i.split AND n.line_number = i.line_number)"""
+#: One level of a revision: two digits of the buckets' names go; where none is left, all stays as it is. Eight levels are enough for 2^74 rows.
+_LEVEL = "l{i} AS (SELECT greatest(0, p.d - 2) AS d, substr(p.bucket, 1, greatest(0, p.d - 2)) AS bucket, CASE WHEN max(p.d) = 0 THEN max(p.h) ELSE sha256(string_agg(p.h, ',' ORDER BY p.bucket)) END AS h FROM l{j} p GROUP BY 1, 2)"
 _V = "v AS (SELECT (SELECT list(n_name ORDER BY n_name) FROM nation) AS places, (SELECT list(r_name ORDER BY r_name) FROM region) AS parts)"
 _F = """g AS (SELECT count(*) AS n FROM documents), f(family, contrast_role, behavior_type, template, first) AS (VALUES ('clarification_pair', 'missing_info', 'request_clarification', 'Change {place}.', true), ('clarification_pair', 'explicit_info', 'direct_tool_call', 'Change {place} to {part}.', false),
   ('refusal_pair', 'unsafe_or_unsupported', 'refuse_request', 'Buy {place}.', true), ('refusal_pair', 'safe_allowed', 'direct_tool_call', 'Note {place}.', false),
@@ -521,8 +523,9 @@ ORACLES = {
     "responses_joined": "SELECT c_custkey AS id, c_nationkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1, 2",
     "manifest_checks": f"""WITH n AS (SELECT source, count(*) AS listed, {sql_bucket('source', 4)} AS part FROM documents GROUP BY 1), m AS (SELECT source, listed, listed + 2 AS loaded, 2 AS skipped, listed + (part = 1)::INT AS converted, CASE WHEN part = 2 THEN ' ' ELSE 'h' END AS hash, CASE WHEN part <> 3 THEN 'r' END AS revision FROM n)
       SELECT source, 'error' AS severity, 'split_counts' AS code FROM m WHERE listed <> converted UNION ALL SELECT source, 'error', 'converted_count' FROM m WHERE loaded - skipped <> converted UNION ALL SELECT source, 'error', 'missing_config_hash' FROM m WHERE trim(hash) = '' UNION ALL SELECT source, 'error', 'missing_revision' FROM m WHERE revision IS NULL UNION ALL SELECT source, 'warning', 'skipped_rows' FROM m WHERE skipped > 0""",
-    "content_revision": """WITH d AS (SELECT greatest(0, CAST(ceil(ln(greatest(1, count(*) / 1024.0)) / ln(16)) AS INT)) AS d FROM documents), r AS (SELECT CAST(doc_id AS VARCHAR) AS k, sha256('{"doc_id":' || doc_id || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"lang":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || '}') AS h FROM documents),
-      b AS (SELECT substr(sha256(k), 1, d) AS bucket, sha256(string_agg(h, ',' ORDER BY k)) AS h FROM r, d GROUP BY 1), u AS (SELECT sha256(string_agg(h, ',' ORDER BY bucket)) AS h FROM b) SELECT CASE WHEN d = 0 THEN (SELECT max(h) FROM b) ELSE u.h END AS revision FROM u, d""",
+    "content_revision": """WITH n AS (SELECT greatest(0, CAST(ceil(ln(greatest(1, count(*) / 1024.0)) / ln(16)) AS INT)) AS d FROM documents),
+      r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, sha256('{"doc_id":' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"lang":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || '}') AS h FROM documents),
+      l0 AS (SELECT n.d AS d, substr(sha256(r.k), 1, n.d) AS bucket, sha256(string_agg(r.h, ',' ORDER BY r.k, r.h)) AS h FROM r, n GROUP BY 1, 2), """ + ", ".join(_LEVEL.format(i=i, j=i - 1) for i in range(1, 9)) + " SELECT coalesce(max(h), sha256('')) AS revision FROM l8",
     "config_hashes": """SELECT source, lang, sha256('{"lang":"' || lang || '","n":' || count(*) || ',"source":"' || source || '"}') AS config_hash FROM documents GROUP BY 1, 2""",
     "review_rows": """WITH t AS (SELECT event_id AS i, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[1, 2,' WHEN 2 THEN CAST(props AS VARCHAR) WHEN 3 THEN 'null' ELSE '[ ' || props || ' ]' END AS a, CASE event_id % 7 WHEN 0 THEN '7' WHEN 1 THEN '[ ]' WHEN 2 THEN '1.5' WHEN 3 THEN 'true' WHEN 4 THEN '"text"' WHEN 5 THEN '[ {"name": "x"} ]' END AS t FROM events),
       k AS (SELECT *, CASE WHEN a IS NULL THEN 'NULL' WHEN json_valid(a) THEN json_type(a) END AS ka, CASE WHEN t IS NULL THEN 'NULL' WHEN json_valid(t) THEN json_type(t) END AS kt FROM t),

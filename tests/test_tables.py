@@ -161,6 +161,23 @@ def test_revisions_ignore_partitions_at_every_depth(spark, monkeypatch, rows):
             assert a != metrics.content_revision(changed, "id", ["v"]).first()[0] and a != metrics.content_revision(df.where(f"id < {rows - 1}"), "id", ["v"]).first()[0]
 
 
+@pytest.mark.parametrize("rows", [0, 3, 60, 300, 1100, 70000])
+def test_revisions_are_those_of_their_sql_at_every_depth(spark, monkeypatch, tmp_path, rows):
+    import duckdb
+
+    from evalmill.plans import corpora
+
+    monkeypatch.setattr(metrics, "REVISION_ROWS", 4)
+    sql = corpora.ORACLES["content_revision"]
+    assert "1024.0" in sql
+    number = F.when(F.col("id") % 50 == 0, 7).otherwise(F.col("id")).cast("long")  # some ids come twice
+    d = spark.range(rows).select(number.alias("doc_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit('a "b"\n'), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert corpora.content_revision(spark, str(tmp_path)).first()[0] == con.execute(sql.replace("1024.0", "4.0")).fetchone()[0]
+
+
 def test_percentiles_are_exact(spark):
     import random
 
