@@ -63,8 +63,15 @@ def review_summary(rows: DataFrame, labels: list[str], correct: str = "correct",
     return out.withColumn("reject", F.when(F.col("ready"), F.col("error_rate") > threshold))
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of numbers of up to six decimals, added up exactly: equal means are equal in whatever order and partitions the rows come. Means that are not finite stay what they are."""
+    v = F.col(value).cast("double")
+    millionths = F.sum(F.round(v * 1_000_000).try_cast("decimal(28,0)"))
+    return F.when(F.abs(F.avg(v)) < float("inf"), millionths.cast("double") / F.count(v)).otherwise(F.avg(v))
+
+
 def paired_wins(scored: DataFrame, run: str, item: str, value: str, a, b) -> DataFrame:
-    """Wins, losses and ties of run b against run a over the items both have."""
+    """Wins, losses and ties of run b against run a over the items both have a value for; ties are equal values, so means should be exact (``exact_mean``)."""
     both = scored.groupBy(item).agg(F.max(F.when(F.col(run) == a, F.col(value))).alias("a"), F.max(F.when(F.col(run) == b, F.col(value))).alias("b"))
     both = both.where("a IS NOT NULL AND b IS NOT NULL")
     return both.agg(

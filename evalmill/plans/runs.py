@@ -57,7 +57,7 @@ def failure_counts(spark, sf_dir: str) -> DataFrame:
 
 
 def paired_wins(spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id", F.pmod("event_id", F.lit(2)).alias("run")).agg(F.avg("value").alias("v"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.pmod("event_id", F.lit(2)).alias("run")).agg(metrics.exact_mean("value").alias("v"))
     return metrics.paired_wins(e, "run", "user_id", "v", 0, 1)
 
 
@@ -391,7 +391,7 @@ ORACLES = {
     "failure_counts": f"WITH {RUNS_SQL}, x AS (SELECT unnest(reasons) AS reason FROM scored) SELECT reason, count(*) AS n FROM x GROUP BY 1",
     "score_calls": f"""WITH {RUNS_SQL} SELECT scenario_id, round(tool_call_accuracy, 6) AS tool_call_accuracy, round(argument_accuracy, 6) AS argument_accuracy, round(unordered_accuracy, 6) AS unordered_accuracy, round(hallucination_rate, 6) AS hallucination_rate,
       len(all_reasons) = 0 AND argument_accuracy = 1 AS task_success, array_to_string(all_reasons, ',') AS reasons, round(0.35 * (len(act) > 0)::INT + 0.25 * tool_call_accuracy + 0.25 * argument_accuracy + 0.15 * (1 - hallucination_rate), 6) AS comparison_score FROM scored""",
-    "paired_wins": "WITH v AS (SELECT user_id, event_id % 2 AS run, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.user_id = b.user_id AND a.run = 0 AND b.run = 1) SELECT count(*) FILTER (b > a) AS wins, count(*) FILTER (b < a) AS losses, count(*) FILTER (a = b) AS ties, count(*) AS pairs FROM p",
+    "paired_wins": "WITH v AS (SELECT user_id, event_id % 2 AS run, CASE WHEN isfinite(avg(value)) THEN CAST(sum(TRY_CAST(round(value * 1000000) AS DECIMAL(28,0))) AS DOUBLE) / count(value) ELSE avg(value) END AS v FROM events GROUP BY ALL), p AS (SELECT a.v AS a, b.v AS b FROM v a JOIN v b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.run = 0 AND b.run = 1 WHERE a.v IS NOT NULL AND b.v IS NOT NULL) SELECT count(*) FILTER (b > a) AS wins, count(*) FILTER (b < a) AS losses, count(*) FILTER (a = b) AS ties, count(*) AS pairs FROM p",
     "comparison": f"""WITH {RUNS_SQL}, m2 AS (SELECT user_id % 3 AS run_id, avg((len(reasons) = 0)::INT::DOUBLE) AS s, avg(tool_call_accuracy) AS t, avg(hallucination_rate) AS h, avg(latency_ms) AS l, sum(cost_usd) AS c FROM scored GROUP BY 1),
       x AS (SELECT run_id, unnest([{{'metric': 'task_success_rate', 'cell': printf('%.3f', s)}}, {{'metric': 'average_tool_call_accuracy', 'cell': printf('%.3f', t)}}, {{'metric': 'average_hallucination_rate', 'cell': printf('%.3f', h)}}, {{'metric': 'average_latency_ms', 'cell': printf('%.0f', l)}}, {{'metric': 'total_cost_usd', 'cell': printf('$%.4f', c)}}]) AS u FROM m2)
       SELECT u.metric AS metric, max(u.cell) FILTER (run_id = 0) AS run0, max(u.cell) FILTER (run_id = 1) AS run1, max(u.cell) FILTER (run_id = 2) AS run2 FROM x GROUP BY 1""",

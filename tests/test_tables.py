@@ -178,6 +178,22 @@ def test_revisions_are_those_of_their_sql_at_every_depth(spark, monkeypatch, tmp
     assert corpora.content_revision(spark, str(tmp_path)).first()[0] == con.execute(sql.replace("1024.0", "4.0")).fetchone()[0]
 
 
+def test_equal_means_are_ties_in_whatever_order_rows_come(spark, tmp_path):
+    import duckdb
+
+    from evalmill.plans import runs
+
+    # both runs of a user have the same numbers, in other orders; user 0 also an infinite one, user 1 a run without values, user 2 one of more, no user another tie
+    e = spark.range(40000).select(F.col("id").alias("event_id"), (F.floor(F.col("id") / 2) % 100).alias("user_id"), (F.floor(F.col("id") / 200) * 7919 % 10007 / 100).alias("value"))
+    other = e.withColumns({"event_id": F.lit(100001) - F.col("event_id")})
+    odd = spark.createDataFrame([(200000, 0, float("inf")), (200002, 200, 1.0), (200003, 200, None), (200004, 2, 1e9), (200006, None, 0.3), (200007, None, 0.3)], "event_id long, user_id long, value double")
+    e.union(other.where("user_id <> 1")).union(odd).repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    got = tuple(runs.paired_wins(spark, str(tmp_path)).first())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == con.execute(runs.ORACLES["paired_wins"]).fetchone() == (0, 2, 99, 101)
+
+
 def test_percentiles_are_exact(spark):
     import random
 
