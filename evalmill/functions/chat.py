@@ -10,7 +10,9 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,16 +75,39 @@ def encoder(name: str):
 ENCODED, ENCODED_CHARS = 256, 1 << 20
 
 
-def _in_parts(texts: list[str], encode) -> Iterator[list[int]]:
-    part, size = [], 0
-    for text in texts:
-        if part and (len(part) == ENCODED or size + len(text) > ENCODED_CHARS):
-            yield from encode(part)
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield from encode(part)
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows in runs of at most ``ENCODED`` rows and, but for single rows, ``ENCODED_CHARS`` characters."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == ENCODED or total + size > ENCODED_CHARS):
+            yield start, i
+            start, total = i, 0
+        total += size
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def _lists(values: list[np.ndarray], rows: np.ndarray) -> pa.Array:
+    """A list of whole numbers for each row; rows without one have null."""
+    sizes = np.zeros(len(rows), dtype=np.int64)
+    sizes[rows] = [len(v) for v in values]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(~rows, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.zeros(0)]).astype(np.int32)))
+
+
+def _examples(prompts: pa.Array, wholes: pa.Array, encode, max_length: int) -> Iterator[pa.Array]:
+    """``TOKENS`` of a batch in arrays of a few rows each: ids are lists of Python only while their part is at work."""
+    sizes = [a + b for a, b in zip(*(pc.fill_null(pc.utf8_length(x), 0).to_pylist() for x in (prompts, wholes)), strict=True)]
+    for start, end in _parts(sizes):
+        asked, texts = prompts.slice(start, end - start), wholes.slice(start, end - start)
+        rows = np.asarray(asked.is_valid())
+        n_prompt = [len(x) for x in encode(asked.drop_null().to_pylist())]
+        full = encode(texts.filter(pa.array(rows)).to_pylist())
+        n_full, ids = [len(x) for x in full], [np.array(x[:max_length], dtype=np.int32) for x in full]
+        labels = [np.where(np.arange(len(x)) < n, IGNORED, x) for x, n in zip(ids, n_prompt, strict=True)]
+        count = lambda n: pa.array(np.bincount(np.flatnonzero(rows), n, len(rows)).astype(np.int64), mask=~rows)
+        columns = [_lists(ids, rows), _lists([np.ones(len(x)) for x in ids], rows), _lists(labels, rows), count(n_prompt), count(n_full)]
+        yield pa.StructArray.from_arrays(columns, fields=list(_ARROW), mask=pa.array(~rows))
 
 
 def tokens(messages: Column, tokenizer: str, max_length: int, template: Template | None = None) -> Column:
@@ -96,18 +121,9 @@ def tokens(messages: Column, tokenizer: str, max_length: int, template: Template
     def work(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encode = encoder(tokenizer)
         for prompts, wholes in batches:
-            at = [i for i, ok in enumerate(prompts.is_valid().to_pylist()) if ok]
-            pairs = zip(_in_parts([prompts[i].as_py() for i in at], encode), _in_parts([wholes[i].as_py() for i in at], encode), strict=True)
-            out: list = [None] * len(prompts)
-            for i, (prompt, whole) in zip(at, pairs, strict=True):
-                ids = whole[:max_length]
-                masked = min(len(prompt), max_length, len(ids))
-                out[i] = {
-                    "input_ids": ids, "attention_mask": [1] * len(ids), "labels": [IGNORED] * masked + ids[masked:],
-                    "prompt_tokens": len(prompt), "full_tokens": len(whole)
-                }
-            yield pa.array(out, _ARROW)
+            yield from _examples(prompts, wholes, encode, max_length)
 
+    once = work.asNondeterministic()  # else a filter on the tokens is pushed below them and encodes all texts a second time
     three = F.size(messages) == 3
     prompt = F.when(three, rendered(F.slice(messages, 1, 2), template, True))
-    return work(prompt, F.when(three, rendered(messages, template, False)))
+    return once(prompt, F.when(three, rendered(messages, template, False)))

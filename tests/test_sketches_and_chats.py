@@ -127,3 +127,23 @@ def test_chat_rows_have_the_library_s_ids_and_masked_prompts(spark, name):
         else:
             assert r.issues == ["invalid_messages"]
     assert sorted(r.i for r in metrics.trainable_only(told).collect()) == sorted(i for i, x in got.items() if x and any(v != -100 for v in x.labels))
+
+
+def test_tokens_leave_in_small_arrays_and_are_made_once(spark):
+    import pyarrow as pa
+
+    texts = [None if i % 5 == 0 else f"text {i} " * (i % 7) for i in range(3000)]
+    encode = lambda part: [list(range(len(t))) for t in part]
+    out = list(chat._examples(pa.array(texts), pa.array([None if t is None else t + "!" for t in texts]), encode, 20))
+    assert max(map(len, out)) <= chat.ENCODED and all(a.type == chat._ARROW for a in out)
+    for t, x in zip(texts, [x for a in out for x in a.to_pylist()], strict=True):
+        if t is None:
+            assert x is None
+            continue
+        ids = list(range(len(t) + 1))[:20]
+        assert x == {"input_ids": ids, "attention_mask": [1] * len(ids), "labels": [-100] * min(len(t), len(ids)) + ids[len(t):], "prompt_tokens": len(t), "full_tokens": len(t) + 1}
+    assert list(chat._examples(pa.array([], pa.string()), pa.array([], pa.string()), encode, 20)) == []
+    df = spark.createDataFrame([(0, [("system", "s"), ("user", "u"), ("assistant", "a")])], MESSAGES)
+    t = df.withColumn("t", chat.tokens(F.col("messages"), "byte_bpe_50k.json", 9))
+    plan = t.where("t.full_tokens > t.prompt_tokens").select("t.input_ids")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
