@@ -32,20 +32,16 @@ def _suppliers(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_nationkey AS n", "s_name AS name")
 
 
-def _one_a_file(rows: DataFrame, folder: str, *by: str) -> None:
-    rows.write.option("maxRecordsPerFile", 1).partitionBy(*by).text(folder) if by else rows.write.option("maxRecordsPerFile", 1).text(folder)
-
-
 def suite_scores(spark, sf_dir: str) -> DataFrame:
     """Suites of one file a scenario and files of responses keyed by id, loaded and scored: values keep their JSON types all the way. Scenarios without a response are not scored."""
     s = _suppliers(spark, sf_dir)
     suites, responses = scratch(spark, "suites"), scratch(spark, "responses")
-    _one_a_file(s.select(F.expr(_SCENARIO).alias("value"), (F.col("k") % 2).alias("suite")), suites, "suite")
+    io.write_each(s.select(F.expr(_SCENARIO).alias("value"), (F.col("k") % 2).alias("suite")), suites, "suite")
     entry = F.concat(F.lit('"'), F.expr(_ID), F.lit('":'), F.expr(_RESPONSE))
     answered = s.where("k % 16 <> 15").groupBy(F.floor(F.col("k") / 256).alias("part")).agg(F.concat(
         F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")
     ).alias("value"))
-    _one_a_file(answered.select("value", "part"), responses, "part")
+    io.write_each(answered.select("value", "part"), responses, "part")
     both, _ = io.join_responses(
         io.load_scenarios(spark, f"{suites}/suite=0", f"{suites}/suite=1", pattern="*.txt"),
         io.load_responses(spark, f"{responses}/*/*.txt")

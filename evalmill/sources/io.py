@@ -14,8 +14,25 @@ from evalmill.operators.validate import SPLITS
 _CALL = "struct<tool:string,arguments:map<string,string>>"
 
 
-def _files(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+#: Writers of many small files rename each file in the task that wrote it: the driver renames none. File names don't depend on the attempt, so a task that is run again replaces its own files.
+MANY_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over four tasks for each core, whatever their bytes: for writers whose work is the number of files."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
+def write_each(rows: DataFrame, folder: str, *by: str) -> None:
+    """The texts in ``value``, one a file, in folders by the columns ``by``."""
+    writer = dealt(rows).write.options(maxRecordsPerFile=1, **MANY_FILES)
+    (writer.partitionBy(*by) if by else writer).text(folder)
+
+
+def _files(spark: SparkSession, *paths: str, pattern: str | None = None, nested: bool = False) -> DataFrame:
+    """Whole files: those that the paths name, or those in folders (``nested``: at any depth) by a pattern of their names. Many files should be named by their folders, which are listed once each."""
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": str(nested).lower()} if pattern else {}
+    return spark.read.options(**options).text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def load_scenarios(spark: SparkSession, *folders: str, pattern: str = "*.json") -> DataFrame:
@@ -23,7 +40,7 @@ def load_scenarios(spark: SparkSession, *folders: str, pattern: str = "*.json")
 
     ``keys`` are the object's own keys, ``issues`` all that breaks the format as (path, code), ``error`` what makes a file no JSON; ``load_failures`` lists both.
     """
-    s = _files(spark, *(f"{f}/{pattern}" for f in folders)).withColumn("s", shaped(formats.SCENARIO)("value")).withColumn("v", F.col("s.value"))
+    s = _files(spark, *folders, pattern=pattern).withColumn("s", shaped(formats.SCENARIO)("value")).withColumn("v", F.col("s.value"))
     e = F.col("v.expected_behavior")
     none = F.array().cast(f"array<{_CALL}>")
     one = F.array(F.struct(e["tool"].alias("tool"), e["arguments"].alias("arguments")))
@@ -131,17 +148,17 @@ def write_payloads(results: DataFrame, folder: str, run: str, part: str, columns
         F.struct(F.col(run).cast("string").alias("run_id"), F.first("backend_name").alias("backend_name"), rows.alias("scenario_results")),
         {"ignoreNullFields": "false"}
     )
-    made = results.groupBy(run, part).agg(payload.alias("value"))
-    made.write.partitionBy(run, part).mode("errorifexists").text(folder)
+    made = dealt(results.groupBy(run, part).agg(payload.alias("value")), run, part)
+    made.write.options(**MANY_FILES).partitionBy(run, part).mode("errorifexists").text(folder)
 
 
-def load_results(spark: SparkSession, paths: list[str], columns: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:
+def load_results(spark: SparkSession, paths: list[str], columns: dict[str, str], labels: dict[str, str] | None = None, pattern: str | None = None) -> DataFrame:
     """Result files of any number of runs in one scan: (label, run_id, position) and the wanted columns, each with its Spark type.
 
-    ``labels`` names files by their paths; others are named by the file's stem. Results are read by keys: what a run lacks is null, as is a value that has another type, further keys are passed
+    Paths are files, or, with a ``pattern`` of files' names, folders that hold them at any depth. ``labels`` names files by their paths; others are named by the file's stem. Results are read by keys: what a run lacks is null, as is a value that has another type, further keys are passed
     over; numbers are read as numbers, whether a run wrote 3 or 3.0.
     """
-    p = _files(spark, *paths).withColumn("p", shaped(formats.PAYLOAD)("value")["value"])
+    p = _files(spark, *paths, pattern=pattern, nested=True).withColumn("p", shaped(formats.PAYLOAD)("value")["value"])
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
     if labels:
         hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()

@@ -215,3 +215,23 @@ def test_reminders_fire_once_for_each_due_time(spark, tmp_path):
     # c was forgotten three days after it was done, and came back; moved was due on the 3rd, which the 4th knows
     assert sorted(tuple(r) for r in got) == [("a", "2"), ("a", "5"), ("b", "1"), ("c", "1"), ("moved", "3"), ("moved", "9"), ("timer", "3")]
     assert held[0] == 6 and min(held) == 5 and held[-1] == 6  # c went and came back; of seven tasks b is gone in the end
+
+
+def test_many_small_files_are_written_by_many_tasks_and_listed_by_folder(spark, tmp_path):
+    import re
+
+    tasks = lambda folder: {re.match(r"part-(\d+)", p.name)[1] for p in folder.rglob("part-*.txt")}
+    rows = spark.range(60, numPartitions=1).select(F.concat(F.lit('{"id":"x_'), F.lpad("id", 3, "0"), F.lit('"}')).alias("value"), (F.col("id") % 2).alias("suite"))
+    io.write_each(rows, str(tmp_path / "s"), "suite")
+    assert len(list((tmp_path / "s").rglob("part-*.txt"))) == 60 and len(tasks(tmp_path / "s")) > 1
+    inner = tmp_path / "s" / "suite=0" / "inner"
+    inner.mkdir()
+    (inner / "a.txt").write_text('{"id":"y_000"}')
+    s = io.load_scenarios(spark, *(str(tmp_path / "s" / f"suite={i}") for i in (0, 1)), pattern="*.txt")
+    assert sorted(r.id for r in s.collect()) == [f"x_{i:03}" for i in range(60)]
+    assert len(s._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths().mkString("|").split("|")) == 2
+    r = spark.range(40, numPartitions=1).select((F.col("id") % 5).alias("run"), F.floor(F.col("id") / 5).alias("part"), F.lit("local").alias("backend_name"), F.col("id").alias("position"), F.col("id").alias("scenario_id"))
+    io.write_payloads(r, str(tmp_path / "p"), "run", "part", ["scenario_id"])
+    assert len(tasks(tmp_path / "p")) > 1
+    back = io.load_results(spark, [str(tmp_path / "p")], {"scenario_id": "long"}, pattern="*.txt")
+    assert sorted((int(x.run_id), x.scenario_id) for x in back.collect()) == sorted((i % 5, i) for i in range(40))
