@@ -76,8 +76,8 @@ def result_payloads(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "payloads")
     io.write_payloads(r, folder, "run", "part", ["scenario_id", "latency_ms", "cost_usd", "score"])
     back = io.load_results(
-        spark, [f"{folder}/*/*/*.txt"],
-        {"scenario_id": "long", "latency_ms": "double", "cost_usd": "double", "score": "struct<task_success:boolean,hallucination_rate:double>"}
+        spark, [folder],
+        {"scenario_id": "long", "latency_ms": "double", "cost_usd": "double", "score": "struct<task_success:boolean,hallucination_rate:double>"}, pattern="*.txt"
     )
     out = metrics.run_metrics(
         back.withColumns({"task_success": F.col("score.task_success"), "hallucination_rate": F.col("score.hallucination_rate")}), ["run_id"]
