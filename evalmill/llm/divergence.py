@@ -2,8 +2,8 @@
 
 One ``CountVectorizer`` serves all languages: a term is counted as ``lang term``, so that minDF, a number of documents, holds for each language by itself. vocabSize is the largest integer:
 no term is left out for want of room. Where more terms are kept than ``SHARD``, they are dealt into shards by hash and each shard has a vectorizer of its own, one after the other, so that the driver never holds
-more than about a shard's vocabulary. Document vectors are sparse and exact; they are written, and added up by (lang, source) as a summarizer does, but sparsely and in whole numbers.
-Inside a document, and to count documents in a slice of texts, terms are told apart by 64-bit hashes.
+more than about a shard's vocabulary. Vectors are sparse and exact, and those of a (lang, source) in a slice of texts are made together; they are written, and added up by (lang, source) as a summarizer does, but
+sparsely and in whole numbers. Inside a slice of texts terms are told apart by 64-bit hashes.
 
 Pairs of sources are looked at in blocks of ``SOURCES`` sources and ``TERMS`` terms: a task has the shares of two blocks' sources for such terms as any of them has, and adds up the
 pairs' differences. Terms that neither block has add the same each, which is multiplied. The number of pairs is what the result has.
@@ -15,8 +15,7 @@ empty table gives no rows; repeated rows are documents each; further columns are
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,24 +35,19 @@ MIN_DF, TOP = 10, 10
 VOCABULARY = 2**31 - 1
 #: Terms of one vectorizer, about, and parts of them that are put together in rows to fit it.
 SHARD, CHUNKS = 1 << 20, 1024
+#: Found terms in one row.
+LISTED = 1 << 16
 _VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 SOURCES, TERMS = 64, 1024
 SCALE = 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _distinct(batch: pa.RecordBatch, limit: int) -> Iterator[tuple]:
-    """Slices of a batch: (rows, bytes, and of each term of each row, once, its row, where it first starts and ends, its hash with the language's, how often the row has it), by row."""
-    for rows, data, at in slices(batch, "text", limit):
-        starts, ends, by = word_bounds(data, at, APART)
-        row = np.repeat(np.arange(rows.num_rows), np.diff(by))
-        tongue, tongue_at = utf8(rows.column("lang"))
-        langs = np.array([int.from_bytes(hashlib.blake2b(tongue[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in itertools.pairwise(tongue_at)], dtype=U64)
-        h = word_hashes(data, starts, ends)
-        _, first, times = np.unique(mix(h ^ mix(row.astype(U64))), return_index=True, return_counts=True)
-        order = np.argsort(first)
-        first, times = first[order], times[order]
-        yield rows, data, row[first], starts[first], ends[first], mix(h[first] ^ langs[row[first]]), times
+def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys in which equal ones stand together, and where in it each kind begins."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(keys)])
 
 
 def _spread(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -73,30 +67,43 @@ def _named(rows: pa.RecordBatch, data: np.ndarray, row: np.ndarray, starts: np.n
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, its hash, n): how many documents of a slice have a term."""
-    for batch in batches:
-        for rows, data, row, starts, ends, h, _ in _distinct(batch, 8 * SLICE_BYTES):
-            found, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_named(rows, data, row[first], starts[first], ends[first]), pa.array((found >> U64(1)).astype(np.int64)), pa.array(n)], ["term", "hash", "n"])
-
-
-def _weighed(shards: int, shard: int):
-    """Rows to (source, weight, terms): a document's terms whose count has the bit ``weight``, each once; of several shards of terms, one. All rows of a document, by weight, make its counts."""
+_COUNTED = "lang string, source string, weight long, terms array<string>, found array<struct<term:string,n:long>>"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, row, starts, ends, h, times in _distinct(batch, SLICE_BYTES):
-                own = (h >> U64(1)) % U64(shards) == U64(shard)
-                for bit in range(int(times.max(initial=0)).bit_length()):
-                    some = np.flatnonzero(own & ((times >> bit) & 1 == 1))
-                    if not len(some):
-                        continue
-                    of, at = np.unique(row[some], return_index=True)
-                    terms = pa.ListArray.from_arrays(pa.array(np.append(at, len(some)).astype(np.int32)), _named(rows, data, row[some], starts[some], ends[some]))
-                    yield pa.RecordBatch.from_arrays([rows.column("source").cast(pa.string()).take(pa.array(of)), pa.array(np.full(len(of), 1 << bit)), terms], ["source", "weight", "terms"])
 
-    return released(work)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice of texts, rows of two kinds: terms that a (lang, source) has ``weight`` times there, each once; and found terms with the number of the slice's documents that have them."""
+    for batch in batches:
+        for rows, data, at in slices(batch, "text", 8 * SLICE_BYTES):
+            starts, ends, by = word_bounds(data, at, APART)
+            if not len(starts):
+                continue
+            row = np.repeat(np.arange(rows.num_rows), np.diff(by))
+            langs, sources = (rows.column(c).cast(pa.string()).dictionary_encode() for c in ("lang", "source"))
+            lang, source = (c.indices.to_numpy().astype(np.int64) for c in (langs, sources))
+            salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()], dtype=U64)
+            h = mix(word_hashes(data, starts, ends) ^ salt[lang][row])
+            order, begin = _classes(mix(h ^ mix(row.astype(U64))))  # a term of a document
+            times, at_word = np.diff(np.append(begin, len(order))), order[begin]
+            group = (lang * len(sources.dictionary) + source)[row[at_word]]
+            order, begin = _classes(mix(h[at_word] ^ mix(group.astype(U64))))  # a term of a group
+            weight, documents = np.add.reduceat(times[order], begin), np.diff(np.append(begin, len(order)))
+            at_word, group = at_word[order[begin]], group[order[begin]]
+
+            order = np.lexsort((weight, group))
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(group[order]) != 0) | (np.diff(weight[order]) != 0)]))
+            some = at_word[order]
+            terms = pa.ListArray.from_arrays(pa.array(np.append(begin, len(some)).astype(np.int32)), _named(rows, data, row[some], starts[some], ends[some]))
+            of = pa.array(row[some[begin]])
+            names = [rows.column(c).cast(pa.string()).take(of) for c in ("lang", "source")]
+            none = pa.nulls(len(begin), pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*names, pa.array(weight[order[begin]]), terms, none], ["lang", "source", "weight", "terms", "found"])
+
+            order, begin = _classes(h[at_word])  # a term of a language
+            some = at_word[order[begin]]
+            found = pa.StructArray.from_arrays([_named(rows, data, row[some], starts[some], ends[some]), pa.array(np.add.reduceat(documents[order], begin))], ["term", "n"])
+            found = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(some), LISTED), len(some)).astype(np.int32)), found)
+            no = lambda kind, n=len(found): pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([no(pa.string()), no(pa.string()), no(pa.int64()), no(pa.list_(pa.string())), found], ["lang", "source", "weight", "terms", "found"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -105,38 +112,45 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def vectorizer(frequencies: DataFrame, min_df: int) -> CountVectorizerModel:
-    """The vectorizer of all terms that at least ``min_df`` documents have, fitted to rows in which each term (term, n) stands ``n`` times, or ``min_df`` times if that is less, once in a row.
+    """The vectorizer of all terms that at least ``min_df`` documents have, fitted to rows in which each such term (term, n) stands ``min_df`` times, once in a row.
 
     Rows of an empty term are added, as a vectorizer must not find nothing.
     """
-    rows = frequencies.select("term", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(min_df).cast("long")))).alias("times"))
+    rows = frequencies.where(F.col("n") >= min_df).select("term", F.explode(F.sequence(F.lit(1), F.lit(min_df))).alias("times"))
     rows = rows.groupBy(F.pmod(F.xxhash64("term"), F.lit(CHUNKS)).alias("chunk"), "times").agg(F.collect_list("term").alias("terms"))  # one of CHUNKS parts of a shard's terms
     blank = frequencies.sparkSession.range(min_df).select(F.array(F.lit("")).alias("terms"))
     return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCABULARY).fit(rows.select("terms").union(blank))
 
 
-def group_counts(docs: DataFrame, store: Store, min_df: int = MIN_DF, shard: int = SHARD) -> DataFrame:
-    """(lang, source, term, count) of kept terms, counts over 0: sums of the documents' sparse vectors.
+def _in_shard(shards: int, shard: int) -> Callable[[Column], Column]:
+    return lambda term: F.pmod(F.hash(term), F.lit(shards)) == shard
+
+
+def group_counts(docs: DataFrame, store: Store, min_df: int = MIN_DF, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, id, count) of kept terms, counts over 0, sums of the slices' sparse vectors; and (id, lang, term), what the ids stand for.
 
-    The vectorizer learns from how many documents have each term. A document's vector is the sum of its rows' vectors, each times its weight: the powers of two that its counts are made of, so that a
-    term that stands there often is looked up seldom.
+    Texts are read once. The vectorizer learns from how many documents have each term; it looks up a term once for each slice and group that has it. A group's vector is the sum of its rows'
+    vectors, each times its weight.
     """
-    texts = _texts(docs)
-    frequencies = store.keep(texts.mapInArrow(released(_document_counts), "term string, hash long, n long").groupBy("term", "hash").agg(F.sum("n").alias("n")), "frequencies")
-    n, found = max(1, -(-frequencies.where(F.col("n") >= min_df).count() // shard)), None
+    counted = store.keep(_texts(docs).mapInArrow(released(_counted), _COUNTED), "slices")
+    frequencies = counted.select(F.inline("found")).groupBy("term").agg(F.sum("n").alias("n"))
+    frequencies = store.keep(frequencies.where(F.col("n") >= min_df), "frequencies")
+    n, found, names = max(1, -(-frequencies.count() // shard)), None, None
+    weighed = counted.where("weight IS NOT NULL").select("lang", "source", "weight", "terms")
     for k in range(n):
-        model = vectorizer(frequencies.where(F.pmod("hash", F.lit(n)) == k), min_df)
+        model = vectorizer(frequencies if n == 1 else frequencies.where(_in_shard(n, k)(F.col("term"))), min_df)
         path = f"{store.folder}/vocabulary-{k}"
         model.write().save(path)
-        store.keep(model.transform(texts.mapInArrow(_weighed(n, k), "source string, weight long, terms array<string>")).select("source", "weight", "vector"), f"vectors-{k}")
+        rows = weighed if n == 1 else weighed.withColumn("terms", F.filter("terms", _in_shard(n, k)))
+        store.keep(model.transform(rows).select("lang", "source", "weight", "vector"), f"vectors-{k}")
+        vectors = docs.sparkSession.read.schema(f"lang string, source string, weight long, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
+        entries = vectors.select("lang", "source", "weight", F.explode("vector.indices").alias("index"))  # a term is once in a row: all values are 1
+        ident = (F.lit(k << 32) + F.col("index")).alias("id")
+        sums = entries.groupBy("lang", "source", "index").agg(F.sum("weight").alias("count")).select("lang", "source", ident, "count")
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "word"))
-        vectors = docs.sparkSession.read.schema(f"source string, weight long, vector {_VECTOR}").parquet(f"{store.folder}/vectors-{k}")
-        entries = vectors.select("source", "weight", F.explode("vector.indices").alias("index"))  # a term is once in a row: all values are 1
-        sums = entries.groupBy("source", "index").agg(F.sum("weight").alias("count"))  # a term's index tells its language
-        parted = F.regexp_extract("word", r"(?s)^(.*) ([^ ]*)\z", 1).alias("lang"), "source", F.element_at(F.split("word", " "), -1).alias("term"), "count"
-        named = sums.join(words, "index").select(*parted)
-        found = named if found is None else found.union(named)
-    return store.keep(found, "counts")
+        words = words.select(ident, F.regexp_extract("word", r"(?s)^(.*) ([^ ]*)\z", 1).alias("lang"), F.element_at(F.split("word", " "), -1).alias("term"))
+        found, names = (sums, words) if found is None else (found.union(sums), names.union(words))
+    return store.keep(found, "counts"), store.keep(names, "names")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -171,9 +185,9 @@ def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
 def audit(docs: DataFrame, store: Store | None = None, min_df: int = MIN_DF, top: int = TOP, shard: int = SHARD) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has every other source of the language, part ``term`` the first ``top`` terms a source has more of than its language."""
     store = store or Store(docs.sparkSession, "divergence")
-    counts = group_counts(docs, store, min_df, shard)
+    counts, names = group_counts(docs, store, min_df, shard)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    langs = counts.groupBy("lang", "term").agg(F.sum("count").alias("count"))
+    langs = counts.groupBy("lang", "id").agg(F.sum("count").alias("count"))
     in_lang = langs.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("count").alias("lang_total"))
     in_group = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     zero = F.lit(0).cast("long")
@@ -182,17 +196,15 @@ def audit(docs: DataFrame, store: Store | None = None, min_df: int = MIN_DF, top
     groups = store.keep(groups.select("lang", "source", "total", "kept", "lang_total", number.cast("long").alias("number"), F.when(F.col("kept") > 0, share(zero, F.col("total"), F.col("kept"))).alias("p0")), "groups")
 
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("total"), F.col("kept")))
-    shares = store.keep(shares.select("lang", "source", "number", "term", "p", "kept", "lang_total"), "shares")
-    above = shares.join(langs, ["lang", "term"]).withColumn("q", share(F.col("count"), F.col("lang_total"), F.col("kept"))).where("p > q")
+    shares = store.keep(shares.select("lang", "source", "number", "id", "p", "kept", "lang_total"), "shares")
+    above = shares.join(langs.select("id", "count").join(names.select("id", "term"), "id"), "id").withColumn("q", share(F.col("count"), F.col("lang_total"), F.col("kept"))).where("p > q")
     terms = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), difference(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
     blocks = groups.groupBy("lang").agg((F.floor(F.max("number") / SOURCES) + 1).alias("blocks"), F.max("kept").alias("n_kept"))
     shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_kept") / TERMS))
-    hashed = F.xxhash64("term")
-    entries = shares.join(blocks, "lang").select("lang", "number", F.pmod(hashed, shards).alias("shard"), hashed.alias("h"), "term", "p", "blocks")
-    entries = entries.withColumn("term_id", F.dense_rank().over(Window.partitionBy("lang", "shard").orderBy("h", "term")).cast("long"))  # one shard's terms
+    entries = shares.join(blocks, "lang").select("lang", "number", F.pmod(F.xxhash64("id"), shards).alias("shard"), F.col("id").alias("term_id"), "p", "blocks")
     lacking = groups.where("kept > 0").join(blocks, "lang").select("lang", "number", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"), F.lit(-1).cast("long").alias("term_id"), F.col("p0").alias("p"), "blocks")
     every = entries.select("lang", "number", "shard", "term_id", "p", "blocks").unionByName(lacking)
     own = F.floor(F.col("number") / SOURCES)

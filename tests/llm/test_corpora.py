@@ -13,6 +13,7 @@ from helpers import DOCS, ODD, documents, save
 from pyspark.sql import functions as F
 
 from evalmill.llm import divergence, mixing, turn_trie
+from evalmill.llm._tables import Store
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -162,6 +163,17 @@ def test_audits_of_nothing_and_of_nothing_kept(spark):
     assert {tuple(r) for r in divergence.audit(df).collect()} == {("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
 
 
+def test_audit_looks_up_a_term_once_for_each_slice_and_group(spark):
+    words = "one two two three three three four"
+    df = spark.createDataFrame([(words, "en", f"s{i % 2}") for i in range(400)], "text string, lang string, source string").coalesce(1)
+    store = Store(spark, "divergence")
+    counts, names = divergence.group_counts(df, store)
+    got = {(r.source, r.term, r["count"]) for r in counts.join(names, ["id", "lang"]).collect()}
+    assert got == {(s, t, 200 * n) for s in ("s0", "s1") for t, n in (("one", 1), ("two", 2), ("three", 3), ("four", 1))}
+    vectors = spark.read.schema(f"vector {divergence._VECTOR}").parquet(f"{store.folder}/vectors-0")
+    assert vectors.select(F.sum(F.size("vector.indices"))).first()[0] == 2 * 4  # not once for each of 400 documents
+
+
 def plain_targets(sizes: list[int], weights=mixing.WEIGHTS) -> list[Fraction]:
     """Share by weight; what is above a limit is taken off and shared again among the others."""
     w = [Fraction(weights[i % len(weights)]) for i in range(len(sizes))]
