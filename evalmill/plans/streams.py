@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,41 +17,49 @@ def _run(rows: DataFrame, out: str) -> None:
     rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def _timed_log(spark, sf_dir: str) -> str:
-    """The events in the order they reached the log, one file after the other; one in forty came three days late. A last line, far ahead, closes all traces."""
-    k = F.get_json_object("props", "$.k").cast("long")
+def _timed_log(spark, sf_dir: str, folder: str) -> Iterator[int]:
+    """The events in the order they reached the log, one part after the other, each written by as many tasks as it needs; one in forty came three days late. A last line, far ahead, closes all traces.
+
+    Yields after each part. A part's files are in no order, so whoever reads them takes all that are new at once.
+    """
     ts = F.col("ts").cast("timestamp")
     logged = ts + F.make_dt_interval(
         F.when(F.col("event_id") % 40 == 7, 3).otherwise(0), F.lit(0), F.lit(0), (F.col("event_id") % 50).cast("decimal(18,6)")
     )
-    fields = F.to_json(F.struct((k * 1000).alias("input_tokens"), (k * 100).alias("output_tokens"), (k / 1000).alias("cost_usd")))
-    e = table(spark, sf_dir, "events").select(
-        ts.alias("ts"), F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"),
-        F.col("event_id").cast("string").alias("task_id"), F.col("event_type").alias("event"), fields.alias("fields"),
-        logged.alias("logged")
-    )
-    low, high = e.agg(F.min(F.unix_micros("logged")), F.max(F.unix_micros("logged"))).first()
-    folder = scratch(spark, "timed-log")
+    raw = table(spark, sf_dir, "events").select(ts.alias("ts"), "user_id", "event_id", "event_type", "props", logged.alias("logged"))
+    low, high = raw.agg(F.min(F.unix_micros("logged")), F.max(F.unix_micros("logged"))).first()
     if low is None:
         low = high = 0
     part = F.least(F.floor((F.unix_micros("logged") - low) * PARTS / max(1, high - low)), F.lit(PARTS - 1))
+    k = F.get_json_object("props", "$.k").cast("long")
+    fields = F.to_json(F.struct((k * 1000).alias("input_tokens"), (k * 100).alias("output_tokens"), (k / 1000).alias("cost_usd")))
+    parts = scratch(spark, "log-parts")
+    dealt = raw.withColumn("part", part.cast("int")).repartition("event_id")  # whatever files the events come in
+    dealt.write.partitionBy("part").parquet(parts)
     stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     for i in range(PARTS):
-        e.where(part == i).coalesce(1).write.mode("append").options(**stamp).json(folder)
+        spark.read.schema(dealt.schema).parquet(parts).where(F.col("part") == i).select(
+            "ts", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"),
+            F.col("event_id").cast("string").alias("task_id"), F.col("event_type").alias("event"), fields.alias("fields"), "logged"
+        ).write.mode("append").options(**stamp).json(folder)
+        yield i
     closing = spark.range(1).select(
         F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("ts"), F.lit("end").alias("trace_id"), F.lit("end").alias("event"),
         F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).alias("logged")
     )
     closing.coalesce(1).write.mode("append").options(**stamp).json(folder)
-    return folder
+    yield PARTS
 
 
 def live_traces(spark, sf_dir: str) -> DataFrame:
-    """The log rolled up by trace as a stream, over several batches with a session state, and beside it the events that came too late for it."""
-    events = jobs.read_events(spark, _timed_log(spark, sf_dir), jobs.LOGGED, 1)
-    traces, late = scratch(spark, "traces"), scratch(spark, "late")
-    _run(jobs.live_rollup(events, "1 day", LATE, "logged", "click").drop("session_window"), traces)
-    _run(jobs.late_events(events, "logged", LATE), late)
+    """The log rolled up by trace as a stream, over several batches with a session state, and beside it the events that came too late for it.
+
+    The stream runs after each part of the log, from where it stopped, and takes the part's files in one batch.
+    """
+    log, traces, late = scratch(spark, "timed-log"), scratch(spark, "traces"), scratch(spark, "late")
+    for _ in _timed_log(spark, sf_dir, log):
+        _run(jobs.live_rollup(jobs.read_events(spark, log, jobs.LOGGED), "1 day", LATE, "logged", "click").drop("session_window"), traces)
+    _run(jobs.late_events(jobs.read_events(spark, log, jobs.LOGGED), "logged", LATE), late)
     rolled = spark.read.parquet(traces).select(
         F.lit("trace").alias("kind"), "trace_id", F.lit(-1).cast("long").alias("event_id"), "input_tokens", "output_tokens",
         F.round("cost_usd", 5).alias("cost_usd"), "tool_call_count", "event_count", "duration_ms"

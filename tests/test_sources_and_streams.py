@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from evalmill.operators import scoring
+from evalmill.plans import streams
 from evalmill.sources import io
 from evalmill.streaming import jobs
 
@@ -168,6 +170,30 @@ def test_late_events_and_rollup_make_the_whole_log(spark, tmp_path):
     assert got == sums
 
 
+def test_a_part_of_the_log_is_many_tasks_work_and_one_batch(spark, tmp_path, monkeypatch):
+    """The live rollup over a log whose parts have several files each is that of its batch form."""
+    e = spark.range(2000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 7919 % 2000 * 1296000000).alias("ts"),
+        (F.col("id") % 9).alias("user_id"), F.when(F.col("id") % 3 == 0, "click").otherwise("view").alias("event_type"),
+        F.format_string('{"k": %d}', F.col("id") % 17).alias("props")
+    )
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    folders = {}
+    monkeypatch.setattr(streams, "scratch", lambda s, name: folders.setdefault(name, str(tmp_path / name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(tuple(r) for r in streams.live_traces(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(folders["timed-log"]) if f.endswith(".json")]) > 2 * streams.PARTS
+    k, late = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 40 == 7
+    trace = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("trace_id")
+    span = F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1000)
+    rolled = e.where(~late).groupBy(trace).agg(F.sum(k * 1000), F.sum(k * 100), F.round(F.sum(k / 1000), 5), F.count_if(F.col("event_type") == "click"), F.count("*"), span)
+    want = [("trace", r[0], -1, *r[1:]) for r in rolled.collect()] + [("late", r.trace_id, r.event_id, 0, 0, 0.0, 0, 1, 0) for r in e.where(late).select(trace, "event_id").collect()]
+    assert got == sorted(want) and len(want) > 300
+
+
 def test_change_feed_counts_each_poll_once(spark, tmp_path, monkeypatch):
     """Polls that come again change nothing, also after a failure between what was written and its commit."""
     snaps = [[(1, "a"), (2, "b")], [(1, "z"), (3, "c")], [(1, "z"), (3, None)]]
